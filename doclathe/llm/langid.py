@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import L, class_table
 from .runtime import ship
 
-BITS = 16
+BITS = 15
 DIM = 1 << BITS
 ORDERS = 3
 CHUNK = 1 << 20
@@ -36,7 +36,7 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     table, parts, carry, letters = class_table(), [], np.array([32], np.uint32), False
-    dense = np.zeros(DIM, np.int64) if len(text) > 256 else None
+    dense, many = None, len(text) > 256
     for lo in range(0, len(text), CHUNK):
         cps = np.frombuffer(text[lo : lo + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         isl = table[cps] == L
@@ -56,8 +56,9 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             new = max(0, k - n)  # grams that end in the carried part were counted before
             idx.append((h[new:] * MULT[2]) >> np.uint32(32 - BITS))
         got = np.concatenate(idx)
-        if dense is not None:
-            dense += np.bincount(got, minlength=DIM)
+        if many:
+            part = np.bincount(got, minlength=DIM)
+            dense = part if dense is None else dense + part
         else:
             parts.append(got)
         carry = both[-(ORDERS - 1) :]
