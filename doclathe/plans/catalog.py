@@ -1,4 +1,577 @@
-"""Every query of the engine by name, and its SQL."""
+"""Every query of the engine by name, and SQL for the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from doclathe.functions import scalar as S
+from doclathe.operators import documents as D
+from doclathe.operators import profile as P
+from doclathe.sources import readers as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines as an array: one co-partitioned shuffle of each table by order key."""
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    return t(spark, d, "orders").join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+
+
+U_SQL = "(('0x' || substr(md5('42:' || {row} || ':{path}'), 1, 8))::BIGINT / 4294967296.0)"
+DIST = """min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, quantile_disc(v, 0.5)::DOUBLE AS median, quantile_disc(v, 0.9)::DOUBLE AS p90,
+ quantile_disc(v, 0.95)::DOUBLE AS p95, quantile_disc(v, 0.99)::DOUBLE AS p99, count(*)::BIGINT AS total, count(DISTINCT v)::BIGINT AS "unique" """
+NUM = """count(v)::BIGINT AS n, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS std_dev,
+ bool_and(v = floor(v)) AS is_int, bool_and(v >= 0) AS all_positive"""
+LEN_SQL = "SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS v FROM orders"
+
+
+def per_path(pairs: dict[str, str], what: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{p}' AS path, {what} FROM ({q})" for p, q in pairs.items())
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 100")
+def sample_random_exact(spark, d):
+    return R.random_sample(t(spark, d, "customer"), 100, "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def sample_first_n(spark, d):
+    return R.first_n(t(spark, d, "orders"), 100, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""SELECT event_id, user_id, event_type FROM events, (SELECT min(ts) AS a, max(ts) AS b FROM events)
+WHERE ts BETWEEN a AND a + (b - a) / 2 ORDER BY md5('42:' || event_id), event_id LIMIT 200""")
+def sample_time_window(spark, d):
+    e = t(spark, d, "events")
+    a, b = e.agg(F.min("ts"), F.max("ts")).first()
+    mid = None if a is None else a + (b - a) / 2
+    return R.time_window(e, 200, "event_id", "ts", a, mid).select("event_id", "user_id", "event_type") if a is not None else e.select("event_id", "user_id", "event_type")
+
+
+@query("SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1)::INTEGER AS idx FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50)")
+def sample_metadata(spark, d):
+    s = R.first_n(t(spark, d, "customer").select("c_custkey"), 50, "c_custkey")
+    return R.with_metadata(s, "customer", "c_custkey").select("c_custkey", F.col("__metadata.sampleIndex").alias("idx"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 1000")
+def id_projection(spark, d):
+    return R.ids(t(spark, d, "customer"), "c_custkey", 1000)
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*)::BIGINT AS n FROM events WHERE trim(props) <> '' GROUP BY 1")
+def ndjson_fields(spark, d):
+    e = t(spark, d, "events").where(F.trim("props") != "").select(F.parse_json("props").alias("doc"))
+    return e.groupBy(F.expr("variant_get(doc, '$.k', 'string')").alias("k")).agg(F.count("*").alias("n"))
+
+
+# --- normalising -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts, base64(encode(event_type)) AS event_type, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value,
+lower(hex(encode(event_type))) AS _id FROM events""")
+def normalize_scalars(spark, d):
+    e = t(spark, d, "events").select("event_id", "ts", F.col("event_type").cast("binary").alias("event_type"), F.col("value").cast("decimal(18,2)").alias("value"), F.col("event_type").cast("binary").alias("_id"))
+    return D.normalize(e)[0]
+
+
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS shipdate FROM lineitem WHERE l_linenumber = 1")
+def normalize_nested(spark, d):
+    li = t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.struct("l_linenumber", "l_shipdate").alias("line"))
+    n = D.normalize(li)[0]
+    return n.select("l_orderkey", "line.l_linenumber", F.col("line.l_shipdate").alias("shipdate"))
+
+
+# --- inference ---------------------------------------------------------------------------------------------------------
+
+PRESENT = {"doc_id": "doc_id", "lang": "lang", "quality": "quality", "toxic": "toxic"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c})::BIGINT AS n, round(count({c}) / count(*), 6) AS probability, round(count({c}) / count(*), 6) >= 0.95 AS required FROM documents LEFT JOIN labels USING (doc_id)" for c in PRESENT))
+def schema_presence(spark, d):
+    return P.presence(t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id", "left").select(*PRESENT))
+
+
+@query("SELECT field FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) / count(*) AS p FROM documents LEFT JOIN labels USING (doc_id)" for c in PRESENT) + ") WHERE p >= 0.95")
+def schema_required(spark, d):
+    return schema_presence(spark, d).where("required").select("field")
+
+
+@query("""SELECT 'k' AS path, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type(props, '$.k')) END AS typ,
+count(*)::BIGINT AS n FROM events WHERE json_type(props, '$.k') IS NOT NULL GROUP BY 1, 2""")
+def schema_types_json(spark, d):
+    return P.variant_paths(t(spark, d, "events").select("props"), "props").groupBy("path", "typ").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'o_orderkey' AS path, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'lines', count(*) FROM orders
+UNION ALL SELECT 'lines[].l_quantity', count(l_quantity) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'lines[].l_returnflag', count(l_returnflag) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
+def field_paths(spark, d):
+    n = nested(spark, d).select("o_orderkey", F.transform("lines", lambda x: F.struct(x["l_quantity"].alias("l_quantity"), x["l_returnflag"].alias("l_returnflag"))).alias("lines"))
+    return P.unnest(n).groupBy("path").agg(F.count("*").alias("n"))
+
+
+# --- distributions -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_quantity AS value, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def freq_table(spark, d):
+    return P.frequencies(t(spark, d, "lineitem").select(F.col("l_quantity").alias("value")), "value")
+
+
+@query(f"SELECT l_returnflag AS path, {DIST} FROM (SELECT l_returnflag, l_quantity AS v FROM lineitem) GROUP BY 1")
+def distribution_stats(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("path"), F.col("l_quantity").alias("value"))
+    return P.distribution(P.frequencies(li, "path", "value"), ["path"])
+
+
+@query(f"SELECT {DIST} FROM (SELECT l_extendedprice AS v FROM lineitem)")
+def distribution_from_freq(spark, d):
+    return P.distribution(P.frequencies(t(spark, d, "lineitem").select(F.col("l_extendedprice").alias("value")), "value"), [])
+
+
+@query(f"SELECT 'lines' AS path, {DIST} FROM ({LEN_SQL}) UNION ALL SELECT 'turns', {DIST} FROM (SELECT count(*) AS v FROM conversations GROUP BY conv_id)")
+def array_length_stats(spark, d):
+    lines = P.unnest(nested(spark, d).select("lines")).where("kind = 'array'").select("path", F.col("num").alias("value"))
+    turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("double").alias("value")).select(F.lit("turns").alias("path"), "value")
+    return P.distribution(P.frequencies(lines.unionByName(turns), "path", "value"), ["path"])
+
+
+@query("SELECT len(string_split(text, chr(10)))::INTEGER AS value, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def array_length_hist(spark, d):
+    return P.frequencies(t(spark, d, "documents").where("text is not null").select(F.size(F.split("text", "\n")).alias("value")), "value")
+
+
+@query("SELECT len(embedding)::INTEGER AS value, count(*)::BIGINT AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1")
+def embedding_length(spark, d):
+    return P.frequencies(t(spark, d, "embeddings").where("embedding is not null").select(F.size("embedding").alias("value")), "value")
+
+
+@query(per_path({"l_quantity": "SELECT l_quantity AS v FROM lineitem", "l_discount": "SELECT l_discount AS v FROM lineitem", "l_extendedprice": "SELECT l_extendedprice AS v FROM lineitem"}, NUM)
+    + " UNION ALL " + per_path({"c_acctbal": "SELECT c_acctbal AS v FROM customer", "o_totalprice": "SELECT o_totalprice AS v FROM orders"}, NUM))
+def numeric_profile(spark, d):
+    parts = [t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), t(spark, d, "customer").select("c_acctbal"), t(spark, d, "orders").select("o_totalprice")]
+    out = [P.numeric_profile(P.unnest(p)) for p in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(per_path({f"lines[].{c}": f"SELECT {c} AS v FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)" for c in ("l_quantity", "l_extendedprice")}, NUM))
+def numeric_profile_nested(spark, d):
+    n = nested(spark, d).select(F.transform("lines", lambda x: F.struct(x["l_quantity"].alias("l_quantity"), x["l_extendedprice"].alias("l_extendedprice"))).alias("lines"))
+    return P.numeric_profile(P.unnest(n).where("kind = 'number'"))
+
+
+# --- semantic types ----------------------------------------------------------------------------------------------------
+
+
+def contacts(spark, d):
+    c = F.col("c_custkey")
+    u = F.md5(c.cast("string"))
+    return t(spark, d, "customer").select(
+        F.when(c % 10 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("c"), c.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.concat(F.lit("https://example.com/"), c.cast("string")).alias("website"),
+        F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12)).alias("uuid"),
+        F.substring(u, 1, 24).alias("owner_id"),
+        F.when(c % 2 == 0, F.concat(F.lit("+1-555-123-"), F.lpad((c % 10000).cast("string"), 4, "0"))).otherwise("none").alias("phone"),
+        F.col("c_name").alias("name"),
+        F.concat_ws(".", F.lit("10"), (c % 256).cast("string"), (c % 7).cast("string"), F.lit("1")).alias("ip_address"),
+    )
+
+
+CONTACTS_SQL = """WITH c AS (SELECT c_custkey AS k, md5(c_custkey::VARCHAR) AS u, c_name FROM customer), x AS (
+SELECT CASE WHEN k % 10 = 0 THEN 'nobody' ELSE 'c' || k || '@example.com' END AS email, 'https://example.com/' || k AS website,
+ substr(u,1,8) || '-' || substr(u,9,4) || '-' || substr(u,13,4) || '-' || substr(u,17,4) || '-' || substr(u,21,12) AS uuid, substr(u,1,24) AS owner_id,
+ CASE WHEN k % 2 = 0 THEN '+1-555-123-' || lpad((k % 10000)::VARCHAR, 4, '0') ELSE 'none' END AS phone, c_name AS name,
+ '10.' || (k % 256) || '.' || (k % 7) || '.1' AS ip_address FROM c), m AS (
+SELECT 'email' AS path, 'Email' AS detector, 1 AS priority, 0.8::DOUBLE AS confidence, regexp_matches(email, '^[^@]+@[^@]+$') AS hit FROM x
+UNION ALL SELECT 'website', 'URL', 2, 0.8, website LIKE 'http%' FROM x
+UNION ALL SELECT 'uuid', 'UUID', 3, 0.9, regexp_matches(uuid, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$') FROM x
+UNION ALL SELECT 'owner_id', 'ObjectID', 3, 0.9, regexp_matches(owner_id, '^[0-9a-f]{24}$') FROM x
+UNION ALL SELECT 'phone', 'Phone', 4, 0.7, regexp_matches(phone, '^[+][0-9-]+$') FROM x
+UNION ALL SELECT 'name', 'PersonName', 5, 0.6, length(name) BETWEEN 2 AND 50 AND regexp_matches(name, '^[A-Za-z\\s''.-]+$') FROM x
+UNION ALL SELECT 'ip_address', 'IPv4', 6, 0.9, regexp_matches(ip_address, '^([0-9]{1,3}[.]){3}[0-9]{1,3}$') FROM x
+UNION ALL SELECT 'ip_address', 'IPv6', 7, 0.9, false FROM x), r AS (
+SELECT path, detector, priority, confidence, count(*)::BIGINT AS n, count(*) FILTER (hit)::BIGINT AS matches, round(count(*) FILTER (hit) / count(*), 6) AS ratio FROM m GROUP BY ALL) """
+
+
+@query(CONTACTS_SQL + "SELECT * FROM r")
+def semantic_profile(spark, d):
+    return P.semantic_profile(P.unnest(contacts(spark, d)))
+
+
+@query(CONTACTS_SQL + "SELECT path, detector, ratio FROM r WHERE ratio >= confidence QUALIFY row_number() OVER (PARTITION BY path ORDER BY priority, detector) = 1")
+def semantic_best_match(spark, d):
+    return P.semantic_best(semantic_profile(spark, d))
+
+
+@query("""WITH p AS (SELECT page_id, url FROM pages WHERE url IS NOT NULL) SELECT 'url' AS path, 'URL' AS detector, count(*)::BIGINT AS n, count(*) FILTER (regexp_matches(url, '^https?://.'))::BIGINT AS matches FROM p""")
+def semantic_pages(spark, d):
+    return P.semantic_profile(P.unnest(t(spark, d, "pages").select("url"))).select("path", "detector", "n", "matches")
+
+
+# --- sizes -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, (6 + 6 * v)::BIGINT AS leaves FROM ({LEN_SQL})")
+def leaf_count(spark, d):
+    n = nested(spark, d)
+    return n.select("o_orderkey", P.size_proxy(n, "leafFieldCount").alias("leaves"))
+
+
+@query(f"SELECT o_orderkey, v::BIGINT AS total FROM ({LEN_SQL})")
+def array_len_sum(spark, d):
+    n = nested(spark, d)
+    return n.select("o_orderkey", P.size_proxy(n, "arrayLengthSum").alias("total"))
+
+
+@query("SELECT n_nationkey, length('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}')::BIGINT AS size FROM nation")
+def json_size(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return n.select("n_nationkey", P.size_proxy(n, "byteSize").alias("size"))
+
+
+BUCKET_SQL = "SELECT b AS bucket, lo::DOUBLE AS min, hi::DOUBLE AS max, count(size) FILTER (size BETWEEN lo AND hi)::BIGINT AS n, round(count(size) FILTER (size BETWEEN lo AND hi) / count(*), 6) AS probability FROM s, {buckets} GROUP BY ALL"
+
+
+@query(f"WITH s AS (SELECT 6 + 6 * v AS size FROM ({LEN_SQL})) " + BUCKET_SQL.format(buckets="(VALUES ('small', 0, 10), ('medium', 11, 100), ('large', 101, 1000000)) AS x(b, lo, hi)"))
+def size_buckets_fixed(spark, d):
+    n = nested(spark, d)
+    return P.size_buckets(n.select(P.size_proxy(n, "leafFieldCount").alias("size")))
+
+
+@query(f"""WITH s AS (SELECT 6 + 6 * v AS size FROM ({LEN_SQL})), e AS (SELECT min(size) AS lo, max(size) AS hi FROM s), c AS (SELECT lo, floor(lo + (hi - lo) * 0.33) AS a, floor(lo + (hi - lo) * 0.67) AS b, hi FROM e),
+w AS (SELECT CASE WHEN size <= a THEN 'small' WHEN size <= b THEN 'medium' ELSE 'large' END AS bucket FROM s, c), n AS (SELECT bucket, count(*) AS n FROM w GROUP BY 1),
+x AS (SELECT 'small' AS bucket, lo::DOUBLE AS min, a::DOUBLE AS max FROM c UNION ALL SELECT 'medium', a, b FROM c UNION ALL SELECT 'large', b, hi FROM c)
+SELECT bucket, min, max, coalesce(n, 0)::BIGINT AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM n), 6) AS probability FROM x LEFT JOIN n USING (bucket)""")
+def size_buckets_auto(spark, d):
+    n = nested(spark, d)
+    return P.auto_buckets(n.select(P.size_proxy(n, "leafFieldCount").alias("size")))
+
+
+ENUMS = {"lang": "documents", "source": "documents", "event_type": "events", "o_orderstatus": "orders", "o_orderpriority": "orders", "url": "pages"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c})::BIGINT AS n, count(DISTINCT {c})::BIGINT AS n_unique, count(DISTINCT {c}) <= 50 AND (count(DISTINCT {c}) / count({c}) <= 0.1 OR count(DISTINCT {c}) <= 10) AS is_enum FROM {tb}" for c, tb in ENUMS.items()))
+def enum_detection(spark, d):
+    out = None
+    for c, tb in ENUMS.items():
+        one = t(spark, d, tb).agg(F.count(c).alias("n"), F.count_distinct(c).alias("n_unique")).select(F.lit(c).alias("field"), "n", "n_unique")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("is_enum", P.enum_like(F.col("n_unique"), F.col("n")))
+
+
+# --- dynamic keys ------------------------------------------------------------------------------------------------------
+
+
+def keyed(spark, d):
+    """doc, path, key: keys of four maps per customer and of one fixed object."""
+    o = t(spark, d, "orders")
+    k, u = F.col("o_orderkey"), F.md5(F.col("o_orderkey").cast("string"))
+    pad = F.lpad(k.cast("string"), 8, "0")
+    made = {"by_uuid": F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12)), "by_order": F.concat(F.lit("order_"), pad), "by_number": pad, "by_status": F.col("o_orderstatus")}
+    each = F.array(*[F.struct(F.lit(p).alias("path"), c.alias("key")) for p, c in made.items()])
+    return o.select(F.col("o_custkey").alias("doc"), F.inline(each))
+
+
+KEYED_SQL = """WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k, md5(o_orderkey::VARCHAR) AS u, lpad(o_orderkey::VARCHAR, 8, '0') AS pad, o_orderstatus AS s FROM orders), x AS (
+SELECT doc, 'by_uuid' AS path, substr(u,1,8) || '-' || substr(u,9,4) || '-' || substr(u,13,4) || '-' || substr(u,17,4) || '-' || substr(u,21,12) AS key FROM o
+UNION ALL SELECT doc, 'by_order', 'order_' || pad FROM o UNION ALL SELECT doc, 'by_number', pad FROM o UNION ALL SELECT doc, 'by_status', s FROM o), k AS (SELECT DISTINCT path, key FROM x), r AS (
+SELECT path, count(*)::BIGINT AS n_keys, avg(regexp_matches(key, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')::INT) AS a, avg(regexp_matches(key, '^[0-9]{6,20}$')::INT) AS b, avg(regexp_matches(key, '^(user|doc|item|order)_[a-z0-9]{8,32}$')::INT) AS c FROM k GROUP BY 1), p AS (
+SELECT path, n_keys, CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a = greatest(a, b, c) THEN 'UUID' WHEN b = greatest(a, b, c) THEN 'NUMERIC_ID' ELSE 'PREFIXED_ID' END AS pattern, round(greatest(a, b, c), 6) AS ratio FROM r) """
+
+
+@query(KEYED_SQL + "SELECT * FROM p")
+def key_pattern_ratio(spark, d):
+    return P.key_ratios(keyed(spark, d))
+
+
+@query(KEYED_SQL + """, n AS (SELECT path, count(DISTINCT doc)::BIGINT AS n_docs FROM x GROUP BY 1), j AS (SELECT * FROM p JOIN n USING (path)), f AS (SELECT *, round(CASE
+WHEN n_keys >= 100 AND ratio >= 0.8 THEN least(1.0, ratio + CASE WHEN n_keys / 100 > 2 THEN least(0.1, (n_keys / 100 - 2) * 0.02) ELSE 0 END)
+WHEN ratio >= 0.8 THEN least(1.0, ratio + 0.05)
+WHEN n_keys >= 100 THEN least(0.9, 0.7 + 0.2 * log10(n_keys / 100)) - CASE WHEN pattern IS NULL AND n_keys / n_docs < 0.1 THEN 0.1 ELSE 0 END ELSE 0 END::DOUBLE, 6) AS confidence FROM j)
+SELECT path, n_keys, pattern, ratio, n_docs, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS level,
+(ratio >= 0.8 OR (n_keys >= 100 AND (pattern IS NOT NULL OR n_docs <= 50 OR n_keys > 500 OR n_keys / n_docs > 0.05))) AND confidence >= 0.7 AS is_dynamic FROM f""")
+def dynamic_key_detect(spark, d):
+    k = keyed(spark, d)
+    return P.detect(P.key_ratios(k).join(k.groupBy("path").agg(F.count_distinct("doc").alias("n_docs")), "path"))
+
+
+@query("""WITH v AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN l_quantity = floor(l_quantity) THEN 'integer' ELSE 'number' END WHEN 1 THEN CASE WHEN l_discount = floor(l_discount) THEN 'integer' ELSE 'number' END ELSE 'string' END AS typ FROM lineitem)
+SELECT typ, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM v), 6) AS probability FROM v GROUP BY 1""")
+def dynamic_value_types(spark, d):
+    n = F.col("l_linenumber") % 3
+    js = F.when(n == 0, F.to_json(F.struct(F.col("l_quantity").alias("v")))).when(n == 1, F.to_json(F.struct(F.col("l_discount").alias("v")))).otherwise(F.to_json(F.struct(F.col("l_returnflag").alias("v"))))
+    v = t(spark, d, "lineitem").select(F.expr("1").alias("one"), js.alias("j"))
+    typed = v.select(F.expr("variant_get(parse_json(j), '$.v')").alias("v")).withColumn("raw", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)).select(P.json_type("v", "raw").alias("typ"))
+    c = P.frequencies(typed, "typ")
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all")))).select("typ", "n", F.round(F.col("n") / F.col("all"), 6).alias("probability"))
+
+
+@query(f"SELECT 'orders' AS path, {DIST} FROM (SELECT count(*) AS v FROM orders GROUP BY o_custkey)")
+def dynamic_key_counts(spark, d):
+    m = t(spark, d, "orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("order_"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")), "o_totalprice"))).alias("orders"))
+    counts = P.unnest(m.select("orders")).where("kind = 'object'").select("path", F.col("num").alias("value"))
+    return P.distribution(P.frequencies(counts, "path", "value"), ["path"])
+
+
+@query("""SELECT 'accounts' AS parent, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'accounts.*', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT 'accounts.*.*', 2 * count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def dynamic_path_collapse(spark, d):
+    """accounts.<order uuid>.<line key>.{qty, flag}: two levels of made-up keys over a fixed object."""
+    o, li = t(spark, d, "orders").select("o_orderkey"), t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    u = F.md5(F.col("o_orderkey").cast("string"))
+    acc = F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12))
+    top = o.select(F.col("o_orderkey").alias("doc"), F.lit("accounts").alias("parent"), acc.alias("key"))
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("acc", acc).withColumn("line", F.format_string("item_%08d%02d", F.col("o_orderkey"), F.col("l_linenumber").cast("int")))
+    mid = j.select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("accounts."), "acc").alias("parent"), F.col("line").alias("key"))
+    low = j.select(F.col("o_orderkey").alias("doc"), F.concat(F.lit("accounts."), "acc", F.lit("."), "line").alias("parent"), F.explode(F.array(F.lit("qty"), F.lit("flag"))).alias("key"))
+    rows, _ = P.collapse(top.unionByName(mid).unionByName(low), P.KeyConfig(threshold=100))
+    return rows.groupBy("parent").agg(F.count("*").alias("n"))
+
+
+@query("SELECT path, n FROM (VALUES ('a', 1), ('ab.c', 3), ('b.c', 5)) AS x(path, n)")
+def prune_dynamic_stats(spark, d):
+    stats = spark.createDataFrame([("a", 1), ("a.x", 2), ("ab.c", 3), ("a.x.y", 4), ("b.c", 5)], "path string, n int")
+    return P.prune(stats, spark.createDataFrame([("a",)], "path string"))
+
+
+# --- synthesis ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT {DIST} FROM ({LEN_SQL})) SELECT 'minmax' AS policy, min::BIGINT AS lo, max::BIGINT AS hi FROM s UNION ALL SELECT 'clamp_25_90', min::BIGINT, p90::BIGINT FROM s UNION ALL SELECT 'clamp_60_99', median::BIGINT, p99::BIGINT FROM s""")
+def array_bounds(spark, d):
+    s = array_length_stats(spark, d).where("path = 'lines'")
+    return s.select(F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(a).cast("long").alias("lo"), F.col(b).cast("long").alias("hi")) for p, a, b in (("minmax", "min", "max"), ("clamp_25_90", "min", "p90"), ("clamp_60_99", "median", "p99"))])))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, {U_SQL.format(row='o_orderkey', path='len')} AS u FROM orders) SELECT o_orderkey, CASE WHEN u < 0.5 THEN floor(1 + u / 0.5 * 3) WHEN u < 0.9 THEN floor(3 + (u - 0.5) / 0.4 * 5) ELSE least(12, floor(7 + (u - 0.9) / 0.1 * 6)) END::BIGINT AS length FROM x""")
+def recommended_length(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", D.recommended_length(S.uniform(42, F.col("o_orderkey"), "len"), 1, 3, 7, 12).alias("length"))
+
+
+# --- generation --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT o_orderkey, {U_SQL.format(row='o_orderkey', path='x')} AS u FROM orders")
+def prng_uniform(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", S.uniform(42, F.col("o_orderkey"), "x").alias("u"))
+
+
+@query(f"""WITH f AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT value, (sum(n) OVER w - n) / sum(n) OVER () AS lo, sum(n) OVER w / sum(n) OVER () AS hi FROM f WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT o_orderkey, {U_SQL.format(row='o_orderkey', path='prio')} AS u FROM orders) SELECT o_orderkey, value FROM x JOIN s ON u >= lo AND u < hi""")
+def weighted_sample(spark, d):
+    o = t(spark, d, "orders")
+    rows = o.select("o_orderkey", S.uniform(42, F.col("o_orderkey"), "prio").alias("u"))
+    return D.weighted_pick(rows, P.frequencies(o.select(F.col("o_orderpriority").alias("value")), "value")).select("o_orderkey", "value")
+
+
+SCHEMA = {"type": "object", "properties": {
+    "_id": {"type": "string", "format": "uuid"}, "age": {"type": "integer", "minimum": 18, "maximum": 80}, "status": {"type": "string", "enum": ["A", "B", "C"], "x-gen": {"enum": {"A": 50, "B": 30, "C": 20}}},
+    "ip": {"type": "string", "format": "ipv4"}, "tags": {"type": "array", "items": {"type": "integer", "minimum": 0, "maximum": 9}, "minItems": 1, "maxItems": 4}}, "required": ["_id", "age"], "additionalProperties": False}
+
+
+def _h(path: str) -> str:
+    return f"md5('42:' || i || ':{path}')"
+
+
+def _u(path: str) -> str:
+    return f"(('0x' || substr({_h(path)}, 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"""WITH r AS (SELECT range AS i FROM range(20000)), x AS (SELECT i, {_h('_id')} AS d, {_u('age')} AS ua, {_u('status')} AS us, {_h('ip')} AS p, {_u('tags#n')} AS un FROM r)
+SELECT substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS _id, (floor(ua * 63) + 18)::BIGINT AS age,
+CASE WHEN us * 100 < 50 THEN 'A' WHEN us * 100 < 80 THEN 'B' ELSE 'C' END AS status,
+('0x' || substr(p,1,2))::INT || '.' || ('0x' || substr(p,3,2))::INT || '.' || ('0x' || substr(p,5,2))::INT || '.' || ('0x' || substr(p,7,2))::INT AS ip, (floor(un * 4) + 1)::INTEGER AS n_tags FROM x""")
+def generate_documents(spark, d):
+    made = D.Generator(SCHEMA).generate(spark, 20000)
+    return made.select("_id", "age", "status", "ip", F.size("tags").alias("n_tags"))
+
+
+@query("""WITH x AS (SELECT i, j, md5('42:' || i || ':k:' || j) AS d FROM (SELECT range AS i FROM range(2000)), (SELECT range AS j FROM range(1, 4)))
+SELECT i AS id, substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS key FROM x""")
+def generate_keys(spark, d):
+    return spark.range(2000).select("id", F.explode(S.keys("UUID", F.lit(3), 42, F.col("id"), "k")).alias("key"))
+
+
+@query("SELECT pattern, 10000::BIGINT AS n, 10000::BIGINT AS valid, 10000::BIGINT AS distinct_keys FROM (VALUES ('UUID'), ('OBJECTID'), ('ULID'), ('NUMERIC_ID'), ('PREFIXED_ID')) AS x(pattern)")
+def validate_keys(spark, d):
+    out = None
+    for p in S.KEY_PATTERNS:
+        k = spark.range(2000).select(F.explode(S.keys(p, F.lit(5), 42, F.col("id"), "k")).alias("key"))
+        if p == "NUMERIC_ID":
+            k = spark.range(2000).select("id", F.explode(S.keys(p, F.lit(5), 42, F.col("id"), "k")).alias("key")).select(F.concat("key", F.lpad(F.col("id").cast("string"), 4, "0")).alias("key"))
+        one = k.agg(F.count("*").alias("n"), F.count_if(S.key_valid(F.col("key"), p)).alias("valid"), F.count_distinct("key").alias("distinct_keys")).select(F.lit(p).alias("pattern"), "n", "valid", "distinct_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FIDELITY = {"1": 100, "2": 300, "3": 400, "5": 150, "8": 50}
+
+
+@query(f"""WITH x AS (SELECT {_u('tags#n')} * 1000 AS u FROM (SELECT range AS i FROM range(20000))), l AS (SELECT CASE WHEN u < 100 THEN 1 WHEN u < 400 THEN 2 WHEN u < 800 THEN 3 WHEN u < 950 THEN 5 ELSE 8 END AS v FROM x), g AS (SELECT {DIST} FROM l)
+SELECT 'tags' AS path, round(abs(median - 3) / 3, 6)::DOUBLE AS dev_median, round(abs(p90 - 5) / 5, 6)::DOUBLE AS dev_p90, round(abs(p99 - 8) / 8, 6)::DOUBLE AS dev_p99, abs(median - 3) / 3 <= 0.1 AND abs(p90 - 5) / 5 <= 0.1 AND abs(p99 - 8) / 8 <= 0.1 AS passed FROM g""")
+def generated_fidelity(spark, d):
+    schema = {"properties": {"tags": {"type": "array", "items": {"type": "boolean"}, "minItems": 1, "maxItems": 8, "x-array-length-distribution": FIDELITY}}}
+    made = D.array_stats(P.unnest(D.Generator(schema).generate(spark, 20000)))
+    sample = P.distribution(spark.createDataFrame([("tags", float(k), v) for k, v in FIDELITY.items()], "path string, value double, n bigint"), ["path"])
+    return D.compare_arrays(sample, made)
+
+
+# --- change logs -------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT i AS seq, CASE WHEN i < 100 THEN 'insert' WHEN {_u('#op')} * 100 < 50 THEN 'insert' WHEN {_u('#op')} * 100 < 90 THEN 'update' ELSE 'delete' END AS op FROM (SELECT range AS i FROM range(20000))")
+def op_selection(spark, d):
+    ratios = D.parse_ratios("insert:50,update:40,delete:10")
+    return spark.range(20000).select(F.col("id").alias("seq"), D.select_op(S.uniform(42, F.col("id"), "#op"), ratios, F.col("id"), 100).alias("op"))
+
+
+UPDATED = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query("WITH f AS (SELECT o_orderkey, " + f"(floor({U_SQL.format(row='o_orderkey', path='#fields')} * 3) + 1)::INT AS n, list_sort([" + ", ".join(f"md5('42:' || o_orderkey || ':{c}') || '{c}'" for c in UPDATED) + "]) AS l FROM orders) SELECT o_orderkey, list_aggregate(list_transform(l[1:n], lambda x: substr(x, 33)), 'string_agg', ',') AS fields FROM f")
+def partial_update_fields(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(D.partial_fields(UPDATED, 42, F.col("o_orderkey")), ",").alias("fields"))
+
+
+def op_log(spark, d):
+    """Three operations on some orders, by key: two price updates, then for every 30th a delete, and for every 60th an insert again."""
+    o = t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    up = lambda n, price, status: F.struct((F.col("o_orderkey") * 10 + n).alias("seq"), F.lit("update").alias("op"), price.alias("o_totalprice"), status.cast("string").alias("o_orderstatus"))
+    gone = F.when(F.col("o_orderkey") % 30 == 0, F.struct((F.col("o_orderkey") * 10 + 3).alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("double").alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderstatus")))
+    back = F.when(F.col("o_orderkey") % 60 == 0, F.struct((F.col("o_orderkey") * 10 + 4).alias("seq"), F.lit("insert").alias("op"), F.lit(1.0).alias("o_totalprice"), F.lit("N").alias("o_orderstatus")))
+    ops = F.array_compact(F.array(up(1, F.col("o_totalprice") + 1, F.lit(None)), up(2, F.lit(None).cast("double"), F.lit("X")), gone, back))
+    return o.select("o_orderkey", F.explode(ops).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 60 = 0 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+CASE WHEN o_orderkey % 60 = 0 THEN 'N' WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 30 <> 0 OR o_orderkey % 60 = 0""")
+def apply_change_log(spark, d):
+    target = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return D.apply_log(target, op_log(spark, d), "o_orderkey", ["o_totalprice", "o_orderstatus"])
+
+
+@query("""WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey, 1 AS o FROM orders UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o) = 1 AND o_orderkey NOT IN (SELECT o_orderkey FROM a) AS ok FROM b)
+SELECT count(*)::BIGINT AS total, count(*) FILTER (ok)::BIGINT AS inserted, count(*) FILTER (NOT ok)::BIGINT AS failed FROM r""")
+def insert_with_rejects(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey")
+    rows = o.withColumn("o", F.lit(1)).unionByName(o.where("o_orderkey % 5 = 0").withColumn("o", F.lit(2)))
+    good, bad = D.insert_rows(o.where("o_orderkey % 2 = 0"), rows, "o_orderkey", "o")
+    both = good.select(F.lit(True).alias("ok")).unionByName(bad.select(F.lit(False).alias("ok")))
+    return both.agg(F.count("*").alias("total"), F.count_if("ok").alias("inserted"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS op FROM events) SELECT user_id, arg_max(op, seq) AS op FROM e GROUP BY 1 HAVING arg_max(op, seq) <> 'delete'""")
+def id_cache_state(spark, d):
+    k = F.col("event_id") % 4
+    ops = t(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.when(k == 0, "delete").when(k == 1, "insert").otherwise("update").alias("op"))
+    return D.live_keys(ops, "user_id")
+
+
+# --- validation --------------------------------------------------------------------------------------------------------
+
+ORDER_SCHEMA = {"type": "object", "required": ["_id", "status"], "additionalProperties": False, "properties": {
+    "_id": {"type": "integer"}, "status": {"type": "string", "enum": ["F", "O", "P"]}, "price": {"type": "number", "minimum": 0, "maximum": 400000}, "priority": {"type": "string", "maxLength": 10}}}
+
+
+def flawed(spark, d):
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select(k.alias("_id"), F.when(k % 11 != 0, F.when(k % 13 == 0, "?").otherwise(F.col("o_orderstatus"))).alias("status"), F.when(k % 17 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("priority"))
+
+
+FLAWED_SQL = """WITH f AS (SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN '?' ELSE o_orderstatus END END AS status, CASE WHEN o_orderkey % 17 = 0 THEN -o_totalprice ELSE o_totalprice END AS price, o_orderpriority AS priority FROM orders),
+v AS (SELECT *, status IS NULL AS v1, coalesce(status NOT IN ('F','O','P'), false) AS v2, coalesce(price < 0, false) AS v3, coalesce(price > 400000, false) AS v4, coalesce(length(priority) > 10, false) AS v5 FROM f) """
+
+
+@query(FLAWED_SQL + "SELECT count(*)::BIGINT AS total, count(*) FILTER (NOT (v1 OR v2 OR v3 OR v4 OR v5))::BIGINT AS valid, count(*) FILTER (v1 OR v2 OR v3 OR v4 OR v5)::BIGINT AS invalid, round(count(*) FILTER (NOT (v1 OR v2 OR v3 OR v4 OR v5)) / count(*), 6) AS rate FROM v")
+def schema_conformance(spark, d):
+    return D.conformance(flawed(spark, d), ORDER_SCHEMA)
+
+
+@query(FLAWED_SQL + "SELECT path, keyword, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS path, '{k}' AS keyword, count(*) FILTER ({v})::BIGINT AS n FROM v" for p, k, v in (("/status", "required", "v1"), ("/status", "enum", "v2"), ("/price", "minimum", "v3"), ("/price", "maximum", "v4"), ("/priority", "maxLength", "v5"))) + ") WHERE n > 0")
+def schema_violations(spark, d):
+    f = flawed(spark, d)
+    return f.select(F.inline(D.violations(ORDER_SCHEMA, f.columns))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c})::BIGINT AS total, count(DISTINCT {c})::BIGINT AS \"unique\", (count({c}) - count(DISTINCT {c}))::BIGINT AS duplicates FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_linenumber")))
+def key_uniqueness(spark, d):
+    return D.uniqueness(t(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber"])
+
+
+def halves(spark, d):
+    n = nested(spark, d).select("o_orderkey", "lines")
+    return n.where("o_orderkey % 2 = 0"), n.where("o_orderkey % 2 = 1")
+
+
+HALF_SQL = f"WITH l AS ({LEN_SQL}), a AS (SELECT {DIST} FROM l WHERE o_orderkey % 2 = 0), b AS (SELECT {DIST} FROM l WHERE o_orderkey % 2 = 1), dv AS (SELECT " + ", ".join(f"round(CASE WHEN a.{c} = 0 AND b.{c} = 0 THEN 0 WHEN a.{c} = 0 THEN 1 ELSE abs(b.{c} - a.{c}) / a.{c} END, 6)::DOUBLE AS dev_{c}" for c in ("median", "p90", "p99")) + " FROM a, b) "
+
+
+@query(HALF_SQL + "SELECT 'lines' AS path, *, dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS passed FROM dv")
+def compare_array_lengths(spark, d):
+    return D.compare_arrays(*[D.array_stats(P.unnest(h.select("lines"))) for h in halves(spark, d)])
+
+
+BUCKET_CMP = f"WITH l AS (SELECT o_orderkey % 2 AS h, 1 + 6 * v AS size FROM ({LEN_SQL})), bk AS (SELECT * FROM (VALUES ('small', 0, 10), ('medium', 11, 100), ('large', 101, 1000000)) AS x(b, lo, hi)), p AS (SELECT b, h, round(count(*) FILTER (size BETWEEN lo AND hi) / count(*), 6) AS p FROM l, bk GROUP BY ALL), c AS (SELECT b AS bucket, max(p) FILTER (h = 0) AS expected, max(p) FILTER (h = 1) AS actual FROM p GROUP BY 1), dv AS (SELECT *, round(CASE WHEN expected = 0 AND actual = 0 THEN 0 WHEN expected = 0 THEN 1 ELSE abs(actual - expected) / expected END, 6)::DOUBLE AS deviation FROM c) "
+
+
+@query(BUCKET_CMP + "SELECT *, deviation <= 0.2 AS passed FROM dv")
+def compare_size_buckets(spark, d):
+    return D.compare_buckets(*[P.size_buckets(h.select(P.size_proxy(h, "leafFieldCount").alias("size"))) for h in halves(spark, d)])
+
+
+@query(BUCKET_CMP + f", s AS (SELECT bool_and(deviation <= 0.2) AS sizes FROM dv), ar AS ({HALF_SQL} SELECT dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS arrays FROM dv) SELECT 'conforms' AS check_name, true AS passed UNION ALL SELECT 'arrays', arrays FROM ar UNION ALL SELECT 'sizes', sizes FROM s UNION ALL SELECT 'keys', count(o_orderkey) = count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'overall', (SELECT arrays FROM ar) AND (SELECT sizes FROM s) AND (SELECT count(o_orderkey) = count(DISTINCT o_orderkey) FROM orders)")
+def validation_report(spark, d):
+    a, b = halves(spark, d)
+    schema = {"properties": {"o_orderkey": {"type": "integer", "minimum": 0}}, "required": ["o_orderkey"]}
+    parts = [
+        D.conformance(b, schema).select(F.lit("conforms").alias("check_name"), (F.col("invalid") == 0).alias("passed")),
+        compare_array_lengths(spark, d).agg(F.bool_and("passed").alias("passed")).select(F.lit("arrays").alias("check_name"), "passed"),
+        compare_size_buckets(spark, d).agg(F.bool_and("passed").alias("passed")).select(F.lit("sizes").alias("check_name"), "passed"),
+        D.uniqueness(t(spark, d, "orders"), ["o_orderkey"]).agg(F.bool_and(F.col("duplicates") == 0).alias("passed")).select(F.lit("keys").alias("check_name"), "passed"),
+    ]
+    each = parts[0]
+    for p in parts[1:]:
+        each = each.unionByName(p)
+    return each.unionByName(each.agg(F.bool_and("passed").alias("passed")).select(F.lit("overall").alias("check_name"), "passed"))
+
+
+# --- without SQL for comparison ----------------------------------------------------------------------------------------
+
+
+@query()
+def infer_generate_validate(spark, d):
+    """The whole round: profile orders with lines, synthesise a schema, generate documents, count those that conform."""
+    n = nested(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("lines.l_quantity").alias("quantities"))
+    schema, _ = P_infer(n)
+    made = D.Generator(schema).generate(spark, 5000)
+    return D.conformance(made, schema)
+
+
+def P_infer(df: DataFrame):
+    from doclathe.plans.api import infer
+
+    return infer(df)
