@@ -121,11 +121,11 @@ def build(page: str) -> Node:
     stack = [root]
 
     def push(name: str, attrs: str = "") -> None:
+        if len(stack) >= MAX_DEPTH and name not in VOID:
+            stack.pop()
         node = Node(name, attrs)
         stack[-1].kids.append(node)
         if name not in VOID:
-            if len(stack) >= MAX_DEPTH:
-                stack.pop()
             stack.append(node)
 
     def close(names: frozenset[str], stop: frozenset[str]) -> None:

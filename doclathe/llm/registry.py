@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, secrets, simhash
-from .runtime import table
+from . import bpe, exact, html, langid, mixing, passages, secrets, simhash, vectors, warc
+from .runtime import drop_path, scratch, table
 
 
 def rank_file() -> str:
@@ -37,11 +37,32 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(table(spark, sf_dir, "documents"), entropy=0.5)
     return p.select("doc_id", "source", "n_tokens", F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "copies")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, deduplicated = scratch(spark, "warc-in"), scratch(spark, "warc-out")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), raw)
+    warc.dedup_archives(spark, raw, deduplicated)
+    drop_path(spark, raw)
+    page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("bigint")
+    return warc.resolved(spark, deduplicated).select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), rank_file(), outputs=("n_tokens", "ids_le", "decoded"))
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -83,9 +104,9 @@ WITH RECURSIVE d AS (
     CASE WHEN tokens > 0 THEN round(tmax * z.z / pow(pmax, exponent) * (pow(tokens / total, exponent) / z.z), 3) ELSE 0.0 END AS quota
   FROM s, z
 ), q AS (
-  SELECT *, CASE WHEN tokens > 0 THEN floor(quota / tokens)::BIGINT ELSE 1 END AS passes FROM w
+  SELECT *, CASE WHEN tokens > 0 THEN floor(quota / tokens + 1e-9)::BIGINT ELSE 1 END AS passes FROM w
 ), r AS (
-  SELECT d.*, q.exponent, q.weight, q.passes, CASE WHEN q.tokens > 0 THEN q.quota - q.passes * q.tokens ELSE 0.0 END AS rest,
+  SELECT d.*, q.exponent, q.weight, q.passes, CASE WHEN q.tokens > 0 THEN greatest(q.quota - q.passes * q.tokens, 0.0) ELSE 0.0 END AS rest,
     md5('42:' || q.passes || ':' || d.doc_id) AS o
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 )
@@ -94,5 +115,36 @@ SELECT doc_id, source, n_tokens, round(exponent, 6) AS exponent, round(weight, 6
 FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op6_mixing, op10_byte_bpe)}
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION
+  SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY 1
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY 1
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+"""
+
+OP9_SQL = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY x) AS keep FROM d
+)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM g
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_html_extraction, op8_embedding_near_dedup, op9_warc_revisits, op10_byte_bpe)}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_warc_revisits": OP9_SQL}
