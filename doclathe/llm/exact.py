@@ -57,10 +57,16 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str
     return named.select(F.col("id").alias(id_col), "keep_id", F.col("n").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", small: int = 2_000_000) -> DataFrame:
     """The rows of df that stay, all columns; of rows equal in id and text, one."""
-    g = groups(df, id_col, text, keep)
-    lost = g.where("not kept").select(F.col(id_col).alias("__id")).distinct()
+    g = cut(groups(df, id_col, text, keep, small=small))
+    lost = cut(g.where("not kept").select(F.col(id_col).alias("__id")).distinct())
     again = g.where("kept").groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    out = df.join(lost, df[id_col].eqNullSafe(lost["__id"]), "left_anti")
+    out = without(df, df[id_col], lost, small)
     return out.dropDuplicates([id_col, text]) if again else out
+
+
+def without(df: DataFrame, key: Column, lost: DataFrame, small: int = 2_000_000) -> DataFrame:
+    """df's rows whose key isn't in the one column of `lost`; up to `small` keys are broadcast, so that texts stay where they are, beyond that joined."""
+    (name,) = lost.columns
+    return df.join(F.broadcast(lost) if lost.count() <= small else lost, key.eqNullSafe(F.col(name)), "left_anti")

@@ -53,33 +53,51 @@ def weights(totals: DataFrame, entropy: float | None = None, repeat: float | Non
     one = one.select("exponent", "total", "z", (F.lit(float(budget)) if budget is not None else once).alias("budget"))
     w = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("z")).otherwise(0.0)
     out = totals.crossJoin(F.broadcast(one)).withColumn("weight", w).withColumn("quota", F.when(F.col("tokens") > 0, F.round(F.col("budget") * F.col("weight"), 3)).otherwise(0.0))
-    passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("long")
-    return out.withColumn("passes", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0.0)).select("source", "tokens", "exponent", "weight", "quota", "passes", "rest")
+    passes = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("long")
+    return out.withColumn("passes", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.greatest(F.col("quota") - F.col("passes") * F.col("tokens"), F.lit(0.0))).otherwise(0.0)).select("source", "tokens", "exponent", "weight", "quota", "passes", "rest")
 
 
-def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, bin_rows: int = 4096, tokens: Column | None = None, **target) -> DataFrame:
+def _order(id_: Column, passes: Column, seed: int) -> Column:
+    """Place in the extra pass, number `passes`, of a source."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), passes.cast("string"), F.coalesce(id_.cast("string"), F.lit("null"))))
+
+
+def budgets(rows: DataFrame, seed: int = 42, bin_rows: int = 4096, **target) -> DataFrame:
+    """rows (id, source, n_tokens) -> one row per source: source, exponent, weight, passes, last (the last order of the extra pass, null if none).
+
+    Bins are ranges of the order. Sums of whole bins find the one in which the budget ends; only its rows, about bin_rows a source, are ranked."""
+    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
+    wt = cut(weights(totals.select("source", "tokens"), **target).join(totals.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
+    w2 = wt.select(F.col("source").alias("s2"), "passes", "rest", F.ceil(F.col("n") / bin_rows).alias("bins"))
+    r = rows.join(w2, F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumn("order", _order(F.col("id"), F.col("passes"), seed))
+    r = r.withColumn("bin", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("bins") / F.lit(2**32)).cast("long"))
+    part = r.groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
+    ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("base", F.coalesce(F.sum("t").over(ahead), F.lit(0)))
+    end = part.where("base < rest").groupBy(F.col("source").alias("s2")).agg(F.max_by(F.struct("bin", "base"), "bin").alias("x")).select("s2", F.col("x.bin").alias("b2"), F.col("x.base").alias("base"))
+    edge = r.join(end, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bin") == F.col("b2")))
+    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1))
+    last = edge.withColumn("upto", F.col("base") + F.coalesce(upto, F.lit(0))).where("upto < rest").groupBy(F.col("source").alias("s2")).agg(F.max("order").alias("last"))
+    return cut(wt.join(last, F.col("source").eqNullSafe(F.col("s2")), "left").select("source", "exponent", "weight", "passes", "last"))
+
+
+def _with_copies(df: DataFrame, id_: Column, source: Column, per: DataFrame, seed: int, small: int) -> DataFrame:
+    """df with __exponent, __weight, __copies. Up to `small` sources are broadcast; beyond, Spark joins them."""
+    p = per.select(F.col("source").alias("__source"), F.col("exponent").alias("__exponent"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("last").alias("__last"))
+    out = df.join(F.broadcast(p) if per.count() <= small else p, source.eqNullSafe(F.col("__source")))
+    extra = F.coalesce(_order(id_, F.col("__passes"), seed) <= F.col("__last"), F.lit(False)).cast("long")
+    return out.withColumn("__copies", F.col("__passes") + extra)
+
+
+def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, bin_rows: int = 4096, tokens: Column | None = None, small: int = 100_000, **target) -> DataFrame:
     """id, source, n_tokens, exponent, weight, copies: how many times each row of df is used. target: see weights()."""
     rows = cut(df.select(df[id_col].alias("id"), df[source].alias("source"), (words(df[text]) if tokens is None else tokens).alias("n_tokens")))
-    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
-    wt = cut(weights(totals, **target).join(totals.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
-    # Sources are few against documents, but their number isn't proven: left to Spark's size check.
-    r = rows.join(wt.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    # The extra pass, number `passes`, is ordered by this hash; bins are ranges of its leading 32 bits.
-    r = r.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
-    bins = F.ceil(F.col("n") / bin_rows)
-    r = r.withColumn("bin", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * bins / F.lit(2**32)).cast("long"))
-    part = r.groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"))
-    before = part.withColumn("base", F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("source").alias("s2"), F.col("bin").alias("b2"), F.coalesce("base", F.lit(0)).alias("base"))
-    w = Window.partitionBy("source", "bin").orderBy("order", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("source", "bin", "order", "id")
-    r = r.withColumn("upto", F.sum("n_tokens").over(w) - F.sum("n_tokens").over(same))
-    r = r.join(before, (F.col("bin") == F.col("b2")) & F.col("source").eqNullSafe(F.col("s2")))
-    extra = (F.col("base") + F.col("upto") < F.col("rest")).cast("long")
-    return r.select(F.col("id").alias(id_col), "source", "n_tokens", "exponent", "weight", (F.col("passes") + extra).alias("copies"))
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, **target) -> DataFrame:
-    """df's rows, all columns, each as often as planned; ids must not repeat."""
-    p = plan(df, id_col, text, source, seed, **target).select(F.col(id_col).alias("__id"), "copies")
-    out = df.join(p, df[id_col].eqNullSafe(p["__id"])).where("copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[df[c] for c in df.columns])
+    out = _with_copies(rows, F.col("id"), F.col("source"), budgets(rows, seed, bin_rows, **target), seed, small)
+    return out.select(F.col("id").alias(id_col), "source", "n_tokens", F.col("__exponent").alias("exponent"), F.col("__weight").alias("weight"), F.col("__copies").alias("copies"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, bin_rows: int = 4096, small: int = 100_000, **target) -> DataFrame:
+    """df's rows, all columns, each as often as planned. Texts aren't shuffled: a row's copies follow from its id and its source's row."""
+    rows = cut(df.select(df[id_col].alias("id"), df[source].alias("source"), words(df[text]).alias("n_tokens")))
+    out = _with_copies(df, df[id_col], df[source], budgets(rows, seed, bin_rows, **target), seed, small).where("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[df[c] for c in df.columns])
