@@ -33,8 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays. Shingles of five words."""
     found = cut(simhash.near_dedup(docs, shingle=5, radius=4))
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    lost = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    return exact.without(docs, docs["doc_id"], lost)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
