@@ -3,12 +3,11 @@
 fingerprints(): one 64-bit fingerprint per text from its word shingles, by majority over the shingles' XXH64.
 near(): links fingerprints at `radius` or fewer differing bits. Equal fingerprints become one node first. The 64 bits are cut
 into `bands`; two fingerprints within the radius agree on at least bands - radius whole bands, so rows meet under each choice
-of that many bands (exact: no link is lost at any setting). Bands follow from the number of nodes, so that a bucket of unrelated
-nodes stays small. Nodes alone in their bucket are dropped before any comparison. A bucket of more than `block` nodes is cut into blocks and each
+of that many bands (exact: no link is lost at any setting; 6 bands are 15 choices of 21 bits, 7 are 35 of 27 bits, for over a billion nodes). Nodes alone in their bucket are dropped before any comparison. A bucket of more than `block` nodes is cut into blocks and each
 pair of blocks is compared by itself, so no task holds a whole hot bucket. Within a pair of blocks the fingerprints
 stand as vertical bit planes; carry-save counters add up the differing bits of 64 candidates per machine word, saturate above the
-radius, and a run of candidates is left as soon as all of them are beyond it. Of the links found only a spanning
-forest leaves the task, so copies are never expanded into pairs.
+radius, and a run of candidates is left as soon as all of them are beyond it. Of the links found only a star
+for each connected group leaves the task, so copies are never expanded into pairs.
 
 Defined results: null is the empty text; a text without words has fingerprint zero and links like any other.
 Repeated rows each get a row. Ids must not be null for a component to be named: rows with null ids get fingerprints and
@@ -19,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +115,7 @@ def within(queries: np.ndarray, cand: np.ndarray, radius: int, run: int = 8) ->
 
 
 def forest(adj: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Spanning edges of a graph given as packed rows, by search over bit sets: each row is read once."""
+    """A star (root, member) for each connected group of a graph given as packed rows, by search over bit sets: each row is read once."""
     left = np.zeros(adj.shape[1] * 64, np.uint8)
     left[:n] = 1
     left = np.packbits(left, bitorder="little").view("<u8").copy()
@@ -138,14 +137,10 @@ def forest(adj: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int | None = None, load: int = 8) -> DataFrame:
-    """nodes (fp, node): distinct fingerprints with a long each. Returns links (a, b) of nodes, a spanning forest of each block's links."""
+def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int = 6) -> DataFrame:
+    """nodes (fp, node): distinct fingerprints with a long each. Returns (a, b): nodes connected by links, as a star for each connected group of each block."""
     spark = nodes.sparkSession
     ship(spark)
-    if bands is None:
-        n = max(1, nodes.count())
-        # the fewest bands whose joint key has a value for every `load` nodes; each choice of bands is one more copy of a row
-        bands = next((b for b in range(radius + 1, radius + 5) if 64 * (b - radius) / b >= log2(n / load + 1)), radius + 4)
     edges = [round(i * 64 / bands) for i in range(bands + 1)]
     keys = []
     for t, chosen in enumerate(combinations(range(bands), bands - radius)):
@@ -211,7 +206,7 @@ def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int | None
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block: int = 2048, bands: int | None = None) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block: int = 2048, bands: int = 6) -> DataFrame:
     """(id, fingerprint, component_id): fingerprint as 16 hexadecimal digits, component_id the smallest id reachable by links."""
     fps = cut(fingerprints(df, id_col, text, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")).where("node is not null"))
