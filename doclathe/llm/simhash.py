@@ -32,25 +32,35 @@ from .runtime import cut, ship
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """Words are runs of anything but ASCII white space, A-Z lowered; a shingle's hash is XXH64 with seed 42."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    whole = b" ".join(words)
-    n = len(words) - size + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(whole, 42)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    begin = end - length
+def fingerprint(text: str | None, size: int, part: int = 1 << 22) -> int:
+    """Words are runs of anything but ASCII white space, A-Z lowered; a shingle's hash is XXH64 with seed 42.
+
+    The whole text counts, in parts of about `part` bytes that share their last words with the next one."""
+    data = (text or "").encode().lower()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
-    starts, ends = begin[:n].tolist(), end[size - 1 :].tolist()
-    for lo in range(0, n, 1 << 16):
-        h = np.fromiter((digest(whole[s:e], 42) for s, e in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)), np.uint64)
-        total += bit_counts(h)
-    return int(sum(1 << b for b in range(64) if 2 * total[b] > n))
+    total, count, carry, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(data) or not at:
+        words = carry + data[at : at + part].split()
+        at += part
+        if at < len(data) and words and not data[at - 1 : at].isspace():  # the last word goes on
+            rest = data[at : at + part].split(None, 1) if not data[at : at + 1].isspace() else []
+            while rest:
+                words[-1] += rest[0]
+                at += len(rest[0])
+                rest = data[at : at + part].split(None, 1) if at < len(data) and not data[at : at + 1].isspace() else []
+        n = len(words) - size + 1
+        if n > 0:
+            whole = b" ".join(words)
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            end = np.cumsum(length + 1) - 1
+            starts, ends = (end - length)[:n].tolist(), end[size - 1 :].tolist()
+            for lo in range(0, n, 1 << 16):
+                total += bit_counts(np.fromiter((digest(whole[s:e], 42) for s, e in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)), np.uint64))
+            count += n
+        carry = words[max(0, len(words) - size + 1) :] if size > 1 else []
+    if not count:
+        return digest(b" ".join(carry), 42) if carry else 0
+    return int(sum(1 << b for b in range(64) if 2 * total[b] > count))
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:

@@ -111,6 +111,15 @@ def test_simhash(spark, docs, bands, block):
     assert {i: r["component_id"] for i, r in got.items()} == brute_components(list(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
 
 
+def test_fingerprint_parts():
+    """Parts of any size give the fingerprint of the whole."""
+    rng = random.Random(12)
+    for t in (words(60, rng), "a", "  ", "", None, " x  y\n\tzz " * 9, "longword" * 30 + " b c d e f", "é " * 20):
+        for k in (1, 4, 5):
+            for part in (1, 2, 3, 7, 16, 1 << 22):
+                assert simhash.fingerprint(t, k, part) == brute_fp(t, k), (t, k, part)
+
+
 def test_simhash_dense(spark):
     """A group of near copies that spans many blocks: chains of fingerprints, each four bits from the next."""
     rng = np.random.default_rng(5)
