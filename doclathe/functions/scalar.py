@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -244,3 +245,69 @@ def ladder(weights: list[tuple[object, float]], u: Column) -> Column:
         run += w
         steps.append((run, v))
     return reduce(lambda out, s: F.when(u * total < s[0], F.lit(s[1])).otherwise(out), reversed(steps[:-1]), F.lit(steps[-1][1]))
+
+
+def from_regex(pattern: str, u: list[int], most: int = 8) -> str:
+    """A string that matches a regular expression; choices are taken from `u` in turn, repeats kept to `most` beyond the least."""
+    import re
+
+    at = 0
+
+    def draw(n: int) -> int:
+        nonlocal at
+        at += 1
+        return u[at % len(u)] % n if n > 1 else 0
+
+    def chars(items) -> str:
+        pool, negate = "", False
+        for op, arg in items:
+            name = str(op)
+            if name == "NEGATE":
+                negate = True
+            elif name == "LITERAL":
+                pool += chr(arg)
+            elif name == "RANGE":
+                pool += "".join(map(chr, range(arg[0], min(arg[1], arg[0] + 255) + 1)))
+            elif name == "CATEGORY":
+                pool += {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " "}.get(str(arg), "abcdefghijklmnopqrstuvwxyz0123456789_")
+        plain = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        pool = "".join(c for c in plain if c not in pool) if negate else pool
+        return pool[draw(len(pool))]
+
+    def walk(tree) -> str:
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "ANY":
+                out += chars([("LITERAL", ord("a")), ("RANGE", (ord("a"), ord("z")))])
+            elif name == "IN":
+                out += chars(arg)
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                lo, hi, sub = arg
+                out += "".join(walk(sub) for _ in range(lo + draw(min(int(hi), lo + most) - lo + 1)))
+            elif name == "BRANCH":
+                out += walk(arg[1][draw(len(arg[1]))])
+            elif name == "SUBPATTERN":
+                out += walk(arg[-1])
+            elif name == "NOT_LITERAL":
+                out += "a" if arg != ord("a") else "b"
+        return out
+
+    return walk(re._parser.parse(pattern.replace(r"\z", r"\Z")))
+
+
+def custom_keys(pattern: str, seed: int | str, row: Column, path: str, *more: Column) -> Column:
+    """Keys of a pattern of one's own, in Arrow batches; unreadable patterns fall back on 24 hexadecimal digits."""
+    @F.pandas_udf("string")
+    def make(d: pd.Series) -> pd.Series:
+        def one(h: str) -> str:
+            try:
+                return from_regex(pattern, [int(h[i : i + 2], 16) for i in range(0, 32, 2)])
+            except Exception:
+                return h[:24]
+
+        return d.map(one)
+
+    return make(digest(seed, row, path, *more))

@@ -256,6 +256,33 @@ def partial_fields(fields: list[str], seed: int | str, row: Column, most: int =
     return F.slice(F.transform(ranked, lambda x: x["f"]), 1, n)
 
 
+MODES = ("regenerate", "partial", "mixed", "increment")
+
+
+def mutation(gen: Generator, mode: str, row: Column, current: dict[str, Column] | None = None, stamp: Column | None = None) -> Column:
+    """map of field to new value (JSON text) of an update: all fields made anew, 1 to 3 of them, either by a coin flip, or, for `increment`, numbers plus
+    one; any other mode sets updatedAt. The key is never set."""
+    seed = S.seed_of(gen.seed)
+    fields = {k: p for k, p in gen.schema.get("properties", {}).items() if k != "_id"}
+    js = lambda c: F.to_json(F.struct(c.alias("v")))
+    made = {k: js(gen._value(p, k, row)) for k, p in fields.items()}
+    full = F.map_from_arrays(F.array(*[F.lit(k) for k in made]), F.array(*made.values()))
+    chosen = partial_fields(list(made), seed, row)
+    some = F.map_filter(full, lambda k, _: F.array_contains(chosen, k))
+    if mode == "regenerate":
+        return full
+    if mode == "partial":
+        return some
+    if mode == "mixed":
+        return F.when(S.uniform(seed, row, "#coin") < 0.5, full).otherwise(some)
+    if mode == "increment" and current:
+        numbers = [k for k, p in fields.items() if p.get("type") in ("integer", "number") and k in current]
+        if numbers:
+            return F.map_from_arrays(F.array(*[F.lit(k) for k in numbers]), F.array(*[js(current[k] + 1) for k in numbers]))
+    when = stamp if stamp is not None else F.lit(S.REFERENCE).cast("timestamp")
+    return F.create_map(F.lit("updatedAt"), js(F.date_format(when, ISO)))
+
+
 def apply_log(target: DataFrame, log: DataFrame, key: str, cols: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
     """target after all operations in order. log: key, seq, op and, for an insert, all columns; for an update those that change, the rest null.
 
@@ -265,7 +292,6 @@ def apply_log(target: DataFrame, log: DataFrame, key: str, cols: list[str], seq:
     tail = log.withColumn("__full", last_full).where(F.col("__full").isNull() | (F.col(seq) >= F.col("__full")))
     full_op = F.max_by(F.when(F.col(op) != "update", F.col(op)), F.when(F.col(op) != "update", F.col(seq)))
     folded = tail.groupBy(key).agg(full_op.alias("__op"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"__{c}") for c in cols])
-    j = target.join(folded, key, "full_outer")
     gone = F.coalesce(F.col("__op") == "delete", F.lit(False))
     exists = F.col("__there") | F.coalesce(F.col("__op") == "insert", F.lit(False))
     j = target.withColumn("__there", F.lit(True)).join(folded, key, "full_outer").withColumn("__there", F.coalesce("__there", F.lit(False)))

@@ -96,7 +96,7 @@ def frequencies(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64) -> DataFrame:
+def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64, quantiles: dict[str, float] | None = None) -> DataFrame:
     """by, min, max, median, p90, p95, p99, total, unique: discrete percentiles, the first value whose running count reaches total * q.
 
     Exact at any number of distinct values: values are cut into ranges at approximate quantiles, ranges are summed, and running counts are
@@ -109,15 +109,16 @@ def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str =
     span = Window.partitionBy(*key)
     part = part.withColumn("before", F.coalesce(F.sum("t").over(span.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("t").over(span)).drop("t")
     ranked = f.join(part, [*key, "bin"]).withColumn("upto", F.col("before") + F.sum(n).over(Window.partitionBy(*key, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    reach = [F.min(F.when(F.col("upto") >= F.col("total") * q, F.col(value))).cast("double").alias(name) for name, q in QUANTILES.items()]
+    reach = [F.min(F.when(F.col("upto") >= F.col("total") * q, F.col(value))).cast("double").alias(name) for name, q in (quantiles or QUANTILES).items()]
     out = ranked.groupBy(*key).agg(F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), *reach, F.max("total").cast("long").alias("total"), F.count("*").alias("unique"))
     return out if by else out.drop("__all")
 
 
 def percentile(freq: DataFrame, q: float, value: str = "value", n: str = "n") -> DataFrame:
+    """One row, `value`: the first value whose running count reaches total * q."""
     if not 0 <= q <= 1:
         raise ValueError(f"percentile must be in [0, 1]: {q}")
-    return freq.selectExpr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value}) AS value") if n is None else freq.select(F.expr(f"percentile({value}, {q}, {n})").alias("value"))
+    return distribution(freq, [], value, n, quantiles={"value": q}).select("value")
 
 
 def numeric_profile(rows: DataFrame, by: str = "path", num: str = "num", digits: int = 4) -> DataFrame:
@@ -332,6 +333,23 @@ def collapse(keys: DataFrame, config: KeyConfig | None = None, depth: int = 100)
     return rows.drop("level"), found
 
 
+def value_types(rows: DataFrame, path: str = "path", typ: str = "typ") -> DataFrame:
+    """path, typ, n, probability, dominant: how often each JSON type occurs among the values at a path."""
+    n = rows.groupBy(F.col(path).alias("path"), F.col(typ).alias("typ")).agg(F.count("*").alias("n"))
+    per = n.groupBy("path").agg(F.sum("n").alias("all"), F.max_by("typ", F.struct("n", "typ")).alias("top"))
+    return n.join(per, "path").select("path", "typ", "n", F.round(F.col("n") / F.col("all"), 6).alias("probability"), (F.col("typ") == F.col("top")).alias("dominant"))
+
+
+def value_schema(types: list[dict], facts: dict | None = None) -> dict:
+    """JSON Schema of the values at a dynamic path, from its value_types rows and numeric facts {min, max}; several types keep their probabilities."""
+    facts = facts or {}
+    one = lambda t: {"type": t} | ({"minimum": facts["min"], "maximum": facts["max"]} if t in ("integer", "number") and "min" in facts else {})
+    ranked = sorted(types, key=lambda r: (-r["n"], r["typ"]))
+    if len(ranked) == 1:
+        return one(ranked[0]["typ"])
+    return {"anyOf": [one(r["typ"]) for r in ranked], "x-type-probabilities": [r["probability"] for r in ranked]}
+
+
 def prune(stats: DataFrame, dynamic: DataFrame, path: str = "path") -> DataFrame:
     """stats without the rows nested under a dynamic path (a table as wide as the schema)."""
     d = dynamic.select(F.col("path").alias("__dynamic"))

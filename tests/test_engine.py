@@ -168,7 +168,7 @@ def test_generate(spark):
     a, b = g.generate(spark, 1000, 1), g.generate(spark, 1000, 7)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert D.conformance(a, SCHEMA, strict=True).first()["rate"] == 1.0
-    r = a.agg(F.count_if("status = 'A'").alias("a"), F.min(F.size("accounts")).alias("lo"), F.max(F.size("accounts")).alias("hi"), F.count_distinct("_id").alias("u")).first()
+    r = a.agg(F.count_if(F.col("status") == "A").alias("a"), F.min(F.size("accounts")).alias("lo"), F.max(F.size("accounts")).alias("hi"), F.count_distinct("_id").alias("u")).first()
     assert 430 < r["a"] < 570 and (r["lo"], r["hi"], r["u"]) == (3, 3, 1000)
     assert a.where(F.exists(F.map_keys("accounts"), lambda k: ~S.key_valid(k, "UUID"))).count() == 0
     own = S.Registry()
@@ -317,3 +317,24 @@ def test_types():
     assert D.array_bounds({"min": 1, "max": 9, "median": 3, "p90": 7, "p99": 8}, "percentileClamp", (60, 90)) == (3, 7)
     s = D.synthesize(T.StructType().add("a", T.LongType()).add("b", T.StringType()), {"b": {"presence": 0.5}, "a": {"presence": 1.0, "numeric": {"min": 1, "max": 2, "is_int": True}}})
     assert s["required"] == ["a"] and s["properties"]["a"]["maximum"] == 2 and s["additionalProperties"] is False
+
+
+def test_values_and_regex(spark):
+    rows = spark.createDataFrame([("p", "integer")] * 3 + [("p", "string")] * 2, "path string, typ string")
+    got = [r.asDict() for r in P.value_types(rows).orderBy("typ").collect()]
+    assert [(r["typ"], r["probability"], r["dominant"]) for r in got] == [("integer", 0.6, True), ("string", 0.4, False)]
+    assert P.value_schema(got, {"min": 1, "max": 3}) == {"anyOf": [{"type": "integer", "minimum": 1, "maximum": 3}, {"type": "string"}], "x-type-probabilities": [0.6, 0.4]}
+    assert P.percentile(spark.createDataFrame([(1.0, 80), (10.0, 20)], "value double, n long"), 0.95).first()[0] == 10.0
+    with pytest.raises(ValueError):
+        P.percentile(rows, 1.5)
+    rx = r"^(ab|cd)-[0-9]{3}x+[^a-y]?$"
+    k = spark.range(50).select(S.custom_keys(rx, 1, F.col("id"), "k").alias("k"))
+    assert k.where(~F.col("k").rlike(rx)).count() == 0
+
+
+def test_mutations(spark):
+    g = D.Generator({"properties": {"_id": {"type": "string"}, "n": {"type": "integer"}, "s": {"type": "string"}, "t": {"type": "string"}, "u": {"type": "boolean"}}})
+    df = spark.range(200).withColumn("n", F.lit(4))
+    m = {x: [r[0] for r in df.select(D.mutation(g, x, F.col("id"), {"n": F.col("n")})).collect()] for x in (*D.MODES, "other")}
+    assert all(set(r) == {"n", "s", "t", "u"} for r in m["regenerate"]) and {len(r) for r in m["partial"]} == {1, 2, 3}
+    assert {len(r) for r in m["mixed"]} == {1, 2, 3, 4} and m["increment"][0] == {"n": '{"v":5}'} and list(m["other"][0]) == ["updatedAt"]
