@@ -44,10 +44,11 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str
     chosen = F.broadcast(twice) if twice.count() <= small else twice
     met = d.select("id", "norm", hasher(F.col("norm")).alias("h")).join(chosen.select("h", "keep_id"), "h")
     # The kept row's text; should colliding rows share the kept id, any one of their texts serves, the others are told apart below.
-    first = met.where("id <=> keep_id").groupBy("h").agg(F.min("norm").alias("kept_norm"))
+    # Written out, one text a group, so that the join's skewed side can be split.
+    first = cut(met.where("id <=> keep_id").groupBy("h").agg(F.min("norm").alias("kept_norm")))
     other = met.join(first, "h").where("norm <> kept_norm").select("id", "h", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     other = cut(other)
-    named = keys.join(size, "h").select("id", "h", "sha", "keep_id", "n")
+    named = keys.join(chosen, "h", "left").select("id", "h", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n"))
     if not other.isEmpty():
         # Collisions: every text of such a hash by itself.
         bad = other.select("h").distinct()
