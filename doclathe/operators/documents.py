@@ -219,9 +219,8 @@ def weighted_pick(rows: DataFrame, freq: DataFrame, u: str = "u", value: str = "
     """rows with a value drawn from a frequency table: a range join on its running sums.
 
     A table of up to 4096 values is folded into one array and searched by position in the scan; a larger one is joined by range on a bin of u."""
-    total = F.sum(n).over(Window.partitionBy())
-    run = F.sum(n).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    shares = freq.select(F.col(value).alias("value"), ((run - F.col(n)) / total).alias("lo"), (run / total).alias("hi"))
+    ranked = P.running(freq.withColumn("__all", F.lit(1)), ["__all"], value, n)
+    shares = ranked.select(F.col(value).alias("value"), ((F.col("upto") - F.col(n)) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))
     if freq.count() <= 4096:
         arr = F.broadcast(shares.agg(F.sort_array(F.collect_list(F.struct("hi", "value"))).alias("__arr")))
         pick = F.element_at(F.filter("__arr", lambda x: F.col(u) < x["hi"]), 1)["value"]

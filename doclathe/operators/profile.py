@@ -96,19 +96,26 @@ def frequencies(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """by, min, max, median, p90, p95, p99, total, unique: discrete percentiles, the first value whose running count reaches total * q.
+def running(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64) -> DataFrame:
+    """freq with `upto`, the running count of `n` in the order of `value`, and `total`, per group.
+
+    Values are cut into ranges (numbers at approximate quantiles, text by its first two characters), ranges are summed, and running counts are taken
+    inside a range on top of the ranges before it: exact at any number of distinct values, and no group's values meet in one task."""
+    if isinstance(freq.schema[value].dataType, T.NumericType):
+        cuts = freq.groupBy(*by).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("cuts"))
+        f = freq.join(cuts, by).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    else:
+        f = freq.withColumn("bin", F.coalesce(F.substring(value, 1, 2), F.lit("")))
+    part = f.groupBy(*by, "bin").agg(F.sum(n).alias("t"))
+    span = Window.partitionBy(*by)
+    part = part.withColumn("before", F.coalesce(F.sum("t").over(span.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("t").over(span)).drop("t")
+    return f.join(part, [*by, "bin"]).withColumn("upto", F.col("before") + F.sum(n).over(Window.partitionBy(*by, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).drop("bin", "before")
+
 
-    Exact at any number of distinct values: values are cut into ranges at approximate quantiles, ranges are summed, and running counts are
-    taken inside a range on top of the sum of the ranges before it, so no path's values meet in one task."""
+def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """by, min, max, median, p90, p95, p99, total, unique: discrete percentiles, the first value whose running count reaches total * q."""
     key = by or ["__all"]
-    f = freq if by else freq.withColumn("__all", F.lit(1))
-    cuts = f.groupBy(*key).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("cuts"))
-    f = f.join(cuts, key).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    part = f.groupBy(*key, "bin").agg(F.sum(n).alias("t"))
-    span = Window.partitionBy(*key)
-    part = part.withColumn("before", F.coalesce(F.sum("t").over(span.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("t").over(span)).drop("t")
-    ranked = f.join(part, [*key, "bin"]).withColumn("upto", F.col("before") + F.sum(n).over(Window.partitionBy(*key, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running(freq if by else freq.withColumn("__all", F.lit(1)), key, value, n, bins)
     reach = [F.min(F.when(F.col("upto") >= F.col("total") * q, F.col(value))).cast("double").alias(name) for name, q in (quantiles or QUANTILES).items()]
     out = ranked.groupBy(*key).agg(F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), *reach, F.max("total").cast("long").alias("total"), F.count("*").alias("unique"))
     return out if by else out.drop("__all")
