@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import L, class_table
 from .runtime import ship
@@ -181,22 +182,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     return model
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns, lang_pred, score."""
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The `keep` columns, lang_pred, score; `names` renames the last two where columns kept have such names."""
     spark = df.sparkSession
     ship(spark)
     # DIM by languages, stored narrow: a size that doesn't depend on the rows.
     shared = spark.sparkContext.broadcast((model.langs, model.idf.astype(np.float32), model.w.astype(np.float32), model.temperature))
     keep = list(keep)
-    fields = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep] + ["lang_pred string", "score double"])
+    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*keep, *names])
 
-    return df.select(*[df[k] for k in keep], df[text].cast("string").alias("__text")).mapInArrow(run, fields)
+    return df.select(*[df[k] for k in keep], df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

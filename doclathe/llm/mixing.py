@@ -101,3 +101,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     rows = cut(df.select(df[id_col].alias("id"), df[source].alias("source"), words(df[text]).alias("n_tokens")))
     out = _with_copies(df, df[id_col], df[source], budgets(rows, seed, bin_rows, **target), seed, small).where("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[df[c] for c in df.columns])
+
+
+def schedule(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, **target) -> DataFrame:
+    """The block permutations themselves: id, source, pass, order, one row per use. A source's pass is all its documents in the order of `order`; the last pass is
+    the head of such a permutation. Readers sort by (pass, order) inside a source, or merge sources by order."""
+    p = plan(df, id_col, text, source, seed, **target).where("copies > 0")
+    each = p.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.select(id_col, "source", "pass", _order(F.col(id_col), F.col("pass"), seed).alias("order"))

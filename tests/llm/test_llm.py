@@ -136,6 +136,36 @@ def test_simhash_dense(spark):
     assert simhash.near_dedup(table(spark, [])).count() == 0
 
 
+def shingle_set(t, k=5):
+    w = (t or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
+def alike(a, b):
+    return bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_similar(spark, block):
+    rng = random.Random(21)
+    data = {i: words(rng.randint(1, 200), rng) for i in range(60)}
+    n = 100
+    for g in range(6):
+        base = words(rng.randint(80, 300), rng).split()
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = "zz" + str(rng.randint(0, 9))
+            data[n] = " ".join(w)
+            n += 1
+    data |= {900: None, 901: "", 902: "a b", 903: "A  b", 904: None}
+    sets = {i: shingle_set(t) for i, t in data.items()}
+    want = brute_components(list(data), lambda a, b: alike(sets[a], sets[b]))
+    got = {r["node"]: r["component"] for r in simhash.similar(table(spark, list(data.items())).repartition(3), block=block).collect()}
+    assert {i: got.get(i, i) for i in data} == want and len(set(want.values())) < len(want) - 20
+    assert simhash.similar(table(spark, [])).count() == 0
+
+
 def test_components(spark):
     e = [(5, 4), (4, 3), (9, 8), (8, 9), (1, 1), (7, 3), (20, 9), (None, 2)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
@@ -275,6 +305,13 @@ def test_mixing(spark, target):
         assert passes[s] * tok[s] - 0.01 <= used <= passes[s] * tok[s] + 30, "the budget is met to one document"
         assert {r["copies"] for r in own} <= {int(passes[s] + 1e-9), int(passes[s] + 1e-9) + 1} or abs(passes[s] - round(passes[s])) < 1e-3
         assert min(r["copies"] for r in own) >= 1, "every document stays"
+    uses = mixing.schedule(df, **target).collect()
+    for s in sizes:
+        last = max(r["pass"] for r in uses if r["source"] == s)
+        orders = {n: {r["doc_id"]: r["order"] for r in uses if r["source"] == s and r["pass"] == n} for n in range(last + 1)}
+        assert all(len(orders[n]) == len(sizes[s]) for n in range(last)), "passes before the last are whole"
+        cut = max(orders[last].values())
+        assert all(hashlib.md5(f"42:{last}:{r['doc_id']}".encode()).hexdigest() > cut for r in got.values() if r["source"] == s and r["doc_id"] not in orders[last])
     out = mixing.mix(df, **target)
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got.values())
 
@@ -431,6 +468,21 @@ def test_bpe_cache_bound(tik):
 # pipeline ---------------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_edges(spark, tik, tmp_path):
+    """Nothing, and nothing but rejected rows: no crash, no rows, the same columns; columns of clashing names survive."""
+    import corpus_pipeline as cp
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, copies int"
+    for rows_ in ([], [(1, None, None, None, None, None, None, None), (2, "", "en", None, 0, "x", "y", 1)]):
+        docs = spark.createDataFrame(rows_, names)
+        for _, f in cp.STAGES:
+            out = f(spark, docs, str(tmp_path))
+            assert out.count() == 0
+            if f is not cp.STAGES[-1][1]:
+                assert out.columns == docs.columns
+                docs = out
+
+
 def test_pipeline(spark, tik, tmp_path):
     import corpus_pipeline as cp
 
@@ -450,9 +502,9 @@ def test_pipeline(spark, tik, tmp_path):
         kept[name] = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     assert set(kept["language_id"]) == {x[0] for x in data} - {101, 102}
     assert set(kept["exact_dedup"]) == set(kept["language_id"]) - {100, 103}
-    fp = {i: brute_fp(dict((x[0], x[1]) for x in data)[i], 5) for i in kept["exact_dedup"]}
-    comp = brute_components(list(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
-    assert kept["simhash_near_dedup"] == sorted(i for i in fp if comp[i] == i)
+    sets = {x[0]: shingle_set(x[1]) for x in data}
+    comp = brute_components(kept["exact_dedup"], lambda a, b: alike(sets[a], sets[b]))
+    assert kept["simhash_near_dedup"] == sorted(i for i in comp if comp[i] == i) and 111 not in kept["simhash_near_dedup"]
     assert set(kept["mixing"]) == set(kept["simhash_near_dedup"]) and len(kept["mixing"]) > len(kept["simhash_near_dedup"])
     text = {x[0]: x[1] for x in data}
     assert all(r["ids"] == tik.encode_ordinary(text[r["doc_id"]]) for r in docs.collect())
