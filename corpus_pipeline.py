@@ -22,8 +22,8 @@ REPEAT = 1.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in a language learned from the labelled ones. The text decides; labels only train."""
     model = langid.train(docs.where(~langid.held_out(docs["doc_id"])))
-    scored = langid.predict(docs, model, keep=tuple(docs.columns))
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    scored = langid.predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays. Shingles of five words."""
-    found = cut(simhash.near_dedup(docs, shingle=5, radius=4))
-    lost = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
+    found = simhash.similar(docs, shingle=5, similarity=0.8)
+    lost = cut(found.where("node <> component").select(F.col("node").alias("__id")).distinct())
     return exact.without(docs, docs["doc_id"], lost)
 
 
