@@ -48,28 +48,33 @@ OPS = "seq long, shard int, op string, key string"
 STATE = "ids array<string>, dead array<string>"
 
 
+def _replay(cache: IdCache, shard: int, rows: pd.DataFrame, on_delete: str) -> pd.DataFrame:
+    """Choose the id of each operation in order; what finds no id to change becomes an insert."""
+    out = []
+    for r in rows.sort_values("seq").itertuples():
+        op, target = r.op, None
+        if op != "insert":
+            target = cache.pick(r.u)
+            if target is None:
+                op = "insert"
+        if op == "insert":
+            target = r.fresh
+            cache.add(target)
+        elif op == "delete":
+            if on_delete == "remove":
+                cache.remove(target)
+            elif on_delete == "tombstone":
+                cache.tombstone(target)
+        out.append((r.seq, shard, op, target))
+    return pd.DataFrame(out, columns=["seq", "shard", "op", "key"])
+
+
 def _advance(on_delete: str, cache_size: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = IdCache(cache_size, *(list(x) for x in state.get)) if state.exists else IdCache(cache_size)
-        rows = pd.concat(list(chunks)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
-            op, target = r.op, None
-            if op != "insert":
-                target = cache.pick(r.u)
-                if target is None:
-                    op = "insert"  # nothing to change yet
-            if op == "insert":
-                target = r.fresh
-                cache.add(target)
-            elif op == "delete":
-                if on_delete == "remove":
-                    cache.remove(target)
-                elif on_delete == "tombstone":
-                    cache.tombstone(target)
-            out.append((r.seq, key[0], op, target))
+        out = _replay(cache, key[0], pd.concat(list(chunks)), on_delete)
         state.update((list(cache.live), sorted(cache.dead)))
-        yield pd.DataFrame(out, columns=["seq", "shard", "op", "key"])
+        yield out
 
     return step
 
@@ -86,6 +91,26 @@ def change_stream(stream: DataFrame, ratios: dict[str, float], seed: int | str =
     return asked.groupBy("shard").applyInPandasWithState(_advance(on_delete, cache_size), OPS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def change_log(spark: SparkSession, total: int, ratios: dict[str, float], ids: DataFrame | None = None, gen: D.Generator | None = None, mode: str = "mixed", seed: int | str = 42, shards: int | None = None, on_delete: str = "remove", cache_size: int = 100_000, warm_up: int = 0) -> DataFrame:
+    """A bounded log of `total` operations: seq, shard, op, key and, with a generator, set (field to JSON text; all fields of an insert, by `mode` for an update).
+
+    ids (one column): keys that exist before. Operations and keys are dealt to shards of at most about 100 000 operations, each simulated in order."""
+    shards = shards or max(1, -(-total // 100_000))
+    asked = requests(spark.range(total).withColumnRenamed("id", "value"), ratios, seed, shards, warm_up=warm_up)
+
+    def simulate(key: tuple, ops: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        cache = IdCache(cache_size, sorted(known["key"].astype(str))[:cache_size])
+        return _replay(cache, int(key[0]), ops, on_delete)
+
+    known = (ids if ids is not None else spark.createDataFrame([], "key string")).toDF("key").where("key is not null").select(F.col("key").cast("string").alias("key"))
+    known = known.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key")
+    log = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(simulate, OPS)
+    if gen is None:
+        return log
+    new, changed = D.mutation(gen, "regenerate", F.col("seq")), D.mutation(gen, mode, F.col("seq"))
+    return log.withColumn("set", F.when(F.col("op") == "insert", new).when(F.col("op") == "update", changed))
+
+
 def rate_source(spark: SparkSession, per_second: int, partitions: int | None = None) -> DataFrame:
     r = spark.readStream.format("rate").option("rowsPerSecond", per_second)
     return (r.option("numPartitions", partitions) if partitions else r).load()

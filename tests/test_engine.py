@@ -338,3 +338,25 @@ def test_mutations(spark):
     m = {x: [r[0] for r in df.select(D.mutation(g, x, F.col("id"), {"n": F.col("n")})).collect()] for x in (*D.MODES, "other")}
     assert all(set(r) == {"n", "s", "t", "u"} for r in m["regenerate"]) and {len(r) for r in m["partial"]} == {1, 2, 3}
     assert {len(r) for r in m["mixed"]} == {1, 2, 3, 4} and m["increment"][0] == {"n": '{"v":5}'} and list(m["other"][0]) == ["updatedAt"]
+
+
+def test_change_log_batch(spark, tmp_path):
+    ids = spark.range(1000, 1050).select(F.col("id").cast("string"))
+    log = live.change_log(spark, 600, {"insert": 20.0, "update": 50.0, "delete": 30.0}, ids, D.Generator(SCHEMA), shards=3)
+    rows = sorted(log.collect(), key=lambda r: r["seq"])
+    assert [r["seq"] for r in rows] == list(range(600))
+    alive = {str(i) for i in range(1000, 1050)}
+    for r in rows:
+        if r["op"] == "insert":
+            alive.add(r["key"])
+            assert "name" in r["set"]
+        else:
+            assert r["key"] in alive
+            assert (r["set"] is None) == (r["op"] == "delete")
+            alive -= {r["key"]} if r["op"] == "delete" else set()
+    assert rows == sorted(live.change_log(spark, 600, {"insert": 20.0, "update": 50.0, "delete": 30.0}, ids.repartition(7), D.Generator(SCHEMA), shards=3).collect(), key=lambda r: r["seq"])
+    spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("s"), F.lit(1.5).alias("v")).write.parquet(str(tmp_path / "t"))
+    assert cli.main(["mutate", "--target", str(tmp_path / "t"), "--key", "k", "--output", str(tmp_path / "o"), "--ratios", "update:50,delete:50", "--count", "60"], spark) == 0
+    assert 0 < spark.read.parquet(str(tmp_path / "o")).count() < 100
+    R.save_schema(SCHEMA, str(tmp_path / "s.json"))
+    assert cli.main(["generate", "--schema", str(tmp_path / "s.json"), "--count", "50", "--output", str(tmp_path / "log"), "--cdc", "insert:50,update:50", "--manifest", str(tmp_path / "m.json")], spark) == 0
