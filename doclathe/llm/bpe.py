@@ -161,7 +161,7 @@ def piece_starts(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Codec:
     """Ranks, pair table and piece cache; one per worker process and vocabulary."""
 
-    CACHE = 400_000
+    CACHE = 200_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -350,7 +350,7 @@ OUTPUTS = {
 }
 
 
-def encode(df: DataFrame, rank_file: str, text: str = "text", keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = ("ids",), slice_bytes: int = 2 << 20) -> DataFrame:
+def encode(df: DataFrame, rank_file: str, text: str = "text", keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = ("ids",), slice_bytes: int = 1 << 20) -> DataFrame:
     """The `keep` columns and, of OUTPUTS: ids; ids_le, their little-endian bytes; ends, the byte offset at which
     each token's bytes end; decoded, the bytes that the ids decode to; n_tokens."""
     spark = df.sparkSession

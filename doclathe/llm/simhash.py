@@ -230,7 +230,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     Documents meet under each of `keys` min-wise hashes of their shingles (two at 0.8 miss each other under all six with a chance of 6 in 100 000). In a bucket
     fingerprints are compared bit-sliced; pairs beyond `radius` are left (at 0.8 the distance is 9.5 bits, 3 a standard deviation). What is
-    within it is verified on the sets, pairs already connected excepted, so a group of copies takes one verification a member. Texts without words have no near copies.
+    within it is verified on the sets (32 bits of each hash), pairs already connected excepted, so a group of copies takes one verification a member. Texts without words have no near copies.
     small: the wanted documents are broadcast to the texts up to so many ids, and joined beyond. Null ids are left out."""
     spark = df.sparkSession
     ship(spark)
@@ -272,10 +272,10 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.unique(np.concatenate([np.unique(h) for h in hashes(t.as_py(), shingle)])).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["node", "set"])
+            got = [np.unique(np.concatenate([np.unique(h.astype(np.uint32)) for h in hashes(t.as_py(), shingle)])).view(np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["node", "set"])
 
-    full = found.join(chosen.mapInArrow(sets, "node long, set array<long>"), "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
+    full = found.join(chosen.mapInArrow(sets, "node long, set array<int>"), "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, group):
