@@ -254,6 +254,25 @@ def test_passages(spark):
     assert passages.repeats(table(spark, [])).count() == 0
 
 
+def test_stretches():
+    """Every position that brute force finds in some stretch of 80 % hits, two blocks on one diagonal included."""
+    rng = random.Random(31)
+    blocks = [((200, 40, 150), 46), ((100, 20, 60), 46), ((300, 46, 180), 46), ((30, 10, 30), 46), ((60, 90, 60), 46), ((45,), 46), ((46,), 46), ((), 46)]
+    cases = [(np.concatenate([np.full(n, i % 2 == 0) for i, n in enumerate(b)] or [np.zeros(0, bool)]), run) for b, run in blocks]
+    cases += [(np.array([rng.random() < p for _ in range(90)]), run) for p in (0.3, 0.6, 0.75, 0.85) for run in (1, 8, 20) for _ in range(5)]
+    for hit, run in cases:
+        want, upto = np.zeros(len(hit), bool), np.concatenate(([0], np.cumsum(hit)))
+        for a in np.flatnonzero(hit):
+            for b in np.flatnonzero(hit) + 1:
+                if b - a >= run and 5 * (upto[b] - upto[a]) >= 4 * (b - a):
+                    want[a:b] = True
+        got = np.zeros(len(hit), bool)
+        for a, b in passages.stretches(hit, run):
+            assert b - a >= run and not got[a:b].any()
+            got[a:b] = True
+        assert (got == want).all(), (hit.astype(int), run)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 40, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # many ties
