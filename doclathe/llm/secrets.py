@@ -1,7 +1,8 @@
 """Secret scan with multipart credential linking.
 
 Strong spans are reported on their own: `assign`, `access` and `hex` (see BASE). Weak parts are not:
-an access identifier (`user = ...`, a short `AKIA` key), a secret (short or high-entropy values) or an endpoint
+an access identifier (`user = ...`, a short `AKIA` key), a secret (short values, any of `pwd` and `pass`, which `assign` doesn't know, or
+high-entropy ones) or an endpoint
 (a URL, `host = ...`). A weak part is reported only if both of the other two roles occur in its scope, a
 paragraph, within `reach` code points: an interval join of parts by role. Parts are kept sorted by position, so
 each join is a binary search in the neighbouring role; no pairs are emitted, and work stays n log n in the
@@ -32,7 +33,7 @@ BASE = ("assign", "access", "hex")
 # Weak parts, by role.
 WEAK = (
     ("weak_access", "access", re.compile(r"""(?:user(?:name)?|login|account|client_?id|key_?id|access_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|AKIA[A-Z0-9]{1,11}(?![A-Z0-9])""", re.I | re.A)),
-    ("weak_secret", "secret", re.compile(r"""(?i:password|passwd|pwd|pass|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,7})(?![A-Za-z0-9+/_.=-])|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,}={0,2}""", re.A)),
+    ("weak_secret", "secret", re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,7})(?![A-Za-z0-9+/_.=-])|(?i:pwd|pass)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})|(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{20,}={0,2}""", re.A)),
     ("weak_endpoint", "endpoint", re.compile(r"""[a-z][a-z0-9+.-]{1,11}://[^\s"'<>]+|(?:host|hostname|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]+\.[A-Za-z0-9.-]+(?::[0-9]+)?""", re.A | re.I)),
 )
 KINDS = (*BASE, *(k for k, _, _ in WEAK))

@@ -77,6 +77,15 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def test_secrets_pwd():
+    """pwd and pass, unknown to the base patterns, link with values of any length; alone they are no finding."""
+    for key in ("pwd", "PASS"):
+        for value in ("abcd", "abcdefgh", "Sup3rSecretPw", "lowercaseonly" * 2, "Aa1" * 13 + "x", "z" * 300):
+            t = f"user=admin;{key}={value};server=db.example.com"
+            assert [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.find(t)] == [("weak_access", "user=admin"), ("weak_secret", f"{key}={value}"), ("weak_endpoint", "server=db.example.com")]
+            assert secrets.find(f"{key}={value}") == []
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------------
 
 
