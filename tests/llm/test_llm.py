@@ -175,6 +175,18 @@ def test_similar(spark, block):
     assert simhash.similar(table(spark, [])).count() == 0
 
 
+def test_similar_repeated_passages(spark):
+    """Repeating passages leaves the shingle set (almost) as it is, so the copy must be found however often they recur."""
+    rng = random.Random(22)
+    data = {}
+    for g in range(12):
+        w = words(300, rng).split()
+        data[2 * g], data[2 * g + 1] = " ".join(w), " ".join(w + w[100:140] * 40)
+    assert all(alike(shingle_set(data[2 * g]), shingle_set(data[2 * g + 1])) for g in range(12))
+    got = {r["node"]: r["component"] for r in simhash.similar(table(spark, list(data.items()))).collect()}
+    assert got == {i: i - i % 2 for i in data}
+
+
 def test_components(spark):
     e = [(5, 4), (4, 3), (9, 8), (8, 9), (1, 1), (7, 3), (20, 9), (None, 2)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
