@@ -32,9 +32,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
-    found = simhash.similar(docs, shingle=5, similarity=0.8)
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return _near(docs, "doc_id")
+    # Null or repeated ids: rows are numbered in the order of their ids, null last, and told apart by number.
+    rows = cut(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")))
+    return _near(cut(rows.withColumn("__row", F.monotonically_increasing_id())), "__row").drop("__row")
+
+
+def _near(docs: DataFrame, key: str) -> DataFrame:
+    found = simhash.similar(docs, key, shingle=5, similarity=0.8)
     lost = cut(found.where("node <> component").select(F.col("node").alias("__id")).distinct())
-    return exact.without(docs, docs["doc_id"], lost)
+    return exact.without(docs, [docs[key]], lost)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ largest, with keep="max"). Only hashes, never texts, are grouped; partial aggreg
 Then the texts of hashes that occur twice or more are compared byte by byte with the kept row's text; rows that differ
 (collisions) are grouped again, by hash and whole text, so that no collision ever drops a document.
 
-Defined results: null is the empty text. Rows of equal text and equal id are all in the group and all but none are dropped by id alone:
+Defined results: null is the empty text. Rows of equal text and equal id are all in the group:
 `kept` is true for the row whose id is keep_id; where several rows share that id, the one that the hash of its other columns orders first
 isn't distinguishable, so all of them count as kept rows in the digest, while dedup() drops repeats of the same id and text. Null ids
 are never kept unless every row of the group has a null id. Empty tables give no rows; other columns pass dedup() unchanged.
@@ -59,15 +59,16 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", small: int = 2_000_000) -> DataFrame:
-    """The rows of df that stay, all columns; of rows equal in id and text, one."""
+    """The rows of df that stay, all columns; of rows equal in id and (normalised) text, one. Rows are told apart by id and text, so null and repeated ids lose no other text."""
     g = cut(groups(df, id_col, text, keep, small=small))
-    lost = cut(g.where("not kept").select(F.col(id_col).alias("__id")).distinct())
-    again = g.where("kept").groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    out = without(df, df[id_col], lost, small)
-    return out.dropDuplicates([id_col, text]) if again else out
+    lost = cut(g.where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    again = g.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
+    sha = F.sha2(normalised(df[text]).cast("binary"), 256)
+    out = without(df, [df[id_col], sha], lost, small)
+    return out.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha") if again else out
 
 
-def without(df: DataFrame, key: Column, lost: DataFrame, small: int = 2_000_000) -> DataFrame:
-    """df's rows whose key isn't in the one column of `lost`; up to `small` keys are broadcast, so that texts stay where they are, beyond that joined."""
-    (name,) = lost.columns
-    return df.join(F.broadcast(lost) if lost.count() <= small else lost, key.eqNullSafe(F.col(name)), "left_anti")
+def without(df: DataFrame, keys: list[Column], lost: DataFrame, small: int = 2_000_000) -> DataFrame:
+    """df's rows whose keys aren't in the columns of `lost`; up to `small` rows are broadcast, so that texts stay where they are, beyond that joined."""
+    same = [key.eqNullSafe(F.col(name)) for key, name in zip(keys, lost.columns, strict=True)]
+    return df.join(F.broadcast(lost) if lost.count() <= small else lost, same, "left_anti")

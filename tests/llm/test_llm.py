@@ -246,6 +246,22 @@ def test_exact(spark, docs, keep, weak):
     assert exact.groups(table(spark, [])).count() == 0
 
 
+def test_dedup_ids(spark, tmp_path):
+    """Null and repeated ids: only rows whose own text is a duplicate go, in both dedup stages."""
+    import corpus_pipeline as cp
+
+    data = [(None, "abc"), (None, "unique"), (None, "twice"), (None, "TWICE"), (1, "abc"), (7, "ABC"), (7, "xyz"), (7, "XYZ"), (3, "abc"), (8, None), (8, "")]
+    left = exact.dedup(table(spark, data).repartition(3)).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(None, "unique"), (None, "twice"), (1, "abc"), (7, "xyz"), (8, "")]))
+    rng = random.Random(5)
+    a, b, c, d = (words(100, rng) for _ in range(4))
+    near = [(None, a + " x"), (2, a), (2, b), (1, a + " y"), (None, c), (None, c + " z"), (None, d), (5, b + " w")]
+    left = cp.simhash_near_dedup(spark, table(spark, near).repartition(3), str(tmp_path))
+    assert left.columns == table(spark, []).columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert (1, a + " y") in got and (2, b) in got and (None, d) in got and len({(None, c), (None, c + " z")} & set(got)) == 1 and len(got) == 4
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------------
 
 
