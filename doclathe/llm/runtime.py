@@ -7,7 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -62,6 +65,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Whole groups of sorted rows, whatever batches they come in; small groups come together, until they are `least` rows. No more than
+    that, one batch and one group are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        whole = pa.Table.from_batches([*held, batch])
+        cols = [whole.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        lo = 0
+        if len(cuts) and (least <= 1 or int(cuts[-1]) >= least):
+            for hi in cuts.tolist() if least <= 1 else [int(cuts[-1])]:
+                yield whole.slice(lo, hi - lo)
+                lo = hi
+        held = whole.slice(lo).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
