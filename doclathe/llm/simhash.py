@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, ship
+from .runtime import cut, groups, ship
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -156,6 +156,27 @@ def forest(adj: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def tree(adj: np.ndarray, n: int) -> np.ndarray:
+    """Each node's parent in a spanning forest of a graph given as packed rows, -1 for roots; a parent is a neighbour."""
+    left = np.full(adj.shape[1], ALL)
+    up, done = np.full(n, -1), np.zeros(n, bool)
+    for root in range(n):
+        if done[root]:
+            continue
+        done[root] = True
+        left[root >> 6] &= ~np.uint64(1 << (root & 63))
+        front = [root]
+        while front:
+            at = front.pop()
+            got = adj[at] & left
+            if got.any():
+                left &= ~got
+                kids = np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little")[:n])
+                up[kids], done[kids] = at, True
+                front += kids.tolist()
+    return up
+
+
 def _deal(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     """rows (keys, node, ...) that share their keys with others, once for each pair of blocks (i, j) that their own block is in; a group of up to
     `block` rows is one block."""
@@ -166,20 +187,6 @@ def _deal(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     return met.select(*keys, *rest, "own", F.explode(pair).alias("p")).select(*keys, "p.i", "p.j", "own", *rest)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of sorted rows, whatever batches they come in; no more than one group is held."""
-    tail: list[pa.RecordBatch] = []
-    for batch in batches:
-        whole = pa.Table.from_batches([*tail, batch])
-        cols = [whole.column(c).to_numpy() for c in keys]
-        cuts = np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1)).tolist()
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield whole.slice(lo, hi - lo)
-        tail = whole.slice(cuts[-1]).to_batches()
-    if tail:
-        yield pa.Table.from_batches(tail)
-
-
 def _adjacent(f: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate([within(f[lo : lo + 512], f, radius) for lo in range(0, len(f), 512)])
 
@@ -212,7 +219,7 @@ def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int = 6) -
                 a, b = node[a], node[b]
                 yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
-        for g in _groups(batches, group):
+        for g in groups(batches, group):
             if held and total + len(g) > 1024:
                 yield from flush()
                 held, total = [], 0
@@ -224,14 +231,15 @@ def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int = 6) -
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 22, keys: int = 6, block: int = 2048, small: int = 500_000) -> DataFrame:
-    """(node, component) of the documents with a near copy: Jaccard similarity of their shingle sets of `similarity` or more, directly or in steps;
-    component is the smallest id.
+def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 25, keys: int = 9, block: int = 512, small: int = 500_000) -> DataFrame:
+    """(node, component) of the documents with a near copy: cosine similarity of their shingle sets, which is what SimHash estimates, of `similarity` or more
+    (for sets of one size 0.8 is a Jaccard similarity of 2/3), directly or in steps; component is the smallest id.
 
-    Documents meet under each of `keys` min-wise hashes of their shingles (two at 0.8 miss each other under all six with a chance of 6 in 100 000). In a bucket
-    fingerprints, here of distinct shingles, so that repeated passages don't move them, are compared bit-sliced; pairs beyond `radius` are left (at 0.8 the distance is 9.5 bits, 3 a standard deviation; 12 for 4 shingles
-    against 5, where 4 of 4000 simulated pairs were beyond it). What is
-    within it is verified on the sets (32 bits of each hash), pairs already connected excepted, so a group of copies takes one verification a member. Texts without words have no near copies.
+    At 0.8 fingerprints differ in 13.1 bits on average (3.2 a standard deviation), too many to find them by equal bands of bits: 181 bands of 20 bits would be needed to miss under 1 in 1000.
+    So documents meet under each of `keys` min-wise hashes of their shingles (sets of one size at 0.8 miss each other under all nine with a chance of 5 in 100 000). In a bucket
+    fingerprints, here of distinct shingles, so that repeated passages don't move them, are compared bit-sliced; pairs beyond `radius`, 3.7 deviations above the average, are left. What is
+    within it is verified on the sets (32 bits of each hash): first along a spanning tree of each bucket, so that a group of copies takes one verification and two sets a member,
+    then between those of a bucket that the verified links leave unconnected. Texts without words have no near copies.
     small: the wanted documents are broadcast to the texts up to so many ids, and joined beyond. Null ids are left out."""
     spark = df.sparkSession
     ship(spark)
@@ -260,15 +268,17 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     dealt = _deal(rows, ["t", "k"], block).repartition(*group).sortWithinPartitions(*group, "own")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a group that have another within the radius."""
-        for g in _groups(batches, group):
+        """Rows of a group that have another within the radius, each but one of those connected with one of these."""
+        for g in groups(batches, group):
             adj = _adjacent(g.column("fp").to_numpy().view(np.uint64), radius)
             some = np.flatnonzero(np.bitwise_count(adj).sum(axis=1) > 1)
             if len(some):
-                yield from g.take(pa.array(some)).combine_chunks().to_batches()
+                node, up = g.column("node").to_numpy(), tree(adj, len(g))[some]
+                out = g.take(pa.array(some)).append_column("up", pa.array(node[np.maximum(up, 0)], mask=up < 0))
+                yield from out.combine_chunks().to_batches()
 
     schema = "t int, k long, i int, j int, own int, node long, fp long"
-    found = cut(dealt.select("t", "k", "i", "j", "own", "node", "fp").mapInArrow(candidates, schema))
+    found = cut(dealt.select("t", "k", "i", "j", "own", "node", "fp").mapInArrow(candidates, schema + ", up long"))
     wanted = cut(found.select("node").distinct())
     chosen = docs.join(F.broadcast(wanted) if wanted.count() <= small else wanted, "node", "left_semi")
 
@@ -277,17 +287,48 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
             got = [np.unique(np.concatenate([np.unique(h.astype(np.uint32)) for h in hashes(t.as_py(), shingle)])).view(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["node", "set"])
 
-    full = found.join(chosen.mapInArrow(sets, "node long, set array<int>"), "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
+    full = cut(chosen.mapInArrow(sets, "node long, set array<int>"))
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < similarity**2 * max(len(x), len(y)):
+            return False
+        return len(np.intersect1d(x, y, assume_unique=True)) >= similarity * (len(x) * len(y)) ** 0.5 - 1e-9
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = found.where("up is not null").select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b")).distinct()
+    one, two = full.select(F.col("node").alias("a"), F.col("set").alias("x")), full.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    links = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    named = cut(components(links))
+    told = found.drop("up").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    again = told.repartition(*group).sortWithinPartitions(*group, "own", "node")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group that have another within the radius that they aren't connected with."""
+        for g in groups(batches, group):
+            comp = g.column("component").to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            adj = np.unpackbits(_adjacent(g.column("fp").to_numpy().view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, : len(g)]
+            some = np.flatnonzero((adj & (comp[:, None] != comp[None, :])).any(axis=1))
+            if len(some):
+                yield from g.take(pa.array(some)).combine_chunks().to_batches()
+
+    columns = [*group, "own", "node", "fp", "component"]
+    left = cut(again.select(*columns).mapInArrow(apart, schema + ", component long"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, group):
+        for g in groups(batches, group):
             node, n, own = g.column("node").to_numpy(), len(g), g.column("own").to_numpy()
             adj = np.unpackbits(_adjacent(g.column("fp").to_numpy().view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, :n]
             if g.column("i")[0].as_py() != g.column("j")[0].as_py():
                 adj = adj & (own[:, None] != own[None, :])
             each = [x for c in g.column("set").chunks for x in c]
             held: dict[int, np.ndarray] = {}
-            comp, a, b = np.unique(node, return_inverse=True)[1], [], []
+            comp, a, b = g.column("component").to_numpy().copy(), [], []
 
             def value(i: int, each=each, held=held) -> np.ndarray:
                 if i not in held:
@@ -295,20 +336,19 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
                 return held[i]
 
             for r in range(n):
-                left = np.flatnonzero(adj[r, r + 1 :]) + r + 1
-                while len(left := left[comp[left] != comp[r]]):
-                    x, y = value(r), value(int(left[0]))
-                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        if common >= similarity * (len(x) + len(y) - common):
-                            a.append(node[r])
-                            b.append(node[left[0]])
-                            comp[comp == comp[left[0]]] = comp[r]
-                    left = left[1:]
+                rest = np.flatnonzero(adj[r, r + 1 :]) + r + 1
+                while len(rest := rest[comp[rest] != comp[r]]):
+                    if alike(value(r), value(int(rest[0]))):
+                        a.append(node[r])
+                        b.append(node[rest[0]])
+                        comp[comp == comp[rest[0]]] = comp[r]
+                    rest = rest[1:]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
 
-    return components(full.select(*group, "own", "node", "fp", "set").mapInArrow(verify, "a long, b long"))
+    more = left.join(full, "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
+    more = cut(more.select(*columns, "set").mapInArrow(verify, "a long, b long"))
+    return named if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block: int = 2048, bands: int = 6) -> DataFrame:
