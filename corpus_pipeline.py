@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (cosine similarity of five-word shingles of 0.8 or more) the document with the smallest id stays."""
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         return _near(docs, "doc_id")
     # Null or repeated ids: rows are numbered in the order of their ids, null last, and told apart by number.
