@@ -1,7 +1,11 @@
 """HTML to text by layout: a tree builder with implied tags, visibility rules, and a renderer that keeps block spacing, lists and aligned table cells.
 
-The tokenizer and builder are linear in the page; nesting beyond MAX_DEPTH continues at that depth (text is kept), so no page exhausts the stack.
-Table cells are padded to their column up to PAD columns wide, so that one huge cell doesn't inflate every row.
+The tokenizer and builder are linear in the page; nesting beyond MAX_DEPTH continues at that depth, as in browsers (text is kept), so no page exhausts the stack.
+Every table cell begins at its column. Columns are as wide as their widest line up to PAD characters; where a line of a cell is longer, the cells to its right begin
+below it, so that one huge cell neither inflates every row nor pushes others out of their columns. Only columns that would begin beyond WIDE characters follow there, parted by two spaces.
+
+Visibility: display:none and the hidden attribute end a subtree; visibility:hidden is inherited until a descendant is visible again. Labels in svg, the content of objects and
+the values of buttons and text fields are visible text.
 
 Defined results: null and empty pages give the empty text. Malformed markup never fails: what can't be a tag is text, open elements end with the page.
 Only id and html columns are read. Repeated rows give repeated rows.
@@ -9,8 +13,11 @@ Only id and html columns are read. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +25,16 @@ from pyspark.sql import DataFrame
 
 from .runtime import ship
 
-MAX_DEPTH = 150
+MAX_DEPTH = 512
 PAD = 48
+WIDE = 1000
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg audio video canvas datalist title meta link".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas datalist title meta link desc defs symbol metadata clippath mask".split())
+SHOWN_VALUES = frozenset("submit button reset text search email url tel number date".split())  # input types whose value is seen
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot caption td th option optgroup search".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
@@ -48,15 +57,16 @@ SCOPE = frozenset("table td th caption template html".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "off")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.off = tag, attrs, [], False
 
     def attr(self, name: str) -> str | None:
         """None if absent; the first of a name counts."""
@@ -121,9 +131,10 @@ def build(page: str) -> Node:
     stack = [root]
 
     def push(name: str, attrs: str = "") -> None:
-        if len(stack) >= MAX_DEPTH and name not in VOID:
-            stack.pop()
         node = Node(name, attrs)
+        if len(stack) >= MAX_DEPTH and name not in VOID:
+            last = stack.pop()
+            node.off = last.off or hidden(last)
         stack[-1].kids.append(node)
         if name not in VOID:
             stack.append(node)
@@ -181,7 +192,7 @@ def build(page: str) -> Node:
 
 
 def hidden(n: Node) -> bool:
-    if n.tag in HIDDEN:
+    if n.off or n.tag in HIDDEN:
         return True
     if not n.attrs:
         return n.tag == "dialog"
@@ -191,6 +202,12 @@ def hidden(n: Node) -> bool:
     return bool(style and _NONE.search(style))
 
 
+def seen(n: Node, above: bool) -> bool:
+    """Whether text of an element is visible, by its last visibility rule or the element's above it."""
+    rules = _SEEN.findall(n.attr("style") or "") if n.attrs else ()
+    return rules[-1].lower() == "visible" if rules else above
+
+
 class Page:
     """Lines of text with pending blank lines; inline text gathers until a block begins or ends."""
 
@@ -227,66 +244,86 @@ class Page:
             self.line(x)
 
 
-def render(n: Node, out: Page, pre: bool = False) -> None:
+def render(n: Node, out: Page, pre: bool = False, see: bool = True, drawn: bool = False) -> None:
+    """see: text of n itself is visible; drawn: n is inside an svg, where only text elements show text."""
     for k in n.kids:
         if isinstance(k, str):
-            out.text(k, pre)
-        elif hidden(k):
+            if see and not drawn:
+                out.text(k, pre)
+            continue
+        if hidden(k):
             continue
-        elif k.tag == "br":
+        eye = seen(k, see)
+        if k.tag == "br":
             out.flush(pre)
+        elif k.tag == "input":
+            value = k.attr("value") if eye and (k.attr("type") or "text").strip().lower() in SHOWN_VALUES else None
+            if value:
+                out.text(f" {value} ", pre)
+        elif k.tag == "svg" or drawn:
+            if k.tag == "text":
+                out.flush(pre)
+            render(k, out, pre, eye, k.tag not in ("text", "tspan", "textpath", "a", "foreignobject") or (drawn and k.tag == "a"))
+            if k.tag == "text":
+                out.flush(pre)
         elif k.tag == "table":
             out.flush(pre)
             out.gap = True
-            out.block(table(k))
+            out.block(table(k, eye))
             out.gap = True
         elif k.tag in ("ul", "ol", "menu"):
             out.flush(pre)
             nested = n.tag == "li"
             out.gap = out.gap or not nested
-            out.block(items(k))
+            out.block(items(k, eye))
             out.gap = out.gap or not nested
         elif k.tag in BLOCKS:
             out.flush(pre)
             out.gap = out.gap or k.tag in PARAGRAPHS
             if k.tag in ("blockquote", "dd"):
-                sub = Page()
-                render(k, sub, pre)
-                sub.flush(pre)
-                out.block(["  " + x if x else x for x in sub.lines])
+                out.block(["  " + x if x else x for x in boxed(k, pre, eye)])
             else:
-                render(k, out, pre or k.tag == "pre")
+                render(k, out, pre or k.tag == "pre", eye)
                 out.flush(pre or k.tag == "pre")
             out.gap = out.gap or k.tag in PARAGRAPHS
         else:
-            render(k, out, pre or k.tag in ("textarea", "xmp"))
+            render(k, out, pre or k.tag in ("textarea", "xmp"), eye)
 
 
-def items(n: Node) -> list[str]:
+def boxed(n: Node, pre: bool = False, see: bool = True) -> list[str]:
+    """The lines of an element by itself."""
+    sub = Page()
+    render(n, sub, pre, see)
+    sub.flush(pre)
+    return sub.lines
+
+
+def alone(kid: Node | str, see: bool) -> list[str]:
+    holder = Node("div")
+    holder.kids = [kid]
+    return boxed(holder, see=see)
+
+
+def items(n: Node, see: bool) -> list[str]:
     lines: list[str] = []
     start = n.attr("start") if n.tag == "ol" else None
     number = int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1
     for k in n.kids:
         if isinstance(k, str) and not k.strip() or isinstance(k, Node) and hidden(k):
             continue
-        sub = Page()
         if isinstance(k, Node) and k.tag == "li":
             mark = f"{number}. " if n.tag == "ol" else "- "
             number += 1
-            render(k, sub)
+            own = boxed(k, see=seen(k, see))
         elif isinstance(k, Node) and k.tag in ("ul", "ol", "menu"):
             mark = "  "
-            sub.block(items(k))
+            own = items(k, seen(k, see))
         else:
-            mark = ""
-            holder = Node("div")
-            holder.kids = [k]
-            render(holder, sub)
-        sub.flush()
-        if sub.lines:
+            mark, own = "", alone(k, see)
+        if own:
             pad = " " * len(mark)
-            lines.append(mark + sub.lines[0])
-            lines += [pad + x if x else x for x in sub.lines[1:]]
+            lines.append(mark + own[0])
+            lines += [pad + x if x else x for x in own[1:]]
     return lines
 
 
@@ -295,82 +332,115 @@ def span(cell: Node, name: str, most: int) -> int:
     return min(max(int(v), 1), most) if v and v.strip().isdigit() and len(v.strip()) < 9 else 1
 
 
-def table(n: Node) -> list[str]:
-    """Rows of cells on a grid (spans take up their places), each column as wide as its widest cell up to PAD."""
-    above: list[str] = []
-    rows: list[tuple[list[tuple[int, list[str]]], bool]] = []
-    taken: dict[int, int] = {}  # column: rows below that a span still covers
+class Grid:
+    """Columns that cells of rows above still cover: disjoint ranges in order, and when each cell ends."""
 
-    def cells(kids: list) -> None:
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.due: list[tuple[int, int, int]] = []  # (row it ends before, start, end)
+
+    def begin(self, row: int) -> None:
+        while self.due and self.due[0][0] <= row:
+            _, s, e = heapq.heappop(self.due)
+            i = bisect.bisect_right(self.starts, s) - 1
+            a, z = self.starts[i], self.ends[i]
+            self.starts[i : i + 1] = [x for x, y in ((a, s), (e, z)) if x < y]
+            self.ends[i : i + 1] = [y for x, y in ((a, s), (e, z)) if x < y]
+
+    def free(self, at: int) -> int:
+        """The first column from `at` on that is free."""
+        while (i := bisect.bisect_right(self.starts, at) - 1) >= 0 and self.ends[i] > at:
+            at = self.ends[i]
+        return at
+
+    def cover(self, at: int, wide: int, until: int) -> None:
+        """From the free column `at` on, up to the next covered one."""
+        i = bisect.bisect_right(self.starts, at)
+        end = min(at + wide, self.starts[i]) if i < len(self.starts) else at + wide
+        heapq.heappush(self.due, (until, at, end))
+        if i and self.ends[i - 1] == at:  # one range with the one before, and the one behind
+            at = self.starts[i - 1]
+            i -= 1
+            del self.starts[i], self.ends[i]
+        if i < len(self.starts) and self.starts[i] == end:
+            end = self.ends[i]
+            del self.starts[i], self.ends[i]
+        self.starts.insert(i, at)
+        self.ends.insert(i, end)
+
+
+def table(n: Node, see: bool) -> list[str]:
+    """Rows of cells on a grid (spans take up their places)."""
+    out: list[str] = []
+    rows: list[list[tuple[int, list[str]]]] = []
+    grid, number = Grid(), 0
+
+    def cells(kids: list, see: bool) -> None:
+        nonlocal number
+        grid.begin(number)
         at, line = 0, []
         for c in kids:
             if isinstance(c, str):
-                if c.strip():
-                    above.append(_SPACE.sub(" ", c).strip())
+                if c.strip() and see:
+                    out.append(_SPACE.sub(" ", c).strip())
                 continue
             if hidden(c):
                 continue
-            while taken.get(at, 0) > 0:
-                at += 1
-            sub = Page()
-            render(c, sub)
-            sub.flush()
-            line.append((at, sub.lines))
+            at = grid.free(at)
+            line.append((at, boxed(c, see=seen(c, see))))
             wide, tall = span(c, "colspan", 1000), span(c, "rowspan", 65534)
             if tall > 1:
-                for x in range(at, at + wide):
-                    taken[x] = tall
+                grid.cover(at, wide, number + tall)
             at += wide
-        for x in list(taken):
-            taken[x] -= 1
-            if taken[x] <= 0:
-                del taken[x]
+        number += 1
         if any(x for _, x in line):
-            rows.append((line, True))
+            rows.append(line)
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, see: bool) -> None:
         loose: list = []
         for k in node.kids:
             if isinstance(k, str):
-                if k.strip():
-                    above.append(_SPACE.sub(" ", k).strip())
+                if k.strip() and see:
+                    out.append(_SPACE.sub(" ", k).strip())
             elif hidden(k):
                 continue
             elif k.tag in ("thead", "tbody", "tfoot"):
-                walk(k)
+                walk(k, seen(k, see))
             elif k.tag == "tr":
-                cells(k.kids)
+                cells(k.kids, seen(k, see))
             elif k.tag in ("td", "th"):
                 loose.append(k)
             elif k.tag not in ("colgroup", "col"):
-                sub = Page()
-                holder = Node("div")
-                holder.kids = [k]
-                render(holder, sub)
-                sub.flush()
-                above.extend(sub.lines)
+                out.extend(alone(k, see))
         if loose:
-            cells(loose)
+            cells(loose, see)
 
-    walk(n)
+    walk(n, see)
     width: dict[int, int] = {}
-    for line, _ in rows:
+    for line in rows:
         for at, text in line:
             width[at] = max(width.get(at, 0), min(PAD, max(map(len, text), default=0)))
-    cols = sorted(width)
     begin, x = {}, 0
-    for c in cols:
+    for c in sorted(width):
         begin[c] = x
         x += width[c] + (2 if width[c] else 0)
-    out = above
-    for line, _ in rows:
-        for i in range(max(len(text) for _, text in line)):
-            s = ""
-            for at, text in line:
-                if i < len(text) and text[i]:
-                    s = s.ljust(begin[at]) if len(s) < begin[at] or not s else s + "  "
-                    s += text[i]
-            out.append(s.rstrip())
+    for line in rows:
+        made: list[str] = []
+        top = 0  # where cells begin: below lines that reach into the columns to their right
+        for i, (at, text) in enumerate(line):
+            made += [""] * (top + len(text) - len(made))
+            col = begin[at]
+            for j, s in enumerate(text):
+                if s:
+                    have = made[top + j]
+                    made[top + j] = (have.ljust(min(col, WIDE)) if col <= WIDE or not have else have + "  ") + s
+            if col < WIDE and i + 1 < len(line):
+                reach = begin[line[i + 1][0]] - 2
+                over = [j for j, s in enumerate(text) if s and col + len(s) > reach]
+                if over and any(x for _, x in line[i + 1 :]):
+                    top += over[-1] + 1
+        out += [x.rstrip() for x in made]
     return out
 
 
@@ -389,6 +459,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataF
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * MAX_DEPTH + 1000))  # a table in a cell is four calls
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_text(x.as_py()) for x in b.column(1)], pa.string())], names=[id_col, "text"])
 
