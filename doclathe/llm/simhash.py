@@ -231,11 +231,11 @@ def near(nodes: DataFrame, radius: int = 4, block: int = 2048, bands: int = 6) -
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 25, keys: int = 9, block: int = 512, small: int = 500_000) -> DataFrame:
-    """(node, component) of the documents with a near copy: cosine similarity of their shingle sets, which is what SimHash estimates, of `similarity` or more
-    (for sets of one size 0.8 is a Jaccard similarity of 2/3), directly or in steps; component is the smallest id.
+def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, measure: str = "jaccard", radius: int = 25, keys: int = 9, block: int = 512, small: int = 500_000) -> DataFrame:
+    """(node, component) of the documents with a near copy: similarity of their shingle sets of `similarity` or more, directly or in steps; component is the smallest id.
+    measure: jaccard, or cosine, which is what SimHash estimates (for sets of one size a cosine of 0.8 is a Jaccard similarity of 2/3).
 
-    At 0.8 fingerprints differ in 13.1 bits on average (3.2 a standard deviation), too many to find them by equal bands of bits: 181 bands of 20 bits would be needed to miss under 1 in 1000.
+    At a cosine of 0.8 fingerprints differ in 13.1 bits on average (3.2 a standard deviation), too many to find them by equal bands of bits: 181 bands of 20 bits would be needed to miss under 1 in 1000.
     So documents meet under each of `keys` min-wise hashes of their shingles (sets of one size at 0.8 miss each other under all nine with a chance of 5 in 100 000). In a bucket
     fingerprints, here of distinct shingles, so that repeated passages don't move them, are compared bit-sliced; pairs beyond `radius`, 3.7 deviations above the average, are left. What is
     within it is verified on the sets (32 bits of each hash): first along a spanning tree of each bucket, so that a group of copies takes one verification and two sets a member,
@@ -290,9 +290,10 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     full = cut(chosen.mapInArrow(sets, "node long, set array<int>"))
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
-        if min(len(x), len(y)) < similarity**2 * max(len(x), len(y)):
+        if min(len(x), len(y)) < (similarity**2 if measure == "cosine" else similarity) * max(len(x), len(y)):
             return False
-        return len(np.intersect1d(x, y, assume_unique=True)) >= similarity * (len(x) * len(y)) ** 0.5 - 1e-9
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= similarity * ((len(x) * len(y)) ** 0.5 - 1e-9 if measure == "cosine" else len(x) + len(y) - common)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,7 +1,8 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Equal vectors of a label become one node with a weight. Each tree splits space by random directions at medians of a bounded sample (`sample_rows`, the only
-sample; every row is indexed); rows within a margin of a split go down both sides. Pairs are compared inside leaves, in double precision, within equal labels only. A leaf with more than `block` nodes
+Equal vectors of a label become one node with a weight. Each tree splits space by random directions at medians of a bounded sample (`sample_rows`
+for the first levels, then as many of each leaf that is still large, fitted where the leaf is; every row is indexed), until leaves are near `leaf` rows at any size of the table; rows
+within a margin of a split go down both sides. A node that a split would hardly divide, since most rows are within the margin, stays whole. Pairs are compared inside leaves, in double precision, within equal labels only. A leaf with more than `block` nodes
 is cut into blocks whose pairs are compared apart, so that no task holds a whole hot leaf and none is left out. A pair that shares several leaves
 counts in the first only, told from the leaf codes that travel with each row; so links are counted where they are found and never expanded into a
 table of pairs. Components come from a spanning forest of each block.
@@ -24,31 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, ship
+from .runtime import cut, groups, ship
 from .simhash import forest as spanning
 
 
-def fit(sample: np.ndarray, depth: int, trees: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree the directions and thresholds of its inner nodes, in heap order."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(trees):
-        dirs = rng.standard_normal(((1 << depth) - 1, sample.shape[1]))
-        dirs /= np.linalg.norm(dirs, axis=1, keepdims=True)
-        cuts = np.zeros(len(dirs))
-        at = np.zeros(len(sample), np.int64)
-        for node in range(len(dirs)):
-            own = at == node
-            proj = sample[own] @ dirs[node]
-            cuts[node] = np.median(proj) if len(proj) else 0.0
-            at[np.flatnonzero(own)] = 2 * node + 1 + (proj >= cuts[node])
-        out.append((dirs, cuts))
-    return out
-
-
-def leaves(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of unit vectors; near a split a row goes both ways."""
-    dirs, cuts = tree
+def directions(seed: int, tree: int, root: int, depth: int, dim: int) -> np.ndarray:
+    """Random unit vectors of the inner nodes below a tree's node `root`, in heap order: known from their place alone."""
+    dirs = np.random.default_rng([seed, tree, root]).standard_normal(((1 << depth) - 1, dim))
+    return dirs / np.linalg.norm(dirs, axis=1, keepdims=True)
+
+
+def fit(sample: np.ndarray, dirs: np.ndarray, margin: float) -> np.ndarray:
+    """Thresholds of inner nodes in heap order: medians of the sample; infinite where a split would send most rows both ways."""
+    cuts = np.full(len(dirs), np.inf)
+    at = np.zeros(len(sample), np.int64)
+    for node in range(len(dirs)):
+        own = np.flatnonzero(at == node)
+        proj = sample[own] @ dirs[node]
+        if len(proj) > 1:
+            middle = np.median(proj)
+            if np.mean(np.abs(proj - middle) < margin) <= 0.5:
+                cuts[node] = middle
+        at[own] = 2 * node + 1 + (proj >= cuts[node])
+    return cuts
+
+
+def leaves(v: np.ndarray, dirs: np.ndarray, cuts: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place of its leaf from the left) of unit vectors; near a split a row goes both ways."""
+    depth = (len(dirs) + 1).bit_length() - 1
     row, at = np.arange(len(v)), np.zeros(len(v), np.int64)
     for _ in range(depth):
         gap = np.einsum("ij,ij->i", v[row], dirs[at]) - cuts[at]
@@ -57,6 +61,54 @@ def leaves(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, margi
     return row, at - ((1 << depth) - 1)
 
 
+def units(vec: pa.Array, dim: int) -> np.ndarray:
+    v = np.array(vec.flatten().to_numpy()).reshape(-1, dim)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+#: A leaf's code is its tree's number above its path, a 1 followed by its turns.
+PATH = 50
+
+
+def deepen(coded: DataFrame, step: int, dim: int, leaf: int, sample_rows: int, margin: float, seed: int) -> DataFrame | None:
+    """coded (label, dim, node, m, vec, codes) with its large leaves split by up to `step` more levels, or None if there are no large ones.
+
+    Each large leaf is fitted on about sample_rows of its rows in the task that they are dealt to; rows meet their leaf's thresholds by a join."""
+    spread = coded.where(F.col("dim") == dim).select("node", "label", "vec", F.explode("codes").alias("code"))
+    large = cut(spread.groupBy("code", "label").count().groupBy("code").agg(F.max("count").alias("most"), F.sum("count").alias("n")).where(F.col("most") > 2 * leaf).drop("most"))
+    if large.isEmpty():
+        return None
+    chance = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n")) * (1 << 30)
+    chosen = spread.join(large, "code").where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < chance).select("code", "vec").repartition("code").sortWithinPartitions("code")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["code"]):
+            code = g.column("code")[0].as_py()
+            depth = min(step, max(1, int(log2(max(2, len(g) / 32)))))
+            cuts = fit(units(g.column("vec").combine_chunks(), dim), directions(seed, code >> PATH, code & ((1 << PATH) - 1), depth, dim), margin)
+            yield pa.RecordBatch.from_arrays([pa.array([code]), pa.array([cuts.tolist()], pa.list_(pa.float64()))], names=["code", "cuts"])
+
+    cuts = cut(chosen.mapInArrow(train, "code long, cuts array<double>"))
+    dealt = spread.select("node", "code", "vec").join(cuts, "code", "left").sortWithinPartitions("code")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, known = b.column("code").to_numpy(), b.column("cuts").is_valid().to_numpy(zero_copy_only=False)
+            node = b.column("node").to_numpy()
+            out = [(node[~known], code[~known])]
+            for c in np.unique(code[known]).tolist():
+                own = np.flatnonzero(code == c)
+                t = np.asarray(b.column("cuts")[int(own[0])].values)
+                row, lf = leaves(units(b.column("vec").take(pa.array(own)), dim), directions(seed, c >> PATH, c & ((1 << PATH) - 1), (len(t) + 1).bit_length() - 1, dim), t, margin)
+                path = (c & ((1 << PATH) - 1)) << ((len(t) + 1).bit_length() - 1)
+                out.append((node[own[row]], (c >> PATH << PATH) | path + lf))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["node", "code"])
+
+    again = dealt.mapInArrow(split, "node long, code long").groupBy("node").agg(F.array_sort(F.collect_set("code")).alias("new"))
+    return coded.join(again, "node", "left").select("label", "dim", "node", "m", "vec", F.coalesce("new", "codes").alias("codes"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, trees: int = 4, leaf: int = 512, block: int = 1024, sample_rows: int = 20_000, seed: int = 42, small: int = 1_000_000) -> DataFrame:
     """id, n_links, component_id, kept. small: leaf counts up to so many rows are broadcast, beyond it joined."""
     spark = df.sparkSession
@@ -75,35 +127,40 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     got = nodes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < rate * (1 << 30))).select("node", F.col("vec").cast("array<float>").alias("vec")).orderBy("node").toArrow()
     sample = np.array(got["vec"].to_pylist(), np.float64).reshape(-1, dim)
     sample = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
-    depth = max(0, min(ceil(log2(max(1, biggest[0] / leaf))), int(log2(max(1, len(sample) / 32)))))
-    planted = spark.sparkContext.broadcast(fit(sample, depth, trees, seed))  # size set by sample_rows, not by the table
     margin = 0.7 * (2 - 2 * threshold) ** 0.5 / dim**0.5
+    want = ceil(log2(max(1, biggest[0] / leaf)))
+    depth = max(0, min(want, int(log2(max(1, len(sample) / 32)))))
+    first = [fit(sample, directions(seed, k, 1, depth, dim), margin) for k in range(trees)]
+    planted = spark.sparkContext.broadcast(first)  # size set by sample_rows, not by the table
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dirs = [directions(seed, k, 1, depth, dim) for k in range(trees)]
         for b in batches:
             n = len(b)
             if not n:
                 continue
             dims = b.column("dim").to_numpy()
-            codes: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
-            usual = np.flatnonzero(dims == dim)
-            other = np.flatnonzero(dims != dim)
+            usual, other = np.flatnonzero(dims == dim), np.flatnonzero(dims != dim)
             at, code = [other], [np.full(len(other), -1)]
             if len(usual):
-                v = np.array(b.column("vec").take(pa.array(usual)).flatten().to_numpy()).reshape(-1, dim)
-                v = v / np.linalg.norm(v / (s := np.abs(v).max(axis=1, keepdims=True)), axis=1, keepdims=True) / s
-                for k, tree in enumerate(planted.value):
-                    r, lf = leaves(v, tree, depth, margin)
+                v = units(b.column("vec").take(pa.array(usual)), dim)
+                for k, cuts in enumerate(planted.value):
+                    r, lf = leaves(v, dirs[k], cuts, margin)
                     at.append(usual[r])
-                    code.append(k << 24 | lf)
+                    code.append(k << PATH | 1 << depth | lf)
             at_, code_ = np.concatenate(at), np.concatenate(code)
             order = np.lexsort((code_, at_))
-            at_, code_ = at_[order], code_[order].astype(np.int32)
+            at_, code_ = at_[order], code_[order]
             ends = np.searchsorted(at_, np.arange(n + 1))
             codes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code_))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("label", "dim", "node", "m", "vec")] + [codes], names=["label", "dim", "node", "m", "vec", "codes"])
 
-    coded = cut(nodes.select("label", "dim", "node", "m", "vec").mapInArrow(assign, "label string, dim int, node long, m long, vec array<double>, codes array<int>"))
+    coded = cut(nodes.select("label", "dim", "node", "m", "vec").mapInArrow(assign, "label string, dim int, node long, m long, vec array<double>, codes array<long>"))
+    while depth < want:  # a table too large for the first sample's depth
+        step = min(want - depth, max(1, int(log2(max(2, sample_rows / 32)))))
+        if (deeper := deepen(coded, step, dim, leaf, sample_rows, margin, seed)) is None:
+            break
+        coded, depth = cut(deeper), depth + step
     spread = coded.select("*", F.explode("codes").alias("code"))
     key = ["label", "dim", "code"]
     size = coded.select("label", "dim", F.explode("codes").alias("code")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
@@ -152,18 +209,9 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             edge = np.concatenate((np.zeros(len(some), bool), np.ones(len(a), bool)))
             return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(edge)], names=["a", "b", "links", "edge"])
 
-        tail: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
-            cols = [t.column(c).to_numpy() for c in ("dim", "code", "i", "j")] + [t.column("label").combine_chunks().dictionary_encode().indices.to_numpy() if isinstance(t.column("label"), pa.Array) else t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            cuts = np.concatenate(([0], new)).tolist()
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if (out := one(t.slice(lo, hi - lo))) is not None:
-                    yield out
-            tail = t.slice(cuts[-1]).combine_chunks()
-        if tail is not None and (out := one(tail)) is not None:
-            yield out
+        for g in groups(batches, [*key, "i", "j"]):
+            if (out := one(g)) is not None:
+                yield out
 
     found = cut(dealt.mapInArrow(compare, "a long, b long, links long, edge boolean"))
     links = found.where("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
