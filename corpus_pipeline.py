@@ -40,7 +40,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _near(docs: DataFrame, key: str) -> DataFrame:
-    found = simhash.similar(docs, key, shingle=5, similarity=0.8)
+    found = simhash.similar(docs, key, shingle=5, similarity=0.8, measure="cosine")
     lost = cut(found.where("node <> component").select(F.col("node").alias("__id")).distinct())
     return exact.without(docs, [docs[key]], lost)
 
