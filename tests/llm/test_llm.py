@@ -480,6 +480,29 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_bytes(spark, tmp_path):
+    """Archives of others: binary payloads, status lines, headers and record types come back as they were; a payload may look like a record."""
+    import gzip
+
+    def record(kind, name, block, mime="application/http;msgtype=response", more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\nWARC-Date: 2024-02-03T04:05:06Z\r\n{more}Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.0 404 Not Found\r\nX-Odd: \xff\xfe\r\nContent-Type: image/png\r\n\r\n"
+    image = bytes(range(256)) * 40 + b"\r\n\r\nWARC/1.0\r\nno record\r\n\r\nWARC/1."
+    parts = [record("warcinfo", "i", b"software: x\r\n", "application/warc-fields"), record("request", "q", b"GET / HTTP/1.1\r\n\r\n", "application/http;msgtype=request"), record("response", "1", http + image, more="WARC-IP-Address: 192.0.2.1\r\n"), record("response", "2", b"HTTP/1.1 200 OK\r\n\r\n" + image), record("metadata", "m", b"", "application/warc-fields")]
+    for name, content in (("a.warc.gz", b"".join(gzip.compress(p) for p in parts)), ("b.warc", b"".join(parts))):
+        folder, out = tmp_path / name, str(tmp_path / (name + "-out"))
+        folder.mkdir()
+        (folder / name).write_bytes(content)
+        warc.dedup_archives(spark, str(folder), out)
+        got = {r["record_id"]: r for r in warc.read(spark, out, "bytes").collect()}
+        assert {k: r["record_type"] for k, r in got.items()} == {"urn:i": "warcinfo", "urn:q": "request", "urn:1": "revisit", "urn:2": "response", "urn:m": "metadata"}
+        assert got["urn:1"]["refers_to"] == "urn:2" and bytes(got["urn:1"]["http"]) == http and got["urn:1"]["other"] == "WARC-IP-Address: 192.0.2.1\r\n"
+        assert bytes(got["urn:2"]["payload"]) == image and bytes(got["urn:q"]["payload"]) == b"GET / HTTP/1.1\r\n\r\n" and bytes(got["urn:i"]["payload"]) == b"software: x\r\n"
+        assert got["urn:2"]["payload_digest"] == base64.b32encode(hashlib.sha1(image).digest()).decode() and got["urn:q"]["content_type"] == "application/http;msgtype=request"
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------------
 
 PIECES = ["a", "b", "'", "'s", "'re", "'ll", "'S", " ", "  ", "\n", "\t", "1", "23", "!", "é", "ß", "日本", " ", "　", "😀", "the", "\x1c", "²", "token", "AbC", "\r\n", "-" * 70, "x" * 90]
