@@ -65,6 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table written to the shared folder: smaller than a checkpoint, which isn't compressed."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
     """Whole groups of sorted rows, whatever batches they come in; small groups come together, until they are `least` rows. No more than
     that, one batch and one group are held."""
