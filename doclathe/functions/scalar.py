@@ -78,6 +78,13 @@ DETECTORS: tuple[Detector, ...] = (
 )
 
 
+def found(pattern: str, name: str) -> bool:
+    """Whether a name known to the driver has a match of a pattern."""
+    import re
+
+    return re.search(pattern.replace(r"\z", r"\Z"), name) is not None
+
+
 def seed_of(text: str | int) -> int:
     """A string seed's number: the first 32 bits of its SHA-256; numbers stand for themselves."""
     import hashlib
@@ -211,7 +218,10 @@ def _ulid(seed, row, path, *more) -> Column:
 
 
 def _numeric(seed, row, path, *more) -> Column:
-    return F.concat(F.lpad(below(100000000, seed, row, path, *more).cast("string"), 8, "1"), *[F.lpad(m.cast("string"), 4, "0") for m in more])
+    """16 drawn digits, then the ordinal's last four: keys of one object differ by construction, those of different objects but for a chance of 1 in 10^16 a pair."""
+    d = digest(seed, row, path, *more)
+    part = lambda at: F.lpad((F.conv(F.substring(d, at, 12), 16, 10).cast("decimal(20,0)") % 100000000).cast("long").cast("string"), 8, "0")
+    return F.concat(part(1), part(13), *[F.lpad((m % 10000).cast("string"), 4, "0") for m in more[-1:]])
 
 
 KEYS: dict[str, Callable[..., Column]] = {
@@ -224,6 +234,13 @@ KEYS: dict[str, Callable[..., Column]] = {
 }
 
 
+def key_maker(pattern: str, custom: str | None = None) -> Callable[..., Column]:
+    """The generator of a pattern's keys; of one's own regular expression where it is given."""
+    if custom:
+        return lambda seed, row, path, *more: custom_keys(custom, seed, row, path, *more)
+    return KEYS.get(pattern, KEYS["CUSTOM"])
+
+
 def keys(pattern: str, count: Column, seed: int | str, row: Column, path: str) -> Column:
     """An array of `count` different keys."""
     make = KEYS[pattern]

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from doclathe.functions import scalar as S
 from doclathe.operators import profile as P
+from doclathe.operators.rules import Rules, assumed, joined
+from doclathe.operators.rules import value_schema as value_json_schema
 
 # --- normalising -------------------------------------------------------------------------------------------------------
 
@@ -89,7 +91,10 @@ def synthesize(schema: T.StructType, facts: dict[str, dict[str, Any]], config: S
             return out
         if isinstance(typ, T.MapType):
             d = dynamic.get(path, {})
-            return {"type": "object", "x-dynamic-keys": {"pattern": d.get("pattern", "CUSTOM"), "countDistribution": d.get("distribution", {"10": 1}), "valueSchema": prop(typ.valueType, path + ".*")}}
+            told = {k: v for k, v in d.items() if k not in ("pattern", "distribution")}
+            return {"type": "object", "x-dynamic-keys": {"enabled": True, "pattern": d.get("pattern", "CUSTOM"), **told, "countDistribution": d.get("distribution", {"10": 1}), "valueSchema": prop(typ.valueType, path + ".*")}}
+        if isinstance(typ, T.VariantType):
+            return P.value_schema(f["types"], f.get("numeric")) if "types" in f else {"type": "string"}
         if isinstance(typ, T.BooleanType):
             return {"type": "boolean"}
         gen: dict[str, Any] = {}
@@ -138,9 +143,16 @@ class Generator:
         seed = S.seed_of(self.seed)
         if own := self.registry.find(path, p.get("x-gen", {}).get("type")):
             return own(seed, row, path, *more)
-        if "anyOf" in p:
-            odds = p.get("x-type-probabilities") or [1] * len(p["anyOf"])
-            made = [F.to_json(F.struct(self._value(o, path, row, *more).alias("v"))) for o in p["anyOf"]]
+        if "allOf" in p:
+            whole = {k: v for k, v in p.items() if k != "allOf"}
+            for x in p["allOf"]:
+                whole = whole | x | ({"properties": whole["properties"] | x["properties"]} if "properties" in whole and "properties" in x else {})
+            return self._value(whole, path, row, *more)
+        if isinstance(p.get("additionalProperties"), dict) and not p.get("properties") and "x-dynamic-keys" not in p and typ == "object":
+            p = p | {"x-dynamic-keys": {"pattern": "CUSTOM", "countDistribution": {"3": 1}, "valueSchema": p["additionalProperties"]}}
+        if options := p.get("anyOf") or p.get("oneOf"):
+            odds = p.get("x-type-probabilities") or [1] * len(options)
+            made = [F.to_json(F.struct(self._value(o, path, row, *more).alias("v"))) for o in options]
             u = S.uniform(seed, row, path + "#any", *more)
             run = [sum(odds[: i + 1]) for i in range(len(odds))]
             return reduce(lambda out, i: F.when(u * run[-1] < run[i], made[i]).otherwise(out), reversed(range(len(made) - 1)), made[-1])
@@ -160,10 +172,10 @@ class Generator:
             item = p.get("items") or {"type": "string"}
             made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: self._value(item, path + "[]", row, *more, i))
             return F.when(n > 0, made).otherwise(F.slice(made, 1, 0))
-        if typ == "object" and "x-dynamic-keys" in p:
-            d = p["x-dynamic-keys"]
-            n = S.ladder([(int(k), v) for k, v in sorted(d["countDistribution"].items(), key=lambda x: int(x[0]))], S.uniform(seed, row, path + "#n", *more))
-            make = S.KEYS[d["pattern"]]
+        if typ == "object" and (d := expanded(p)) is not None:
+            drawn = d.get("countDistribution") or {"10": 1}
+            n = S.ladder([(int(k), v) for k, v in sorted(drawn.items(), key=lambda x: int(x[0]))], S.uniform(seed, row, path + "#n", *more))
+            make = S.key_maker(d.get("pattern", "CUSTOM"), d.get("customPattern"))
             span = F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
             ks = F.transform(span, lambda i: make(seed, row, path, *more, i))
             vs = F.transform(span, lambda i: self._value(d["valueSchema"], path + ".*", row, *more, i))
@@ -202,6 +214,35 @@ class Generator:
         return rows.select(*self.columns(F.col(row)))
 
 
+def expanded(p: dict[str, Any]) -> dict[str, Any] | None:
+    """A dynamic-key annotation with pattern, countDistribution and valueSchema, from any of its layouts: all in one, {enabled, metadata, valueSchema}, or the
+    value schema beside it as x-dynamic-key-value-schema. None without one, or if it is disabled."""
+    own = p.get("x-dynamic-keys")
+    if own is None:
+        return None
+    meta = own.get("metadata") or own
+    if not own.get("enabled", meta.get("enabled", True)):
+        return None
+    values = own.get("valueSchema") or p.get("x-dynamic-key-value-schema") or {"type": "string"}
+    return meta | {"valueSchema": value_json_schema(values)}
+
+
+def dynamic_annotations(p: Any, path: str = "") -> list[tuple[str, dict[str, Any]]]:
+    """(path, annotation) of every enabled dynamic-key object of a schema, wherever schemas nest."""
+    out: list[tuple[str, dict[str, Any]]] = []
+    if not isinstance(p, dict):
+        return out
+    if (d := expanded(p)) is not None:
+        out += [(path, d), *dynamic_annotations(d["valueSchema"], path + ".*")]
+    for k, v in p.get("properties", {}).items():
+        out += dynamic_annotations(v, f"{path}.{k}" if path else k)
+    out += dynamic_annotations(p.get("items"), path + "[]") + dynamic_annotations(p.get("additionalProperties"), path + ".*")
+    for name in ("oneOf", "anyOf", "allOf"):
+        for x in p.get(name, []):
+            out += dynamic_annotations(x, path)
+    return out
+
+
 def has_dynamic(p: Any) -> int:
     """How many dynamic-key objects a schema holds."""
     if isinstance(p, dict):
@@ -314,72 +355,26 @@ def live_keys(ops: DataFrame, key: str, seq: str = "seq", op: str = "op") -> Dat
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
-def _violations(col: Column, p: dict[str, Any], path: str, required: bool, strict: bool) -> list[Column]:
-    """Struct (path, keyword) or null, for each rule; array items as nested arrays flattened by the caller."""
-    out: list[Column] = []
-    bad = lambda cond, kw: F.when(cond, F.array(F.struct(F.lit(path).alias("path"), F.lit(kw).alias("keyword"))))
-    if required:
-        out.append(bad(col.isNull(), "required"))
-    typ = p.get("type")
-    if "minimum" in p:
-        out.append(bad(col < p["minimum"], "minimum"))
-    if "maximum" in p:
-        out.append(bad(col > p["maximum"], "maximum"))
-    if typ == "integer":
-        out.append(bad(col != F.floor(col), "type"))
-    if "minLength" in p:
-        out.append(bad(F.length(col) < p["minLength"], "minLength"))
-    if "maxLength" in p:
-        out.append(bad(F.length(col) > p["maxLength"], "maxLength"))
-    if "enum" in p:
-        out.append(bad(~col.isin(list(p["enum"])), "enum"))
-    if p.get("format") == "objectid":
-        out.append(bad(~col.rlike(S.OBJECTID), "format"))
-    elif strict and p.get("format") in STRICT:
-        out.append(bad(~col.rlike(STRICT[p["format"]]), "format"))
-    if typ == "array":
-        if "minItems" in p:
-            out.append(bad(F.size(col) < p["minItems"], "minItems"))
-        if "maxItems" in p:
-            out.append(bad(F.size(col) > p["maxItems"], "maxItems"))
-        if isinstance(p.get("items"), dict):
-            probe = _violations(F.lit(None), p["items"], path + "[]", False, strict)
-            if probe:
-                out.append(F.flatten(F.transform(col, lambda x: _joined(_violations(x, p["items"], path + "[]", False, strict)))))
-    if typ == "object":
-        for k, v in p.get("properties", {}).items():
-            inner = _violations(col.getField(k), v, f"{path}/{k}", False, strict)
-            if k in p.get("required", []):
-                inner.append(bad(col.isNotNull() & col.getField(k).isNull(), "required"))
-            out += inner
-    return out
-
-
-STRICT = {"email": S.EMAIL, "url": S.URL, "uuid": S.UUID, "ipv4": S.IPV4}
-NONE = "array<struct<path:string,keyword:string>>"
-
+def violations(schema: dict[str, Any], of: T.StructType | DataFrame | list[str], strict: bool = False) -> Column:
+    """array of (path, keyword) for each row, by draft 07; columns that the schema needs and the data lacks are violations of every row.
 
-def _joined(parts: list[Column]) -> Column:
-    return F.flatten(F.array(*[F.coalesce(x, F.array().cast(NONE)) for x in parts])) if parts else F.array().cast(NONE)
+    of: the table or its schema; of bare column names the types are taken to be those that the schema tells."""
+    if isinstance(of, list):
+        props = schema.get("properties", {})
+        of = T.StructType([T.StructField(c, assumed(props.get(c, {}))) for c in of])
+    typ = of.schema if isinstance(of, DataFrame) else of
+    row = F.struct(*[F.col(f"`{f.name}`") for f in typ.fields]) if typ.fields else F.struct(F.lit(None).alias("__none"))
+    return joined(Rules(strict).of(row, typ, schema, ""))
 
 
-def violations(schema: dict[str, Any], columns: list[str], strict: bool = False) -> Column:
-    """array of (path, keyword) for each row; columns that the schema needs and the data lacks are violations of every row."""
-    parts = []
-    for k, p in schema.get("properties", {}).items():
-        need = k in schema.get("required", [])
-        if k in columns:
-            parts += _violations(F.col(f"`{k}`"), p, f"/{k}", need, strict)
-        elif need:
-            parts.append(F.array(F.struct(F.lit(f"/{k}").alias("path"), F.lit("required").alias("keyword"))))
-    if schema.get("additionalProperties") is False:
-        parts += [F.when(F.col(f"`{c}`").isNotNull(), F.array(F.struct(F.lit(f"/{c}").alias("path"), F.lit("additionalProperties").alias("keyword")))) for c in columns if c not in schema.get("properties", {})]
-    return _joined(parts)
+def violations_of(col: Column, schema: dict[str, Any], typ: T.DataType | None = None, strict: bool = False) -> Column:
+    """The same for one column that holds whole documents: a struct, a map, or (by default) a variant."""
+    return joined(Rules(strict).of(col, typ or T.VariantType(), schema, ""))
 
 
 def conformance(df: DataFrame, schema: dict[str, Any], strict: bool = False) -> DataFrame:
     """total, valid, invalid, rate."""
-    ok = F.size(violations(schema, df.columns, strict)) == 0
+    ok = F.size(violations(schema, df, strict)) == 0
     out = df.select(ok.alias("ok")).agg(F.count("*").alias("total"), F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
     return out.withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("valid") / F.col("total")).otherwise(1.0), 6))
 

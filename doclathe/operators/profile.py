@@ -41,6 +41,11 @@ def _records(col: Column, typ: T.DataType, path: str) -> Column:
         v = col.cast("double")
         one = _record(path, "number", v)
         return F.when(col.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), none).otherwise(F.array(one))
+    if isinstance(typ, T.VariantType):
+        raw = F.regexp_extract(F.schema_of_variant(col), r"^[A-Z]+", 0)
+        num = F.when(raw.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(col, "$", "double"))
+        one = F.struct(F.lit(path).alias("path"), F.when(num.isNotNull(), "number").otherwise(F.lower(raw)).alias("kind"), num.alias("num"), F.when(raw == "STRING", F.try_variant_get(col, "$", "string")).alias("str"))
+        return F.when(col.isNull(), none).otherwise(F.array(one))
     kind = "boolean" if isinstance(typ, T.BooleanType) else "string" if isinstance(typ, T.StringType) else "other"
     return F.when(col.isNull(), none).otherwise(F.array(_record(path, kind, text=None if kind == "other" else col)))
 
@@ -320,6 +325,100 @@ def detect(ratios: DataFrame, config: KeyConfig | None = None, docs: str = "n_do
     return out.withColumn("level", level).withColumn("is_dynamic", ok)
 
 
+def promoted(r, config: KeyConfig) -> bool:
+    """Whether a path's detection makes its object dynamic: enough keys, or some with a pattern or high confidence."""
+    return bool(r["is_dynamic"]) and (r["n_keys"] >= config.threshold or (r["n_keys"] >= min(config.threshold, 10) and (r["pattern"] is not None or r["confidence"] > 0.8)))
+
+
+def object_keys(df: DataFrame) -> DataFrame:
+    """doc, parent, key: the keys of every object in every document (structs: fields that aren't null; maps: entries), parents by path with the keys as they are."""
+
+    def below(col: Column, typ: T.DataType, path: Column) -> list[Column]:
+        row = lambda k: F.struct(path.alias("parent"), k.alias("key"))
+        under = lambda k: F.concat(path, F.lit("."), k)
+        if isinstance(typ, T.StructType):
+            out = [F.array_compact(F.array(*[F.when(col.getField(f.name).isNotNull(), row(F.lit(f.name))) for f in typ.fields]))] if typ.fields else []
+            for f in typ.fields:
+                out += below(col.getField(f.name), f.dataType, under(F.lit(f.name)))
+            return out
+        if isinstance(typ, T.MapType):
+            out = [F.transform(F.map_keys(col), lambda k: row(k))]
+            if below(F.lit(None), typ.valueType, path):
+                out.append(F.flatten(F.transform(F.map_entries(col), lambda e: F.concat(*below(e["value"], typ.valueType, under(e["key"]))))))
+            return out
+        if isinstance(typ, T.ArrayType) and below(F.lit(None), typ.elementType, path):
+            return [F.flatten(F.transform(col, lambda x: F.concat(*below(x, typ.elementType, F.concat(path, F.lit("[]"))))))]
+        return []
+
+    empty = F.array().cast("array<struct<parent:string,key:string>>")
+    parts = [F.coalesce(x, empty) for f in df.schema.fields for x in below(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name))]
+    each = F.inline(F.concat(*parts)) if parts else F.inline(empty)
+    return df.select(F.monotonically_increasing_id().alias("doc"), each)
+
+
+def dynamic_stats(keys: DataFrame, config: KeyConfig | None = None) -> DataFrame:
+    """Of rewritten keys (doc, parent, key): path, n_keys, pattern, ratio, n_docs, confidence, level, is_dynamic, examples (the first ten keys)."""
+    docs = keys.groupBy(F.col("parent").alias("path")).agg(F.count_distinct("doc").alias("n_docs"))
+    first = keys.select("parent", "key").distinct().withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("key"))).where("r <= 10")
+    some = first.groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    return detect(key_ratios(keys, config, "parent", "key").join(docs, "path"), config).join(some, "path")
+
+
+def common(types: list[T.DataType]) -> T.DataType:
+    """A type that holds values of all: the same, the wider number, a struct of all fields, else a variant."""
+    if all(t == types[0] for t in types):
+        return types[0]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return T.LongType()
+    if all(isinstance(t, T.NumericType) for t in types):
+        return T.DoubleType()
+    if all(isinstance(t, T.StructType) for t in types):
+        names = list(dict.fromkeys(f.name for t in types for f in t.fields))
+        return T.StructType([T.StructField(n, common([t[n].dataType for t in types if n in t.names])) for n in names])
+    if all(isinstance(t, T.ArrayType) for t in types):
+        return T.ArrayType(common([t.elementType for t in types]))
+    return T.VariantType()
+
+
+def conform(col: Column, typ: T.DataType, to: T.DataType) -> Column:
+    if typ == to:
+        return col
+    if isinstance(to, T.VariantType):
+        return F.to_variant_object(col) if isinstance(typ, (T.StructType, T.MapType, T.ArrayType)) else col.cast(to)
+    if isinstance(to, T.StructType):
+        kids = [(conform(col.getField(f.name), typ[f.name].dataType, f.dataType) if f.name in typ.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in to.fields]
+        return F.when(col.isNotNull(), F.struct(*kids))
+    if isinstance(to, T.ArrayType):
+        return F.transform(col, lambda x: conform(x, typ.elementType, to.elementType))
+    return col.cast(to)
+
+
+def reshape(df: DataFrame, dynamic: set[str], names: dict[str, list[str]]) -> DataFrame:
+    """df with the objects at `dynamic` paths (`*` for any key above) as maps, and all others as structs; names: the keys of objects that are maps now and won't be."""
+
+    def shaped(col: Column, typ: T.DataType, path: str) -> tuple[Column, T.DataType]:
+        if isinstance(typ, T.ArrayType):
+            to = shaped(F.lit(None).cast(typ.elementType), typ.elementType, path + "[]")[1]
+            return F.transform(col, lambda x: shaped(x, typ.elementType, path + "[]")[0]), T.ArrayType(to)
+        if isinstance(typ, T.MapType) and path not in dynamic:
+            kids = [(k, shaped(F.try_element_at(col, F.lit(k)), typ.valueType, f"{path}.{k}")) for k in names.get(path, [])]
+            return F.when(col.isNotNull(), F.struct(*[c.alias(k) for k, (c, _) in kids])) if kids else F.lit(None).cast("struct<>"), T.StructType([T.StructField(k, of) for k, (_, of) in kids])
+        if isinstance(typ, T.MapType):
+            to = shaped(F.lit(None).cast(typ.valueType), typ.valueType, path + ".*")[1]
+            return F.transform_values(col, lambda _, x: shaped(x, typ.valueType, path + ".*")[0]), T.MapType(T.StringType(), to)
+        if isinstance(typ, T.StructType):
+            here = path in dynamic
+            kids = [(f.name, shaped(col.getField(f.name), f.dataType, f"{path}.*" if here else f"{path}.{f.name}")) for f in typ.fields]
+            if not here or not kids:
+                return F.when(col.isNotNull(), F.struct(*[c.alias(k) for k, (c, _) in kids])) if kids else col, T.StructType([T.StructField(k, of) for k, (_, of) in kids])
+            to = common([of for _, (_, of) in kids])
+            entry = [F.when(col.getField(k).isNotNull(), F.struct(F.lit(k).alias("key"), conform(c, of, to).alias("value"))) for k, (c, of) in kids]
+            return F.when(col.isNotNull(), F.map_from_entries(F.array_compact(F.array(*entry)))), T.MapType(T.StringType(), to)
+        return col, typ
+
+    return df.select(*[shaped(F.col(f"`{f.name}`"), f.dataType, f.name)[0].alias(f.name) for f in df.schema.fields])
+
+
 def collapse(keys: DataFrame, config: KeyConfig | None = None, depth: int = 100) -> tuple[DataFrame, list[tuple[str, str | None]]]:
     """keys (doc, parent, key, path): object keys of all documents, with the parent's path. Level by level from the top, parents whose
     keys are dynamic become wildcards, and the paths below them are rewritten before the next level is looked at.
@@ -332,7 +431,7 @@ def collapse(keys: DataFrame, config: KeyConfig | None = None, depth: int = 100)
         at = rows.where((F.col("level") == level) & (F.col("parent") != ""))
         docs = at.groupBy(F.col("parent").alias("path")).agg(F.count_distinct("doc").alias("n_docs"))
         seen = detect(key_ratios(at, config, "parent", "key").join(docs, "path"), config).collect()
-        new = [(r["path"], r["pattern"]) for r in seen if config.forced(r["path"]) != "static" and (r["is_dynamic"] or config.forced(r["path"]) == "dynamic")]
+        new = [(r["path"], r["pattern"]) for r in seen if config.forced(r["path"]) != "static" and (config.forced(r["path"]) == "dynamic" or promoted(r, config))]
         found += new
         for path, _ in new:
             child = F.concat(F.lit(path + ".*"), F.regexp_extract(F.substring(F.col("parent"), len(path) + 2, 10**6), r"^[^.]*(.*)$", 1))

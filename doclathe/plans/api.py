@@ -29,6 +29,11 @@ def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
             out[r["path"]]["array"].setdefault("distribution", {})[str(int(r["value"]))] = r["n"]
         for r in P.semantic_best(P.semantic_profile(rows.where("kind = 'string'"))).collect():
             out.setdefault(r["path"], {})["format"] = next(x.format for x in S.DETECTORS if x.name == r["detector"])
+        whole = F.when((F.col("kind") == "number") & (F.col("num") == F.floor("num")), "integer").otherwise(F.col("kind"))
+        mixed = [p for p, t in P.field_paths(df.schema) if t == "variant"]
+        if mixed:
+            for r in P.value_types(rows.where(F.col("path").isin(mixed)).select("path", whole.alias("typ"))).collect():
+                out.setdefault(r["path"], {}).setdefault("types", []).append(r.asDict())
         text = rows.where("kind = 'string'").groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("str").alias("u"))
         small = text.where(P.enum_like(F.col("u"), F.col("n"))).select("path")
         for r in rows.where("kind = 'string'").join(F.broadcast(small), "path").groupBy("path", "str").count().collect():
@@ -38,24 +43,45 @@ def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
         rows.unpersist()
 
 
+def dynamic_objects(df: DataFrame, keys: P.KeyConfig | None = None) -> tuple[DataFrame, dict[str, dict[str, Any]]]:
+    """(df with objects of made-up keys as maps and all others as structs, per such path its key metadata). What a path is, is decided from the top down."""
+    config = keys or P.KeyConfig()
+    rows, found = P.collapse(P.object_keys(df), config)
+    dynamic = {path: {"pattern": pattern or "CUSTOM"} for path, pattern in found}
+    if dynamic:
+        for r in P.dynamic_stats(rows.where(F.col("parent").isin(list(dynamic))), config).collect():
+            more = {"confidence": r["confidence"], "confidenceLevel": r["level"], "documentsAnalyzed": r["n_docs"], "uniqueKeysObserved": r["n_keys"], "exampleKeys": r["examples"]}
+            if r["pattern"] is None and len(config.patterns):
+                more["confidence"] = r["confidence"]
+            dynamic[r["path"]] |= more
+            if dynamic[r["path"]]["pattern"] not in S.KEY_PATTERNS and dynamic[r["path"]]["pattern"] in config.patterns:
+                dynamic[r["path"]] |= {"customPattern": config.patterns[dynamic[r["path"]]["pattern"]]}
+    # Keys of maps that aren't dynamic, as many as a static schema has fields.
+    maps = {p for p, t in P.field_paths(df.schema) if t == "map"} - set(dynamic)
+    names: dict[str, list[str]] = {}
+    if maps:
+        for r in rows.where(~F.col("parent").isin(list(dynamic) or [""])).select("parent", "key").distinct().orderBy("parent", "key").collect():
+            names.setdefault(r["parent"], []).append(r["key"])
+    return P.reshape(df, set(dynamic), names), dynamic
+
+
 def infer(df: DataFrame, config: D.SynthesisConfig | None = None, keys: P.KeyConfig | None = None) -> tuple[dict[str, Any], dict[str, dict[str, Any]]]:
-    """(generation schema, facts per path) of a table of documents."""
+    """(generation schema, facts per path) of a table of documents. Objects of made-up keys, as maps or as structs wide with keys, become dynamic; statistics of what is
+    below them are those of all their values together."""
     plain, hints = D.normalize(df)
     if plain.isEmpty():
         raise InferenceError("no documents to infer from")
-    f = facts(plain)
+    shaped, dynamic = dynamic_objects(plain, keys)
+    f = facts(shaped)
     for path, (fmt, _) in hints.items():
-        f.setdefault(path, {})["format"] = fmt
-    rows = P.unnest(plain)
-    dynamic = {}
-    maps = rows.where("kind = 'key'").select("path", F.col("str").alias("key"))
-    counts = P.frequencies(rows.where("kind = 'object'").select("path", F.col("num").alias("value")), "path", "value")
-    for r in P.key_ratios(maps, keys).collect():
-        dynamic[r["path"]] = {"pattern": r["pattern"] or "CUSTOM", "distribution": {}}
-    for r in counts.collect():
-        if r["path"] in dynamic:
-            dynamic[r["path"]]["distribution"][str(int(r["value"]))] = r["n"]
-    return D.synthesize(plain.schema, f, config, dynamic), f
+        f.setdefault(path, {}).setdefault("format", fmt)
+    if dynamic:
+        counts = P.frequencies(P.unnest(shaped).where("kind = 'object'").select("path", F.col("num").alias("value")), "path", "value")
+        for r in counts.collect():
+            if r["path"] in dynamic:
+                dynamic[r["path"]].setdefault("distribution", {})[str(int(r["value"]))] = r["n"]
+        f |= {path: f.get(path, {}) | {"dynamic": d} for path, d in dynamic.items()}
+    return D.synthesize(shaped.schema, f, config, dynamic), f
 
 
 def generate(spark: SparkSession, schema: dict[str, Any], n: int = 100, seed: int | str = 42, registry: S.Registry | None = None) -> DataFrame:
@@ -65,7 +91,7 @@ def generate(spark: SparkSession, schema: dict[str, Any], n: int = 100, seed: in
 def validate(sample: DataFrame, made: DataFrame, schema: dict[str, Any], key_fields: tuple[str, ...] = (), tolerance: tuple[float, float] = (0.1, 0.2), worst: int = 1000) -> dict[str, Any]:
     """The report: conformance with up to `worst` violations listed, array lengths, sizes, uniqueness, and the verdict over all."""
     c = D.conformance(made, schema).first().asDict()
-    listed = made.select(F.inline(D.violations(schema, made.columns))).limit(worst).collect()
+    listed = made.select(F.inline(D.violations(schema, made))).limit(worst).collect()
     arrays = [r.asDict() for r in D.compare_arrays(D.array_stats(P.unnest(sample)), D.array_stats(P.unnest(made)), tolerance[0]).collect()]
     size = [x.select(P.size_proxy(x, "leafFieldCount").alias("size")) for x in (sample, made)]
     sizes = [r.asDict() for r in D.compare_buckets(P.size_buckets(size[0]), P.size_buckets(size[1]), tolerance[1]).collect()]

@@ -514,7 +514,53 @@ def schema_conformance(spark, d):
 @query(FLAWED_SQL + "SELECT path, keyword, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS path, '{k}' AS keyword, count(*) FILTER ({v})::BIGINT AS n FROM v" for p, k, v in (("/status", "required", "v1"), ("/status", "enum", "v2"), ("/price", "minimum", "v3"), ("/price", "maximum", "v4"), ("/priority", "maxLength", "v5"))) + ") WHERE n > 0")
 def schema_violations(spark, d):
     f = flawed(spark, d)
-    return f.select(F.inline(D.violations(ORDER_SCHEMA, f.columns))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
+    return f.select(F.inline(D.violations(ORDER_SCHEMA, f))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
+
+
+STRICT_SCHEMA = {
+    "type": "object", "required": ["id", "name"], "minProperties": 4, "properties": {
+        "id": {"type": "integer"}, "name": {"type": "string", "pattern": "^[A-Z]", "minLength": 2}, "age": {"type": "number", "exclusiveMinimum": 0, "multipleOf": 1}, "tags": {"type": "array", "items": {"type": "string"}, "uniqueItems": True, "minItems": 1},
+        "code": {"anyOf": [{"type": "integer", "maximum": 500}, {"type": "string", "maxLength": 4}]}, "kind": {"const": "x"}, "only": {"oneOf": [{"minimum": 100}, {"maximum": 200}]}, "all": {"allOf": [{"type": "number"}, {"not": {"minimum": 900}}]},
+        "deep": {"type": "object", "properties": {"ok": {"type": "boolean"}}, "additionalProperties": False}, "map": {"type": "object", "additionalProperties": {"type": "integer"}},
+    },
+}
+
+
+def wrong(spark, d):
+    """k and JSON text of documents, made from all orders, whose values have the wrong kinds or break a rule by turns."""
+    k = F.col("o_orderkey").cast("long")
+    m = lambda mod, yes, no: F.when(k % mod == 0, F.lit(yes)).otherwise(F.lit(no))
+    doc = F.concat(
+        F.lit('{"id":'), F.when(k % 2 == 0, k.cast("string")).when(k % 3 == 0, F.lit('"one"')).otherwise(F.lit("1.5")), m(7, "", ',"name":"Bob"'), F.lit(',"age":'), (k % 3).cast("string"), m(5, ".5", ""),
+        F.lit(',"tags":'), m(4, "[]", '["a","b"]'), F.lit(',"code":'), (k % 1000).cast("string"), F.lit(',"kind":'), m(9, '"y"', '"x"'), F.lit(',"only":'), (k % 300).cast("string"), F.lit(',"all":'), (k % 1000).cast("string"),
+        F.lit(',"deep":{"ok":'), m(8, "1", "true"), m(6, ',"more":2', ""), F.lit('},"map":{"a":1,"b":'), m(10, '"c"', "2"), F.lit("}}"),
+    )
+    return t(spark, d, "orders").select(k.alias("k"), doc.alias("json"))
+
+
+BROKEN = (
+    ("/id", "type", "k % 2 <> 0"), ("/name", "required", "k % 7 = 0"), ("/age", "exclusiveMinimum", "k % 3 = 0 AND k % 5 <> 0"), ("/age", "multipleOf", "k % 5 = 0"), ("/tags", "minItems", "k % 4 = 0"), ("/code", "anyOf", "k % 1000 > 500"), ("/kind", "const", "k % 9 = 0"),
+    ("/only", "oneOf", "k % 300 BETWEEN 100 AND 200"), ("/all", "not", "k % 1000 >= 900"), ("/deep/ok", "type", "k % 8 = 0"), ("/deep/more", "additionalProperties", "k % 6 = 0"), ("/map/*", "type", "k % 10 = 0"),
+)
+
+
+@query("SELECT path, keyword, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS path, '{w}' AS keyword, count(*) FILTER ({c})::BIGINT AS n FROM (SELECT o_orderkey AS k FROM orders)" for p, w, c in BROKEN) + ") WHERE n > 0")
+def json_violations(spark, d):
+    """Documents of any kind against a schema: each keyword's violations counted."""
+    docs = wrong(spark, d).select(F.parse_json("json").alias("doc"))
+    return docs.select(F.inline(D.violations_of(F.col("doc"), STRICT_SCHEMA))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
+
+
+TYPED_SCHEMA = {"type": "object", "properties": {"c_name": {"type": "integer"}, "c_acctbal": {"type": "integer"}, "c_custkey": {"type": "number", "exclusiveMaximum": 100}, "c_mktsegment": {"type": "string", "pattern": "^[A-M]", "enum": ["BUILDING", "MACHINERY", "FURNITURE", 3]}, "c_nationkey": {"type": ["string", "null"], "minimum": 3}, "none": {"type": "string"}}, "required": ["none"]}
+
+
+@query("SELECT path, keyword, n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS path, '{w}' AS keyword, count(*) FILTER ({c})::BIGINT AS n FROM customer" for p, w, c in (
+    ("/c_name", "type", "c_name IS NOT NULL"), ("/c_acctbal", "type", "c_acctbal <> floor(c_acctbal)"), ("/c_custkey", "exclusiveMaximum", "c_custkey >= 100"), ("/c_mktsegment", "pattern", "c_mktsegment >= 'N'"),
+    ("/c_mktsegment", "enum", "c_mktsegment NOT IN ('BUILDING','MACHINERY','FURNITURE')"), ("/c_nationkey", "type", "c_nationkey IS NOT NULL"), ("/c_nationkey", "minimum", "c_nationkey < 3"), ("/none", "required", "true"))) + ") WHERE n > 0")
+def typed_violations(spark, d):
+    """Rules of one kind over columns of another: an integer rule over texts is a violation of each, not an error."""
+    c = t(spark, d, "customer")
+    return c.select(F.inline(D.violations(TYPED_SCHEMA, c))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, count({c})::BIGINT AS total, count(DISTINCT {c})::BIGINT AS \"unique\", (count({c}) - count(DISTINCT {c}))::BIGINT AS duplicates FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_linenumber")))
