@@ -234,11 +234,28 @@ KEYS: dict[str, Callable[..., Column]] = {
 }
 
 
-def key_maker(pattern: str, custom: str | None = None) -> Callable[..., Column]:
-    """The generator of a pattern's keys; of one's own regular expression where it is given."""
-    if custom:
-        return lambda seed, row, path, *more: custom_keys(custom, seed, row, path, *more)
-    return KEYS.get(pattern, KEYS["CUSTOM"])
+def custom_key_list(pattern: str, count: Column, seed: int | str, row: Column, path: str) -> Column:
+    """`count` different keys that match a regular expression, in Arrow batches; 24 hexadecimal digits where the pattern is unreadable or has too few."""
+
+    @F.pandas_udf("array<string>")
+    def make(d: pd.Series, n: pd.Series) -> pd.Series:
+        import hashlib
+
+        def one(h: str, want: int) -> list[str]:
+            out: dict[str, None] = {}
+            for i in range(10 * want):
+                if len(out) == want:
+                    break
+                x = hashlib.md5(f"{h}:{i}".encode()).hexdigest()
+                try:
+                    out[from_regex(pattern, [int(x[k : k + 2], 16) for k in range(0, 32, 2)])] = None
+                except Exception:
+                    out[x[:24]] = None
+            return [*out, *(hashlib.md5(f"{h}#{i}".encode()).hexdigest()[:24] for i in range(want - len(out)))]
+
+        return pd.Series([one(h, int(w or 0)) for h, w in zip(d, n, strict=True)])
+
+    return make(digest(seed, row, path), count.cast("int"))
 
 
 def keys(pattern: str, count: Column, seed: int | str, row: Column, path: str) -> Column:

@@ -175,10 +175,12 @@ class Generator:
         if typ == "object" and (d := expanded(p)) is not None:
             drawn = d.get("countDistribution") or {"10": 1}
             n = S.ladder([(int(k), v) for k, v in sorted(drawn.items(), key=lambda x: int(x[0]))], S.uniform(seed, row, path + "#n", *more))
-            make = S.key_maker(d.get("pattern", "CUSTOM"), d.get("customPattern"))
+            make = S.KEYS.get(d.get("pattern", "CUSTOM"), S.KEYS["CUSTOM"])
             span = F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
             ks = F.transform(span, lambda i: make(seed, row, path, *more, i))
             vs = F.transform(span, lambda i: self._value(d["valueSchema"], path + ".*", row, *more, i))
+            if d.get("customPattern") and not more:  # inside arrays, where Spark has no Python, such keys are hexadecimal digits
+                ks = S.custom_key_list(d["customPattern"], n, seed, row, path)
             return F.map_from_arrays(F.slice(ks, 1, n.cast("int")), F.slice(vs, 1, n.cast("int")))
         if typ == "object":
             kids = [self._value(v, f"{path}.{k}" if path else k, row, *more).alias(k) for k, v in p.get("properties", {}).items()]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,9 +100,9 @@ def normalize_scalars(spark, d):
     return D.normalize(e)[0]
 
 
-@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS shipdate FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS shipdate FROM lineitem")
 def normalize_nested(spark, d):
-    li = t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.struct("l_linenumber", "l_shipdate").alias("line"))
+    li = t(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_shipdate").alias("line"))
     n = D.normalize(li)[0]
     return n.select("l_orderkey", "line.l_linenumber", F.col("line.l_shipdate").alias("shipdate"))
 
@@ -325,9 +327,8 @@ def dynamic_value_types(spark, d):
     n = F.col("l_linenumber") % 3
     js = F.when(n == 0, F.to_json(F.struct(F.col("l_quantity").alias("v")))).when(n == 1, F.to_json(F.struct(F.col("l_discount").alias("v")))).otherwise(F.to_json(F.struct(F.col("l_returnflag").alias("v"))))
     v = t(spark, d, "lineitem").select(F.expr("1").alias("one"), js.alias("j"))
-    typed = v.select(F.expr("variant_get(parse_json(j), '$.v')").alias("v")).withColumn("raw", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)).select(P.json_type("v", "raw").alias("typ"))
-    c = P.frequencies(typed, "typ")
-    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("all")))).select("typ", "n", F.round(F.col("n") / F.col("all"), 6).alias("probability"))
+    typed = v.select(F.expr("variant_get(parse_json(j), '$.v')").alias("v")).withColumn("raw", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)).select(F.lit("m.*").alias("path"), P.json_type("v", "raw").alias("typ"))
+    return P.value_types(typed).select("typ", "n", "probability")
 
 
 @query(f"SELECT 'orders' AS path, {DIST} FROM (SELECT count(*) AS v FROM orders GROUP BY o_custkey)")
@@ -352,10 +353,42 @@ def dynamic_path_collapse(spark, d):
     return rows.groupBy("parent").agg(F.count("*").alias("n"))
 
 
-@query("SELECT path, n FROM (VALUES ('a', 1), ('ab.c', 3), ('b.c', 5)) AS x(path, n)")
+@query("""SELECT path, count(*)::BIGINT AS n FROM (SELECT 'kinds.' || event_type AS path FROM events WHERE event_type IS NOT NULL UNION ALL SELECT 'by_user' FROM events UNION ALL SELECT 'by_user_names.x' FROM events) GROUP BY 1""")
 def prune_dynamic_stats(spark, d):
-    stats = spark.createDataFrame([("a", 1), ("a.x", 2), ("ab.c", 3), ("a.x.y", 4), ("b.c", 5)], "path string, n int")
-    return P.prune(stats, spark.createDataFrame([("a",)], "path string"))
+    """Counts by path of events keyed by type and by user; what is nested under the dynamic path goes, a path that only begins alike stays."""
+    e = t(spark, d, "events")
+    paths = F.array(F.concat(F.lit("kinds."), "event_type"), F.lit("by_user"), F.concat(F.lit("by_user."), F.col("user_id").cast("string")), F.lit("by_user_names.x"))
+    stats = e.select(F.explode(paths).alias("path")).where("path is not null").groupBy("path").agg(F.count("*").alias("n"))
+    return P.prune(stats, spark.createDataFrame([("by_user",)], "path string"))
+
+
+def keyed_documents(spark, d):
+    """A document per customer: a map of its orders by made-up order key, a map of its spending by status, a plain struct."""
+    o, pad = t(spark, d, "orders"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")
+    by_key = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("order_"), pad), F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")))))
+    sums = o.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("by_status"))
+    return o.groupBy("o_custkey").agg(by_key.alias("orders")).join(sums, "o_custkey").select(F.col("o_custkey").alias("_id"), "orders", "by_status", F.struct(F.col("o_custkey").alias("a")).alias("fixed"))
+
+
+INFER_SQL = """WITH k AS (SELECT count(DISTINCT o_orderkey)::BIGINT AS n FROM orders), s AS (SELECT string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS names, count(DISTINCT o_orderstatus) AS n FROM orders)
+SELECT mode, path, is_dynamic, CASE WHEN is_dynamic AND path = 'orders' THEN 'PREFIXED_ID' WHEN is_dynamic THEN 'CUSTOM' END AS pattern, CASE WHEN is_dynamic THEN CASE path WHEN 'orders' THEN (SELECT n FROM k) ELSE (SELECT n FROM s) END END::BIGINT AS keys,
+ CASE WHEN is_dynamic THEN NULL WHEN path = 'by_status' THEN (SELECT names FROM s) WHEN path = 'fixed' THEN 'a' ELSE (SELECT n FROM k) || ' fields' END AS fields
+FROM (SELECT * FROM (VALUES ('default', 'orders', true), ('default', 'by_status', false), ('default', 'fixed', false), ('forced', 'orders', true), ('forced', 'by_status', true), ('forced', 'fixed', false)) AS x(mode, path, is_dynamic))"""
+
+
+@query(INFER_SQL)
+def infer_dynamic_keys(spark, d):
+    """Inference over documents with made-up keys: by default, and with a path forced to be dynamic."""
+    from doclathe.plans.api import dynamic_objects
+
+    docs, out = keyed_documents(spark, d), []
+    for mode, keys in (("default", P.KeyConfig()), ("forced", P.KeyConfig(force_dynamic=("by_status",)))):
+        shaped, found = dynamic_objects(docs, keys)
+        for path in ("orders", "by_status", "fixed"):
+            names = getattr(shaped.schema[path].dataType, "names", None)
+            r = found.get(path)
+            out.append((mode, path, r is not None, r and r["pattern"], r and r["uniqueKeysObserved"], names and ",".join(sorted(names))))
+    return spark.createDataFrame(out, "mode string, path string, is_dynamic boolean, pattern string, keys bigint, fields string")
 
 
 # --- synthesis ---------------------------------------------------------------------------------------------------------
@@ -363,8 +396,10 @@ def prune_dynamic_stats(spark, d):
 
 @query(f"""WITH s AS (SELECT {DIST} FROM ({LEN_SQL})) SELECT 'minmax' AS policy, min::BIGINT AS lo, max::BIGINT AS hi FROM s UNION ALL SELECT 'clamp_25_90', min::BIGINT, p90::BIGINT FROM s UNION ALL SELECT 'clamp_60_99', median::BIGINT, p99::BIGINT FROM s""")
 def array_bounds(spark, d):
-    s = array_length_stats(spark, d).where("path = 'lines'")
-    return s.select(F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(a).cast("long").alias("lo"), F.col(b).cast("long").alias("hi")) for p, a, b in (("minmax", "min", "max"), ("clamp_25_90", "min", "p90"), ("clamp_60_99", "median", "p99"))])))
+    """The bounds that synthesis takes from the length statistics, by policy."""
+    stats = array_length_stats(spark, d).where("path = 'lines'").first().asDict()
+    made = [(p, *D.array_bounds(stats, policy, clamp)) for p, policy, clamp in (("minmax", "minmax", (1, 99)), ("clamp_25_90", "percentileClamp", (25, 90)), ("clamp_60_99", "percentileClamp", (60, 99)))]
+    return spark.createDataFrame(made, "policy string, lo bigint, hi bigint")
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, {U_SQL.format(row='o_orderkey', path='len')} AS u FROM orders) SELECT o_orderkey, CASE WHEN u < 0.5 THEN floor(1 + u / 0.5 * 3) WHEN u < 0.9 THEN floor(3 + (u - 0.5) / 0.4 * 5) ELSE least(12, floor(7 + (u - 0.9) / 0.1 * 6)) END::BIGINT AS length FROM x""")
@@ -416,16 +451,22 @@ def generate_keys(spark, d):
     return spark.range(2000).select("id", F.explode(S.keys("UUID", F.lit(3), 42, F.col("id"), "k")).alias("key"))
 
 
-@query("SELECT pattern, 10000::BIGINT AS n, 10000::BIGINT AS valid, 10000::BIGINT AS distinct_keys FROM (VALUES ('UUID'), ('OBJECTID'), ('ULID'), ('NUMERIC_ID'), ('PREFIXED_ID')) AS x(pattern)")
+def _digits(at: int) -> str:
+    return f"lpad((('0x' || substr(d, {at}, 12))::BIGINT % 100000000)::VARCHAR, 8, '0')"
+
+
+@query(f"""WITH x AS (SELECT i, j, md5('42:' || i || ':k:' || j) AS d, md5('42:' || i || ':k#t:' || j) AS w FROM (SELECT o_orderkey AS i FROM orders), (SELECT range AS j FROM range(1, 6))),
+y AS (SELECT i, unnest(['UUID', 'NUMERIC_ID', 'OBJECTID', 'PREFIXED_ID']) AS pattern, unnest([substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12), {_digits(1)} || {_digits(13)} || lpad(j::VARCHAR, 4, '0'),
+ lower(lpad(to_hex(1735689600 - floor(('0x' || substr(w,1,8))::BIGINT / 4294967296.0 * 31536000)::BIGINT), 8, '0')) || substr(d,1,16), ['user', 'doc', 'item', 'order'][floor(('0x' || substr(d,1,8))::BIGINT / 4294967296.0 * 4)::INT + 1] || '_' || substr(d,1,16)]) AS key FROM x)
+SELECT pattern, count(*)::BIGINT AS n, count(*) FILTER (CASE pattern WHEN 'UUID' THEN regexp_full_match(key, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') WHEN 'NUMERIC_ID' THEN regexp_full_match(key, '[0-9]{{6,20}}')
+ WHEN 'OBJECTID' THEN regexp_full_match(key, '[0-9a-f]{{24}}') ELSE regexp_full_match(key, '(user|doc|item|order)_[a-z0-9]{{8,32}}') END)::BIGINT AS valid, count(DISTINCT key)::BIGINT AS distinct_keys, min(key) AS least, max(key) AS most FROM y GROUP BY 1""")
 def validate_keys(spark, d):
-    out = None
-    for p in S.KEY_PATTERNS:
-        k = spark.range(2000).select(F.explode(S.keys(p, F.lit(5), 42, F.col("id"), "k")).alias("key"))
-        if p == "NUMERIC_ID":
-            k = spark.range(2000).select("id", F.explode(S.keys(p, F.lit(5), 42, F.col("id"), "k")).alias("key")).select(F.concat("key", F.lpad(F.col("id").cast("string"), 4, "0")).alias("key"))
-        one = k.agg(F.count("*").alias("n"), F.count_if(S.key_valid(F.col("key"), p)).alias("valid"), F.count_distinct("key").alias("distinct_keys")).select(F.lit(p).alias("pattern"), "n", "valid", "distinct_keys")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Five keys of four patterns for every order, as SQL makes them, too: how many match their pattern, and how many differ in all."""
+    o = t(spark, d, "orders").select("o_orderkey")
+    each = F.array(*[F.struct(F.lit(p).alias("pattern"), S.keys(p, F.lit(5), 42, F.col("o_orderkey"), "k").alias("keys")) for p in ("UUID", "OBJECTID", "NUMERIC_ID", "PREFIXED_ID")])
+    k = o.select(F.inline(each)).select("pattern", F.explode("keys").alias("key"))
+    ok = reduce(or_, [(F.col("pattern") == p) & S.key_valid(F.col("key"), p) for p in ("UUID", "OBJECTID", "NUMERIC_ID", "PREFIXED_ID")])
+    return k.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.count_distinct("key").alias("distinct_keys"), F.min("key").alias("least"), F.max("key").alias("most"))
 
 
 FIDELITY = {"1": 100, "2": 300, "3": 400, "5": 150, "8": 50}

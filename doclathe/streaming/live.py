@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,34 +14,61 @@ from doclathe.operators import documents as D
 
 
 class IdCache:
-    """A bounded set of live ids in order of insertion: adding revives a tombstone, a full cache lets the oldest go."""
+    """A bounded set of live ids: adding revives a tombstone, a full cache lets the oldest go. Every step, a pick too, takes the same time at any size."""
 
     def __init__(self, size: int = 100_000, ids: list[str] | None = None, dead: list[str] | None = None):
-        self.size, self.live, self.dead = size, dict.fromkeys(ids or []), set(dead or [])
+        self.size = size
+        self.age: dict[str, None] = dict.fromkeys(ids or [])  # in order of insertion
+        self.dead = set(dead or []) & set(self.age)
+        self.open = [k for k in self.age if k not in self.dead]  # what can be picked, in any order
+        self.place = {k: i for i, k in enumerate(self.open)}
+
+    def _close(self, key: str) -> None:
+        """Take a key from the pickable ones: the last one moves to its place."""
+        i = self.place.pop(key, None)
+        if i is not None:
+            last = self.open.pop()
+            if last != key:
+                self.open[i], self.place[last] = last, i
+
+    def _reopen(self, key: str) -> None:
+        if key not in self.place:
+            self.place[key] = len(self.open)
+            self.open.append(key)
 
     def add(self, key: str) -> None:
         self.dead.discard(key)
-        if key not in self.live:
-            if len(self.live) >= self.size:
-                self.live.pop(next(iter(self.live)))
-            self.live[key] = None
+        if key not in self.age:
+            if len(self.age) >= self.size:
+                self.remove(next(iter(self.age)))
+            self.age[key] = None
+        self._reopen(key)
 
     def remove(self, key: str) -> bool:
-        return self.live.pop(key, self) is None
+        if key not in self.age:
+            return False
+        del self.age[key]
+        self.dead.discard(key)
+        self._close(key)
+        return True
 
     def tombstone(self, key: str) -> None:
-        if key in self.live:
+        if key in self.age:
             self.dead.add(key)
+            self._close(key)
 
     def pick(self, u: float) -> str | None:
-        alive = [k for k in self.live if k not in self.dead] if self.dead else list(self.live)
-        return alive[int(u * len(alive))] if alive else None
+        return self.open[int(u * len(self.open))] if self.open else None
+
+    @property
+    def live(self) -> list[str]:
+        return list(self.age)
 
     def __len__(self) -> int:
-        return len(self.live)
+        return len(self.age)
 
     def __contains__(self, key: str) -> bool:
-        return key in self.live
+        return key in self.age
 
 
 OPS = "seq long, shard int, op string, key string"
@@ -51,21 +78,22 @@ STATE = "ids array<string>, dead array<string>"
 def _replay(cache: IdCache, shard: int, rows: pd.DataFrame, on_delete: str) -> pd.DataFrame:
     """Choose the id of each operation in order; what finds no id to change becomes an insert."""
     out = []
-    for r in rows.sort_values("seq").itertuples():
-        op, target = r.op, None
+    rows = rows.sort_values("seq")
+    for seq, op, u, fresh in zip(rows["seq"].tolist(), rows["op"].tolist(), rows["u"].tolist(), rows["fresh"].tolist(), strict=True):
+        target = None
         if op != "insert":
-            target = cache.pick(r.u)
+            target = cache.pick(u)
             if target is None:
                 op = "insert"
         if op == "insert":
-            target = r.fresh
+            target = fresh
             cache.add(target)
         elif op == "delete":
             if on_delete == "remove":
                 cache.remove(target)
             elif on_delete == "tombstone":
                 cache.tombstone(target)
-        out.append((r.seq, shard, op, target))
+        out.append((seq, shard, op, target))
     return pd.DataFrame(out, columns=["seq", "shard", "op", "key"])
 
 
@@ -73,7 +101,7 @@ def _advance(on_delete: str, cache_size: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cache = IdCache(cache_size, *(list(x) for x in state.get)) if state.exists else IdCache(cache_size)
         out = _replay(cache, key[0], pd.concat(list(chunks)), on_delete)
-        state.update((list(cache.live), sorted(cache.dead)))
+        state.update((cache.live, sorted(cache.dead)))
         yield out
 
     return step
@@ -99,11 +127,12 @@ def change_log(spark: SparkSession, total: int, ratios: dict[str, float], ids: D
     asked = requests(spark.range(total).withColumnRenamed("id", "value"), ratios, seed, shards, warm_up=warm_up)
 
     def simulate(key: tuple, ops: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        cache = IdCache(cache_size, sorted(known["key"].astype(str))[:cache_size])
+        cache = IdCache(cache_size, sorted(known["key"].astype(str)))
         return _replay(cache, int(key[0]), ops, on_delete)
 
     known = (ids if ids is not None else spark.createDataFrame([], "key string")).toDF("key").where("key is not null").select(F.col("key").cast("string").alias("key"))
     known = known.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key")
+    known = known.withColumn("r", F.row_number().over(Window.partitionBy("shard").orderBy("key"))).where(F.col("r") <= cache_size).drop("r")  # no task gets more than its cache holds
     log = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(simulate, OPS)
     if gen is None:
         return log

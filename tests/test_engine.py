@@ -360,3 +360,54 @@ def test_change_log_batch(spark, tmp_path):
     assert 0 < spark.read.parquet(str(tmp_path / "o")).count() < 100
     R.save_schema(SCHEMA, str(tmp_path / "s.json"))
     assert cli.main(["generate", "--schema", str(tmp_path / "s.json"), "--count", "50", "--output", str(tmp_path / "log"), "--cdc", "insert:50,update:50", "--manifest", str(tmp_path / "m.json")], spark) == 0
+
+
+def test_draft07(spark):
+    """Wrong kinds are violations, never errors; nested, map and combined rules."""
+    df = spark.createDataFrame([("notanumber", True, [1, 1], {"a": 1, "b": 300}), (None, None, None, None)], "age string, name boolean, tags array<int>, m map<string,int>")
+    schema = {"properties": {"age": {"type": "number", "minimum": 3}, "name": {"type": "string"}, "tags": {"type": "array", "uniqueItems": True, "items": {"oneOf": [{"maximum": 5}, {"minimum": 0}]}}, "m": {"type": "object", "additionalProperties": {"maximum": 200}, "required": ["z"]}}}
+    got = [sorted(tuple(v) for v in r[0]) for r in df.select(D.violations(schema, df)).collect()]
+    assert got == [[("/age", "type"), ("/m/*", "maximum"), ("/m/z", "required"), ("/name", "type"), ("/tags", "uniqueItems"), ("/tags[]", "oneOf"), ("/tags[]", "oneOf")], []]
+    assert D.conformance(df, {"properties": {"age": {"type": "integer"}}}).first()["valid"] == 1
+    docs = spark.createDataFrame([('{"a":null,"b":"x"}',), ('{"a":1.5}',), ("[1]",)], "j string").select(F.parse_json("j").alias("v"))
+    rule = {"type": "object", "properties": {"a": {"type": ["integer", "null"]}, "b": {"enum": ["x", 1]}}, "required": ["b"]}
+    assert [sorted(tuple(v) for v in r[0]) for r in docs.select(D.violations_of(F.col("v"), rule)).collect()] == [[], [("/a", "type"), ("/b", "required")], [("", "type")]]
+
+
+def test_dynamic_structs(spark):
+    """Structs wide with made-up keys become maps unless told otherwise, values of several kinds keep them all, and what is made conforms."""
+    k = lambda i: "%08x-0000-4000-8000-%012x" % (i, i)
+    lines = ["{" + f'"_id":"{i}","m":{{"{k(2 * i)}":{i},"{k(2 * i + 1)}":' + ('"t"' if i % 4 == 0 else "2.5") + '},"s":{"x":1,"y":2}}' for i in range(30)]
+    df = spark.read.json(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r[0]))
+    schema, _ = api.infer(df)
+    m = schema["properties"]["m"]["x-dynamic-keys"]
+    assert m["pattern"] == "UUID" and m["uniqueKeysObserved"] == 60 and m["countDistribution"] == {"2": 30} and "x" in schema["properties"]["s"]["properties"]
+    assert [x["type"] for x in m["valueSchema"]["anyOf"]] and sum(m["valueSchema"]["x-type-probabilities"]) == pytest.approx(1, abs=1e-5)
+    for keys in (P.KeyConfig(force_static=("m",)), P.KeyConfig.disabled()):
+        assert len(api.infer(df, keys=keys)[0]["properties"]["m"]["properties"]) == 60
+    assert "x-dynamic-keys" in api.infer(df, keys=P.KeyConfig(force_dynamic=("s",)))[0]["properties"]["s"]
+
+
+def test_annotation_layouts(spark):
+    values, counts = {"type": "integer", "minimum": 1, "maximum": 3}, {"2": 1}
+    layouts = ({"x-dynamic-keys": {"pattern": "ULID", "countDistribution": counts, "valueSchema": values}}, {"x-dynamic-keys": {"enabled": True, "metadata": {"pattern": "ULID", "countDistribution": counts}, "valueSchema": {"schemas": [values]}}}, {"x-dynamic-keys": {"pattern": "ULID", "countDistribution": counts}, "x-dynamic-key-value-schema": values})
+    for p in layouts:
+        schema = {"properties": {"m": {"type": "object"} | p}}
+        made = D.Generator(schema).generate(spark, 20)
+        assert made.where((F.size("m") != 2) | F.exists(F.map_values("m"), lambda v: ~v.between(1, 3)) | F.exists(F.map_keys("m"), lambda x: ~S.key_valid(x, "ULID"))).count() == 0
+        assert [x for x, _ in D.dynamic_annotations(schema)] == ["m"] and D.conformance(made, schema).first()["rate"] == 1.0
+    own = {"properties": {"m": {"type": "object", "x-dynamic-keys": {"pattern": "CUSTOM", "customPattern": "^sku-[0-9]{4}$", "countDistribution": {"3": 1}, "valueSchema": values}}}}
+    assert D.Generator(own).generate(spark, 20).where((F.size("m") != 3) | F.exists(F.map_keys("m"), lambda x: ~x.rlike("^sku-[0-9]{4}$"))).count() == 0
+
+
+def test_id_cache_time():
+    """A pick takes the same time in a full cache as in a small one; order of age, not of places, decides what goes."""
+    c = live.IdCache(3, ["a", "b", "c"])
+    c.remove("a")
+    c.add("d")
+    c.add("e")
+    assert "b" not in c and sorted(c.live) == ["c", "d", "e"]
+    big = live.IdCache(200_000, [str(i) for i in range(200_000)])
+    for i in range(100_000):
+        big.tombstone(big.pick((i * 7919 % 100_000) / 100_000))
+    assert len(big.dead) == 100_000 and big.pick(0.3) not in big.dead
