@@ -70,6 +70,17 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def variant_leaves(typ: T.DataType, path: str = "") -> list[str]:
+    """Paths, elements and map values included, whose values are variants."""
+    if isinstance(typ, T.StructType):
+        return [p for f in typ.fields for p in variant_leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    if isinstance(typ, T.ArrayType):
+        return variant_leaves(typ.elementType, path + "[]")
+    if isinstance(typ, T.MapType):
+        return variant_leaves(typ.valueType, path + ".*")
+    return [path] if isinstance(typ, T.VariantType) else []
+
+
 def variant_paths(df: DataFrame, json: str, carry: tuple[str, ...] = (), depth: int = 100) -> DataFrame:
     """The same for JSON text whose keys and types aren't known: level by level. carry, path, typ, value (string)."""
     level = df.select(*carry, F.lit("").alias("path"), F.parse_json(json).alias("v"))

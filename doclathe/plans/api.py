@@ -30,7 +30,7 @@ def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
         for r in P.semantic_best(P.semantic_profile(rows.where("kind = 'string'"))).collect():
             out.setdefault(r["path"], {})["format"] = next(x.format for x in S.DETECTORS if x.name == r["detector"])
         whole = F.when((F.col("kind") == "number") & (F.col("num") == F.floor("num")), "integer").otherwise(F.col("kind"))
-        mixed = [p for p, t in P.field_paths(df.schema) if t == "variant"]
+        mixed = P.variant_leaves(df.schema)
         if mixed:
             for r in P.value_types(rows.where(F.col("path").isin(mixed)).select("path", whole.alias("typ"))).collect():
                 out.setdefault(r["path"], {}).setdefault("types", []).append(r.asDict())
@@ -51,11 +51,9 @@ def dynamic_objects(df: DataFrame, keys: P.KeyConfig | None = None) -> tuple[Dat
     if dynamic:
         for r in P.dynamic_stats(rows.where(F.col("parent").isin(list(dynamic))), config).collect():
             more = {"confidence": r["confidence"], "confidenceLevel": r["level"], "documentsAnalyzed": r["n_docs"], "uniqueKeysObserved": r["n_keys"], "exampleKeys": r["examples"]}
-            if r["pattern"] is None and len(config.patterns):
-                more["confidence"] = r["confidence"]
             dynamic[r["path"]] |= more
-            if dynamic[r["path"]]["pattern"] not in S.KEY_PATTERNS and dynamic[r["path"]]["pattern"] in config.patterns:
-                dynamic[r["path"]] |= {"customPattern": config.patterns[dynamic[r["path"]]["pattern"]]}
+            if r["pattern"] in config.patterns and r["pattern"] not in S.KEY_PATTERNS:  # a pattern of one's own
+                dynamic[r["path"]]["customPattern"] = config.patterns[r["pattern"]]
     # Keys of maps that aren't dynamic, as many as a static schema has fields.
     maps = {p for p, t in P.field_paths(df.schema) if t == "map"} - set(dynamic)
     names: dict[str, list[str]] = {}
