@@ -132,7 +132,8 @@ def upgrade(stats: dict[str, Any]) -> dict[str, Any]:
 
 
 def load_constraints(spark: SparkSession, path: str) -> DataFrame:
-    """path, value, n: the array-length frequency tables of a saved profile."""
-    stats = [upgrade(s) for s in load_json(path, "constraints").get("arrayStats", [])]
+    """path, value, n: the array-length frequency tables of a saved profile, as inference writes it (facts by path) or as a list `arrayStats`."""
+    saved = load_json(path, "constraints")
+    stats = [upgrade(s) for s in saved.get("arrayStats", [])] or [upgrade(f["array"]) | {"fieldPath": p} for p, f in saved.items() if isinstance(f, dict) and "array" in f]
     rows = [(s["fieldPath"], float(v), int(n)) for s in stats for v, n in s["distribution"].items()]
     return spark.createDataFrame(rows, "path string, value double, n bigint")
