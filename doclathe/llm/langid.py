@@ -201,4 +201,5 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    """Whether a row is kept from training; a null id counts as the empty text, so such rows are held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -222,6 +222,17 @@ def test_language(spark):
     assert all((a == b).all() for a, b in zip(whole, part, strict=True))
 
 
+def test_language_query(spark):
+    """Held-out accuracy of the query on a given table; a null id is held out, never null."""
+    sf = "/root/testdata/sf0.01"
+    got = registry.op3_language_id(spark, sf)
+    named = got.join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = named.agg(F.count("*"), F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()
+    assert n > 50 and right >= 0.95
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert spark.range(1).select(langid.held_out(F.lit(None).cast("long"))).first()[0] is True
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
