@@ -361,8 +361,6 @@ def test_change_log_batch(spark, tmp_path):
     assert cli.main(["mutate", "--target", str(tmp_path / "t"), "--key", "k", "--output", str(tmp_path / "o"), "--ratios", "update:50,delete:50", "--count", "60"], spark) == 0
     assert 0 < spark.read.parquet(str(tmp_path / "o")).count() < 100
     R.save_schema(SCHEMA, str(tmp_path / "s.json"))
-    lengths = {(r["path"], r["value"]): r["n"] for r in R.load_constraints(spark, str(tmp_path / "c.json")).collect()}
-    assert sum(n for (p, _), n in lengths.items() if p == "tags") == 400
     assert cli.main(["generate", "--schema", str(tmp_path / "s.json"), "--count", "50", "--output", str(tmp_path / "log"), "--cdc", "insert:50,update:50", "--manifest", str(tmp_path / "m.json")], spark) == 0
 
 
