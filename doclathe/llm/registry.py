@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, langid, mixing, passages, secrets, simhash, vectors, warc
-from .runtime import drop_path, scratch, table
+from . import bpe, exact, html, langid, lexical, mixing, packing, passages, secrets, simhash, turns, vectors, warc
+from .runtime import drop_path, scratch, store, table
 
 
 def rank_file() -> str:
@@ -17,6 +17,12 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -68,6 +74,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = store(turns.paths(table(spark, sf_dir, "conversations")), "paths")
+    c = F.col("conv_id")
+    return turns.trie(turns.with_heads(own, own.where("conv_id % 20 = 0"), c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, most=3))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary_file(), longest=4096), tokens=4096)
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
@@ -146,5 +166,26 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i
 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_html_extraction, op8_embedding_near_dedup, op9_warc_revisits, op10_byte_bpe)}
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_warc_revisits": OP9_SQL}
+OP11_SQL = """
+WITH q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), qt AS (
+  SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents
+), g AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g WHERE term IN (SELECT term FROM qt) GROUP BY term, docs
+), s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM qt JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_language_id, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_html_extraction, op8_embedding_near_dedup, op9_warc_revisits, op10_byte_bpe, op11_lexical_search, op12_prefix_trie, op13_best_fit_packing)}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mixing": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_warc_revisits": OP9_SQL, "op11_lexical_search": OP11_SQL}
