@@ -269,10 +269,10 @@ def plan(counts: dict[int, int], tokens: int, docs: int, cost: int, rule: str =
     return min(made, key=lambda x: x[1])
 
 
-def pack(df: DataFrame, tokens: int = 4096, docs: int | None = None, cost: int | None = None, rule: str = "fewest", weights: Sequence[float] = (1.0, 1.0, 1.0), bucket: int = 20_000, small: int = 1_000_000) -> DataFrame:
+def pack(df: DataFrame, tokens: int = 4096, docs: int | None = None, cost: int | None = None, rule: str = "fewest", weights: Sequence[float] = (1.0, 1.0, 1.0), bucket: int = 1000, most_buckets: int = 100_000, small: int = 1_000_000) -> DataFrame:
     """df, which has a column `length`, with sequence_id and offset. docs, cost: by default what no sequence of so many tokens can exceed.
 
-    small: up to so many buckets of about `bucket` rows are broadcast with the number of rows before them; beyond, they are joined."""
+    A length has buckets of about `bucket` rows, or `most_buckets` larger ones. small: up to so many buckets are broadcast with the number of rows before them; beyond, they are joined."""
     docs, cost = docs or tokens, cost or tokens * tokens
     most = min(tokens, math.isqrt(cost))
     ship(df.sparkSession)
@@ -281,12 +281,13 @@ def pack(df: DataFrame, tokens: int = 4096, docs: int | None = None, cost: int |
     sized = rows.where(F.col("length").between(1, most))
     counts = {r["length"]: r["n"] for r in sized.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     steps, _ = plan(counts, tokens, docs, cost, rule, weights)
-    parts = df.sparkSession.createDataFrame([(x, -(-n // bucket)) for x, n in counts.items()], "length long, buckets long")
+    buckets = {x: min(-(-n // bucket), most_buckets) for x, n in counts.items()}
+    parts = df.sparkSession.createDataFrame(list(buckets.items()), "length long, buckets long")
     spread = rows.join(F.broadcast(parts), "length", "left").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.coalesce("buckets", F.lit(1))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = cut(spread.where("buckets is not null").groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
     number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("rid"))
-    placed = spread.where("buckets is not null").withColumn("number", number).join(F.broadcast(per) if sum(-(-n // bucket) for n in counts.values()) <= small else per, ["length", "bucket"])
+    placed = spread.where("buckets is not null").withColumn("number", number).join(F.broadcast(per) if sum(buckets.values()) <= small else per, ["length", "bucket"])
     placed = placed.select("row", "length", (F.col("base") + F.col("number") - 1).alias("rank"))
     table = df.sparkSession.sparkContext.broadcast(np.array(sorted(steps), np.int64).reshape(-1, 6))
     schema = T.StructType([rows.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
