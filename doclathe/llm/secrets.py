@@ -4,9 +4,9 @@ Strong spans are reported on their own: `assign`, `access` and `hex` (see BASE).
 an access identifier (`user = ...`, a short `AKIA` key), a secret (short values, any of `pwd` and `pass`, which `assign` doesn't know, or
 high-entropy ones) or an endpoint
 (a URL, `host = ...`). A weak part is reported only if both of the other two roles occur in its scope, a
-paragraph, within `reach` code points: an interval join of parts by role. Parts are kept sorted by position, so
-each join is a binary search in the neighbouring role; no pairs are emitted, and work stays n log n in the
-parts of a text however many there are.
+paragraph, with at most `reach` code points between the two: an interval join of parts by role. Parts are kept sorted by start with the last end
+so far, so each join is a binary search in the neighbouring role, however long parts are and whichever comes first; no pairs are emitted, and
+work stays n log n in the parts of a text however many there are.
 
 Defined results: null and empty texts have no spans. Texts are scanned whole. Repeated rows give repeated rows.
 Columns besides id and text are ignored, so their names can't clash.
@@ -39,7 +39,7 @@ WEAK = (
 KINDS = (*BASE, *(k for k, _, _ in WEAK))
 ROLE = {"assign": "secret", "access": "access", "hex": "secret"} | {k: r for k, r, _ in WEAK}
 ROLES = ("access", "secret", "endpoint")
-SPAN = "struct<kind:string,start:int,end:int>"
+SPAN = "struct<kind:string,start:int,end:int,link:int>"
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _MAY_BE_WEAK = re.compile(r"""[:=]""")
 
@@ -75,20 +75,36 @@ def weak_spans(text: str, strong: list[tuple[int, int, int]], reach: int) -> lis
     if not parts:
         return []
     breaks = [m.start() for m in _BLANK.finditer(text)]
-    near: dict[tuple[str, int], list[int]] = {}  # starts by role and scope, in order
-    for s, k, _ in sorted([*strong, *parts]):
-        near.setdefault((ROLE[KINDS[k]], bisect.bisect_right(breaks, s)), []).append(s)
-
-    def joined(role: str, scope: int, s: int, e: int) -> bool:
-        at = near.get((role, scope), ())
-        i = bisect.bisect_left(at, s - reach)
-        return i < len(at) and at[i] <= e + reach
-
-    out = []
-    for s, k, e in parts:
-        own, scope = ROLE[KINDS[k]], bisect.bisect_right(breaks, s)
-        if all(joined(r, scope, s, e) for r in ROLES if r != own):
-            out.append((s, k, e))
+    scope = lambda s: bisect.bisect_right(breaks, s)
+    near: dict[tuple[str, int], tuple[list[int], list[int]]] = {}  # by role and scope: starts in order, and the last end so far
+    for s, k, e in sorted([*strong, *parts]):
+        starts, ends = near.setdefault((ROLE[KINDS[k]], scope(s)), ([], []))
+        starts.append(s)
+        ends.append(max(e, ends[-1]) if ends else e)
+
+    def joined(role: str, at: int, s: int, e: int) -> bool:
+        """Whether a part of the role begins before [s, e) ends and ends after it begins, both by `reach` at most."""
+        starts, ends = near.get((role, at), ((), ()))
+        i = bisect.bisect_right(starts, e + reach)
+        return i > 0 and ends[i - 1] >= s - reach
+
+    return [(s, k, e) for s, k, e in parts if all(joined(r, scope(s), s, e) for r in ROLES if r != ROLE[KINDS[k]])]
+
+
+def links(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[int | None]:
+    """For each span (in order) the start of the first one that it is linked with, by way of others: spans of a paragraph with no more than `reach` code points between one and the next.
+    None for strong spans without a weak one."""
+    if all(k < len(BASE) for _, k, _ in spans):
+        return [None] * len(spans)
+    breaks = [m.start() for m in _BLANK.finditer(text)]
+    out: list[int | None] = []
+    begin, end, scope, first = 0, -1, -1, 0
+    for i, (s, _, e) in enumerate([*spans, (len(text) + reach + 1, 0, 0)]):
+        own = bisect.bisect_right(breaks, s)
+        if i == 0 or own != scope or s > end + reach:
+            out += [begin if any(k >= len(BASE) for _, k, _ in spans[first:i]) else None] * (i - first)
+            begin, end, scope, first = s, e, own, i
+        end = max(end, e)
     return out
 
 
@@ -100,15 +116,18 @@ def find(text: str | None, reach: int = 400) -> list[tuple[int, int, int]]:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 400) -> DataFrame:
-    """id, spans: array of (kind, start, end) by start, then kind; offsets are code points, end exclusive."""
+    """id, spans: array of (kind, start, end, link) by start, then kind; offsets are code points, end exclusive; link is the same for spans of a text that are linked (see links())."""
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    typ = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    typ = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("link", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t.as_py(), reach)] for t in texts]
+            found = []
+            for t in texts:
+                spans = find(text_ := t.as_py(), reach)
+                found.append([{"kind": KINDS[k], "start": s, "end": e, "link": x} for (s, k, e), x in zip(spans, links(text_ or "", spans, reach), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, typ)], names=[id_col, "spans"])
 
     return df.select(df[id_col], df[text].cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, spans array<{SPAN}>")

@@ -86,6 +86,40 @@ def test_secrets_pwd():
             assert secrets.find(f"{key}={value}") == []
 
 
+def brute_weak(t, reach):
+    """Every pair of parts is looked at."""
+    strong = secrets.base_spans(t)
+    parts = [(m.start(), 3 + i, m.end()) for i, (_, _, rx) in enumerate(secrets.WEAK) for m in rx.finditer(t)]
+    parts = [p for p in parts if not any(s < p[2] and e > p[0] for s, _, e in strong)]
+    scope = lambda x: sum(m.start() <= x for m in re.finditer(r"\n[ \t\r]*\n", t))
+    role = lambda x: secrets.ROLE[secrets.KINDS[x[1]]]
+    meets = lambda a, b: scope(a[0]) == scope(b[0]) and max(a[0], b[0]) - min(a[2], b[2]) <= reach
+    return [p for p in parts if {role(q) for q in [*strong, *parts] if role(q) != role(p) and meets(p, q)} == set(secrets.ROLES) - {role(p)}]
+
+
+def test_secret_parts_of_any_length_link_in_any_order(spark):
+    long = {"token": "token=" + "a1B" * 300, "server": "server=db.example.com", "user": "user=bob"}
+    for order in ("token server user", "server token user", "user server token"):
+        t = " ".join(long[k] for k in order.split())
+        assert sorted(secrets.KINDS[k] for _, k, _ in secrets.find(t)) == ["assign", "weak_access", "weak_endpoint"], order
+    t = "url: https://example.com/" + "p" * 600 + " user=bob pass=abcd"
+    assert len(secrets.find(t)) == 3
+    rng = random.Random(12)
+    make = [lambda n: "token=" + "a1B" * n, lambda n: "url: https://ex.com/" + "p" * n, lambda n: "user=" + "b" * (3 + n), lambda n: "pass=" + "x" * (4 + n), lambda n: "word " * n, lambda n: "\n\n", lambda n: "." * n]
+    for _ in range(500):
+        t = " ".join(rng.choice(make)(rng.choice([1, 3, 20, 90])) for _ in range(rng.randint(2, 14)))
+        strong = secrets.base_spans(t)
+        assert secrets.weak_spans(t, strong, 60) == brute_weak(t, 60), t
+        spans = secrets.find(t, 60)
+        told = dict(zip(spans, secrets.links(t, spans, 60), strong=True))
+        for a in spans:
+            for b in spans:
+                if told[a] is not None and max(a[0], b[0]) - min(a[2], b[2]) <= 60 and "\n\n" not in t[min(a[0], b[0]) : max(a[0], b[0])]:
+                    assert told[a] == told[b], "neighbours have one link"
+    got = secrets.scan(table(spark, [(1, "user=bob host=a.example.com pass=abcd"), (1, "user=bob host=a.example.com pass=abcd"), (2, "x " * 200000 + "user=bob host=a.example.com pass=abcd")])).collect()
+    assert [[(s["kind"], s["link"] - r["spans"][0]["start"]) for s in r["spans"]] for r in got] == [[("weak_access", 0), ("weak_endpoint", 0), ("weak_secret", 0)]] * 3
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------------
 
 
