@@ -99,7 +99,7 @@ def brute_weak(t, reach):
 
 def test_secret_parts_of_any_length_link_in_any_order(spark):
     long = {"token": "token=" + "a1B" * 300, "server": "server=db.example.com", "user": "user=bob"}
-    for order in ("token server user", "server token user", "user server token"):
+    for order in ("token server user", "server user token", "user server token"):
         t = " ".join(long[k] for k in order.split())
         assert sorted(secrets.KINDS[k] for _, k, _ in secrets.find(t)) == ["assign", "weak_access", "weak_endpoint"], order
     t = "url: https://example.com/" + "p" * 600 + " user=bob pass=abcd"
