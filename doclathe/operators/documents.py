@@ -14,6 +14,7 @@ from doclathe.functions import scalar as S
 from doclathe.operators import profile as P
 from doclathe.operators.rules import Rules, assumed, joined
 from doclathe.operators.rules import value_schema as value_json_schema
+from doclathe.operators.state import variant_schema
 
 # --- normalising -------------------------------------------------------------------------------------------------------
 
@@ -91,10 +92,12 @@ def synthesize(schema: T.StructType, facts: dict[str, dict[str, Any]], config: S
             return out
         if isinstance(typ, T.MapType):
             d = dynamic.get(path, {})
+            if "names" in d:  # a map whose keys are fixed
+                return {"type": "object", "properties": {k: prop(typ.valueType, path + ".*") for k in d["names"]}, "additionalProperties": False}
             told = {k: v for k, v in d.items() if k not in ("pattern", "distribution")}
             return {"type": "object", "x-dynamic-keys": {"enabled": True, "pattern": d.get("pattern", "CUSTOM"), **told, "countDistribution": d.get("distribution", {"10": 1}), "valueSchema": prop(typ.valueType, path + ".*")}}
         if isinstance(typ, T.VariantType):
-            return P.value_schema(f["types"], f.get("numeric")) if "types" in f else {"type": "string"}
+            return variant_schema(facts, path, config.required_threshold)
         if isinstance(typ, T.BooleanType):
             return {"type": "boolean"}
         gen: dict[str, Any] = {}
@@ -325,20 +328,46 @@ def mutation(gen: Generator, mode: str, row: Column, current: dict[str, Column]
     return F.create_map(F.lit("updatedAt"), js(F.date_format(when, ISO)))
 
 
-def apply_log(target: DataFrame, log: DataFrame, key: str, cols: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
-    """target after all operations in order. log: key, seq, op and, for an insert, all columns; for an update those that change, the rest null.
-
-    Set-based: of each key only operations after its last insert or delete count; the last non-null value of a column wins. One shuffle of the
-    log by key; the result of each key is one row."""
-    last_full = F.max(F.when(F.col(op).isin("insert", "delete"), F.col(seq))).over(Window.partitionBy(key))
-    tail = log.withColumn("__full", last_full).where(F.col("__full").isNull() | (F.col(seq) >= F.col("__full")))
-    full_op = F.max_by(F.when(F.col(op) != "update", F.col(op)), F.when(F.col(op) != "update", F.col(seq)))
-    folded = tail.groupBy(key).agg(full_op.alias("__op"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"__{c}") for c in cols])
-    gone = F.coalesce(F.col("__op") == "delete", F.lit(False))
-    exists = F.col("__there") | F.coalesce(F.col("__op") == "insert", F.lit(False))
-    j = target.withColumn("__there", F.lit(True)).join(folded, key, "full_outer").withColumn("__there", F.coalesce("__there", F.lit(False)))
-    fresh = F.coalesce(F.col("__op") == "insert", F.lit(False))
-    return j.where(exists & ~gone).select(key, *[F.when(fresh, F.col(f"__{c}")).otherwise(F.coalesce(f"__{c}", c)).alias(c) for c in cols])
+OPS = ("insert", "update", "delete")
+
+
+def _set(op: str, present: str | None, c: str) -> Column:
+    """Whether an operation sets a column: an insert sets all; an update those that `present` (an array of names) lists or, without it, those that aren't null."""
+    told = F.col(c).isNotNull() if present is None else F.coalesce(F.array_contains(present, c), F.col(c).isNotNull())
+    return (F.col(op) == "insert") | ((F.col(op) == "update") & told)
+
+
+def apply_log(target: DataFrame, log: DataFrame, key: str, cols: list[str], seq: str = "seq", op: str = "op", present: str | None = None) -> DataFrame:
+    """target after all operations in order. log: key, seq, op and, for an insert, all columns; for an update those that change. present: the name of a column of the log with the
+    names of the columns that an update sets, so that null can be set; where it is null or missing, those that aren't null. Operations of any other kind are skipped; updates and deletes of
+    keys that aren't there do nothing; an insert of a key that is there replaces its row.
+
+    One aggregation of the log by key: an insert sets every column, so the last operation that set a column is never before the last insert, and after a delete there is no row unless an insert follows."""
+    known = log.where(F.col(op).isin(*OPS))
+    full = F.when(F.col(op) != "update", F.col(seq))
+    folded = known.groupBy(key).agg(F.max_by(op, full).alias("__op"), *[F.max_by(F.struct(F.col(c).alias("v")), F.when(_set(op, present, c), F.col(seq))).alias(f"__{c}") for c in cols])
+    j = target.withColumn("__there", F.lit(True)).join(folded, key, "full_outer")
+    last = F.col("__op")
+    kept = F.coalesce(last == "insert", F.col("__there") & ~F.coalesce(last == "delete", F.lit(False)), F.lit(False))
+    return j.where(kept).select(key, *[F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.v")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def log_outcomes(target: DataFrame, log: DataFrame, key: str, cols: list[str], seq: str = "seq", op: str = "op", present: str | None = None) -> DataFrame:
+    """key, seq, op, outcome of every operation: inserted, replaced (an insert of a key that was there), modified, matched (an update that changes nothing), deleted, unmatched (an update or delete of
+    a key that wasn't there), skipped (of another kind). What was there before an operation follows from the last insert or delete of its key before it, or from the target."""
+    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    there = target.select(F.col(key), F.lit(True).alias("__there"), *[F.struct(F.col(c).alias("v")).alias(f"__old_{c}") for c in cols])
+    j = log.join(there, key, "left")
+    full = F.last(F.when(F.col(op).isin("insert", "delete"), F.col(op) == "insert"), ignorenulls=True).over(before)
+    was = F.coalesce(full, "__there", F.lit(False))
+    values = [F.coalesce(F.last(F.when(_set(op, present, c), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(before), F.col(f"__old_{c}"))["v"] for c in cols]
+    changed = reduce(lambda a, b: a | b, [_set(op, present, c) & ~F.col(c).eqNullSafe(old) for c, old in zip(cols, values, strict=True)], F.lit(False))
+    told = j.withColumn("__was", was).withColumn("__changed", changed)
+    outcome = (
+        F.when(F.coalesce(~F.col(op).isin(*OPS), F.lit(True)), "skipped").when(F.col(op) == "insert", F.when(F.col("__was"), "replaced").otherwise("inserted")).when(~F.col("__was"), "unmatched")
+        .when(F.col(op) == "delete", "deleted").when(F.col("__changed"), "modified").otherwise("matched")
+    )
+    return told.select(key, seq, op, outcome.alias("outcome"))
 
 
 def insert_rows(target: DataFrame, rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:

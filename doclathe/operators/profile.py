@@ -4,6 +4,8 @@ semantic types and dynamic keys. All scale with the data as DataFrame plans; onl
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,22 +24,40 @@ def _record(path: str, kind: str, num: Column | None = None, text: Column | None
     return F.struct(F.lit(path).alias("path"), F.lit(kind).alias("kind"), (F.lit(None) if num is None else num).cast("double").alias("num"), (F.lit(None) if text is None else text).cast("string").alias("str"))
 
 
-def _records(col: Column, typ: T.DataType, path: str) -> Column:
-    """All records below one value, as one array: leaves by type, arrays by length, then their elements under `path[]`."""
+#: Kinds of records by type; a variant may be of any.
+KINDS = ("number", "string", "boolean", "other", "array", "object", "key")
+
+
+def _records(col: Column, typ: T.DataType, path: str, kinds: frozenset[str] = frozenset(KINDS), objects: bool = False, walked: bool = False) -> Column | None:
+    """All records of `kinds` below one value, as one array: leaves by type, arrays by length, then their elements under `path[]`; None if there can be none, so that what
+    isn't asked for isn't computed. objects: structs count as objects; walked: variants are left to state.walk()."""
     none = F.array().cast(RECORD)
+    below = lambda c, t, p: _records(c, t, p, kinds, objects, walked)
+    there = lambda parts: F.when(col.isNull(), none).otherwise(F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else None
     if isinstance(typ, T.StructType):
-        kids = [_records(col.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name) for f in typ.fields if not f.name.startswith("__")]
-        return F.when(col.isNull(), none).otherwise(F.concat(*kids)) if kids else none
+        fields = [f for f in typ.fields if not f.name.startswith("__")]
+        kids = [x for f in fields if (x := below(col.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name)) is not None]
+        if objects and "object" in kinds and path:
+            size = reduce(add, [col.getField(f.name).isNotNull().cast("int") for f in fields], F.lit(0))
+            kids.insert(0, F.array(_record(path, "object", size)))
+        return there(kids)
     if isinstance(typ, T.ArrayType):
-        own = F.array(_record(path, "array", F.size(col)))
-        inner = F.flatten(F.transform(col, lambda x: _records(x, typ.elementType, path + "[]")))
-        return F.when(col.isNull(), none).otherwise(F.concat(own, inner))
+        parts = [F.array(_record(path, "array", F.size(col)))] if "array" in kinds else []
+        if below(F.lit(None).cast(typ.elementType), typ.elementType, path + "[]") is not None:
+            parts.append(F.flatten(F.transform(col, lambda x: below(x, typ.elementType, path + "[]"))))
+        return there(parts)
     if isinstance(typ, T.MapType):
-        own = F.transform(F.map_keys(col), lambda k: _record(path, "key", text=k))
-        count = F.array(_record(path, "object", F.size(col)))
-        inner = F.flatten(F.transform(F.map_values(col), lambda x: _records(x, typ.valueType, path + ".*")))
-        return F.when(col.isNull(), none).otherwise(F.concat(count, own, inner))
+        parts = [F.array(_record(path, "object", F.size(col)))] if "object" in kinds else []
+        if "key" in kinds:
+            parts.append(F.transform(F.map_keys(col), lambda k: _record(path, "key", text=k)))
+        if below(F.lit(None).cast(typ.valueType), typ.valueType, path + ".*") is not None:
+            parts.append(F.flatten(F.transform(F.map_values(col), lambda x: below(x, typ.valueType, path + ".*"))))
+        return there(parts)
+    if isinstance(typ, T.VariantType) and walked:
+        return None
     if isinstance(typ, T.NumericType):
+        if "number" not in kinds:
+            return None
         v = col.cast("double")
         one = _record(path, "number", v)
         return F.when(col.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), none).otherwise(F.array(one))
@@ -47,13 +67,16 @@ def _records(col: Column, typ: T.DataType, path: str) -> Column:
         one = F.struct(F.lit(path).alias("path"), F.when(num.isNotNull(), "number").otherwise(F.lower(raw)).alias("kind"), num.alias("num"), F.when(raw == "STRING", F.try_variant_get(col, "$", "string")).alias("str"))
         return F.when(col.isNull(), none).otherwise(F.array(one))
     kind = "boolean" if isinstance(typ, T.BooleanType) else "string" if isinstance(typ, T.StringType) else "other"
+    if kind not in kinds:
+        return None
     return F.when(col.isNull(), none).otherwise(F.array(_record(path, kind, text=None if kind == "other" else col)))
 
 
-def unnest(df: DataFrame, *carry: str) -> DataFrame:
-    """carried columns, path, kind, num, str: one row per leaf, array, object and key, in one pass over typed columns."""
-    cols = [_records(F.col(f"`{f.name}`"), f.dataType, f.name) for f in df.schema.fields if not f.name.startswith("__") and f.name not in carry]
-    return df.select(*carry, F.inline(F.concat(*cols)))
+def unnest(df: DataFrame, *carry: str, kinds: tuple[str, ...] = KINDS, objects: bool = False, walked: bool = False) -> DataFrame:
+    """carried columns, path, kind, num, str: one row per leaf, array, object and key, in one pass over typed columns. kinds: only columns that have such values are read;
+    of variants all kinds come. objects, walked: see _records()."""
+    cols = [_records(F.col(f"`{f.name}`"), f.dataType, f.name, frozenset(kinds), objects, walked) for f in df.schema.fields if not f.name.startswith("__") and f.name not in carry]
+    return df.select(*carry, F.inline(F.concat(F.array().cast(RECORD), *[c for c in cols if c is not None])))
 
 
 def field_paths(schema: T.DataType, prefix: str = "") -> list[tuple[str, str]]:
@@ -144,9 +167,12 @@ def percentile(freq: DataFrame, q: float, value: str = "value", n: str = "n") ->
     return distribution(freq, [], value, n, quantiles={"value": q}).select("value")
 
 
-def numeric_profile(rows: DataFrame, by: str = "path", num: str = "num", digits: int = 4) -> DataFrame:
-    """Per path: count, min, max, mean, sample deviation (0 for one value), whether all are integers and none negative."""
+def numeric_profile(rows: DataFrame, by: str = "path", num: str = "num", digits: int = 4, percentiles: bool = False) -> DataFrame:
+    """Per path: count, min, max, mean, sample deviation (0 for one value), whether all are integers and none negative; percentiles: the discrete ones of distribution() too."""
     v = F.col(num)
+    if percentiles:
+        values = rows.where(v.isNotNull())
+        return numeric_profile(values, by, num, digits).join(distribution(frequencies(values.select(by, v.alias("value")), by, "value"), [by]).select(by, *QUANTILES), by)
     return rows.groupBy(by).agg(
         F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), digits).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), digits).alias("std_dev"),
         F.bool_and(v == F.floor(v)).alias("is_int"), F.bool_and(v >= 0).alias("all_positive"),

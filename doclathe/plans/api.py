@@ -6,41 +6,22 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doclathe.functions import scalar as S
 from doclathe.operators import documents as D
 from doclathe.operators import profile as P
+from doclathe.operators import state as St
 from doclathe.sources.errors import InferenceError
 
 
 def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
-    """What synthesis needs of each path. One cached unnesting feeds every aggregate; a row per path (and per distinct length or enum value) comes back."""
-    rows = P.unnest(df).persist()
+    """What synthesis needs of each path, from the table's profile state; a row per path (and per distinct length or enum value) comes back."""
+    state = St.state_of(df).persist()  # counts, not documents
     try:
-        out: dict[str, dict[str, Any]] = {}
-        for r in P.presence(df).collect():
-            out.setdefault(r["field"], {})["presence"] = r["probability"]
-        for r in P.numeric_profile(rows.where("kind = 'number'")).collect():
-            out.setdefault(r["path"], {})["numeric"] = r.asDict()
-        lengths = P.frequencies(rows.where("kind = 'array'").select("path", F.col("num").alias("value")), "path", "value")
-        for r in P.distribution(lengths, ["path"]).collect():
-            out.setdefault(r["path"], {})["array"] = r.asDict()
-        for r in lengths.collect():
-            out[r["path"]]["array"].setdefault("distribution", {})[str(int(r["value"]))] = r["n"]
-        for r in P.semantic_best(P.semantic_profile(rows.where("kind = 'string'"))).collect():
-            out.setdefault(r["path"], {})["format"] = next(x.format for x in S.DETECTORS if x.name == r["detector"])
-        whole = F.when((F.col("kind") == "number") & (F.col("num") == F.floor("num")), "integer").otherwise(F.col("kind"))
-        mixed = P.variant_leaves(df.schema)
-        if mixed:
-            for r in P.value_types(rows.where(F.col("path").isin(mixed)).select("path", whole.alias("typ"))).collect():
-                out.setdefault(r["path"], {}).setdefault("types", []).append(r.asDict())
-        text = rows.where("kind = 'string'").groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("str").alias("u"))
-        small = text.where(P.enum_like(F.col("u"), F.col("n"))).select("path")
-        for r in rows.where("kind = 'string'").join(F.broadcast(small), "path").groupBy("path", "str").count().collect():
-            out.setdefault(r["path"], {}).setdefault("enum", {})[r["str"]] = r["count"]
-        return out
+        return St.facts(state)
     finally:
-        rows.unpersist()
+        state.unpersist()
 
 
 def dynamic_objects(df: DataFrame, keys: P.KeyConfig | None = None) -> tuple[DataFrame, dict[str, dict[str, Any]]]:
@@ -74,23 +55,46 @@ def infer(df: DataFrame, config: D.SynthesisConfig | None = None, keys: P.KeyCon
     for path, (fmt, _) in hints.items():
         f.setdefault(path, {}).setdefault("format", fmt)
     if dynamic:
-        counts = P.frequencies(P.unnest(shaped).where("kind = 'object'").select("path", F.col("num").alias("value")), "path", "value")
-        for r in counts.collect():
-            if r["path"] in dynamic:
-                dynamic[r["path"]].setdefault("distribution", {})[str(int(r["value"]))] = r["n"]
+        for path, d in dynamic.items():
+            if counts := f.get(path, {}).get("size", {}).get("distribution"):
+                d["distribution"] = counts
         f |= {path: f.get(path, {}) | {"dynamic": d} for path, d in dynamic.items()}
     return D.synthesize(shaped.schema, f, config, dynamic), f
 
 
+def infer_state(state: DataFrame, schema: T.StructType, config: D.SynthesisConfig | None = None, keys: P.KeyConfig | None = None) -> tuple[dict[str, Any], dict[str, dict[str, Any]]]:
+    """The same from a profile state, of a stream for one, of documents of a schema (normalised). Structs are static and maps dynamic, unless their keys are found to be fixed: these are then properties
+    of the map's one value schema."""
+    f = St.facts(state)
+    if not St.documents(state):
+        raise InferenceError("no documents to infer from")
+    config_ = keys or P.KeyConfig()
+    dynamic: dict[str, dict[str, Any]] = {}
+    for r in St.keys(state, config_).collect():
+        made_up = config_.forced(r["path"]) != "static" and (config_.forced(r["path"]) == "dynamic" or P.promoted(r, config_))
+        dynamic[r["path"]] = {
+            "pattern": r["pattern"] or "CUSTOM", "confidence": r["confidence"], "confidenceLevel": r["level"], "documentsAnalyzed": r["n_docs"], "uniqueKeysObserved": r["n_keys"], "exampleKeys": r["examples"],
+            "distribution": f.get(r["path"], {}).get("size", {}).get("distribution", {}),
+        }
+        if not made_up and r["n_keys"] < St.KEYS:
+            dynamic[r["path"]]["names"] = []
+    fixed = [p for p, d in dynamic.items() if "names" in d]
+    for r in state.where((F.col("section") == "key") & F.col("path").isin(fixed)).select("path", "item").orderBy("path", "item").collect() if fixed else []:
+        dynamic[r["path"]]["names"].append(r["item"])
+    return D.synthesize(schema, f, config, dynamic), f | {p: f.get(p, {}) | {"dynamic": d} for p, d in dynamic.items()}
+
+
 def generate(spark: SparkSession, schema: dict[str, Any], n: int = 100, seed: int | str = 42, registry: S.Registry | None = None) -> DataFrame:
     return D.Generator(schema, seed, registry or S.Registry()).generate(spark, n)
 
 
 def validate(sample: DataFrame, made: DataFrame, schema: dict[str, Any], key_fields: tuple[str, ...] = (), tolerance: tuple[float, float] = (0.1, 0.2), worst: int = 1000) -> dict[str, Any]:
-    """The report: conformance with up to `worst` violations listed, array lengths, sizes, uniqueness, and the verdict over all."""
+    """The report: conformance with up to `worst` violations listed (those of the least first key field, or else path, so that no partitioning changes them), array lengths, sizes, uniqueness, and the verdict over all."""
     c = D.conformance(made, schema).first().asDict()
-    listed = made.select(F.inline(D.violations(schema, made))).limit(worst).collect()
-    arrays = [r.asDict() for r in D.compare_arrays(D.array_stats(P.unnest(sample)), D.array_stats(P.unnest(made)), tolerance[0]).collect()]
+    order = next((k for k in (*key_fields, "_id") if k in made.columns), None)
+    broken = made.select(*([F.col(f"`{order}`").alias("__key")] if order else []), F.inline(D.violations(schema, made)))
+    listed = broken.orderBy(*broken.columns).limit(worst).select("path", "keyword").collect()
+    arrays = [r.asDict() for r in D.compare_arrays(D.array_stats(P.unnest(sample, kinds=("array",))), D.array_stats(P.unnest(made, kinds=("array",))), tolerance[0]).collect()]
     size = [x.select(P.size_proxy(x, "leafFieldCount").alias("size")) for x in (sample, made)]
     sizes = [r.asDict() for r in D.compare_buckets(P.size_buckets(size[0]), P.size_buckets(size[1]), tolerance[1]).collect()]
     fields = [k for k in ("_id", *key_fields) if k.split(".")[0] in made.columns]

@@ -44,6 +44,7 @@ DIST = """min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, quantile_disc(v, 0.5)::D
  quantile_disc(v, 0.95)::DOUBLE AS p95, quantile_disc(v, 0.99)::DOUBLE AS p99, count(*)::BIGINT AS total, count(DISTINCT v)::BIGINT AS "unique" """
 NUM = """count(v)::BIGINT AS n, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, round(avg(v), 4) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS std_dev,
  bool_and(v = floor(v)) AS is_int, bool_and(v >= 0) AS all_positive"""
+NUMP = NUM + ", quantile_disc(v, 0.5)::DOUBLE AS median, quantile_disc(v, 0.9)::DOUBLE AS p90, quantile_disc(v, 0.95)::DOUBLE AS p95, quantile_disc(v, 0.99)::DOUBLE AS p99"
 LEN_SQL = "SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS v FROM orders"
 
 
@@ -157,7 +158,7 @@ def distribution_from_freq(spark, d):
 
 @query(f"SELECT 'lines' AS path, {DIST} FROM ({LEN_SQL}) UNION ALL SELECT 'turns', {DIST} FROM (SELECT count(*) AS v FROM conversations GROUP BY conv_id)")
 def array_length_stats(spark, d):
-    lines = P.unnest(nested(spark, d).select("lines")).where("kind = 'array'").select("path", F.col("num").alias("value"))
+    lines = P.unnest(nested(spark, d).select("lines"), kinds=("array",)).select("path", F.col("num").alias("value"))
     turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("double").alias("value")).select(F.lit("turns").alias("path"), "value")
     return P.distribution(P.frequencies(lines.unionByName(turns), "path", "value"), ["path"])
 
@@ -172,11 +173,11 @@ def embedding_length(spark, d):
     return P.frequencies(t(spark, d, "embeddings").where("embedding is not null").select(F.size("embedding").alias("value")), "value")
 
 
-@query(per_path({"l_quantity": "SELECT l_quantity AS v FROM lineitem", "l_discount": "SELECT l_discount AS v FROM lineitem", "l_extendedprice": "SELECT l_extendedprice AS v FROM lineitem"}, NUM)
-    + " UNION ALL " + per_path({"c_acctbal": "SELECT c_acctbal AS v FROM customer", "o_totalprice": "SELECT o_totalprice AS v FROM orders"}, NUM))
+@query(per_path({"l_quantity": "SELECT l_quantity AS v FROM lineitem", "l_discount": "SELECT l_discount AS v FROM lineitem", "l_extendedprice": "SELECT l_extendedprice AS v FROM lineitem"}, NUMP)
+    + " UNION ALL " + per_path({"c_acctbal": "SELECT c_acctbal AS v FROM customer", "o_totalprice": "SELECT o_totalprice AS v FROM orders"}, NUMP))
 def numeric_profile(spark, d):
     parts = [t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice"), t(spark, d, "customer").select("c_acctbal"), t(spark, d, "orders").select("o_totalprice")]
-    out = [P.numeric_profile(P.unnest(p)) for p in parts]
+    out = [P.numeric_profile(P.unnest(p), percentiles=True) for p in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -619,7 +620,7 @@ HALF_SQL = f"WITH l AS ({LEN_SQL}), a AS (SELECT {DIST} FROM l WHERE o_orderkey
 
 @query(HALF_SQL + "SELECT 'lines' AS path, *, dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS passed FROM dv")
 def compare_array_lengths(spark, d):
-    return D.compare_arrays(*[D.array_stats(P.unnest(h.select("lines"))) for h in halves(spark, d)])
+    return D.compare_arrays(*[D.array_stats(P.unnest(h.select("lines"), kinds=("array",))) for h in halves(spark, d)])
 
 
 BUCKET_CMP = f"WITH l AS (SELECT o_orderkey % 2 AS h, 1 + 6 * v AS size FROM ({LEN_SQL})), bk AS (SELECT * FROM (VALUES ('small', 0, 10), ('medium', 11, 100), ('large', 101, 1000000)) AS x(b, lo, hi)), p AS (SELECT b, h, round(count(*) FILTER (size BETWEEN lo AND hi) / count(*), 6) AS p FROM l, bk GROUP BY ALL), c AS (SELECT b AS bucket, max(p) FILTER (h = 0) AS expected, max(p) FILTER (h = 1) AS actual FROM p GROUP BY 1), dv AS (SELECT *, round(CASE WHEN expected = 0 AND actual = 0 THEN 0 WHEN expected = 0 THEN 1 ELSE abs(actual - expected) / expected END, 6)::DOUBLE AS deviation FROM c) "
@@ -630,20 +631,174 @@ def compare_size_buckets(spark, d):
     return D.compare_buckets(*[P.size_buckets(h.select(P.size_proxy(h, "leafFieldCount").alias("size"))) for h in halves(spark, d)])
 
 
-@query(BUCKET_CMP + f", s AS (SELECT bool_and(deviation <= 0.2) AS sizes FROM dv), ar AS ({HALF_SQL} SELECT dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS arrays FROM dv) SELECT 'conforms' AS check_name, true AS passed UNION ALL SELECT 'arrays', arrays FROM ar UNION ALL SELECT 'sizes', sizes FROM s UNION ALL SELECT 'keys', count(o_orderkey) = count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'overall', (SELECT arrays FROM ar) AND (SELECT sizes FROM s) AND (SELECT count(o_orderkey) = count(DISTINCT o_orderkey) FROM orders)")
+@query(BUCKET_CMP + f", s AS (SELECT bool_and(deviation <= 0.2) AS sizes FROM dv), ar AS ({HALF_SQL} SELECT dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS arrays FROM dv), o AS (SELECT bool_and(o_orderkey >= 0 AND o_orderkey IS NOT NULL) AS conforms, count(o_orderkey) = count(DISTINCT o_orderkey) AS keys FROM orders WHERE o_orderkey % 2 = 1) SELECT 'conforms' AS check_name, conforms AS passed FROM o UNION ALL SELECT 'arrays', arrays FROM ar UNION ALL SELECT 'sizes', sizes FROM s UNION ALL SELECT 'keys', keys FROM o UNION ALL SELECT 'overall', arrays AND sizes AND conforms AND keys FROM ar, s, o")
 def validation_report(spark, d):
-    a, b = halves(spark, d)
-    schema = {"properties": {"o_orderkey": {"type": "integer", "minimum": 0}}, "required": ["o_orderkey"]}
-    parts = [
-        D.conformance(b, schema).select(F.lit("conforms").alias("check_name"), (F.col("invalid") == 0).alias("passed")),
-        compare_array_lengths(spark, d).agg(F.bool_and("passed").alias("passed")).select(F.lit("arrays").alias("check_name"), "passed"),
-        compare_size_buckets(spark, d).agg(F.bool_and("passed").alias("passed")).select(F.lit("sizes").alias("check_name"), "passed"),
-        D.uniqueness(t(spark, d, "orders"), ["o_orderkey"]).agg(F.bool_and(F.col("duplicates") == 0).alias("passed")).select(F.lit("keys").alias("check_name"), "passed"),
-    ]
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.unionByName(p)
-    return each.unionByName(each.agg(F.bool_and("passed").alias("passed")).select(F.lit("overall").alias("check_name"), "passed"))
+    """Orders of odd keys as if they were made like those of even keys."""
+    from doclathe.plans.api import validate
+
+    sample, made = halves(spark, d)
+    r = validate(sample, made, {"properties": {"o_orderkey": {"type": "integer", "minimum": 0}}, "required": ["o_orderkey"]}, ("o_orderkey",))
+    checks = {
+        "conforms": r["schemaConformance"]["invalid"] == 0, "arrays": all(x["passed"] for x in r["arrayLengthComparison"]), "sizes": all(x["passed"] for x in r["documentSizeComparison"]),
+        "keys": all(x["duplicates"] == 0 for x in r["keyUniqueness"]), "overall": r["passed"],
+    }
+    return spark.createDataFrame(list(checks.items()), "check_name string, passed boolean")
+
+
+# --- change logs with presence, skipped operations and outcomes ---------------------------------------------------------
+
+LOG_SQL = """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders), log AS (
+ SELECT k, 1 AS seq, 'update' AS op, NULL::DOUBLE AS price, NULL AS status, 'price' AS present FROM o WHERE k % 3 = 0 UNION ALL
+ SELECT k, 2, 'update', NULL, 'X', NULL FROM o WHERE k % 5 = 0 UNION ALL SELECT k, 3, 'frob', 7.0, 'Z', 'price,status' FROM o WHERE k % 7 = 0 UNION ALL
+ SELECT k, 4, 'delete', NULL, NULL, NULL FROM o WHERE k % 11 = 0 UNION ALL SELECT k, 5, 'update', 9.0, NULL, NULL FROM o WHERE k % 22 = 0 UNION ALL
+ SELECT k, 6, 'insert', 1.0, NULL, NULL FROM o WHERE k % 33 = 0 UNION ALL SELECT k, 7, 'update', NULL, status, 'status' FROM o WHERE k % 13 = 0 UNION ALL
+ SELECT -k - 1, 8, 'delete', NULL, NULL, NULL FROM o WHERE k % 4 = 0 UNION ALL SELECT -k - 1, 9, 'update', 1.0, NULL, NULL FROM o WHERE k % 6 = 0) """
+
+
+def presence_log(spark, d):
+    """(target, log): updates that set null, of unknown kinds, of keys that are gone or never were, and an insert after a delete."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    none = F.lit(None)
+    op = lambda when, key, seq, op, price=none, status=none, present=none: F.when(when, F.struct(key.alias("k"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), price.cast("double").alias("price"), status.cast("string").alias("status"), present.cast("string").alias("present")))
+    k, x = F.col("k"), F.lit
+    ops = [
+        op(k % 3 == 0, k, 1, "update", present=x("price")), op(k % 5 == 0, k, 2, "update", status=x("X")), op(k % 7 == 0, k, 3, "frob", x(7.0), x("Z"), x("price,status")), op(k % 11 == 0, k, 4, "delete"), op(k % 22 == 0, k, 5, "update", x(9.0)),
+        op(k % 33 == 0, k, 6, "insert", x(1.0)), op(k % 13 == 0, k, 7, "update", status=F.col("status"), present=x("status")), op(k % 4 == 0, -k - 1, 8, "delete"), op(k % 6 == 0, -k - 1, 9, "update", x(1.0)),
+    ]
+    return o, o.select(F.inline(F.array_compact(F.array(*ops)))).withColumn("present", F.split("present", ","))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 33 = 0 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price,
+CASE WHEN o_orderkey % 13 = 0 THEN o_orderstatus WHEN o_orderkey % 33 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 33 = 0""")
+def apply_log_with_presence(spark, d):
+    target, log = presence_log(spark, d)
+    return D.apply_log(target, log, "k", ["price", "status"], present="present")
+
+
+@query(LOG_SQL + """, c AS (SELECT l.*, o.price AS p0, o.status AS s0, o.k IS NOT NULL AS t0, l.k % 5 = 0 AS u2, l.k % 11 = 0 AS gone, l.k % 33 = 0 AS back FROM log l LEFT JOIN o ON l.k = o.k)
+SELECT op, CASE WHEN op = 'frob' THEN 'skipped' WHEN op = 'insert' THEN 'inserted' WHEN NOT t0 OR seq = 5 OR (seq = 7 AND gone AND NOT back) THEN 'unmatched' WHEN op = 'delete' THEN 'deleted'
+ WHEN seq = 1 AND p0 IS NOT NULL OR seq = 2 AND s0 <> 'X' OR seq = 7 AND (CASE WHEN back THEN NULL WHEN u2 THEN 'X' ELSE s0 END) IS DISTINCT FROM status THEN 'modified' ELSE 'matched' END AS outcome, count(*)::BIGINT AS n
+FROM c GROUP BY 1, 2""")
+def change_outcomes(spark, d):
+    target, log = presence_log(spark, d)
+    return D.log_outcomes(target, log, "k", ["price", "status"], present="present").groupBy("op", "outcome").agg(F.count("*").alias("n"))
+
+
+# --- more of JSON Schema ------------------------------------------------------------------------------------------------
+
+REF_SCHEMA = {
+    "definitions": {"tree": {"type": "object", "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/definitions/tree"}}}, "required": ["v"]}, "short": {"$id": "#short", "maxLength": 3}},
+    "type": "object", "properties": {
+        "obj": {"enum": [{"y": 1, "x": [2, {"b": 1, "a": 2}]}, [1, 2]]}, "num": {"const": {"n": 1.0}}, "set": {"type": "array", "uniqueItems": True}, "tree": {"$ref": "#/definitions/tree"}, "name": {"$ref": "#short"},
+        "card": {"type": "object", "dependencies": {"number": ["owner"], "owner": {"properties": {"number": {"minimum": 10}}}}}, "keys": {"type": "object", "propertyNames": {"minLength": 2, "enum": ["aa", "b", "cc"]}}, "it's": {"type": "integer"},
+    },
+}
+
+
+def referring(spark, d):
+    k = F.col("o_orderkey").cast("long")
+    m = lambda mod, yes, no: F.when(k % mod == 0, F.lit(yes)).otherwise(F.lit(no))
+    doc = F.concat(
+        F.lit('{"obj":'), m(3, '{"x":[2.0,{"a":2,"b":1}],"y":1}', '{"y":1,"x":[2,{"b":1}]}'), F.lit(',"num":'), m(4, '{"n":1}', '{"n":1,"m":2}'), F.lit(',"set":'), m(5, '[{"a":1,"b":"1.0"},{"b":"1.0","a":1.0}]', '[{"a":1,"b":"1.0"},{"a":1,"b":"1"},1,"1"]'),
+        F.lit(',"tree":{"v":1,"kids":[{"v":'), m(6, '"x"', "2"), F.lit(',"kids":[{"kids":['), m(7, '{"v":true}', ""), F.lit(']}]}]},"name":"'), m(8, "long", "abc"), F.lit('","card":{'), m(9, '"number":5', '"number":20'), m(2, ',"owner":2', ""),
+        F.lit('},"keys":{'), m(10, '"b":1', '"aa":1'), F.lit("},\"it's\":"), m(12, '"z"', "1"), F.lit("}"),
+    )
+    return t(spark, d, "orders").select(k.alias("k"), doc.alias("json"))
+
+
+REFERRED = (
+    ("/obj", "enum", "k % 3 <> 0"), ("/num", "const", "k % 4 <> 0"), ("/set", "uniqueItems", "k % 5 = 0"), ("/tree/kids[]/v", "type", "k % 6 = 0"), ("/tree/kids[]/kids[]/v", "required", "true"), ("/tree/kids[]/kids[]/kids[]/v", "type", "k % 7 = 0"),
+    ("/name", "maxLength", "k % 8 = 0"), ("/card", "dependencies", "k % 2 <> 0"), ("/card/number", "minimum", "k % 9 = 0 AND k % 2 = 0"), ("/keys", "propertyNames", "k % 10 = 0"), ("/it's", "type", "k % 12 = 0"),
+)
+
+
+@query("SELECT path, keyword, n FROM (" + " UNION ALL ".join(f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS path, '{w}' AS keyword, count(*) FILTER ({c})::BIGINT AS n FROM (SELECT o_orderkey AS k FROM orders)" for p, w, c in REFERRED) + ") WHERE n > 0")
+def reference_violations(spark, d):
+    """References, values compared as JSON has it, dependencies and rules of names: each keyword's violations counted."""
+    docs = referring(spark, d).select(F.parse_json("json").alias("doc"))
+    return docs.select(F.inline(D.violations_of(F.col("doc"), REF_SCHEMA))).groupBy("path", "keyword").agg(F.count("*").alias("n"))
+
+
+# --- streams and variants -----------------------------------------------------------------------------------------------
+
+
+def in_batches(df: DataFrame, merged, key: str, n: int = 4) -> DataFrame:
+    """The merged state of df fed as n micro-batches, the last one twice, as after a restart."""
+    for i in [*range(n), n - 1]:
+        merged.update(df.where(F.pmod(F.col(key), F.lit(n)) == i), i)
+    return merged.read()
+
+
+@query(per_path({"user_id": "SELECT user_id AS v FROM events", "value": "SELECT value AS v FROM events", "props.k": "SELECT (props::JSON ->> '$.k')::DOUBLE AS v FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE')"}, NUMP))
+def stream_profile(spark, d):
+    """Numeric profile of a stream of events, from states that micro-batches leave."""
+    from doclathe.operators import state as St
+    from doclathe.sources.paths import scratch
+    from doclathe.streaming.profile import profile
+
+    events = t(spark, d, "events").select("event_id", "user_id", "value", F.parse_json("props").alias("props"))
+    state = in_batches(events, profile(spark, scratch(spark, "profile"), compact=3), "event_id")
+    return St.numeric(state.where("path <> 'event_id'"))
+
+
+SHAPED = "SELECT event_id AS i, event_type AS e, value AS v FROM events"
+
+
+@query(f"""WITH s AS ({SHAPED}), p AS (
+ SELECT 'doc' AS path, 'object' AS typ, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::BOOLEAN AS required UNION ALL
+ SELECT 'doc.kind', 'string', min(length(e)), max(length(e)), true FROM s UNION ALL
+ SELECT 'doc.n', 'integer', min(i), max(i), count(*) >= 0.95 * (SELECT count(*) FROM s) FROM s WHERE i % 3 <> 0 UNION ALL
+ SELECT 'doc.n', 'string', min(length(e)), max(length(e)), false FROM s WHERE i % 3 = 0 UNION ALL
+ SELECT 'doc.deep', 'object', NULL, NULL, count(*) FILTER (i % 10 <> 0) >= 0.95 * count(*) FROM s UNION ALL
+ SELECT 'doc.deep.v', 'number', min(v), max(v), true FROM s WHERE i % 10 <> 0 UNION ALL
+ SELECT 'doc.deep.tags', 'array', 1, 2, true FROM s HAVING count(*) > 0 UNION ALL
+ SELECT 'doc.deep.tags[]', 'object', NULL, NULL, NULL UNION ALL SELECT 'doc.deep.tags[].w', 'boolean', NULL, NULL, true)
+SELECT path, typ, lo, hi, CASE WHEN path = 'doc.n' THEN true ELSE required END AS required FROM p""")
+def variant_value_schema(spark, d):
+    """The schema of documents of any shape, made from all events: types, bounds and lengths of each path, and what is required."""
+    from doclathe.operators import state as St
+
+    i = F.col("event_id")
+    tag = F.lit('{"w":true}')
+    doc = F.concat(
+        F.lit('{"kind":"'), F.col("event_type"), F.lit('","n":'), F.when(i % 3 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(i.cast("string")),
+        F.when(i % 10 != 0, F.concat(F.lit(',"deep":{"v":'), F.col("value").cast("string"), F.lit(',"tags":['), F.when(i % 2 == 0, F.concat(tag, F.lit(","), tag)).otherwise(tag), F.lit("]}"))).otherwise(""), F.lit("}"),
+    )
+    facts = St.facts(St.state_of(t(spark, d, "events").select(F.parse_json(doc).alias("doc"))).cache())
+    rows = []
+
+    def tell(path: str, p: dict, required: bool | None) -> None:
+        for x in p.get("anyOf", [p]):
+            lo, hi = next(((x[a], x[b]) for a, b in (("minimum", "maximum"), ("minLength", "maxLength"), ("minItems", "maxItems")) if a in x), (None, None))
+            rows.append((path, x["type"], lo if lo is None else float(lo), hi if hi is None else float(hi), required))
+            for k, v in x.get("properties", {}).items():
+                tell(f"{path}.{k}", v, k in x["required"])
+            if "items" in x:
+                tell(path + "[]", x["items"], None)
+
+    tell("doc", St.variant_schema(facts, "doc"), None)
+    return spark.createDataFrame(rows, "path string, typ string, lo double, hi double, required boolean")
+
+
+@query(FLAWED_SQL + ", r AS (" + " UNION ALL ".join(f"SELECT _id AS key, '{p}' AS path, '{k}' AS keyword FROM v WHERE {v}" for p, k, v in (("/status", "required", "v1"), ("/status", "enum", "v2"), ("/price", "minimum", "v3"), ("/price", "maximum", "v4"), ("/priority", "maxLength", "v5")))
+    + """), l AS (SELECT key, path, keyword FROM r ORDER BY 1, 2, 3 LIMIT 100)
+SELECT 'docs' AS section, NULL::BIGINT AS key, NULL AS path, 'total' AS keyword, count(*)::BIGINT AS n FROM v UNION ALL SELECT 'docs', NULL, NULL, 'invalid', count(DISTINCT key) FROM r
+UNION ALL SELECT 'rule', NULL, path, keyword, count(*) FROM r GROUP BY path, keyword UNION ALL SELECT 'listed', key, path, keyword, 1 FROM l""")
+def stream_report(spark, d):
+    """Validation of a stream of orders: running counts and the first hundred violations by key."""
+    from doclathe.sources.paths import scratch
+    from doclathe.streaming.profile import report
+
+    return in_batches(flawed(spark, d), report(spark, scratch(spark, "report"), ORDER_SCHEMA, "_id", worst=100, compact=3), "_id")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 100")
+def stream_sample(spark, d):
+    """The sample of a stream is that of all its rows."""
+    from doclathe.sources.paths import scratch
+    from doclathe.streaming.profile import sample
+
+    return in_batches(t(spark, d, "customer"), sample(spark, scratch(spark, "sample"), 100, "c_custkey", compact=3), "c_custkey")
 
 
 # --- without SQL for comparison ----------------------------------------------------------------------------------------
