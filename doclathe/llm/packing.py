@@ -61,7 +61,7 @@ _ONE = re.compile(rb"[A-Za-z]+|[0-9]|[!-&(-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+|(
 class Tokens:
     """A vocabulary with a bounded cache of encoded pieces of text; one per worker process."""
 
-    CACHE = 600_000
+    CACHE = 300_000
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -95,9 +95,8 @@ class Tokens:
         cache = self.cache
         new = [p for p in pieces if p not in cache]
         if new:
-            if len(cache) + len(new) > self.CACHE:  # bounded memory; what is dropped is encoded again when needed
-                cache.clear()
-                new = pieces
+            if len(cache) + len(new) > self.CACHE:  # bounded memory: what these texts share with those before stays, the rest is encoded again when needed
+                cache = self.cache = {p: cache[p] for p in pieces if p in cache}
             single = [p for p in new if _ONE.fullmatch(p)]
             rest = [p for p in new if not _ONE.fullmatch(p)] if len(single) < len(new) else []
             for group, how in ((single, self._encode_single), (rest, self._encode)):
@@ -143,7 +142,7 @@ def tokens_of(vocabulary: bytes) -> Tokens:
     return _TOKENS[key]
 
 
-def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
+def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per piece: id, piece (from 0), start (ids of its document before it), length, ids_crc32; with_ids: ids_le too, the ids as little-endian bytes."""
     spark = df.sparkSession
     ship(spark)

@@ -111,7 +111,7 @@ def test_secret_parts_of_any_length_link_in_any_order(spark):
         strong = secrets.base_spans(t)
         assert secrets.weak_spans(t, strong, 60) == brute_weak(t, 60), t
         spans = secrets.find(t, 60)
-        told = dict(zip(spans, secrets.links(t, spans, 60), strong=True))
+        told = dict(zip(spans, secrets.links(t, spans, 60), strict=True))
         for a in spans:
             for b in spans:
                 if told[a] is not None and max(a[0], b[0]) - min(a[2], b[2]) <= 60 and "\n\n" not in t[min(a[0], b[0]) : max(a[0], b[0])]:
