@@ -73,33 +73,55 @@ def _typed(level: DataFrame) -> DataFrame:
     return level.select("path", "v", F.when(raw.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").when(raw == "VOID", "null").when(raw.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY"), F.lower(raw)).otherwise("other").alias("kind"))
 
 
+def _nesting(v: Column) -> Column:
+    """How deep arrays and objects are nested in a variant, at least; from the text of its schema."""
+    step = lambda a, x: F.struct((a["now"] + F.when(x == "<", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(x == "<", 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.regexp_extract_all(F.schema_of_variant(v), F.lit("[<>]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
 def walk(level: DataFrame, config: P.KeyConfig | None = None, depth: int = 64) -> DataFrame:
-    """path, kind, num, str of (path, v) and of all that is in the variants, one level after the other; keys have kind `key`. A job or two a level tell whether there is one, and which objects have made-up keys:
-    keys are grouped, and paths come back. Beyond `depth` levels values count, but what is in them doesn't."""
-    config, out = config or P.KeyConfig(), []
-    for at in range(depth):
+    """path, kind, num, str of (path, v) and of all that is in the variants, one level after the other; keys have kind `key`. One job finds the depth, one the objects of ten keys or more. Only if there are such, a
+    job a level tells from the top down which keys are made up: keys are grouped, and paths of objects come back. Beyond `depth` levels values count, but what is in them doesn't."""
+    config = config or P.KeyConfig()
+    deepest = min(depth, level.agg(F.max(_nesting(F.col("v")))).first()[0] or 0)
+    flat, keys = _levels(level, deepest, lambda *_: [])
+    if keys:
+        wide = reduce(DataFrame.unionByName, keys).groupBy("path").agg(F.approx_count_distinct("key", 0.05).alias("u"))
+        if not wide.where(F.col("u") >= 8).isEmpty() or config.force_dynamic:
+            return reduce(DataFrame.unionByName, _levels(level, deepest, lambda opened, inside: _made_up(opened, inside, config))[0])
+    return reduce(DataFrame.unionByName, flat)
+
+
+def _made_up(keys: DataFrame, inside: DataFrame, config: P.KeyConfig) -> list[str]:
+    sizes = keys.groupBy("path").agg(F.approx_count_distinct("key", 0.05).alias("u")).collect()
+    wide = [r["path"] for r in sizes if r["u"] >= 8 or config.forced(r["path"]) == "dynamic"]
+    if not wide:
+        return []
+    objects = inside.where((F.col("kind") == "object") & F.col("path").isin(wide)).groupBy("path").agg(F.count("*").alias("n_docs"))
+    found = P.detect(P.key_ratios(keys.where(F.col("path").isin(wide)), config).join(objects, "path"), config).collect()
+    return [r["path"] for r in found if config.forced(r["path"]) != "static" and (config.forced(r["path"]) == "dynamic" or P.promoted(r, config))]
+
+
+def _levels(level: DataFrame, deepest: int, made_up) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(rows of all levels, keys of all levels)."""
+    out, all_keys = [], []
+    for at in range(deepest + 1):
         typed = _typed(level)
         number = F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double"))
         size = F.when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))).when(F.col("kind") == "object", F.size(F.try_variant_get("v", "$", "map<string,variant>")))
         text = F.when(F.col("kind").isin("string", "boolean", "other"), F.try_variant_get("v", "$", "string"))
         out.append(typed.select("path", "kind", F.coalesce(number, size.cast("double")).alias("num"), text.alias("str")))
+        if at == deepest:
+            break
         inside = typed.where("kind in ('object', 'array')")
         opened = level.sparkSession.sql("SELECT path, x.key AS key, x.value AS v FROM {inside}, LATERAL variant_explode(v) AS x", inside=inside)
         keys = opened.where("key is not null").select("path", "key")
-        sizes = opened.groupBy("path").agg(F.approx_count_distinct("key", 0.05).alias("u")).collect()
-        if not sizes:
-            break
-        # Only with ten keys or more can they be made up.
-        wide = [r["path"] for r in sizes if r["u"] >= 8 or config.forced(r["path"]) == "dynamic"]
-        made_up = []
-        if wide:
-            objects = inside.where((F.col("kind") == "object") & F.col("path").isin(wide)).groupBy("path").agg(F.count("*").alias("n_docs"))
-            found = P.detect(P.key_ratios(keys.where(F.col("path").isin(wide)), config).join(objects, "path"), config).collect()
-            made_up = [r["path"] for r in found if config.forced(r["path"]) != "static" and (config.forced(r["path"]) == "dynamic" or P.promoted(r, config))]
+        all_keys.append(keys)
         out.append(keys.select("path", F.lit("key").alias("kind"), F.lit(None).cast("double").alias("num"), F.col("key").alias("str")))
-        name = F.when(F.col("path").isin(made_up), "*").otherwise(F.col("key")) if made_up else F.col("key")
+        found = made_up(keys, inside)
+        name = F.when(F.col("path").isin(found), "*").otherwise(F.col("key")) if found else F.col("key")
         level = opened.select(F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", "path", name)).alias("path"), "v")
-    return reduce(DataFrame.unionByName, out)
+    return out, all_keys
 
 
 def values(df: DataFrame, config: P.KeyConfig | None = None) -> DataFrame:
@@ -193,7 +215,7 @@ def presence(state: DataFrame) -> DataFrame:
     """field, n, probability, required."""
     total = state.where("section = 'docs'").agg(F.sum("n").alias("total"))
     out = state.where("section = 'field'").crossJoin(F.broadcast(total))  # one row
-    return out.select(F.col("path").alias("field"), "n", F.round(F.col("n") / F.col("total"), 6).alias("probability")).withColumn("required", F.col("probability") >= 0.95)
+    return out.select(F.col("path").alias("field"), "n", F.round(F.try_divide("n", "total"), 6).alias("probability")).withColumn("required", F.col("probability") >= 0.95)
 
 
 def types(state: DataFrame) -> DataFrame:
@@ -246,27 +268,55 @@ def keys(state: DataFrame, config: P.KeyConfig | None = None) -> DataFrame:
     return P.detect(j.select("path", "n_keys", "pattern", "ratio", "n_docs"), config).join(some, "path")
 
 
-def facts(state: DataFrame) -> dict[str, dict[str, Any]]:
-    """What synthesis needs of each path: rows per path, different length and enumerated text come to the driver."""
-    from doclathe.functions import scalar as S
+def _discrete(freq: dict[float, int]) -> dict[str, float]:
+    """What P.distribution() says of a frequency table at hand."""
+    order, total, upto = sorted(freq), sum(freq.values()), 0
+    out: dict[str, float] = {"min": order[0], "max": order[-1], "total": total, "unique": len(order)}
+    for v in order:
+        upto += freq[v]
+        for name, q in P.QUANTILES.items():
+            if name not in out and upto >= total * q:
+                out[name] = v
+    return out
+
 
+def facts(state: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> dict[str, dict[str, Any]]:
+    """What synthesis needs of each path: rows per path, different length and enumerated text come to the driver; values of numbers and lengths of texts are aggregated before."""
     out: dict[str, dict[str, Any]] = {}
     at = lambda p: out.setdefault(p, {})
-    for r in presence(state).collect():
-        at(r["field"])["presence"] = r["probability"]
+    few = state.where(F.col("section").isin("docs", "field", "type", "length", "keys", "meaning", "text")).select(*_NAMES, "n").collect()
+    of = lambda *names: [r for r in few if r["section"] in names]
+    total = sum(r["n"] for r in of("docs"))
+    for r in of("field"):
+        at(r["path"])["presence"] = round(r["n"] / total, 6) if total else None
     for r in numeric(state).collect():
         at(r["path"])["numeric"] = r.asDict()
-    for section, name in (("length", "array"), ("chars", "chars"), ("keys", "size")):
-        for r in distribution(state, section).collect():
-            at(r["path"])[name] = r.asDict()
-    for r in state.where("section in ('length', 'keys')").select("section", "path", "num", "n").collect():
-        at(r["path"])["array" if r["section"] == "length" else "size"].setdefault("distribution", {})[str(int(r["num"]))] = r["n"]
-    for r in meanings(state).collect():
-        at(r["path"])["format"] = next(x.format for x in S.DETECTORS if x.name == r["detector"])
-    for r in types(state).collect():
-        at(r["path"]).setdefault("types", []).append(r.asDict())
-    for r in enums(state).collect():
-        at(r["path"]).setdefault("enum", {})[r["value"]] = r["n"]
+    for r in state.where("section = 'chars'").groupBy("path").agg(F.min("num").alias("min"), F.max("num").alias("max"), F.sum("n").alias("total")).collect():
+        at(r["path"])["chars"] = r.asDict()
+    for r in sorted(of("length", "keys"), key=lambda r: r["num"]):
+        at(r["path"]).setdefault("array" if r["section"] == "length" else "size", {}).setdefault("distribution", {})[str(int(r["num"]))] = r["n"]
+    for p, f in out.items():
+        for name in ("array", "size"):
+            if name in f:
+                f[name] = {"path": p} | _discrete({float(k): n for k, n in f[name]["distribution"].items()}) | f[name]
+    hits = {(r["path"], r["item"]): r["n"] for r in of("meaning")}
+    for d in sorted(detectors, key=lambda d: (d.priority, d.name), reverse=True):
+        for p in {p for p, name in hits if name == d.name}:
+            if round(hits[p, d.name] / out[p]["chars"]["total"], 6) >= d.confidence:
+                out[p]["format"] = d.format
+    all_: dict[str, int] = {}
+    for r in of("type"):
+        all_[r["path"]] = all_.get(r["path"], 0) + r["n"]
+    for r in sorted(of("type"), key=lambda r: (r["n"], r["item"]), reverse=True):
+        told = at(r["path"]).setdefault("types", [])
+        told.append({"path": r["path"], "typ": r["item"], "n": r["n"], "probability": round(r["n"] / all_[r["path"]], 6), "dominant": not told})
+    texts: dict[str, dict[str, int]] = {}
+    for r in of("text"):
+        texts.setdefault(r["path"], {})[r["item"]] = r["n"]
+    for p, values_ in texts.items():
+        u, n = len(values_), sum(values_.values())
+        if u <= 50 and (u / n <= 0.1 or u <= 10):  # P.enum_like()
+            out[p]["enum"] = values_
     return out
 
 
