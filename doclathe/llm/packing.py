@@ -40,20 +40,21 @@ from .runtime import cut, ship, store
 
 # Classes of bytes: white space, letter, digit, punctuation, apostrophe, beyond ASCII.
 WHITE, LETTER, DIGIT, PUNCT, APOSTROPHE, HIGH = range(6)
-_CLASS = np.array([WHITE if b in b" \t\n\r\x0b\x0c" else HIGH if b > 127 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else APOSTROPHE if b == 39 else PUNCT for b in range(256)], np.uint8)
+_CLASS = bytes(WHITE if b in b" \t\n\r\x0b\x0c" else HIGH if b > 127 else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else APOSTROPHE if b == 39 else PUNCT for b in range(256))
 
 
 def _cut_between(a: int, b: int) -> bool:
     """Whether a cut between two neighbours never changes ids: no pattern match, no normal form and no lower-casing crosses it.
     An apostrophe may begin a contraction, and characters beyond ASCII may be of any kind or combine with the one before."""
     if WHITE in (a, b):
-        return b != WHITE
+        return True
     if HIGH in (a, b) or (a, b) == (APOSTROPHE, LETTER) or {a, b} == {PUNCT, APOSTROPHE}:
         return False
     return a != b or a == DIGIT
 
 
-_CUT = np.array([_cut_between(i >> 3, i & 7) if (i >> 3) < 6 and (i & 7) < 6 else False for i in range(64)])
+#: By 8 times a byte's class plus the next one's: 1 if a piece of text begins at the next, 2 if one ends before it, 3 if both.
+_CUT = bytes(2 * (a != WHITE) if b == WHITE else (1 + 2 * (a != WHITE) if _cut_between(a, b) else 0) for a, b in (divmod(i, 8) for i in range(256)))
 #: One match of the vocabulary's pattern: letters whose lower case and normal form are letters, one digit, or ASCII punctuation.
 _ONE = re.compile(rb"[A-Za-z]+|[0-9]|[!-&(-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+")
 
@@ -61,7 +62,7 @@ _ONE = re.compile(rb"[A-Za-z]+|[0-9]|[!-&(-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+|(
 class Tokens:
     """A vocabulary with a bounded cache of encoded pieces of text; one per worker process."""
 
-    CACHE = 300_000
+    CACHE = 400_000
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -97,8 +98,9 @@ class Tokens:
         if new:
             if len(cache) + len(new) > self.CACHE:  # bounded memory: what these texts share with those before stays, the rest is encoded again when needed
                 cache = self.cache = {p: cache[p] for p in pieces if p in cache}
-            single = [p for p in new if _ONE.fullmatch(p)]
-            rest = [p for p in new if not _ONE.fullmatch(p)] if len(single) < len(new) else []
+            one = _ONE.fullmatch
+            single = [p for p in new if one(p)]
+            rest = list(set(new).difference(single)) if len(single) < len(new) else []
             for group, how in ((single, self._encode_single), (rest, self._encode)):
                 for i in range(0, len(group), 4096):
                     part = group[i : i + 4096]
@@ -107,18 +109,18 @@ class Tokens:
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: UTF-8 of several texts end to end, ends: where each ends. Returns ids, and each text's end in them."""
-        kind = _CLASS[data]
-        start = np.empty(len(data), bool)
-        if len(data):
-            start[0] = kind[0] != WHITE
-            start[1:] = _CUT[(kind[:-1] << 3) | kind[1:]]
-            first = ends[:-1][ends[:-1] < len(data)]
-            start[first] = kind[first] != WHITE
-        begin = np.flatnonzero(start)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+        cut = np.zeros(len(data) + 1, np.uint8)
+        cut[1:-1] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(_CUT), np.uint8)
+        texts = np.append(0, ends[:-1])
+        texts = texts[texts < len(data)]
+        cut[texts] = (kind[texts] != WHITE) + 2 * ((kind[texts - 1] != WHITE) & (texts > 0))
+        cut[-1] = 2 * (kind[-1] != WHITE)
+        begin, stop = np.flatnonzero(cut & 1), np.flatnonzero(cut & 2)
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-        white = np.append(np.flatnonzero(kind == WHITE), len(data))
-        stop = np.minimum(np.append(begin[1:], len(data)), white[np.searchsorted(white, begin)])
         offsets = np.append(np.stack([begin, stop], 1).ravel(), stop[-1]).astype(np.int32)
         gaps = pa.Array.from_buffers(pa.binary(), 2 * len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         pieces = gaps.take(pa.array(np.arange(0, 2 * len(begin), 2, dtype=np.int32))).dictionary_encode()
@@ -142,7 +144,7 @@ def tokens_of(vocabulary: bytes) -> Tokens:
     return _TOKENS[key]
 
 
-def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
+def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
     """One row per piece: id, piece (from 0), start (ids of its document before it), length, ids_crc32; with_ids: ids_le too, the ids as little-endian bytes."""
     spark = df.sparkSession
     ship(spark)
