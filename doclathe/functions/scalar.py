@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -234,28 +233,97 @@ KEYS: dict[str, Callable[..., Column]] = {
 }
 
 
-def custom_key_list(pattern: str, count: Column, seed: int | str, row: Column, path: str) -> Column:
-    """`count` different keys that match a regular expression, in Arrow batches; 24 hexadecimal digits where the pattern is unreadable or has too few."""
+def regex_text(pattern: str, most: int = 8) -> Callable[..., Column]:
+    """A generator of texts that match a regular expression, compiled once to columns: a sequence is a concatenation, a class a character of its pool, a repetition (at most `most` beyond the least) a
+    transform of a sequence of numbers, an alternation a case. ValueError for what no such text can be made from (look-around, back references)."""
+    import re
 
-    @F.pandas_udf("array<string>")
-    def make(d: pd.Series, n: pd.Series) -> pd.Series:
-        import hashlib
+    try:
+        tree = re._parser.parse(pattern.replace(r"\z", r"\Z"))
+    except re.error as e:
+        raise ValueError(f"not a regular expression: {pattern}") from e
+    plain = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " ", "CATEGORY_WORD": plain[:36] + "_", "CATEGORY_NOT_DIGIT": plain[:26], "CATEGORY_NOT_SPACE": plain[:36], "CATEGORY_NOT_WORD": "-"}
+
+    def pool_of(items) -> str:
+        pool, negate = "", False
+        for op, arg in items:
+            name = str(op)
+            negate |= name == "NEGATE"
+            if name == "LITERAL":
+                pool += chr(arg)
+            elif name == "RANGE":
+                pool += "".join(map(chr, range(arg[0], min(arg[1], arg[0] + 255) + 1)))
+            elif name == "CATEGORY":
+                pool += kinds[str(arg)]
+        pool = "".join(x for x in plain + "_-" if x not in pool) if negate else "".join(dict.fromkeys(pool))
+        if not pool:
+            raise ValueError(f"no character for a class of {pattern}")
+        return pool
+
+    count = 0
+
+    def compiled(tree) -> Callable[..., Column]:
+        """seed, row, path, more -> a text."""
+        nonlocal count
+        parts: list[Callable[..., Column]] = []
+        for op, arg in tree:
+            count += 1
+            name, at = str(op), f"#r{count}"
+            if name in ("LITERAL", "NOT_LITERAL", "ANY", "IN"):
+                pool = {"LITERAL": lambda: chr(arg), "NOT_LITERAL": lambda: pool_of([("NEGATE", None), ("LITERAL", arg)]), "ANY": lambda: plain, "IN": lambda: pool_of(arg)}[name]()
+                parts.append((lambda text: lambda *_: F.lit(text))(pool) if len(pool) == 1 else (lambda text, at: lambda s, r, p, *m: F.substr(F.lit(text), (below(len(text), s, r, p + at, *m) + 1).cast("int"), F.lit(1)))(pool, at))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                lo, hi = arg[0], min(int(arg[1]), arg[0] + most)
+                parts.append(_repeated(compiled(arg[2]), lo, hi, at))
+            elif name == "BRANCH":
+                parts.append(_chosen([compiled(x) for x in arg[1]], at))
+            elif name == "SUBPATTERN":
+                parts.append(compiled(arg[-1]))
+            elif name != "AT":
+                raise ValueError(f"{name} in {pattern}")
+        return lambda s, r, p, *m: F.concat(F.lit(""), *[f(s, r, p, *m) for f in parts])
+
+    return compiled(tree)
+
+
+def _repeated(sub: Callable[..., Column], lo: int, hi: int, at: str) -> Callable[..., Column]:
+    def text(s, r, p, *m) -> Column:
+        n = (below(hi - lo + 1, s, r, p + at, *m) + lo).cast("int") if hi > lo else F.lit(lo)
+        made = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: sub(s, r, p, *m, i)), "")
+        return made if lo > 0 else F.when(n > 0, made).otherwise("")
+
+    return text
 
-        def one(h: str, want: int) -> list[str]:
-            out: dict[str, None] = {}
-            for i in range(10 * want):
-                if len(out) == want:
-                    break
-                x = hashlib.md5(f"{h}:{i}".encode()).hexdigest()
-                try:
-                    out[from_regex(pattern, [int(x[k : k + 2], 16) for k in range(0, 32, 2)])] = None
-                except Exception:
-                    out[x[:24]] = None
-            return [*out, *(hashlib.md5(f"{h}#{i}".encode()).hexdigest()[:24] for i in range(want - len(out)))]
 
-        return pd.Series([one(h, int(w or 0)) for h, w in zip(d, n, strict=True)])
+def _chosen(options: list[Callable[..., Column]], at: str) -> Callable[..., Column]:
+    def text(s, r, p, *m) -> Column:
+        k = below(len(options), s, r, p + at, *m)
+        return reduce(lambda out, i: F.when(k == i, options[i](s, r, p, *m)).otherwise(out), reversed(range(len(options) - 1)), options[-1](s, r, p, *m))
 
-    return make(digest(seed, row, path), count.cast("int"))
+    return text
+
+
+def custom_keys(pattern: str, seed: int | str, row: Column, path: str, *more: Column) -> Column:
+    """A key of a pattern of one's own; 24 hexadecimal digits where the pattern is unreadable."""
+    try:
+        return regex_text(pattern)(seed, row, path, *more)
+    except ValueError:
+        return KEYS["CUSTOM"](seed, row, path, *more)
+
+
+def custom_key_list(pattern: str, count: Column, seed: int | str, row: Column, path: str, *more: Column) -> Column:
+    """An array of `count` different keys that match a regular expression, at any depth; 24 hexadecimal digits where the pattern is unreadable, or after its texts where it has too few."""
+    plain = KEYS["CUSTOM"]
+    span = lambda n: F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
+    try:
+        make = regex_text(pattern)
+        some = F.array_distinct(F.transform(span(count * 4), lambda i: make(seed, row, path, *more, i)))
+    except ValueError:
+        some = F.array().cast("array<string>")
+    # Digits that are like one of the texts by chance would be repeated: the array of both is made distinct again.
+    both = F.array_distinct(F.concat(some, F.transform(span(count + 1), lambda i: plain(seed, row, path + "#more", *more, i))))
+    return F.slice(both, 1, F.greatest(count, F.lit(0)).cast("int"))
 
 
 def keys(pattern: str, count: Column, seed: int | str, row: Column, path: str) -> Column:
@@ -279,69 +347,3 @@ def ladder(weights: list[tuple[object, float]], u: Column) -> Column:
         run += w
         steps.append((run, v))
     return reduce(lambda out, s: F.when(u * total < s[0], F.lit(s[1])).otherwise(out), reversed(steps[:-1]), F.lit(steps[-1][1]))
-
-
-def from_regex(pattern: str, u: list[int], most: int = 8) -> str:
-    """A string that matches a regular expression; choices are taken from `u` in turn, repeats kept to `most` beyond the least."""
-    import re
-
-    at = 0
-
-    def draw(n: int) -> int:
-        nonlocal at
-        at += 1
-        return u[at % len(u)] % n if n > 1 else 0
-
-    def chars(items) -> str:
-        pool, negate = "", False
-        for op, arg in items:
-            name = str(op)
-            if name == "NEGATE":
-                negate = True
-            elif name == "LITERAL":
-                pool += chr(arg)
-            elif name == "RANGE":
-                pool += "".join(map(chr, range(arg[0], min(arg[1], arg[0] + 255) + 1)))
-            elif name == "CATEGORY":
-                pool += {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " "}.get(str(arg), "abcdefghijklmnopqrstuvwxyz0123456789_")
-        plain = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        pool = "".join(c for c in plain if c not in pool) if negate else pool
-        return pool[draw(len(pool))]
-
-    def walk(tree) -> str:
-        out = ""
-        for op, arg in tree:
-            name = str(op)
-            if name == "LITERAL":
-                out += chr(arg)
-            elif name == "ANY":
-                out += chars([("LITERAL", ord("a")), ("RANGE", (ord("a"), ord("z")))])
-            elif name == "IN":
-                out += chars(arg)
-            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-                lo, hi, sub = arg
-                out += "".join(walk(sub) for _ in range(lo + draw(min(int(hi), lo + most) - lo + 1)))
-            elif name == "BRANCH":
-                out += walk(arg[1][draw(len(arg[1]))])
-            elif name == "SUBPATTERN":
-                out += walk(arg[-1])
-            elif name == "NOT_LITERAL":
-                out += "a" if arg != ord("a") else "b"
-        return out
-
-    return walk(re._parser.parse(pattern.replace(r"\z", r"\Z")))
-
-
-def custom_keys(pattern: str, seed: int | str, row: Column, path: str, *more: Column) -> Column:
-    """Keys of a pattern of one's own, in Arrow batches; unreadable patterns fall back on 24 hexadecimal digits."""
-    @F.pandas_udf("string")
-    def make(d: pd.Series) -> pd.Series:
-        def one(h: str) -> str:
-            try:
-                return from_regex(pattern, [int(h[i : i + 2], 16) for i in range(0, 32, 2)])
-            except Exception:
-                return h[:24]
-
-        return d.map(one)
-
-    return make(digest(seed, row, path, *more))

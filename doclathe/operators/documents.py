@@ -18,6 +18,8 @@ from doclathe.operators.state import variant_schema
 
 # --- normalising -------------------------------------------------------------------------------------------------------
 
+#: What a hint's format says of the type that a value had before it was made text.
+SOURCE_TYPES = {"objectid": "ObjectId", "base64": "Binary", "date-time": "Date", "decimal": "Decimal"}
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -116,6 +118,8 @@ def synthesize(schema: T.StructType, facts: dict[str, dict[str, Any]], config: S
             out["enum"] = list(e)
         if path in config.key_fields or path == "_id":
             gen["key"] = True
+        if source := f.get("source"):
+            gen["sourceType"] = source
         if gen:
             out["x-gen"] = gen
         return out
@@ -182,8 +186,8 @@ class Generator:
             span = F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
             ks = F.transform(span, lambda i: make(seed, row, path, *more, i))
             vs = F.transform(span, lambda i: self._value(d["valueSchema"], path + ".*", row, *more, i))
-            if d.get("customPattern") and not more:  # inside arrays, where Spark has no Python, such keys are hexadecimal digits
-                ks = S.custom_key_list(d["customPattern"], n, seed, row, path)
+            if d.get("customPattern"):
+                ks = S.custom_key_list(d["customPattern"], n, seed, row, path, *more)
             return F.map_from_arrays(F.slice(ks, 1, n.cast("int")), F.slice(vs, 1, n.cast("int")))
         if typ == "object":
             kids = [self._value(v, f"{path}.{k}" if path else k, row, *more).alias(k) for k, v in p.get("properties", {}).items()]

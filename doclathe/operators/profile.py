@@ -138,19 +138,29 @@ def frequencies(df: DataFrame, *by: str) -> DataFrame:
 def running(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64) -> DataFrame:
     """freq with `upto`, the running count of `n` in the order of `value`, and `total`, per group.
 
-    Values are cut into ranges (numbers at approximate quantiles, text by its first two characters), ranges are summed, and running counts are taken
+    Values are cut into ranges (numbers at approximate quantiles, text at those of a sample), ranges are summed, and running counts are taken
     inside a range on top of the ranges before it: exact at any number of distinct values, and no group's values meet in one task."""
     if isinstance(freq.schema[value].dataType, T.NumericType):
         cuts = freq.groupBy(*by).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).alias("cuts"))
         f = freq.join(cuts, by).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     else:
-        f = freq.withColumn("bin", F.coalesce(F.substring(value, 1, 2), F.lit("")))
+        f = freq.join(text_cuts(freq, by, value, bins), by, "left").withColumn("bin", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(value))), F.lit(0))).drop("cuts")
     part = f.groupBy(*by, "bin").agg(F.sum(n).alias("t"))
     span = Window.partitionBy(*by)
     part = part.withColumn("before", F.coalesce(F.sum("t").over(span.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("t").over(span)).drop("t")
     return f.join(part, [*by, "bin"]).withColumn("upto", F.col("before") + F.sum(n).over(Window.partitionBy(*by, "bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).drop("bin", "before")
 
 
+def text_cuts(freq: DataFrame, by: list[str], value: str, bins: int, sample: int = 4096, width: int = 256) -> DataFrame:
+    """by, cuts: of each group's distinct texts the bins - 1 that cut them into ranges of about the same number, from those of least hash: about `sample` (twice as many at most, but for chance), the first `width`
+    characters of each. A text cut short is still a place in the order."""
+    size = freq.groupBy(*by).agg(F.count("*").alias("__n"))
+    unit = (F.xxhash64(value).cast("double") + 2.0**63) / 2.0**64
+    some = freq.join(size, by).where(unit * F.col("__n") <= sample).groupBy(*by).agg(F.array_sort(F.collect_list(F.substring(value, 1, width))).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / bins).cast("int")))
+    return some.select(*by, F.array_distinct(F.array_compact(at)).alias("cuts"))
+
+
 def distribution(freq: DataFrame, by: list[str], value: str = "value", n: str = "n", bins: int = 64, quantiles: dict[str, float] | None = None) -> DataFrame:
     """by, min, max, median, p90, p95, p99, total, unique: discrete percentiles, the first value whose running count reaches total * q."""
     key = by or ["__all"]

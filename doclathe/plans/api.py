@@ -54,6 +54,7 @@ def infer(df: DataFrame, config: D.SynthesisConfig | None = None, keys: P.KeyCon
     f = facts(shaped)
     for path, (fmt, _) in hints.items():
         f.setdefault(path, {}).setdefault("format", fmt)
+        f[path]["source"] = D.SOURCE_TYPES[fmt]
     if dynamic:
         for path, d in dynamic.items():
             if counts := f.get(path, {}).get("size", {}).get("distribution"):
