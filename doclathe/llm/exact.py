@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, fresh
 
 
 def normalised(text: Column) -> Column:
@@ -61,14 +61,15 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", small: int = 2_000_000) -> DataFrame:
     """The rows of df that stay, all columns; of rows equal in id and (normalised) text, one. Rows are told apart by id and text, so null and repeated ids lose no other text."""
     g = cut(groups(df, id_col, text, keep, small=small))
-    lost = cut(g.where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    id_, sha_ = fresh(df, "__id", "__sha")
+    lost = cut(g.where("not kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha_)).distinct())
     again = g.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
     sha = F.sha2(normalised(df[text]).cast("binary"), 256)
     out = without(df, [df[id_col], sha], lost, small)
-    return out.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha") if again else out
+    return out.withColumn(sha_, sha).dropDuplicates([id_col, sha_]).drop(sha_) if again else out
 
 
 def without(df: DataFrame, keys: list[Column], lost: DataFrame, small: int = 2_000_000) -> DataFrame:
-    """df's rows whose keys aren't in the columns of `lost`; up to `small` rows are broadcast, so that texts stay where they are, beyond that joined."""
+    """df's rows whose keys aren't in the columns of `lost`, whose names df doesn't have; up to `small` rows are broadcast, so that texts stay where they are, beyond that joined."""
     same = [key.eqNullSafe(F.col(name)) for key, name in zip(keys, lost.columns, strict=True)]
     return df.join(F.broadcast(lost) if lost.count() <= small else lost, same, "left_anti")

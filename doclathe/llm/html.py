@@ -4,8 +4,10 @@ The tokenizer and builder are linear in the page; nesting beyond MAX_DEPTH conti
 Every table cell begins at its column. Columns are as wide as their widest line up to PAD characters; where a line of a cell is longer, the cells to its right begin
 below it, so that one huge cell neither inflates every row nor pushes others out of their columns. Only columns that would begin beyond WIDE characters follow there, parted by two spaces.
 
+A line is written once, whatever it is nested in; only cells are laid out by themselves. Columns count wide East Asian characters twice.
+
 Visibility: display:none and the hidden attribute end a subtree; visibility:hidden is inherited until a descendant is visible again. Labels in svg, the content of objects and
-the values of buttons and text fields are visible text.
+the values of buttons and text fields are visible text; of closed details the summary is, of ruby text all but the parentheses.
 
 Defined results: null and empty pages give the empty text. Malformed markup never fails: what can't be a tag is text, open elements end with the page.
 Only id and html columns are read. Repeated rows give repeated rows.
@@ -18,6 +20,7 @@ import heapq
 import html as entities
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +36,7 @@ WIDE = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas datalist title meta link desc defs symbol metadata clippath mask".split())
+HIDDEN = frozenset("rp head script style template noscript iframe noembed noframes audio video canvas datalist title meta link desc defs symbol metadata clippath mask".split())
 SHOWN_VALUES = frozenset("submit button reset text search email url tel number date".split())  # input types whose value is seen
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot caption td th option optgroup search".split())
@@ -59,6 +62,7 @@ _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_RIGHT = re.compile(r"(?:^|;)\s*text-align\s*:\s*(?:right|end)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -208,13 +212,24 @@ def seen(n: Node, above: bool) -> bool:
     return rules[-1].lower() == "visible" if rules else above
 
 
+def cells_wide(s: str) -> int:
+    """Columns that a text takes up: wide East Asian characters two, marks on others none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
 class Page:
-    """Lines of text with pending blank lines; inline text gathers until a block begins or ends."""
+    """Lines of text with pending blank lines; inline text gathers until a block begins or ends. Blocks that are set in share the page: a line is written once, behind the
+    indent of all blocks around it."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.run: list[str] = []
         self.gap = False  # a blank line is due before the next text
+        self.floor = 0  # where the innermost block that is set in begins
+        self.indent = ""
+        self.mark: str | None = None  # what stands before the next line instead of the indent
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
@@ -230,23 +245,47 @@ class Page:
         s = "".join(self.run)
         self.run = []
         s = s.rstrip() if pre else _SPACE.sub(" ", s).strip(" ")
-        if s or (pre and self.lines):
+        if s or (pre and len(self.lines) > self.floor):
             self.line(s)
 
+    def part(self) -> None:
+        """A blank line is due, but not at the beginning of a block that is set in."""
+        if len(self.lines) > self.floor:
+            self.gap = True
+
     def line(self, s: str) -> None:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        self.lines.append(s)
+        self.lines.append((self.indent if self.mark is None else self.mark) + s if s else "")
+        if s:
+            self.mark = None
 
     def block(self, lines: list[str]) -> None:
         for x in lines:
             self.line(x)
 
+    def enter(self, mark: str) -> tuple[int, str, str | None]:
+        """Begin a block that is set in behind a mark; returns what leave() needs."""
+        was = (self.floor, self.indent, self.mark)
+        self.mark = (self.indent if self.mark is None else self.mark) + mark
+        self.indent += " " * len(mark)
+        self.floor = len(self.lines)
+        return was
+
+    def leave(self, was: tuple[int, str, str | None], pre: bool = False) -> None:
+        self.flush(pre)
+        if len(self.lines) > self.floor:
+            self.gap, mark = False, None  # what is due inside isn't due behind
+        else:
+            mark = was[2]
+        self.floor, self.indent, self.mark = was[0], was[1], mark
+
 
 def render(n: Node, out: Page, pre: bool = False, see: bool = True, drawn: bool = False) -> None:
     """see: text of n itself is visible; drawn: n is inside an svg, where only text elements show text."""
-    for k in n.kids:
+    summary = next((k for k in n.kids if isinstance(k, Node) and k.tag == "summary"), None) if n.tag == "details" and n.attr("open") is None else n
+    for k in n.kids if summary is n else [summary] if summary else []:
         if isinstance(k, str):
             if see and not drawn:
                 out.text(k, pre)
@@ -268,24 +307,30 @@ def render(n: Node, out: Page, pre: bool = False, see: bool = True, drawn: bool
                 out.flush(pre)
         elif k.tag == "table":
             out.flush(pre)
-            out.gap = True
+            out.part()
             out.block(table(k, eye))
-            out.gap = True
+            out.part()
         elif k.tag in ("ul", "ol", "menu"):
             out.flush(pre)
             nested = n.tag == "li"
-            out.gap = out.gap or not nested
-            out.block(items(k, eye))
-            out.gap = out.gap or not nested
+            if not nested:
+                out.part()
+            items(k, out, eye)
+            if not nested:
+                out.part()
         elif k.tag in BLOCKS:
             out.flush(pre)
-            out.gap = out.gap or k.tag in PARAGRAPHS
+            if k.tag in PARAGRAPHS:
+                out.part()
             if k.tag in ("blockquote", "dd"):
-                out.block(["  " + x if x else x for x in boxed(k, pre, eye)])
+                was = out.enter("  ")
+                render(k, out, pre, eye)
+                out.leave(was, pre)
             else:
                 render(k, out, pre or k.tag == "pre", eye)
                 out.flush(pre or k.tag == "pre")
-            out.gap = out.gap or k.tag in PARAGRAPHS
+            if k.tag in PARAGRAPHS:
+                out.part()
         else:
             render(k, out, pre or k.tag in ("textarea", "xmp"), eye)
 
@@ -304,27 +349,34 @@ def alone(kid: Node | str, see: bool) -> list[str]:
     return boxed(holder, see=see)
 
 
-def items(n: Node, see: bool) -> list[str]:
-    lines: list[str] = []
-    start = n.attr("start") if n.tag == "ol" else None
-    number = int(start) if start and re.fullmatch(r"-?\d{1,9}", start.strip()) else 1
-    for k in n.kids:
-        if isinstance(k, str) and not k.strip() or isinstance(k, Node) and hidden(k):
-            continue
+def whole(v: str | None) -> int | None:
+    return int(v) if v and re.fullmatch(r"\s*[-+]?\d{1,9}\s*", v) else None
+
+
+def items(n: Node, out: Page, see: bool) -> None:
+    """The items of a list, behind their marks: numbers by start, value and reversed, or hyphens."""
+    shown = [k for k in n.kids if (k.strip() if isinstance(k, str) else not hidden(k))]
+    back = n.tag == "ol" and n.attr("reversed") is not None
+    number = whole(n.attr("start")) if n.tag == "ol" else None
+    if number is None:
+        number = sum(isinstance(k, Node) and k.tag == "li" for k in shown) if back else 1
+    for k in shown:
         if isinstance(k, Node) and k.tag == "li":
-            mark = f"{number}. " if n.tag == "ol" else "- "
-            number += 1
-            own = boxed(k, see=seen(k, see))
+            if n.tag == "ol":
+                own = whole(k.attr("value")) if k.attrs else None
+                number = number if own is None else own
+            was = out.enter(f"{number}. " if n.tag == "ol" else "- ")
+            number += -1 if back else 1
+            render(k, out, False, seen(k, see))
         elif isinstance(k, Node) and k.tag in ("ul", "ol", "menu"):
-            mark = "  "
-            own = items(k, seen(k, see))
+            was = out.enter("  ")
+            items(k, out, seen(k, see))
         else:
-            mark, own = "", alone(k, see)
-        if own:
-            pad = " " * len(mark)
-            lines.append(mark + own[0])
-            lines += [pad + x if x else x for x in own[1:]]
-    return lines
+            was = out.enter("")
+            holder = Node("div")
+            holder.kids = [k]
+            render(holder, out, False, see)
+        out.leave(was)
 
 
 def span(cell: Node, name: str, most: int) -> int:
@@ -332,6 +384,13 @@ def span(cell: Node, name: str, most: int) -> int:
     return min(max(int(v), 1), most) if v and v.strip().isdigit() and len(v.strip()) < 9 else 1
 
 
+def rightmost(cell: Node) -> bool:
+    """Whether a cell's text stands at the right of its column."""
+    if not cell.attrs:
+        return False
+    return (cell.attr("align") or "").strip().lower() == "right" or bool(_RIGHT.search(cell.attr("style") or ""))
+
+
 class Grid:
     """Columns that cells of rows above still cover: disjoint ranges in order, and when each cell ends."""
 
@@ -373,7 +432,7 @@ class Grid:
 def table(n: Node, see: bool) -> list[str]:
     """Rows of cells on a grid (spans take up their places)."""
     out: list[str] = []
-    rows: list[list[tuple[int, list[str]]]] = []
+    rows: list[list[tuple[int, list[str], bool]]] = []
     grid, number = Grid(), 0
 
     def cells(kids: list, see: bool) -> None:
@@ -388,13 +447,13 @@ def table(n: Node, see: bool) -> list[str]:
             if hidden(c):
                 continue
             at = grid.free(at)
-            line.append((at, boxed(c, see=seen(c, see))))
+            line.append((at, boxed(c, see=seen(c, see)), rightmost(c)))
             wide, tall = span(c, "colspan", 1000), span(c, "rowspan", 65534)
             if tall > 1:
                 grid.cover(at, wide, number + tall)
             at += wide
         number += 1
-        if any(x for _, x in line):
+        if any(x for _, x, _ in line):
             rows.append(line)
 
     def walk(node: Node, see: bool) -> None:
@@ -419,8 +478,8 @@ def table(n: Node, see: bool) -> list[str]:
     walk(n, see)
     width: dict[int, int] = {}
     for line in rows:
-        for at, text in line:
-            width[at] = max(width.get(at, 0), min(PAD, max(map(len, text), default=0)))
+        for at, text, _ in line:
+            width[at] = max(width.get(at, 0), min(PAD, max(map(cells_wide, text), default=0)))
     begin, x = {}, 0
     for c in sorted(width):
         begin[c] = x
@@ -428,17 +487,19 @@ def table(n: Node, see: bool) -> list[str]:
     for line in rows:
         made: list[str] = []
         top = 0  # where cells begin: below lines that reach into the columns to their right
-        for i, (at, text) in enumerate(line):
+        for i, (at, text, right) in enumerate(line):
+            if right:
+                text = [" " * (width[at] - cells_wide(s)) + s if s else s for s in text]
             made += [""] * (top + len(text) - len(made))
             col = begin[at]
             for j, s in enumerate(text):
                 if s:
                     have = made[top + j]
-                    made[top + j] = (have.ljust(min(col, WIDE)) if col <= WIDE or not have else have + "  ") + s
+                    made[top + j] = (have + " " * (min(col, WIDE) - cells_wide(have)) if col <= WIDE or not have else have + "  ") + s
             if col < WIDE and i + 1 < len(line):
                 reach = begin[line[i + 1][0]] - 2
-                over = [j for j, s in enumerate(text) if s and col + len(s) > reach]
-                if over and any(x for _, x in line[i + 1 :]):
+                over = [j for j, s in enumerate(text) if s and col + cells_wide(s) > reach]
+                if over and any(x for _, x, _ in line[i + 1 :]):
                     top += over[-1] + 1
         out += [x.rstrip() for x in made]
     return out
@@ -447,6 +508,7 @@ def table(n: Node, see: bool) -> list[str]:
 def to_text(page: str | None) -> str:
     if not page:
         return ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * MAX_DEPTH + 1000))  # a table in a cell is four calls
     out = Page()
     render(build(page.replace("\r\n", "\n").replace("\r", "\n")), out)
     out.flush()
@@ -459,7 +521,6 @@ def extract(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataF
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * MAX_DEPTH + 1000))  # a table in a cell is four calls
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_text(x.as_py()) for x in b.column(1)], pa.string())], names=[id_col, "text"])
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, fresh
 
 STEPS = 60
 
@@ -81,26 +81,28 @@ def budgets(rows: DataFrame, seed: int = 42, bin_rows: int = 4096, **target) ->
     return cut(wt.join(last, F.col("source").eqNullSafe(F.col("s2")), "left").select("source", "exponent", "weight", "passes", "last"))
 
 
-def _with_copies(df: DataFrame, id_: Column, source: Column, per: DataFrame, seed: int, small: int) -> DataFrame:
-    """df with __exponent, __weight, __copies. Up to `small` sources are broadcast; beyond, Spark joins them."""
-    p = per.select(F.col("source").alias("__source"), F.col("exponent").alias("__exponent"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("last").alias("__last"))
-    out = df.join(F.broadcast(p) if per.count() <= small else p, source.eqNullSafe(F.col("__source")))
-    extra = F.coalesce(_order(id_, F.col("__passes"), seed) <= F.col("__last"), F.lit(False)).cast("long")
-    return out.withColumn("__copies", F.col("__passes") + extra)
+def _with_copies(df: DataFrame, id_: Column, source: Column, per: DataFrame, seed: int, small: int) -> tuple[DataFrame, list[str]]:
+    """df with exponent, weight and copies, under the three names returned, which no column of df has. Up to `small` sources are broadcast; beyond, Spark joins them."""
+    key, exponent, weight, passes, last, copies = fresh(df, "__source", "__exponent", "__weight", "__passes", "__last", "__copies")
+    p = per.select(F.col("source").alias(key), F.col("exponent").alias(exponent), F.col("weight").alias(weight), F.col("passes").alias(passes), F.col("last").alias(last))
+    out = df.join(F.broadcast(p) if per.count() <= small else p, source.eqNullSafe(F.col(key)))
+    extra = F.coalesce(_order(id_, F.col(passes), seed) <= F.col(last), F.lit(False)).cast("long")
+    return out.withColumn(copies, F.col(passes) + extra), [exponent, weight, copies]
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, bin_rows: int = 4096, tokens: Column | None = None, small: int = 100_000, **target) -> DataFrame:
     """id, source, n_tokens, exponent, weight, copies: how many times each row of df is used. target: see weights()."""
     rows = cut(df.select(df[id_col].alias("id"), df[source].alias("source"), (words(df[text]) if tokens is None else tokens).alias("n_tokens")))
-    out = _with_copies(rows, F.col("id"), F.col("source"), budgets(rows, seed, bin_rows, **target), seed, small)
-    return out.select(F.col("id").alias(id_col), "source", "n_tokens", F.col("__exponent").alias("exponent"), F.col("__weight").alias("weight"), F.col("__copies").alias("copies"))
+    out, (exponent, weight, copies) = _with_copies(rows, F.col("id"), F.col("source"), budgets(rows, seed, bin_rows, **target), seed, small)
+    return out.select(F.col("id").alias(id_col), "source", "n_tokens", F.col(exponent).alias("exponent"), F.col(weight).alias("weight"), F.col(copies).alias("copies"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, bin_rows: int = 4096, small: int = 100_000, **target) -> DataFrame:
     """df's rows, all columns, each as often as planned. Texts aren't shuffled: a row's copies follow from its id and its source's row."""
     rows = cut(df.select(df[id_col].alias("id"), df[source].alias("source"), words(df[text]).alias("n_tokens")))
-    out = _with_copies(df, df[id_col], df[source], budgets(rows, seed, bin_rows, **target), seed, small).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[df[c] for c in df.columns])
+    out, (_, _, copies) = _with_copies(df, df[id_col], df[source], budgets(rows, seed, bin_rows, **target), seed, small)
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(fresh(out, "__copy")[0])
+    return out.where(F.col(copies) > 0).select("*", each).select(*[df[c] for c in df.columns])
 
 
 def schedule(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42, **target) -> DataFrame:

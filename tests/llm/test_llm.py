@@ -656,3 +656,63 @@ def test_pipeline(spark, tik, tmp_path):
     assert set(kept["mixing"]) == set(kept["simhash_near_dedup"]) and len(kept["mixing"]) > len(kept["simhash_near_dedup"])
     text = {x[0]: x[1] for x in data}
     assert all(r["ids"] == tik.encode_ordinary(text[r["doc_id"]]) for r in docs.collect())
+
+
+def test_clashing_names(spark):
+    """Columns named like those that operators add on the way."""
+    names = ["__id", "__sha", "__source", "__copies", "__copy", "__last", "__passes", "__weight", "__exponent", "__row", "__ID_"]
+    df = spark.createDataFrame([(i, f"text {i // 2}", "s", *range(len(names))) for i in range(8)] + [(0, "text 0", "s", *range(len(names)))], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    kept = exact.dedup(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+    mixed = mixing.mix(df, repeat=1.5)
+    assert mixed.columns == df.columns and mixed.count() == 9
+
+
+def test_lists_details_ruby_and_columns():
+    assert html.to_text("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert html.to_text("<ol start=5 reversed><li>a<li value=9>b<li>c</ol>") == "5. a\n9. b\n8. c"
+    assert html.to_text("<details><summary>more</summary>hidden <p>text</p></details>end") == "more\nend"
+    assert html.to_text("<details open><summary>more</summary>shown</details>") == "more\nshown"
+    assert html.to_text("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "漢kan"
+    assert html.to_text("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>") == "日本  x\nabcd  y"
+    assert html.to_text("<table><tr><td align=right>1<td>x<tr><td style='text-align:right'>100<td>y</table>") == "  1  x\n100  y"
+    assert html.to_text("<ul><li>a<ul><li>b<blockquote>c<p>d</blockquote></ul><li>e</ul>") == "- a\n  - b\n\n      c\n\n      d\n- e"
+
+
+def test_nested_blocks_are_linear():
+    import time
+
+    took = []
+    for n in (600, 2400):
+        page = "<blockquote>" * 500 + "".join(f"<p>line {i} of the text</p>" for i in range(n))
+        start = time.perf_counter()
+        out = html.to_text(page)
+        took.append(time.perf_counter() - start)
+        assert out.count("of the text") == n
+    assert took[1] < 2, took
+    assert html.to_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_all_visible_text_in_order():
+    rng = random.Random(6)
+    blocks, inline = "p div ul ol li blockquote section h2 table tr td dd article".split(), "span b i a em".split()
+    for _ in range(400):
+        words_, page, stack, n = [], "", [], 0
+        for _ in range(rng.randint(1, 60)):
+            r = rng.random()
+            if r < 0.35:
+                off = rng.random() < 0.2
+                tag = rng.choice(["div", "span", "section"] if off or "table" in [t for t, _ in stack] else ["div", "span", "section", "blockquote", "b", "em"])
+                how = rng.choice([" hidden", " style='color:red; display:none'"]) if off else ""
+                stack.append((tag, off or (stack[-1][1] if stack else False)))
+                page += f"<{tag}{how}>"
+            elif r < 0.55 and stack:
+                page += f"</{stack.pop()[0]}>"
+            elif r < 0.65:
+                page += rng.choice([f"<script>var w{n}</script>", f"<!-- c{n} -->", "<br>", "<hr>", f"<template>t{n}</template>"])
+            else:
+                n += 1
+                page += f" w{n} "
+                if not (stack and stack[-1][1]):
+                    words_.append(f"w{n}")
+        assert html.to_text(page).split() == words_, page
