@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from doclathe.llm import bpe, exact, langid, mixing, simhash
 from doclathe.llm.registry import rank_file
-from doclathe.llm.runtime import cut, scratch
+from doclathe.llm.runtime import cut, fresh, scratch
 
 #: Below this calibrated probability of the best language a document is rejected, as is one without letters.
 MIN_SCORE = 0.3
@@ -22,8 +22,9 @@ REPEAT = 1.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in a language learned from the labelled ones. The text decides; labels only train."""
     model = langid.train(docs.where(~langid.held_out(docs["doc_id"])))
-    scored = langid.predict(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
-    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "__lang", "__score")
+    scored = langid.predict(docs, model, keep=tuple(docs.columns), names=(lang, score))
+    return scored.where((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +37,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         return _near(docs, "doc_id")
     # Null or repeated ids: rows are numbered in the order of their ids, null last, and told apart by number.
     rows = cut(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")))
-    return _near(cut(rows.withColumn("__row", F.monotonically_increasing_id())), "__row").drop("__row")
+    row = fresh(docs, "__row")[0]
+    return _near(cut(rows.withColumn(row, F.monotonically_increasing_id())), row).drop(row)
 
 
 def _near(docs: DataFrame, key: str) -> DataFrame:
     found = simhash.similar(docs, key, shingle=5, similarity=0.8, measure="cosine")
-    lost = cut(found.where("node <> component").select(F.col("node").alias("__id")).distinct())
+    lost = cut(found.where("node <> component").select(F.col("node").alias(fresh(docs, "__id")[0])).distinct())
     return exact.without(docs, [docs[key]], lost)
 
 
