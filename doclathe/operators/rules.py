@@ -99,6 +99,21 @@ def equal(col: Column, typ: T.DataType, value: Any) -> Column:
     return F.coalesce(col.isNotNull() & reduce(and_, parts, F.lit(True)), F.lit(False))
 
 
+def one_of(col: Column, typ: T.DataType, allowed: list[Any]) -> Column:
+    """Whether a value is one of the literals; those of a kind in one test."""
+    tests = []
+    for k, as_ in (("number", "double"), ("string", "string"), ("boolean", "boolean")):
+        if own := [float(v) if k == "number" and isinstance(typ, T.VariantType) else v for v in allowed if kind_of(v) == k]:
+            if isinstance(typ, T.VariantType):
+                tests.append((variant_kind(col) == k) & F.try_variant_get(col, "$", as_).isin(own))
+            elif (kind(typ) if kind(typ) != "integer" else "number") == k:
+                tests.append(col.isin(own))
+    tests += [equal(col, typ, v) for v in allowed if kind_of(v) in ("null", "array", "object")]
+    while len(tests) > 1:  # a shallow tree
+        tests = [reduce(or_, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return F.coalesce(tests[0], F.lit(False)) if tests else F.lit(False)
+
+
 def canonical(col: Column, typ: T.DataType) -> Column:
     """Text that is the same for equal values: keys in the order of variants, numbers without closing zeros."""
     if not isinstance(typ, (T.VariantType, T.StructType, T.MapType, T.ArrayType)):
@@ -208,7 +223,7 @@ class Rules:
     def values(self, col: Column, typ: T.DataType, p: dict[str, Any], path: str) -> list[Column]:
         """enum and const."""
         told = (("enum", p.get("enum")), ("const", [p["const"]] if "const" in p else None))
-        return [self.bad(col.isNotNull() & ~reduce(or_, [equal(col, typ, v) for v in allowed], F.lit(False)), path, name) for name, allowed in told if allowed is not None]
+        return [self.bad(col.isNotNull() & ~one_of(col, typ, allowed), path, name) for name, allowed in told if allowed is not None]
 
     def combined(self, col: Column, typ: T.DataType, p: dict[str, Any], path: str) -> list[Column]:
         """allOf, anyOf, oneOf, not, if: about any kind."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,11 +12,12 @@ from .errors import ConfigError
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
-    if not named:
-        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/")
+    """spark.checkpoint.dir. Where it is unset, one of our own if Spark runs in one process; on a cluster that is an error."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="doclathe-")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
