@@ -338,6 +338,13 @@ def key_valid(key: Column, pattern: str) -> Column:
     return F.lit(True) if pattern == "CUSTOM" else key.rlike(KEY_PATTERNS[pattern])
 
 
+def balanced(op: Callable, items: list[Column]) -> Column:
+    """op over all items as a shallow tree: structs may have thousands of fields."""
+    while len(items) > 1:
+        items = [op(*items[i : i + 2]) if i + 1 < len(items) else items[i] for i in range(0, len(items), 2)]
+    return items[0]
+
+
 def ladder(weights: list[tuple[object, float]], u: Column) -> Column:
     """Inverse of a cumulative distribution: the first value at which u * total is under the running sum."""
     if not weights:

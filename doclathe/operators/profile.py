@@ -4,14 +4,13 @@ semantic types and dynamic keys. All scale with the data as DataFrame plans; onl
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclathe.functions.scalar import DETECTORS, KEY_PATTERNS, Detector
+from doclathe.functions.scalar import DETECTORS, KEY_PATTERNS, Detector, balanced
 
 RECORD = "array<struct<path:string,kind:string,num:double,str:string>>"
 QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -38,7 +37,7 @@ def _records(col: Column, typ: T.DataType, path: str, kinds: frozenset[str] = fr
         fields = [f for f in typ.fields if not f.name.startswith("__")]
         kids = [x for f in fields if (x := below(col.getField(f.name), f.dataType, f"{path}.{f.name}" if path else f.name)) is not None]
         if objects and "object" in kinds and path:
-            size = reduce(add, [col.getField(f.name).isNotNull().cast("int") for f in fields], F.lit(0))
+            size = balanced(add, [F.lit(0), *[col.getField(f.name).isNotNull().cast("int") for f in fields]])
             kids.insert(0, F.array(_record(path, "object", size)))
         return there(kids)
     if isinstance(typ, T.ArrayType):
@@ -200,10 +199,7 @@ def leaf_count(col: Column, typ: T.DataType) -> Column:
     """How many leaves a document has; null is one leaf."""
     if isinstance(typ, T.StructType):
         kids = [leaf_count(col.getField(f.name), f.dataType) for f in typ.fields]
-        total = kids[0]
-        for k in kids[1:]:
-            total = total + k
-        return F.when(col.isNull(), F.lit(1)).otherwise(total)
+        return F.when(col.isNull(), F.lit(1)).otherwise(balanced(add, kids))
     if isinstance(typ, T.ArrayType):
         return F.when(col.isNull(), F.lit(1)).otherwise(F.aggregate(F.transform(col, lambda x: leaf_count(x, typ.elementType).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
     if isinstance(typ, T.MapType):
@@ -215,11 +211,8 @@ def array_total(col: Column, typ: T.DataType) -> Column:
     """Sum of all array lengths in a document, nested ones too."""
     zero = F.lit(0).cast("long")
     if isinstance(typ, T.StructType):
-        total = zero
-        for f in typ.fields:
-            if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-                total = total + array_total(col.getField(f.name), f.dataType)
-        return F.coalesce(total, zero)
+        kids = [array_total(col.getField(f.name), f.dataType) for f in typ.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+        return F.coalesce(balanced(add, [zero, *kids]), zero)
     if isinstance(typ, T.ArrayType):
         inner = F.aggregate(F.transform(col, lambda x: array_total(x, typ.elementType)), zero, lambda a, x: a + x)
         return F.coalesce(F.size(col).cast("long") + inner, zero)

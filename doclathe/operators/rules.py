@@ -109,9 +109,7 @@ def one_of(col: Column, typ: T.DataType, allowed: list[Any]) -> Column:
             elif (kind(typ) if kind(typ) != "integer" else "number") == k:
                 tests.append(col.isin(own))
     tests += [equal(col, typ, v) for v in allowed if kind_of(v) in ("null", "array", "object")]
-    while len(tests) > 1:  # a shallow tree
-        tests = [reduce(or_, tests[i : i + 2]) for i in range(0, len(tests), 2)]
-    return F.coalesce(tests[0], F.lit(False)) if tests else F.lit(False)
+    return F.coalesce(S.balanced(or_, tests), F.lit(False)) if tests else F.lit(False)
 
 
 def canonical(col: Column, typ: T.DataType) -> Column:
@@ -271,9 +269,10 @@ class Rules:
                 out += self.of(col.getField(n), of, r, f"{path}/{n}")
             if not rules and extra is False:
                 out.append(self.bad(col.getField(n).isNotNull(), f"{path}/{n}", "additionalProperties"))
-        size = reduce(add, [col.getField(n).isNotNull().cast("int") for n in types], F.lit(0))
+        size = S.balanced(add, [F.lit(0), *[col.getField(n).isNotNull().cast("int") for n in types]])
         if isinstance(p.get("propertyNames"), (dict, bool)):
-            out.append(self.bad(reduce(or_, [col.getField(n).isNotNull() & ~self.ok(F.lit(n), T.StringType(), p["propertyNames"], path) for n in types], F.lit(False)), path, "propertyNames"))
+            wrong = [col.getField(n).isNotNull() & ~self.ok(F.lit(n), T.StringType(), p["propertyNames"], path) for n in types]
+            out.append(self.bad(S.balanced(or_, [F.lit(False), *wrong]), path, "propertyNames"))
         out += self.dependent(col.isNotNull(), col, typ, lambda n: col.getField(n) if n in types else F.lit(None), p, path)
         return out + self.counted(col.isNotNull(), size, lambda n: col.getField(n) if n in types else F.lit(None), p, path)
 
