@@ -225,21 +225,44 @@ def types(state: DataFrame) -> DataFrame:
     return t.join(per, "path").select("path", "typ", "n", F.round(F.col("n") / F.col("all"), 6).alias("probability"), (F.col("typ") == F.col("top")).alias("dominant"))
 
 
+#: Up to so many different values of a path are put in order in one task; beyond, in ranges.
+ONE_TASK = 200_000
+
+
+def _by_size(state: DataFrame, section: str) -> tuple[DataFrame, DataFrame | None]:
+    """(path, value, n) of the paths with few different values, and of those with many, if there are such."""
+    f = state.where(F.col("section") == section).select("path", F.col("num").alias("value"), "n")
+    large = [r["path"] for r in f.groupBy("path").count().where(F.col("count") > ONE_TASK).collect()]
+    return (f, None) if not large else (f.where(~F.col("path").isin(large)), f.where(F.col("path").isin(large)))
+
+
+def _in_one_task(f: DataFrame, *more: Column) -> DataFrame:
+    """P.distribution() of paths with few different values: they meet by path, once. more: aggregates, which may use `mean`, that of the path."""
+    path = Window.partitionBy("path")
+    upto = F.sum("n").over(path.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = f.withColumns({"upto": upto, "total": F.sum("n").over(path), "mean": F.sum(F.col("value") * F.col("n")).over(path) / F.sum("n").over(path)})
+    reach = [F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("value"))).alias(name) for name, q in P.QUANTILES.items()]
+    return ranked.groupBy("path").agg(F.min("value").alias("min"), F.max("value").alias("max"), *reach, F.max("total").alias("total"), F.count("*").alias("unique"), *more)
+
+
 def distribution(state: DataFrame, section: str) -> DataFrame:
     """path, min, max, median, p90, p95, p99, total, unique of the numbers of a section."""
-    return P.distribution(state.where(F.col("section") == section).select("path", F.col("num").alias("value"), "n"), ["path"])
+    few, many = _by_size(state, section)
+    return _in_one_task(few) if many is None else _in_one_task(few).unionByName(P.distribution(many, ["path"]))
 
 
 def numeric(state: DataFrame, digits: int = 4) -> DataFrame:
     """path, n, min, max, mean, std_dev (sample; 0 for one value), is_int, all_positive, median, p90, p95, p99."""
-    f = state.where("section = 'number'").select("path", F.col("num").alias("value"), "n")
+    few, many = _by_size(state, "number")
     v, n = F.col("value"), F.col("n")
-    first = f.groupBy("path").agg((F.sum(v * n) / F.sum(n)).alias("m"))
     # Deviations from the mean, so that no large squares cancel.
-    spread = f.join(first, "path").groupBy("path").agg(F.first("m").alias("m"), F.sum(n).alias("all"), F.sum(n * (v - F.col("m")) ** 2).alias("s"), F.bool_and(v == F.floor(v)).alias("is_int"), F.bool_and(v >= 0).alias("all_positive"))
-    deviation = F.when(F.col("all") > 1, F.sqrt(F.col("s") / (F.col("all") - 1))).otherwise(0.0)
-    told = spread.select("path", F.round("m", digits).alias("mean"), F.round(deviation, digits).alias("std_dev"), "is_int", "all_positive")
-    return P.distribution(f, ["path"]).join(told, "path").select("path", F.col("total").alias("n"), "min", "max", "mean", "std_dev", "is_int", "all_positive", *P.QUANTILES)
+    told = [F.max("mean").alias("m"), F.sum(n * (v - F.col("mean")) ** 2).alias("s"), F.bool_and(v == F.floor(v)).alias("is_int"), F.bool_and(v >= 0).alias("all_positive")]
+    out = _in_one_task(few, *told)
+    if many is not None:
+        mean = many.groupBy("path").agg((F.sum(v * n) / F.sum(n)).alias("mean"))
+        out = out.unionByName(P.distribution(many, ["path"]).join(many.join(mean, "path").groupBy("path").agg(*told), "path"))
+    deviation = F.when(F.col("total") > 1, F.sqrt(F.col("s") / (F.col("total") - 1))).otherwise(0.0)
+    return out.select("path", F.col("total").alias("n"), "min", "max", F.round("m", digits).alias("mean"), F.round(deviation, digits).alias("std_dev"), "is_int", "all_positive", *P.QUANTILES)
 
 
 def enums(state: DataFrame) -> DataFrame:
