@@ -397,10 +397,11 @@ def object_keys(df: DataFrame) -> DataFrame:
 
 
 def dynamic_stats(keys: DataFrame, config: KeyConfig | None = None) -> DataFrame:
-    """Of rewritten keys (doc, parent, key): path, n_keys, pattern, ratio, n_docs, confidence, level, is_dynamic, examples (the first ten keys)."""
+    """Of rewritten keys (doc, parent, key): path, n_keys, pattern, ratio, n_docs, confidence, level, is_dynamic, examples (the first ten keys, of a path with over 2000 those of the sample)."""
+    from doclathe.operators.state import key_sample
+
     docs = keys.groupBy(F.col("parent").alias("path")).agg(F.count_distinct("doc").alias("n_docs"))
-    first = keys.select("parent", "key").distinct().withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("key"))).where("r <= 10")
-    some = first.groupBy(F.col("parent").alias("path")).agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    some = key_sample(keys, path="parent").groupBy("path").agg(F.slice(F.array_sort(F.collect_list("key")), 1, 10).alias("examples"))  # of 2000 keys a path at most
     return detect(key_ratios(keys, config, "parent", "key").join(docs, "path"), config).join(some, "path")
 
 

@@ -15,6 +15,10 @@ from doclathe.operators import state as St
 from doclathe.sources.errors import InferenceError
 
 
+#: A schema has no more fields of objects than this: they are the driver's.
+MOST_FIELDS = 100_000
+
+
 def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
     """What synthesis needs of each path, from the table's profile state; a row per path (and per distinct length or enum value) comes back."""
     state = St.state_of(df).persist()  # counts, not documents
@@ -39,7 +43,10 @@ def dynamic_objects(df: DataFrame, keys: P.KeyConfig | None = None) -> tuple[Dat
     maps = {p for p, t in P.field_paths(df.schema) if t == "map"} - set(dynamic)
     names: dict[str, list[str]] = {}
     if maps:
-        for r in rows.where(~F.col("parent").isin(list(dynamic) or [""])).select("parent", "key").distinct().orderBy("parent", "key").collect():
+        fields = rows.where(~F.col("parent").isin(list(dynamic) or [""])).select("parent", "key").distinct().limit(MOST_FIELDS + 1).collect()
+        if len(fields) > MOST_FIELDS:
+            raise InferenceError(f"over {MOST_FIELDS} fields of objects that aren't dynamic; enable dynamic keys, or force their paths")
+        for r in sorted(fields):
             names.setdefault(r["parent"], []).append(r["key"])
     return P.reshape(df, set(dynamic), names), dynamic
 
