@@ -722,7 +722,7 @@ def reference_violations(spark, d):
 # --- streams and variants -----------------------------------------------------------------------------------------------
 
 
-def in_batches(df: DataFrame, merged, key: str, n: int = 4) -> DataFrame:
+def in_batches(df: DataFrame, merged, key: str, n: int = 3) -> DataFrame:
     """The merged state of df fed as n micro-batches, the last one twice, as after a restart."""
     for i in [*range(n), n - 1]:
         merged.update(df.where(F.pmod(F.col(key), F.lit(n)) == i), i)
