@@ -218,6 +218,11 @@ class Generator:
         rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
         return rows.select(*self.columns(F.col("id")))
 
+    def generate_for(self, rows: DataFrame, row: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """A document for each row of a table, made from the number in its column `row`, beside the columns in `keep`: a stand-in for the table in which a row's document is always the same.
+        Rows with equal or null numbers get equal documents."""
+        return rows.select(*keep, *self.columns(F.coalesce(F.col(row).cast("long"), F.lit(-1))))
+
     def stream(self, rows: DataFrame, row: str = "value") -> DataFrame:
         """The same over a streaming source of row numbers, such as `rate`."""
         return rows.select(*self.columns(F.col(row)))
@@ -266,18 +271,16 @@ def recommended_length(u: Column, lo: int, p50: int, p90: int, p99: int) -> Colu
 
 
 def weighted_pick(rows: DataFrame, freq: DataFrame, u: str = "u", value: str = "value", n: str = "n") -> DataFrame:
-    """rows with a value drawn from a frequency table: a range join on its running sums.
+    """rows with a value drawn from a frequency table, null if the table is empty: a range join on its running sums, by the bins of u that a value's range meets.
 
-    A table of up to 4096 values is folded into one array and searched by position in the scan; a larger one is joined by range on a bin of u."""
+    A table of up to 4096 values, so of up to 5121 pairs of value and bin, is broadcast; rows of a larger one are shuffled by bin."""
     ranked = P.running(freq.withColumn("__all", F.lit(1)), ["__all"], value, n)
-    shares = ranked.select(F.col(value).alias("value"), ((F.col("upto") - F.col(n)) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))
-    if freq.count() <= 4096:
-        arr = F.broadcast(shares.agg(F.sort_array(F.collect_list(F.struct("hi", "value"))).alias("__arr")))
-        pick = F.element_at(F.filter("__arr", lambda x: F.col(u) < x["hi"]), 1)["value"]
-        return rows.crossJoin(arr).withColumn("value", pick).drop("__arr")
+    shares = ranked.select(F.col(value).alias("value"), ((F.col("upto") - F.col(n)) / F.col("total")).alias("__lo"), (F.col("upto") / F.col("total")).alias("__hi"))
     bins = 1024
-    s = shares.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.lit(bins - 1), F.floor(F.col("hi") * bins)))))
-    return rows.withColumn("__bin", F.floor(F.col(u) * bins)).join(s, ["__bin"]).where((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("__bin", "lo", "hi")
+    s = shares.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__lo") * bins), F.least(F.lit(bins - 1), F.floor(F.col("__hi") * bins)))))
+    s = F.broadcast(s) if freq.count() <= 4096 else s
+    drawn = (F.floor(F.col(u) * bins) == F.col("__bin")) & (F.col(u) >= F.col("__lo")) & (F.col(u) < F.col("__hi"))
+    return rows.join(s, drawn, "left").drop("__bin", "__lo", "__hi")
 
 
 # --- change logs -------------------------------------------------------------------------------------------------------

@@ -91,6 +91,23 @@ def ndjson_fields(spark, d):
     return e.groupBy(F.expr("variant_get(doc, '$.k', 'string')").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, true AS typed_alike FROM customer")
+def ndjson_round_trip(spark, d):
+    """All customers written as NDJSON in files of 1000 lines at most, and read back as variants and as typed columns."""
+    from doclathe.sources import writers as W
+    from doclathe.sources.paths import scratch
+
+    df = t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = scratch(spark, "ndjson")
+    W.write_ndjson(df, path, max_records=1000)
+    get = lambda f: F.expr(f"variant_get(doc, '$.{f.name}', '{f.dataType.simpleString()}')").alias(f.name)
+    loose = R.read_ndjson(spark, path).select(*[get(f) for f in df.schema])
+    typed = R.read_documents(spark, path, df.schema)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in df.columns]
+    both = loose.alias("a").join(typed.alias("b"), same[0], "full")
+    return both.select("a.*", reduce(lambda x, y: x & y, same).alias("typed_alike"))
+
+
 # --- normalising -------------------------------------------------------------------------------------------------------
 
 
@@ -437,19 +454,21 @@ def _u(path: str) -> str:
     return f"(('0x' || substr({_h(path)}, 1, 8))::BIGINT / 4294967296.0)"
 
 
-@query(f"""WITH r AS (SELECT range AS i FROM range(20000)), x AS (SELECT i, {_h('_id')} AS d, {_u('age')} AS ua, {_u('status')} AS us, {_h('ip')} AS p, {_u('tags#n')} AS un FROM r)
-SELECT substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS _id, (floor(ua * 63) + 18)::BIGINT AS age,
+@query(f"""WITH r AS (SELECT o_orderkey AS i FROM orders), x AS (SELECT i, {_h('_id')} AS d, {_u('age')} AS ua, {_u('status')} AS us, {_h('ip')} AS p, {_u('tags#n')} AS un FROM r)
+SELECT i AS o_orderkey, substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS _id, (floor(ua * 63) + 18)::BIGINT AS age,
 CASE WHEN us * 100 < 50 THEN 'A' WHEN us * 100 < 80 THEN 'B' ELSE 'C' END AS status,
 ('0x' || substr(p,1,2))::INT || '.' || ('0x' || substr(p,3,2))::INT || '.' || ('0x' || substr(p,5,2))::INT || '.' || ('0x' || substr(p,7,2))::INT AS ip, (floor(un * 4) + 1)::INTEGER AS n_tags FROM x""")
 def generate_documents(spark, d):
-    made = D.Generator(SCHEMA).generate(spark, 20000)
-    return made.select("_id", "age", "status", "ip", F.size("tags").alias("n_tags"))
+    """A made-up document for each order."""
+    made = D.Generator(SCHEMA).generate_for(t(spark, d, "orders"), "o_orderkey", keep=("o_orderkey",))
+    return made.select("o_orderkey", "_id", "age", "status", "ip", F.size("tags").alias("n_tags"))
 
 
-@query("""WITH x AS (SELECT i, j, md5('42:' || i || ':k:' || j) AS d FROM (SELECT range AS i FROM range(2000)), (SELECT range AS j FROM range(1, 4)))
-SELECT i AS id, substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS key FROM x""")
+@query("""WITH x AS (SELECT i, j, md5('42:' || i || ':k:' || j) AS d FROM (SELECT c_custkey AS i FROM customer), (SELECT range AS j FROM range(1, 4)))
+SELECT i AS c_custkey, substr(d,1,8) || '-' || substr(d,9,4) || '-4' || substr(d,14,3) || '-a' || substr(d,18,3) || '-' || substr(d,21,12) AS key FROM x""")
 def generate_keys(spark, d):
-    return spark.range(2000).select("id", F.explode(S.keys("UUID", F.lit(3), 42, F.col("id"), "k")).alias("key"))
+    """Three made-up keys for each customer."""
+    return t(spark, d, "customer").select("c_custkey", F.explode(S.keys("UUID", F.lit(3), 42, F.col("c_custkey"), "k")).alias("key"))
 
 
 def _digits(at: int) -> str:
@@ -470,25 +489,61 @@ def validate_keys(spark, d):
     return k.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.count_distinct("key").alias("distinct_keys"), F.min("key").alias("least"), F.max("key").alias("most"))
 
 
-FIDELITY = {"1": 100, "2": 300, "3": 400, "5": 150, "8": 50}
+@query(f"""WITH f AS (SELECT v, count(*) AS n FROM ({LEN_SQL}) GROUP BY 1), w AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto, sum(n) OVER () AS total FROM f), u AS (SELECT i, {_u('lines#n')} AS u FROM (SELECT o_orderkey AS i FROM orders)),
+g AS (SELECT i, min(v) AS v FROM u JOIN w ON u * total < upto GROUP BY 1), a AS (SELECT {DIST} FROM ({LEN_SQL})), b AS (SELECT {DIST} FROM g), dv AS (SELECT """ + ", ".join(f"round(CASE WHEN a.{c} = 0 AND b.{c} = 0 THEN 0 WHEN a.{c} = 0 THEN 1 ELSE abs(b.{c} - a.{c}) / a.{c} END, 6)::DOUBLE AS dev_{c}" for c in ("median", "p90", "p99")) + """ FROM a, b)
+SELECT 'lines' AS path, *, dev_median <= 0.1 AND dev_p90 <= 0.1 AND dev_p99 <= 0.1 AS passed FROM dv""")
+def generated_fidelity(spark, d):
+    """Lengths of arrays drawn for each order by the distribution of its lines, against that distribution."""
+    n = nested(spark, d).select("lines")
+    drawn = {str(int(r["value"])): r["n"] for r in P.frequencies(n.select(F.size("lines").alias("value")), "value").collect()}
+    schema = {"properties": {"lines": {"type": "array", "items": {"type": "boolean"}, "minItems": 0, "maxItems": max(map(int, drawn), default=0), "x-array-length-distribution": drawn}}}
+    made = D.Generator(schema).generate_for(t(spark, d, "orders"), "o_orderkey")
+    return D.compare_arrays(*[D.array_stats(P.unnest(x, kinds=("array",))) for x in (n, made)])
 
 
-@query(f"""WITH x AS (SELECT {_u('tags#n')} * 1000 AS u FROM (SELECT range AS i FROM range(20000))), l AS (SELECT CASE WHEN u < 100 THEN 1 WHEN u < 400 THEN 2 WHEN u < 800 THEN 3 WHEN u < 950 THEN 5 ELSE 8 END AS v FROM x), g AS (SELECT {DIST} FROM l)
-SELECT 'tags' AS path, round(abs(median - 3) / 3, 6)::DOUBLE AS dev_median, round(abs(p90 - 5) / 5, 6)::DOUBLE AS dev_p90, round(abs(p99 - 8) / 8, 6)::DOUBLE AS dev_p99, abs(median - 3) / 3 <= 0.1 AND abs(p90 - 5) / 5 <= 0.1 AND abs(p99 - 8) / 8 <= 0.1 AS passed FROM g""")
-def generated_fidelity(spark, d):
-    schema = {"properties": {"tags": {"type": "array", "items": {"type": "boolean"}, "minItems": 1, "maxItems": 8, "x-array-length-distribution": FIDELITY}}}
-    made = D.array_stats(P.unnest(D.Generator(schema).generate(spark, 20000)))
-    sample = P.distribution(spark.createDataFrame([("tags", float(k), v) for k, v in FIDELITY.items()], "path string, value double, n bigint"), ["path"])
-    return D.compare_arrays(sample, made)
+def _below(path: str, n: int) -> str:
+    return f"floor({_u(path)} * {n})::BIGINT"
+
+
+def _word(words: tuple[str, ...], path: str) -> str:
+    return f"{list(words)!r}[{_below(path, len(words))} + 1]"
+
+
+def _format_sql() -> dict[str, str]:
+    """What the generator of each format makes of its path's digest, in SQL."""
+    h = {f: _h(f"v.{f}") for f in S.FORMATS}
+    u, o = h["uuid"], h["objectid"]
+    return {
+        "objectid": f"lower(lpad(to_hex(1735689600 - {_below('v.objectid#t', 31536000)}), 8, '0')) || substr({o}, 1, 16)",
+        "date-time": f"strftime(make_timestamp((1735689600 - {_below('v.date-time', 31536000)}) * 1000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'",
+        "uuid": f"substr({u}, 1, 8) || '-' || substr({u}, 9, 4) || '-4' || substr({u}, 14, 3) || '-a' || substr({u}, 18, 3) || '-' || substr({u}, 21, 12)",
+        "decimal": f"({_below('v.decimal', 100000000)} // 100)::VARCHAR || '.' || lpad(({_below('v.decimal', 100000000)} % 100)::VARCHAR, 2, '0')",
+        "base64": f"base64(encode(substr({h['base64']}, 1, 16)))",
+        "email": f"lower({_word(S.FIRST, 'v.email')}) || substr({h['email']}, 25, 4) || '@' || {_word(S.DOMAINS, 'v.email#d')}",
+        "url": f"'https://' || {_word(S.WORDS, 'v.url')} || '.' || {_word(S.DOMAINS, 'v.url#d')} || '/' || substr({h['url']}, 1, 8)",
+        "phone": f"'+1-555-' || lpad({_below('v.phone#a', 1000)}::VARCHAR, 3, '0') || '-' || lpad({_below('v.phone', 10000)}::VARCHAR, 4, '0')",
+        "person-name": f"{_word(S.FIRST, 'v.person-name')} || ' ' || {_word(S.LAST, 'v.person-name#l')}",
+        "ipv4": " || '.' || ".join(f"('0x' || substr({h['ipv4']}, {2 * k + 1}, 2))::INT::VARCHAR" for k in range(4)),
+        "ipv6": " || ':' || ".join(f"substr({h['ipv6']}, {4 * k + 1}, 4)" for k in range(8)),
+    }
+
+
+@query("SELECT i AS c_custkey, " + ", ".join(f'{sql} AS "{f}"' for f, sql in _format_sql().items()) + " FROM (SELECT c_custkey AS i FROM customer)")
+def generate_formats(spark, d):
+    """A value of every format for each customer."""
+    schema = {"properties": {"v": {"type": "object", "properties": {f: {"type": "string", "format": f} for f in S.FORMATS}}}}
+    registry = S.Registry(paths={})  # formats alone decide, no names of fields
+    return D.Generator(schema, registry=registry).generate_for(t(spark, d, "customer"), "c_custkey", keep=("c_custkey",)).select("c_custkey", "v.*")
 
 
 # --- change logs -------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT i AS seq, CASE WHEN i < 100 THEN 'insert' WHEN {_u('#op')} * 100 < 50 THEN 'insert' WHEN {_u('#op')} * 100 < 90 THEN 'update' ELSE 'delete' END AS op FROM (SELECT range AS i FROM range(20000))")
+@query(f"SELECT i AS seq, CASE WHEN i < 100 THEN 'insert' WHEN {_u('#op')} * 100 < 50 THEN 'insert' WHEN {_u('#op')} * 100 < 90 THEN 'update' ELSE 'delete' END AS op FROM (SELECT event_id AS i FROM events)")
 def op_selection(spark, d):
     ratios = D.parse_ratios("insert:50,update:40,delete:10")
-    return spark.range(20000).select(F.col("id").alias("seq"), D.select_op(S.uniform(42, F.col("id"), "#op"), ratios, F.col("id"), 100).alias("op"))
+    seq = F.col("event_id")
+    return t(spark, d, "events").select(seq.alias("seq"), D.select_op(S.uniform(42, seq, "#op"), ratios, seq, 100).alias("op"))
 
 
 UPDATED = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
@@ -499,6 +554,28 @@ def partial_update_fields(spark, d):
     return t(spark, d, "orders").select("o_orderkey", F.array_join(D.partial_fields(UPDATED, 42, F.col("o_orderkey")), ",").alias("fields"))
 
 
+_NEW = {"o_custkey": f"{_below('o_custkey', 1001)}::VARCHAR", "o_orderstatus": f"""'"' || CASE WHEN {_u('o_orderstatus')} * 100 < 50 THEN 'F' WHEN {_u('o_orderstatus')} * 100 < 90 THEN 'O' ELSE 'P' END || '"'""", "o_shippriority": f"{_below('o_shippriority', 10)}::VARCHAR"}
+_MODES_SQL = "WITH o AS (SELECT o_orderkey AS i, o_custkey, o_orderkey % 7 AS o_shippriority FROM orders), n AS (SELECT *, " + ", ".join(f"{sql} AS new_{c}" for c, sql in _NEW.items()) + f""", {_u('#coin')} < 0.5 AS heads,
+ list_transform(list_sort([{', '.join(f"{_h(c)} || '{c}'" for c in _NEW)}])[1:floor({_u('#fields')} * 3)::INT + 1], lambda x: substr(x, 33)) AS chosen FROM o),
+ m AS (""" + " UNION ALL ".join(f"""SELECT i, 'regenerate' AS mode, '{c}' AS field, new_{c} AS value FROM n UNION ALL SELECT i, 'partial', '{c}', new_{c} FROM n WHERE list_contains(chosen, '{c}')
+ UNION ALL SELECT i, 'mixed', '{c}', new_{c} FROM n WHERE heads OR list_contains(chosen, '{c}')""" for c in _NEW) + """
+ UNION ALL SELECT i, 'increment', 'o_custkey', (o_custkey + 1)::VARCHAR FROM n UNION ALL SELECT i, 'increment', 'o_shippriority', (o_shippriority + 1)::VARCHAR FROM n UNION ALL SELECT i, 'touch', 'updatedAt', '"2025-01-01T00:00:00.000Z"' FROM n)
+ SELECT mode, field, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS n_values, min(value) AS least, max(value) AS most, (sum(('0x' || substr(md5(i || ':' || value), 1, 8))::BIGINT))::BIGINT AS checksum FROM m GROUP BY 1, 2"""
+
+
+@query(_MODES_SQL)
+def update_modes(spark, d):
+    """What every mode of updates sets in every order, by mode and field."""
+    gen = D.Generator({"properties": {"_id": {"type": "integer"}, "o_custkey": {"type": "integer"}, "o_orderstatus": {"type": "string", "x-gen": {"enum": {"F": 50, "O": 40, "P": 10}}}, "o_shippriority": {"type": "integer", "maximum": 9}}})
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("i"), "o_custkey", (F.col("o_orderkey") % 7).alias("o_shippriority"))
+    now = {c: F.col(c) for c in ("o_custkey", "o_shippriority")}
+    each = [F.struct(F.lit(m).alias("mode"), D.mutation(gen, m, F.col("i"), now).alias("sets")) for m in ("regenerate", "partial", "mixed", "increment", "touch")]
+    rows = o.select("i", F.inline(F.array(*each))).select("i", "mode", F.explode("sets").alias("field", "json"))
+    rows = rows.withColumn("value", F.regexp_extract("json", r'^\{"v":(.*)\}$', 1))
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "i", "value")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy("mode", "field").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum(mark).alias("checksum"))
+
+
 def op_log(spark, d):
     """Three operations on some orders, by key: two price updates, then for every 30th a delete, and for every 60th an insert again."""
     o = t(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice", "o_orderstatus")
@@ -801,6 +878,43 @@ def stream_sample(spark, d):
     return in_batches(t(spark, d, "customer"), sample(spark, scratch(spark, "sample"), 100, "c_custkey", compact=3), "c_custkey")
 
 
+# --- whole schemas -----------------------------------------------------------------------------------------------------
+
+
+def schema_rows(p: dict, path: str = "", required: bool = True) -> list[tuple]:
+    """(path, type, format, source_type, lo, hi, fewest, most, drawn, n_enum, required): what a schema says of each path, from the top down. drawn: the weights of its lengths, or of its enumerated values, in all."""
+    gen, lengths = p.get("x-gen", {}), p.get("x-array-length-distribution")
+    drawn = sum((lengths or gen.get("enum") or {}).values()) or None
+    lo, hi = (None if p.get(k) is None else float(p[k]) for k in ("minimum", "maximum"))
+    out = [(path, p.get("type"), p.get("format"), gen.get("sourceType"), lo, hi, p.get("minItems"), p.get("maxItems"), drawn, len(p["enum"]) if "enum" in p else None, required)]
+    for k, v in p.get("properties", {}).items():
+        out += schema_rows(v, f"{path}.{k}" if path else k, k in p.get("required", []))
+    return out + (schema_rows(p["items"], path + "[]") if "items" in p else [])
+
+
+def _number(col: str, table: str, path: str) -> str:
+    return f"SELECT '{path}' AS path, CASE WHEN bool_and({col} = floor({col})) THEN 'integer' ELSE 'number' END AS type, NULL AS format, NULL AS source_type, min({col})::DOUBLE AS lo, max({col})::DOUBLE AS hi, NULL::INT AS fewest, NULL::INT AS most, NULL::BIGINT AS drawn, NULL::INT AS n_enum, true AS required FROM {table}"
+
+
+def _text(col: str, table: str, path: str, fmt: str = "NULL", source: str = "NULL") -> str:
+    few = f"count(DISTINCT {col}) <= 50 AND (count(DISTINCT {col}) / count({col}) <= 0.1 OR count(DISTINCT {col}) <= 10)"
+    return f"SELECT '{path}', 'string', {fmt}, {source}, NULL, NULL, NULL, NULL, CASE WHEN {few} THEN count({col})::BIGINT END, CASE WHEN {few} THEN count(DISTINCT {col})::INT END, true FROM {table}"
+
+
+_OWN = "(SELECT l.* FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(" UNION ALL ".join([
+    *[_number(c, "orders", c) for c in ("o_orderkey", "o_custkey", "o_totalprice")], *[_text(c, "orders", c) for c in ("o_orderstatus", "o_orderpriority")],
+    _text("o_orderdate", "orders", "o_orderdate", "'date-time'", "'Date'"), *[_number(c, _OWN, f"lines[].{c}") for c in ("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")], _text("l_returnflag", _OWN, "lines[].l_returnflag"),
+    f"SELECT 'lines', 'array', NULL, NULL, NULL, NULL, min(v)::INT, max(v)::INT, count(*)::BIGINT, NULL, true FROM ({LEN_SQL})", "SELECT '', 'object', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true", "SELECT 'lines[]', 'object', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true",
+]))
+def inferred_schema(spark, d):
+    """The generation schema of all orders with their lines, a row for each path."""
+    schema, _ = P_infer(nested(spark, d))
+    return spark.createDataFrame(schema_rows(schema), "path string, type string, format string, source_type string, lo double, hi double, fewest int, most int, drawn bigint, n_enum int, required boolean")
+
+
 # --- without SQL for comparison ----------------------------------------------------------------------------------------
 
 

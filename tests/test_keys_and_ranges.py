@@ -60,3 +60,35 @@ def test_source_types(spark):
     df = spark.createDataFrame([(bytearray(b"\x01" * 12), 1)] * 30, "_id binary, n int").select("_id", "n", F.lit("2024-01-01").cast("timestamp").alias("at"), F.lit("1.50").cast("decimal(9,2)").alias("price"))
     p = api.infer(df)[0]["properties"]
     assert {k: v.get("x-gen", {}).get("sourceType") for k, v in p.items()} == {"_id": "ObjectId", "n": None, "at": "Date", "price": "Decimal"}
+
+
+def test_weighted_pick_takes_the_first_value_whose_running_share_is_above(spark):
+    from doclathe.operators import documents as D
+
+    us = [0.0, 1 / 1024, 0.2499999, 0.25, 0.5, 0.7499, 0.999999, 1 - 2**-40]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i long, u double")
+    for freq in ([("a", 1), ("b", 1), ("c", 2)], [("x", 7)], [(f"v{i:05d}", 1 + i % 3) for i in range(5000)]):
+        table = spark.createDataFrame(freq, "value string, n bigint")
+        total, want = sum(n for _, n in freq), {}
+        for i, u in enumerate(us):
+            run = 0
+            for v, n in sorted(freq):
+                run += n
+                if u < run / total:
+                    want[i] = v
+                    break
+        assert {r["i"]: r["value"] for r in D.weighted_pick(rows, table).collect()} == want
+    empty = D.weighted_pick(rows, spark.createDataFrame([], "value string, n bigint")).collect()
+    assert len(empty) == len(us) and all(r["value"] is None for r in empty)
+
+
+def test_documents_for_rows_depend_on_the_row_alone(spark):
+    from doclathe.operators import documents as D
+
+    gen = D.Generator({"properties": {"_id": {"type": "string", "format": "uuid"}, "xs": {"type": "array", "items": {"type": "integer"}, "minItems": 0, "maxItems": 3}}})
+    rows = spark.createDataFrame([(3, "c"), (1, "a"), (None, "n"), (3, "again")], "k long, name string")
+    made = {r["name"]: (r["_id"], r["xs"]) for r in gen.generate_for(rows, "k", keep=("name",)).collect()}
+    assert made == {r["name"]: (r["_id"], r["xs"]) for r in gen.generate_for(rows.repartition(3), "k", keep=("name",)).collect()}
+    assert made["c"] == made["again"] and len({made[x][0] for x in ("a", "c", "n")}) == 3
+    assert made["a"] == tuple(gen.generate(spark, 2).collect()[1])
+    assert gen.generate_for(rows.limit(0), "k").count() == 0
