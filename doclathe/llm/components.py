@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is one aggregation of each node's smallest neighbour (combined before the shuffle, so a hub costs one
-row per task) and one join; stars shrink until nothing changes. Lineage is cut with a reliable checkpoint each
+Every step is one aggregation of each node's smallest neighbour and one join with it, both by node and salt, so that a hub's
+edges are dealt to SALTS keys; stars shrink until nothing changes. Lineage is cut with a reliable checkpoint each
 round, so a lost executor costs one round. Nothing is gathered on the driver but one count per round.
 """
 
@@ -12,17 +12,25 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows (key, value) with m, the least value of the row's key. A key's rows are split by a salt of their values: the least is merged from at most SALTS
+    partial ones and goes back to these salts only, so no task has more than a share of a hot key."""
+    salted = rows.select(key, value, F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int").alias("salt"))
+    part = salted.groupBy(key, "salt").agg(F.min(value).alias("m"))
+    least = part.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"]).select(key, value, "m")
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v). large: link each node's larger neighbours to its smallest; else its smaller ones and itself."""
+    """edges (u, v), distinct. large: link each node's larger neighbours to its smallest; else its smaller ones and itself."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        j = edges.join(least, "u")
-        out = j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    else:  # the edge to the smallest is the node's own link
+        out = with_least(edges, "u", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 

@@ -16,6 +16,7 @@ the component of their fingerprint's other rows (null if there are none). Empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, with_least
 from .runtime import cut, groups, ship
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -239,7 +240,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     So documents meet under each of `keys` min-wise hashes of their shingles (sets of one size at 0.8 miss each other under all nine with a chance of 5 in 100 000). In a bucket
     fingerprints, here of distinct shingles, so that repeated passages don't move them, are compared bit-sliced; pairs beyond `radius`, 3.7 deviations above the average, are left. What is
     within it is verified on the sets (32 bits of each hash): first along a spanning tree of each bucket, so that a group of copies takes one verification and two sets a member,
-    then between those of a bucket that the verified links leave unconnected. Texts without words have no near copies.
+    then between those of a bucket that the verified links leave unconnected. Documents of one shingle set (128 bits of its hash) are one node in all this, the smallest id's, and join its group at
+    the end, so any number of them costs one row each. Texts without words have no near copies.
     small: the wanted documents are broadcast to the texts up to so many ids, and joined beyond. Null ids are left out."""
     spark = df.sparkSession
     ship(spark)
@@ -248,7 +250,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, least = [], []
+            fps, least, whole = [], [], []
             for t in b.column(1):
                 got = [np.unique(h) for h in hashes(t.as_py(), shingle)]
                 h = np.unique(np.concatenate(got)) if len(got) > 1 else got[0] if got else np.zeros(0, np.uint64)  # a set, as in verification
@@ -260,10 +262,12 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
                 total = sum((bit_counts(h[lo : lo + (1 << 16)]) for lo in range(0, count, 1 << 16)), np.zeros(64, np.int64))
                 fps.append(int(sum(1 << k for k in range(64) if 2 * total[k] > count)))
                 least.append(low.view(np.int64) if count else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64()))], names=["node", "fp", "least"])
+                whole.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(whole, pa.binary())], names=["node", "fp", "least", "whole"])
 
-    base = cut(docs.mapInArrow(features, "node long, fp long, least array<long>").where("least is not null"))
-    rows = base.select("node", "fp", F.posexplode("least").alias("t", "k"))
+    base = cut(docs.mapInArrow(features, "node long, fp long, least array<long>, whole binary").where("least is not null"))
+    twins = cut(with_least(base.select("whole", "node"), "whole", "node").where("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct())
+    rows = base.join(twins.select(F.col("b").alias("node")), "node", "left_anti").select("node", "fp", F.posexplode("least").alias("t", "k"))
     group = ["t", "k", "i", "j"]
     dealt = _deal(rows, ["t", "k"], block).repartition(*group).sortWithinPartitions(*group, "own")
 
@@ -303,7 +307,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     pairs = found.where("up is not null").select(F.least("node", "up").alias("a"), F.greatest("node", "up").alias("b")).distinct()
     one, two = full.select(F.col("node").alias("a"), F.col("set").alias("x")), full.select(F.col("node").alias("b"), F.col("set").alias("y"))
     links = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-    named = cut(components(links))
+    named = cut(components(links.unionByName(twins)))
     told = found.drop("up").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     again = told.repartition(*group).sortWithinPartitions(*group, "own", "node")
 
@@ -349,7 +353,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     more = left.join(full, "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
     more = cut(more.select(*columns, "set").mapInArrow(verify, "a long, b long"))
-    return named if more.isEmpty() else components(links.unionByName(more))
+    return named if more.isEmpty() else components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, block: int = 2048, bands: int = 6) -> DataFrame:

@@ -228,6 +228,66 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Hubs of many neighbours, joined by a path, against union by hand; and each row's key's least, hot keys among them."""
+    rng = random.Random(31)
+    e = [(h, 10_000 * (h + 1) + i) for h in (3, 7, 900_000) for i in range(3000)] + [(40_001, 80_002), (5, 6), (80_002, 5)]
+    rng.shuffle(e)
+    e = [x if rng.random() < 0.5 else x[::-1] for x in e]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in e:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    edges = spark.createDataFrame(e, "a long, b long").repartition(5)
+    got = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {x: root(x) for x in list(up)}
+    least = {}
+    for a, b in e:
+        least[a] = min(b, least.get(a, b))
+    told = [tuple(r) for r in components.with_least(edges, "a", "b").collect()]
+    assert sorted(told) == sorted((a, b, least[a]) for a, b in e)
+
+
+@pytest.mark.parametrize("measure", ["cosine", "jaccard"])
+def test_similar_against_all_pairs(spark, measure):
+    """Copies with ever more words changed, by both measures: what is linked is what the sets of all pairs say."""
+    rng = random.Random(23)
+    data, n = {}, 0
+    for _ in range(30):
+        base = words(rng.randint(60, 200), rng).split()
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.05):
+            data[n] = " ".join(f"q{rng.randint(0, 999)}" if rng.random() < share else x for x in base)
+            n += 1
+    sets = {i: shingle_set(t) for i, t in data.items()}
+
+    def linked(a, b):
+        x, y = sets[a], sets[b]
+        return len(x & y) >= 0.8 * ((len(x) * len(y)) ** 0.5 - 1e-9 if measure == "cosine" else len(x | y))
+
+    want = brute_components(list(data), linked)
+    got = {r["node"]: r["component"] for r in simhash.similar(table(spark, list(data.items())).repartition(4), measure=measure).collect()}
+    assert {i: got.get(i, i) for i in data} == want and 30 < len(set(want.values())) < len(data)
+
+
+def test_similar_counts_equal_sets_once(spark, monkeypatch):
+    """Documents that differ in blanks and letter case alone are one node of the search, whatever their number."""
+    rng = random.Random(24)
+    base, other = words(80, rng), words(90, rng)
+    near = base.rsplit(" ", 1)[0] + " changed"
+    data = {i: base.replace(" ", " " * (1 + i % 5)).upper() if i % 2 else base + " " * i for i in range(7, 400)} | {3: near, 1: other, 2: None, 450: near + "\n"}
+    met, deal = [], simhash._deal
+    monkeypatch.setattr(simhash, "_deal", lambda rows, *a: (met.append(rows.count()), deal(rows, *a))[1])
+    got = {r["node"]: r["component"] for r in simhash.similar(table(spark, list(data.items())).repartition(3), block=16).collect()}
+    assert got == {i: 3 for i in data if i not in (1, 2)}
+    assert met == [9 * 3]
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------------
 
 
