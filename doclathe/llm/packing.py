@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices, utf8
-from .runtime import cut, ship, store
+from .runtime import ship, store
 
 # Classes of bytes: white space, letter, digit, punctuation, apostrophe, beyond ASCII.
 WHITE, LETTER, DIGIT, PUNCT, APOSTROPHE, HIGH = range(6)
@@ -63,6 +63,7 @@ class Tokens:
     """A vocabulary with a bounded cache of encoded pieces of text; one per worker process."""
 
     CACHE = 400_000
+    CACHE_BYTES = 16 << 20  # of pieces and ids: text without cuts, such as Japanese, makes long pieces
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -73,6 +74,7 @@ class Tokens:
         self.last = np.zeros(max(names.values(), default=0) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of pieces and ids in the cache
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         e = self.tokenizer.encode([p.decode("utf-8") for p in pieces], is_pretokenized=True, add_special_tokens=False)
@@ -96,15 +98,18 @@ class Tokens:
         cache = self.cache
         new = [p for p in pieces if p not in cache]
         if new:
-            if len(cache) + len(new) > self.CACHE:  # bounded memory: what these texts share with those before stays, the rest is encoded again when needed
+            if len(cache) + len(new) > self.CACHE or self.held + sum(map(len, new)) > self.CACHE_BYTES:  # bounded memory: what these texts share with those before stays, the rest is encoded again when needed
                 cache = self.cache = {p: cache[p] for p in pieces if p in cache}
+                self.held = sum(map(len, cache)) + sum(map(len, cache.values()))
             one = _ONE.fullmatch
             single = [p for p in new if one(p)]
             rest = list(set(new).difference(single)) if len(single) < len(new) else []
             for group, how in ((single, self._encode_single), (rest, self._encode)):
                 for i in range(0, len(group), 4096):
                     part = group[i : i + 4096]
-                    cache.update(zip(part, how(part), strict=True))
+                    ids = how(part)
+                    cache.update(zip(part, ids, strict=True))
+                    self.held += sum(map(len, part)) + sum(map(len, ids))
         return [cache[p] for p in pieces]
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +149,7 @@ def tokens_of(vocabulary: bytes) -> Tokens:
     return _TOKENS[key]
 
 
-def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
+def pieces(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
     """One row per piece: id, piece (from 0), start (ids of its document before it), length, ids_crc32; with_ids: ids_le too, the ids as little-endian bytes."""
     spark = df.sparkSession
     ship(spark)
@@ -286,7 +291,7 @@ def pack(df: DataFrame, tokens: int = 4096, docs: int | None = None, cost: int |
     parts = df.sparkSession.createDataFrame(list(buckets.items()), "length long, buckets long")
     spread = rows.join(F.broadcast(parts), "length", "left").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.coalesce("buckets", F.lit(1))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = cut(spread.where("buckets is not null").groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    per = spread.where("buckets is not null").groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("rid"))
     placed = spread.where("buckets is not null").withColumn("number", number).join(F.broadcast(per) if sum(buckets.values()) <= small else per, ["length", "bucket"])
     placed = placed.select("row", "length", (F.col("base") + F.col("number") - 1).alias("rank"))

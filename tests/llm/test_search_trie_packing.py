@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +210,19 @@ def test_ids_equal_the_library(spark):
         assert [r["ids_crc32"] for r in by[i]] == [zlib.crc32(blob[s * 4 : s * 4 + 200]) for s in range(0, len(want), 50)]
 
 
+def test_cache_of_pieces_is_bounded_by_bytes():
+    """Long pieces, few enough for the bound on their number, must not fill a worker's memory."""
+    with open(vocabulary_file(), "rb") as f:
+        t = packing.Tokens(f.read())
+    t.CACHE_BYTES = 200_000
+    lib, rng = library(), random.Random(3)
+    for _ in range(40):
+        s = "".join(rng.choice("日本語テキスト") for _ in range(3000))
+        data = np.frombuffer(s.encode(), np.uint8)
+        assert t.encode(data, np.array([len(data)]))[0].tolist() == lib.encode(s, add_special_tokens=False).ids
+        assert sum(map(len, t.cache)) + sum(map(len, t.cache.values())) <= 200_000
+
+
 def sequential(lengths, tokens, docs, cost):
     """Best-fit decreasing by residual norm, piece by piece."""
     bins = []
