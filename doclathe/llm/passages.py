@@ -9,7 +9,8 @@ the first of its signature, so groups are never expanded to pairs. Links stay wh
 join by binary search), and are verified on the shingles (32 bits of each hash): the stretches at least 80 % of whose shingles occur in the other
 document's interval, and at least one run long, are repeats, every one of them.
 
-A window compared with one partner may have a true one besides it. So what isn't inside a verified stretch is looked at once more, without any partner's say: all runs through
+A window compared with one partner may have a true one besides it. So all windows of a signature of which one is still outside every repeat are compared with one another, whatever
+their contexts, on the shingles around c; of two that are both inside repeats nothing is asked. Large groups are compared by pairs of blocks. And what isn't inside a verified stretch is looked at once more, without any partner's say: all runs through
 the nodes of signatures that several documents share, grouped by 96 bits of the whole run. A run in two documents is a repeat, so no exact repeat is ever missed.
 
 Defined results: null, empty and short texts (under `least` words) have no spans. A passage repeated only inside one document is not reported.
@@ -139,6 +140,9 @@ LINK = "doc0 long, doc long, diag long, s0 long, e0 long, func int"
 CONTEXT = 12  # shingles right of c that tell contexts apart
 MARK = -1  # func of a row that names the runs of a window (doc; begins from s0 to e0) of a signature (diag) that several documents share, and one of the others (doc0)
 
+NEAR = -2  # NEAR - j: func of a row that names a window (doc; c is s0) of function j and of a signature (diag) that several documents share
+BLOCK = 1000  # windows of a signature beyond which they are compared by pairs of blocks
+
 
 def _ranges(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each range [start, end) of h."""
@@ -194,9 +198,9 @@ def compact(df: DataFrame, run: int, hashes: int) -> DataFrame:
     return df.mapInArrow(go, WINDOW)
 
 
-def link(rows: DataFrame, run: int) -> DataFrame:
+def link(rows: DataFrame, run: int, near: bool = False) -> DataFrame:
     """LINK rows: aligned intervals, in shingles, of a window and the first of its context and of its signature, at least `run` long; and MARK rows, all
-    windows of function 0 whose signature is in two documents or more."""
+    windows of function 0 whose signature is in two documents or more; near: NEAR rows, too, of such windows of all functions."""
     dealt = rows.repartition("func", "sig", "salt").sortWithinPartitions("func", "sig", "salt", "rc", "doc", "c")
     names = [x.split()[0] for x in LINK.split(", ")]
 
@@ -226,6 +230,8 @@ def link(rows: DataFrame, run: int) -> DataFrame:
                 func = m.column("func").to_numpy()
                 yield aligned(row, peer, func)
                 z = func == 0
+                if near:
+                    yield emit(row[0], row[0], m.column("sig").to_numpy(), row[1], row[1], NEAR - func)
                 yield mark(z, m.column("sig").to_numpy(), row, peer[0][z])  # the first one of the batch is marked where it meets the one of another document
             own = [b.filter(pa.array(~met)).column(x).to_numpy() for x in ("func", "sig", "salt", "rc", "doc", "c", "l", "r")]
             old = 0 if carry is None else len(carry[0])
@@ -245,6 +251,9 @@ def link(rows: DataFrame, run: int) -> DataFrame:
             shared = second < len(sig)
             z = shared & (func == 0) & (fresh | (not known)) & (row[3] > 0)  # carried rows, too, of a group that wasn't shared till now
             yield mark(z, sig, row, np.where(doc[z] != doc[whole[z]], doc[whole[z]], doc[np.minimum(second[z], len(sig) - 1)]))
+            if near:
+                x = shared & (fresh | (not known))
+                yield emit(doc[x], doc[x], sig[x], row[1][x], row[1][x], NEAR - func[x])
             start = heads[-1]
             known = bool(shared[-1])
             pick = np.unique([start, context[-1], second[-1]]) if known else np.arange(start, len(sig))
@@ -377,6 +386,71 @@ def whole_runs(texts: DataFrame, run: int) -> DataFrame:
     return texts.select("doc", "text", "begins", "done").mapInArrow(go, WINDOW)
 
 
+def around(texts: DataFrame, run: int) -> DataFrame:
+    """texts (doc, text, cs) -> (func, sig, blocks, inside, doc, c, s, h): the shingles around each window's c, from s on, as far as a repeat through c can be told there."""
+    reach = 2 * run - 1  # a longer stretch of 80 % hits has a part shorter than this that is one, too
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            ids = b.column(0).to_pylist()
+            for a, z in slices(np.diff(offsets), 2 << 20):
+                h, ends = shingles(data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a])
+                rows: list[tuple] = []
+                for i in range(a, z):
+                    own = h[(ends[i - a - 1] if i > a else 0) : ends[i - a]].astype(np.uint32).view(np.int32)
+                    rows += [(x["func"], x["sig"], x["blocks"], x["inside"], ids[i], x["c"], s, own[s : x["c"] + reach + 1]) for x in b.column(2)[i].as_py() for s in (max(0, x["c"] - reach),)]
+                for k in range(0, len(rows), 2048):
+                    cols = list(zip(*rows[k : k + 2048], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == 3 else pa.list_(pa.int32()) if n == 7 else pa.int64()) for n, c in enumerate(cols)], names=["func", "sig", "blocks", "inside", "doc", "c", "s", "h"])
+
+    return texts.select("doc", "text", "cs").mapInArrow(go, "func long, sig long, blocks long, inside boolean, doc long, c long, s long, h array<int>")
+
+
+def met(rows: DataFrame, run: int) -> DataFrame:
+    """rows of around() -> (doc, s, e, peer): the stretches that windows of one signature have in common, by all pairs of which one is outside every repeat found so far."""
+    b = F.pmod(F.xxhash64("doc", "c"), "blocks")
+    pairs = rows.withColumn("b", b).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("func", "sig", F.least("b", "p").alias("ba"), F.greatest("b", "p").alias("bb"), "b", "inside", "doc", "c", "s", "h")
+    keys = ["func", "sig", "ba", "bb"]
+    need = -(-run * 4 // 5)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, keys):
+            if len(t) < 2:
+                continue
+            ba, bb, b, doc, c, s = (t.column(x).to_numpy() for x in ("ba", "bb", "b", "doc", "c", "s"))
+            inside = t.column("inside").to_numpy().copy()
+            if inside.all() or (doc == doc[0]).all():
+                continue
+            h = [np.asarray(x.values) for x in t.column("h").combine_chunks()]
+            left = np.flatnonzero(b == ba)
+            right = left if ba[0] == bb[0] else np.flatnonzero(b == bb)
+            if not len(left) or not len(right):
+                continue
+            kind = np.float32 if len(h) > 32 else np.int32  # threads of a matrix library are not worth it for few
+            # Shingles by 11 bits of their hash: what two windows share is at most what these tell.
+            counts = np.bincount(np.repeat(np.arange(len(h)) << 11, [len(x) for x in h]) + (np.concatenate(h) & 2047), minlength=len(h) << 11).reshape(-1, 2048).astype(kind)
+            seen = (counts > 0).astype(kind)
+            counts_right, seen_right = counts[right].T, seen[right].T
+            out: list[tuple[int, int, int, int]] = []
+            for lo in range(0, len(left), 256):
+                part = left[lo : lo + 256]
+                may = ((counts[part] @ seen_right >= need) | (seen[part] @ counts_right >= need)) & (doc[part][:, None] != doc[right][None, :])
+                for i, ok in zip(part.tolist(), may, strict=True):
+                    for j in right[ok & ~(inside[i] & inside[right])].tolist():
+                        if inside[i] and inside[j]:
+                            continue
+                        for x, y in ((i, j), (j, i)):
+                            for u, v in stretches(np.isin(h[x], h[y]), run):
+                                out.append((int(doc[x]), int(s[x]) + u, int(s[x]) + v, int(doc[y])))
+                                inside[x] |= s[x] + u <= c[x] < s[x] + v
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "peer"])
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, "doc long, s long, e long, peer long")
+
+
 IVS = "array<struct<s:bigint,e:bigint>>"
 
 
@@ -422,11 +496,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: in
 
 def _spans(docs: DataFrame, run: int, hashes: int, enough: int, small: int) -> DataFrame:
     """docs (doc, unique; text) -> (doc, s, e, peer): repeats in shingles, e exclusive."""
-    links = store(link(compact(docs, run, hashes), run), "passages-links")
+    links = store(link(compact(docs, run, hashes), run, near=True), "passages-links")
     # Intervals on a diagonal of two documents, near ones taken together, widened to a grid so that a document has few different ones.
     lo = lambda c: (F.floor(c / GRID) * GRID).cast("long")
     hi = lambda c: ((F.floor(c / GRID) + 1) * GRID).cast("long")
-    cand = overlapping(links.where(F.col("func") != MARK), enough, run).groupBy("doc0", "doc", "diag", F.floor(F.col("s0") / PART).alias("part")).agg(F.min("s0").alias("s0"), F.max("e0").alias("e0"))
+    cand = overlapping(links.where("func >= 0"), enough, run).groupBy("doc0", "doc", "diag", F.floor(F.col("s0") / PART).alias("part")).agg(F.min("s0").alias("s0"), F.max("e0").alias("e0"))
     cand = store(cand.select("doc0", "doc", lo(F.col("s0")).alias("as"), hi(F.col("e0")).alias("ae"), lo(F.col("s0") + F.col("diag")).alias("bs"), hi(F.col("e0") + F.col("diag")).alias("be")).distinct(), "passages-pairs")
     sides = cand.select(F.col("doc0").alias("doc"), F.col("as").alias("s"), F.col("ae").alias("e")).unionByName(cand.select("doc", F.col("bs").alias("s"), F.col("be").alias("e")))
     need = store(sides.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "passages-need")  # as many as the grid of one document allows
@@ -442,4 +516,11 @@ def _spans(docs: DataFrame, run: int, hashes: int, enough: int, small: int) -> D
     wanted = marks.join(open_, "sig", "left_semi").groupBy("doc").agg(F.collect_set(F.struct(F.col("s0").alias("s"), F.col("e0").alias("e"))).alias("begins"), F.first("done").alias("done"))
     wanted = store(wanted, "passages-open")
     rest = link(whole_runs(_beside(docs, wanted, F.size("begins") + F.size(F.coalesce("done", F.array().cast(IVS))) + 1, small), run), run).where(F.col("func") == MARK)
-    return spans.unionByName(rest.select("doc", F.col("s0").alias("s"), (F.col("s0") + run).alias("e"), F.col("doc0").alias("peer")).groupBy("doc", "s", "e").agg(F.min("peer").alias("peer")))
+    spans = cut(spans.unionByName(rest.select("doc", F.col("s0").alias("s"), (F.col("s0") + run).alias("e"), F.col("doc0").alias("peer")).groupBy("doc", "s", "e").agg(F.min("peer").alias("peer"))))
+    # What is still outside: windows of all functions against all others of their signature.
+    done = spans.groupBy("doc").agg(_merged(F.array_sort(F.collect_list(F.struct("s", "e")))).alias("done"))
+    inside = F.exists(F.coalesce("done", F.array().cast(IVS)), lambda d: (d["s"] <= F.col("c")) & (d["e"] > F.col("c")))
+    marks = links.where(F.col("func") <= NEAR).select((NEAR - F.col("func")).cast("long").alias("func"), F.col("diag").alias("sig"), "doc", F.col("s0").alias("c")).distinct().join(done, "doc", "left").withColumn("inside", inside).drop("done")
+    sizes = marks.groupBy("func", "sig").agg(F.count("*").alias("n"), F.min("inside").alias("all")).where("not all").select("func", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    wanted = store(marks.join(sizes, ["func", "sig"]).groupBy("doc").agg(F.collect_list(F.struct("func", "sig", "c", "blocks", "inside")).alias("cs")), "passages-near")
+    return spans.unionByName(met(around(_beside(docs, wanted, 2 * F.size("cs") + 1, small), run), run).groupBy("doc", "s", "e").agg(F.min("peer").alias("peer")))

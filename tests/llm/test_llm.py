@@ -396,6 +396,23 @@ def test_passages(spark):
     assert passages.repeats(table(spark, [])).count() == 0
 
 
+def test_near_repeats_beside_a_common_line(spark):
+    """Near repeats whose windows meet in a line that earlier documents have in other surroundings: every pair is found, not only the first's."""
+    rng = random.Random(77)
+    line = words(14, rng)
+    body = {i: words(40, rng) + " " + line + " " + words(40, rng) for i in range(40)}
+    pairs = []
+    for k in range(30):
+        a = (words(30, rng) + " " + line + " " + words(16, rng)).split()
+        b = list(a)
+        b[46], b[12] = "changed", "changed"
+        body[100 + 2 * k], body[101 + 2 * k] = " ".join(a), " ".join(b)
+        pairs.append((100 + 2 * k, 101 + 2 * k))
+    got = rows(passages.repeats(table(spark, list(body.items())).repartition(1)))
+    assert not any(got[i]["n_spans"] for i in range(40))
+    assert [p for p in pairs if not (got[p[0]]["n_spans"] and got[p[1]]["n_spans"])] == []
+
+
 def test_stretches():
     """Every position that brute force finds in some stretch of 80 % hits, two blocks on one diagonal included."""
     rng = random.Random(31)
