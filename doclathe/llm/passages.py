@@ -10,7 +10,8 @@ join by binary search), and are verified on the shingles (32 bits of each hash):
 document's interval, and at least one run long, are repeats, every one of them.
 
 A window compared with one partner may have a true one besides it. So all windows of a signature of which one is still outside every repeat are compared with one another, whatever
-their contexts, on the shingles around c; of two that are both inside repeats nothing is asked. Large groups are compared by pairs of blocks. And what isn't inside a verified stretch is looked at once more, without any partner's say: all runs through
+their contexts, on the shingles around c; of two that are both inside repeats nothing is asked. Rows that have too few shingles in common with all others of their group together are left out of that,
+which loses no pair: around a line that many documents have nearly all are. Large groups are compared by pairs of blocks. And what isn't inside a verified stretch is looked at once more, without any partner's say: all runs through
 the nodes of signatures that several documents share, grouped by 96 bits of the whole run. A run in two documents is a repeat, so no exact repeat is ever missed.
 
 Defined results: null, empty and short texts (under `least` words) have no spans. A passage repeated only inside one document is not reported.
@@ -19,15 +20,16 @@ Rows of equal id and text count as one document; rows of equal id with different
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, utf8
-from .runtime import cut, groups, ship, store
+from .runtime import cut, discard, groups, ship, store, tidy
 
 SHINGLE = 5
 GRID = 32
@@ -141,7 +143,7 @@ CONTEXT = 12  # shingles right of c that tell contexts apart
 MARK = -1  # func of a row that names the runs of a window (doc; begins from s0 to e0) of a signature (diag) that several documents share, and one of the others (doc0)
 
 NEAR = -2  # NEAR - j: func of a row that names a window (doc; c is s0) of function j and of a signature (diag) that several documents share
-BLOCK = 1000  # windows of a signature beyond which they are compared by pairs of blocks
+BLOCK = 4096  # windows of a signature beyond which they are compared by pairs of blocks
 
 
 def _ranges(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -301,40 +303,81 @@ def stretches(hit: np.ndarray, run: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
 
+def _cut_out(b: pa.RecordBatch, fields: list[str], ends_of: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], pa.ListArray]]:
+    """Of a batch (doc, text, list of structs): each struct's doc, its fields, and 32 bits of the shingles' hashes between the two places that ends_of() gives for it, as far as the text goes."""
+    data, offsets = utf8(b.column(1))
+    ids = b.column(0).to_numpy()
+    per = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+    structs = b.column(2).flatten()
+    cols = [structs.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    upto, owner = np.concatenate(([0], np.cumsum(per))), np.repeat(np.arange(len(b)), per)
+    for a, z in slices(np.diff(offsets), 2 << 20):
+        h, ends = shingles(data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a])
+        h, first = h.astype(np.uint32).view(np.int32), np.concatenate(([0], ends[:-1]))
+        for lo in range(int(upto[a]), int(upto[z]), 4096):
+            hi = min(lo + 4096, int(upto[z]))
+            own, part = owner[lo:hi], [c[lo:hi] for c in cols]
+            s, e = ends_of(*part)
+            size = np.maximum(0, np.minimum(e, (ends - first)[own - a]) - s)
+            at = np.concatenate(([0], np.cumsum(size)))
+            values = h[np.arange(at[-1]) + np.repeat(first[own - a] + s - at[:-1], size)]
+            yield ids[own], part, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
 def evidence(texts: DataFrame) -> DataFrame:
     """texts (doc, text, ivs) -> (doc, s, e, h): the shingles of the intervals asked for, 32 bits of each hash."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            ids = b.column(0).to_pylist()
-            for a, z in slices(np.diff(offsets), 2 << 20):
-                h, ends = shingles(data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a])
-                rows: list[tuple] = []
-                for i in range(a, z):
-                    own = h[(ends[i - a - 1] if i > a else 0) : ends[i - a]].astype(np.uint32).view(np.int32)
-                    for iv in b.column(2)[i].as_py():
-                        rows.append((ids[i], iv["s"], iv["e"], own[max(0, iv["s"]) : iv["e"]]))
-                for k in range(0, len(rows), 2048):
-                    part = rows[k : k + 2048]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in part], pa.int64()) for x in range(3)] + [pa.array([r[3] for r in part], pa.list_(pa.int32()))], names=["doc", "s", "e", "h"])
+            for doc, (s, e), h in _cut_out(b, ["s", "e"], lambda s, e: (np.maximum(0, s), e)):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s), pa.array(e), h], names=["doc", "s", "e", "h"])
 
     return texts.select("doc", "text", "ivs").mapInArrow(go, "doc long, s long, e long, h array<int>")
 
 
+def all_stretches(hit: np.ndarray, ends: np.ndarray, run: int) -> list[tuple[int, int, int]]:
+    """stretches() of rows end to end, row i from ends[i] to ends[i + 1]: (i, start, end)."""
+    size = np.diff(ends)
+    some = np.flatnonzero(5 * np.diff(np.concatenate(([0], np.cumsum(hit)))[ends]) >= 4 * run)
+    if not len(some):
+        return []
+    # Misses between rows that take more than the hits of all rows on their two sides can add.
+    wide = int(size[some].max()) * 3 // 2 + 1
+    at = np.arange(int(size[some].sum())) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+    line = np.zeros(len(some) * wide, bool)
+    line[at + np.repeat(np.arange(len(some)) * wide, size[some])] = hit[at + np.repeat(ends[some], size[some])]
+    return [(int(some[a // wide]), a % wide, a % wide + b - a) for a, b in stretches(line, run)]
+
+
+def _keyed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of lists of 32-bit hashes, each with its list's number above it, and where each list begins and ends."""
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    values = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
+    return np.repeat(np.arange(len(lists), dtype=np.uint64) << np.uint64(32), np.diff(ends)) | values, ends
+
+
+def _among(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which keys are in others, too."""
+    if not len(others):
+        return np.zeros(len(keys), bool)
+    others = np.sort(others)
+    return others[np.minimum(np.searchsorted(others, keys), len(others) - 1)] == keys
+
+
 def verified(pairs: DataFrame, run: int) -> DataFrame:
     """pairs (doc0, doc, as, bs, ha, hb) -> (doc, s, e, peer): the stretches of either interval that the other one has."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            da, db, sa, sb = (b.column(x).to_numpy().tolist() for x in range(4))
-            for i in range(len(b)):
-                ha, hb = np.asarray(b.column(4)[i].values), np.asarray(b.column(5)[i].values)
-                for x, y, doc, peer, at in ((ha, hb, da[i], db[i], sa[i]), (hb, ha, db[i], da[i], sb[i])):
-                    out += [(doc, max(0, at) + s, max(0, at) + e, peer) for s, e in stretches(np.isin(x, y), run)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(4)], names=["doc", "s", "e", "peer"])
+        for whole in batches:
+            for lo in range(0, len(whole), 512):
+                b = whole.slice(lo, 512)
+                out: list[tuple[int, int, int, int]] = []
+                da, db, sa, sb = (b.column(x).to_numpy().tolist() for x in range(4))
+                (ka, ea), (kb, eb) = _keyed(b.column(4)), _keyed(b.column(5))
+                for k, ends, other, doc, peer, at in ((ka, ea, kb, da, db, sa), (kb, eb, ka, db, da, sb)):
+                    out += [(doc[i], max(0, at[i]) + s, max(0, at[i]) + e, peer[i]) for i, s, e in all_stretches(_among(k, other), ends, run)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(4)], names=["doc", "s", "e", "peer"])
 
     return pairs.select("doc0", "doc", "as", "bs", "ha", "hb").mapInArrow(go, "doc long, s long, e long, peer long")
 
@@ -392,61 +435,125 @@ def around(texts: DataFrame, run: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            ids = b.column(0).to_pylist()
-            for a, z in slices(np.diff(offsets), 2 << 20):
-                h, ends = shingles(data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a])
-                rows: list[tuple] = []
-                for i in range(a, z):
-                    own = h[(ends[i - a - 1] if i > a else 0) : ends[i - a]].astype(np.uint32).view(np.int32)
-                    rows += [(x["func"], x["sig"], x["blocks"], x["inside"], ids[i], x["c"], s, own[s : x["c"] + reach + 1]) for x in b.column(2)[i].as_py() for s in (max(0, x["c"] - reach),)]
-                for k in range(0, len(rows), 2048):
-                    cols = list(zip(*rows[k : k + 2048], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == 3 else pa.list_(pa.int32()) if n == 7 else pa.int64()) for n, c in enumerate(cols)], names=["func", "sig", "blocks", "inside", "doc", "c", "s", "h"])
+            for doc, (func, sig, blocks, inside, c), h in _cut_out(b, ["func", "sig", "blocks", "inside", "c"], lambda *x: (np.maximum(0, x[-1] - reach), x[-1] + reach + 1)):
+                cols = [pa.array(func), pa.array(sig), pa.array(blocks), pa.array(inside.astype(bool)), pa.array(doc), pa.array(c), pa.array(np.maximum(0, c - reach)), h]
+                yield pa.RecordBatch.from_arrays(cols, names=["func", "sig", "blocks", "inside", "doc", "c", "s", "h"])
 
     return texts.select("doc", "text", "cs").mapInArrow(go, "func long, sig long, blocks long, inside boolean, doc long, c long, s long, h array<int>")
 
 
+def partners(h: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray, inside: np.ndarray, run: int) -> np.ndarray:
+    """Which rows (end to end in h, `size` shingles each; groups and rows in order) can be one of a pair with a stretch. A stretch has 80 % of a run's shingles in common with one other row,
+    so with all other documents of the group, too: rows that haven't so many can't have one, and rows with fewer different ones than any stretch of the group needs can't be the other. Only groups with a row outside are kept."""
+    need = -(-run * 4 // 5)
+    keep = np.zeros(len(size), bool)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for lo, hi in _spread(first, len(size), 1 << 11):
+        g, d = group[lo:hi] - group[lo], doc[lo:hi]
+        n, m = hi - lo, int(g[-1]) + 1
+        row = np.repeat(np.arange(n, dtype=np.uint64), size[lo:hi])
+        bits = np.uint64(max(1, n.bit_length()))
+        if m.bit_length() + 32 + int(bits) > 64:
+            raise ValueError("a group of more rows than 32 bits can number")
+        v = np.sort((((g.astype(np.uint64)[row.astype(np.int64)] << np.uint64(32)) | h[begin[lo] : begin[hi]]) << bits) | row)
+        if not len(v):
+            continue
+        at = (v & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.concatenate(([True], v[1:] >> bits != v[:-1] >> bits))
+        start, owner = np.flatnonzero(new), d[at]
+        common = np.repeat(np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start), np.diff(np.append(start, len(v))))
+        other = common & np.concatenate(([True], v[1:] != v[:-1]))
+        total, different = np.bincount(at[common], minlength=n), np.bincount(at[other], minlength=n)
+        can = total >= need
+        least = np.full(m, np.iinfo(np.int64).max)
+        np.minimum.at(least, g[can], np.maximum(1, need - (total - different))[can])
+        ok = can | (different >= least[g])
+        outside = np.zeros(m, bool)
+        outside[g[ok & ~inside[lo:hi]]] = True
+        keep[lo:hi] = ok & outside[g]
+    return keep
+
+
+def _spread(first: np.ndarray, n: int, rows: int) -> list[tuple[int, int]]:
+    """Ranges of whole groups, which begin at `first`, of about so many rows."""
+    cuts = first[np.unique(np.searchsorted(first, np.arange(0, n, rows)).clip(max=len(first) - 1))].tolist()
+    return list(zip(cuts, [*cuts[1:], n], strict=True))
+
+
+def _compared(h: list[np.ndarray], doc: np.ndarray, at: np.ndarray, inside: np.ndarray, side: np.ndarray | None, run: int) -> Iterator[tuple[int, int, int, int]]:
+    """(x, y, u, v): stretches [u, v) of row x that row y has, of all pairs of rows (of different sides, if given) of which one is outside; a row whose place `at` comes into a stretch is inside from then on."""
+    need, n = -(-run * 4 // 5), len(h)
+    if n < 2 or (doc == doc[0]).all():
+        return
+    before, inside = inside, inside.copy()
+    size = np.array([len(x) for x in h])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    ids = np.unique(np.concatenate(h), return_inverse=True)[1]
+    place = np.zeros(int(ids.max()) + 1, np.int64)
+    counts = None
+    if n > 8:  # shingles by 11 bits of their hash: what two windows share is at most what these tell
+        kind = np.float32 if n > 32 else np.int32  # threads of a matrix library are not worth it for few
+        counts = np.bincount(np.repeat(np.arange(n) << 11, size) + (np.concatenate(h) & 2047), minlength=n << 11).reshape(-1, 2048).astype(kind)
+        seen = (counts > 0).astype(kind)
+    open_ = np.flatnonzero(~inside)
+    for lo in range(0, len(open_), 256):
+        part = open_[lo : lo + 256]
+        may = (doc[part][:, None] != doc[None, :]) & (before[None, :] | (np.arange(n)[None, :] > part[:, None]))
+        if side is not None:
+            may &= side[part][:, None] != side[None, :]
+        if counts is not None:
+            may &= (counts[part] @ seen.T >= need) | (seen[part] @ counts.T >= need)
+        for i, ok in zip(part.tolist(), may, strict=True):
+            rest = np.flatnonzero(ok)
+            own = ids[begin[i] : begin[i + 1]]
+            different, turn = np.unique(own, return_inverse=True)
+            while len(rest):
+                if inside[i]:
+                    rest = rest[~inside[rest]]
+                js, rest = rest[:64], rest[64:]
+                if not len(js):
+                    break
+                place[different] = np.arange(1, len(different) + 1)
+                ends = np.concatenate(([0], np.cumsum(size[js])))
+                theirs = place[ids[np.arange(ends[-1]) + np.repeat(begin[js] - ends[:-1], size[js])]]
+                place[different] = 0
+                has = np.zeros((len(js), len(different) + 1), bool)
+                has[np.repeat(np.arange(len(js)), size[js]), theirs] = True
+                for k, u, v in all_stretches(has[:, turn + 1].ravel(), np.arange(len(js) + 1) * len(own), run):
+                    yield i, int(js[k]), u, v
+                    inside[i] |= u <= at[i] < v
+                for k, u, v in all_stretches(theirs > 0, ends, run):
+                    yield int(js[k]), i, u, v
+                    inside[js[k]] |= u <= at[js[k]] < v
+
+
 def met(rows: DataFrame, run: int) -> DataFrame:
     """rows of around() -> (doc, s, e, peer): the stretches that windows of one signature have in common, by all pairs of which one is outside every repeat found so far."""
     b = F.pmod(F.xxhash64("doc", "c"), "blocks")
     pairs = rows.withColumn("b", b).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = pairs.select("func", "sig", F.least("b", "p").alias("ba"), F.greatest("b", "p").alias("bb"), "b", "inside", "doc", "c", "s", "h")
     keys = ["func", "sig", "ba", "bb"]
-    need = -(-run * 4 // 5)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, keys):
-            if len(t) < 2:
-                continue
-            ba, bb, b, doc, c, s = (t.column(x).to_numpy() for x in ("ba", "bb", "b", "doc", "c", "s"))
-            inside = t.column("inside").to_numpy().copy()
-            if inside.all() or (doc == doc[0]).all():
-                continue
-            h = [np.asarray(x.values) for x in t.column("h").combine_chunks()]
-            left = np.flatnonzero(b == ba)
-            right = left if ba[0] == bb[0] else np.flatnonzero(b == bb)
-            if not len(left) or not len(right):
-                continue
-            kind = np.float32 if len(h) > 32 else np.int32  # threads of a matrix library are not worth it for few
-            # Shingles by 11 bits of their hash: what two windows share is at most what these tell.
-            counts = np.bincount(np.repeat(np.arange(len(h)) << 11, [len(x) for x in h]) + (np.concatenate(h) & 2047), minlength=len(h) << 11).reshape(-1, 2048).astype(kind)
-            seen = (counts > 0).astype(kind)
-            counts_right, seen_right = counts[right].T, seen[right].T
+        for t in groups(batches, keys, 1 << 12):
+            cols = [t.column(x).to_numpy() for x in keys]
+            group = np.cumsum(np.concatenate(([0], np.any([c[1:] != c[:-1] for c in cols], axis=0))))
+            b, doc, c, s, inside = (t.column(x).to_numpy() for x in ("b", "doc", "c", "s", "inside"))
+            inside = inside.astype(bool)
+            lists = t.column("h").combine_chunks()
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            flat = np.asarray(lists.flatten())
+            rows = np.flatnonzero(partners(flat.view(np.uint32), np.diff(ends), group, doc, inside, run))
             out: list[tuple[int, int, int, int]] = []
-            for lo in range(0, len(left), 256):
-                part = left[lo : lo + 256]
-                may = ((counts[part] @ seen_right >= need) | (seen[part] @ counts_right >= need)) & (doc[part][:, None] != doc[right][None, :])
-                for i, ok in zip(part.tolist(), may, strict=True):
-                    for j in right[ok & ~(inside[i] & inside[right])].tolist():
-                        if inside[i] and inside[j]:
-                            continue
-                        for x, y in ((i, j), (j, i)):
-                            for u, v in stretches(np.isin(h[x], h[y]), run):
-                                out.append((int(doc[x]), int(s[x]) + u, int(s[x]) + v, int(doc[y])))
-                                inside[x] |= s[x] + u <= c[x] < s[x] + v
+            for g in np.split(rows, np.flatnonzero(np.diff(group[rows])) + 1) if len(rows) else ():
+                side = np.where(b[g] == cols[2][g[0]], 0, 1) if cols[2][g[0]] != cols[3][g[0]] else None
+                h = [flat[ends[i] : ends[i + 1]] for i in g]
+                for x, y, u, v in _compared(h, doc[g], c[g] - s[g], inside[g], side, run):
+                    out.append((int(doc[g[x]]), int(s[g[x]]) + u, int(s[g[x]]) + v, int(doc[g[y]])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "peer"])
+                table = pa.table([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "peer"]).group_by(["doc", "s", "e"]).aggregate([("peer", "min")])
+                yield from table.rename_columns(["doc", "s", "e", "peer"]).combine_chunks().to_batches()
 
     return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, "doc long, s long, e long, peer long")
 
@@ -474,12 +581,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: in
     ship(df.sparkSession)
     run = least - SHINGLE + 1
     given = df.select(df[id_col].alias("id"), df[text].cast("string").alias("text"))
-    plain = not given.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
-    if plain:
-        docs = given.select(F.col("id").cast("long").alias("doc"), "text")
-    else:  # rows are documents by id and text, known by number
-        docs = cut(cut(given.distinct()).select(F.monotonically_increasing_id().alias("doc"), "id", "text"))
-    found = cut(_spans(docs.select("doc", "text").where("text is not null"), run, hashes, enough, small))
+    with tidy(df.sparkSession):
+        plain = not given.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
+        if plain:
+            docs = given.select(F.col("id").cast("long").alias("doc"), "text")
+        else:  # rows are documents by id and text, known by number
+            docs = cut(cut(given.distinct()).select(F.monotonically_increasing_id().alias("doc"), "id", "text"))
+        found = cut(_spans(docs.select("doc", "text").where("text is not null"), run, hashes, enough, small))
     per = found.groupBy("doc").agg(_merged(F.array_sort(F.collect_list(F.struct("s", (F.col("e") + SHINGLE - 1).alias("e"))))).alias("m"), F.min("peer").alias("peer"))
     if plain:
         out = given.select("id").join(per, given["id"].cast("long") == F.col("doc"), "left")
@@ -520,7 +628,8 @@ def _spans(docs: DataFrame, run: int, hashes: int, enough: int, small: int) -> D
     # What is still outside: windows of all functions against all others of their signature.
     done = spans.groupBy("doc").agg(_merged(F.array_sort(F.collect_list(F.struct("s", "e")))).alias("done"))
     inside = F.exists(F.coalesce("done", F.array().cast(IVS)), lambda d: (d["s"] <= F.col("c")) & (d["e"] > F.col("c")))
-    marks = links.where(F.col("func") <= NEAR).select((NEAR - F.col("func")).cast("long").alias("func"), F.col("diag").alias("sig"), "doc", F.col("s0").alias("c")).distinct().join(done, "doc", "left").withColumn("inside", inside).drop("done")
+    marks = links.where(F.col("func") <= NEAR).select((NEAR - F.col("func")).cast("long").alias("func"), F.col("diag").alias("sig"), "doc", F.col("s0").alias("c")).repartition("doc").distinct().join(done, "doc", "left").withColumn("inside", inside).drop("done")
     sizes = marks.groupBy("func", "sig").agg(F.count("*").alias("n"), F.min("inside").alias("all")).where("not all").select("func", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     wanted = store(marks.join(sizes, ["func", "sig"]).groupBy("doc").agg(F.collect_list(F.struct("func", "sig", "c", "blocks", "inside")).alias("cs")), "passages-near")
+    discard(links, cand, need)
     return spans.unionByName(met(around(_beside(docs, wanted, 2 * F.size("cs") + 1, small), run), run).groupBy("doc", "s", "e").agg(F.min("peer").alias("peer")))

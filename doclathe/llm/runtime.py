@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of a query as soon as it has ended: for queries whose results are written, so that nothing reads those files again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table written to the shared folder: smaller than a checkpoint, which isn't compressed."""
     path = scratch(df.sparkSession, name)
@@ -86,6 +99,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of store() that nothing reads any more."""
+    for df in stored:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
     """Whole groups of sorted rows, whatever batches they come in; small groups come together, until they are `least` rows. No more than
     that, one batch and one group are held."""

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -413,6 +415,58 @@ def test_near_repeats_beside_a_common_line(spark):
     assert [p for p in pairs if not (got[p[0]]["n_spans"] and got[p[1]]["n_spans"])] == []
 
 
+def test_passages_leave_no_shuffle_files(spark):
+    """What the steps of the search shuffled is deleted as they end, so that the files of all steps don't add up on the disk."""
+
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {n for d in folders for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    rng = random.Random(3)
+    shared, before = words(60, rng), files()
+    got = passages.repeats(table(spark, [(i, words(80, rng) + " " + (shared if i % 3 else "")) for i in range(60)]).repartition(4))
+    for _ in range(40):  # files are deleted in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert sum(r["n_spans"] > 0 for r in got.collect()) == 40
+
+
+def test_partners_and_pairs():
+    """Rows left out before windows are compared are in no pair with a stretch, and those around a common line are left out; pairs that are compared give the stretches of each pair alone."""
+    rng, run = np.random.default_rng(5), 10
+    for case in range(30):
+        h, group, doc, inside = [], [], [], []
+        for g in range(4):
+            line, base = rng.integers(1, 2**31, 4), rng.integers(1, 2**31, 30)
+            for i in range(int(rng.integers(1, 12))):
+                x = rng.integers(1, 2**31, 30)
+                if i % 3 == 0:
+                    x = np.where(rng.random(30) < 0.85, base, x)
+                if i % 5 == 4:
+                    x[8:20] = np.resize(line, 12)  # repeats itself
+                x[:4] = line
+                h.append(x.astype(np.int32)[: rng.integers(15, 31)])
+                group.append(g), doc.append(int(rng.integers(0, 8))), inside.append(bool(rng.random() < 0.4))
+        group, doc, inside, size = np.array(group), np.array(doc), np.array(inside), np.array([len(x) for x in h])
+        keep = passages.partners(np.concatenate(h).view(np.uint32), size, group, doc, inside, run)
+        for i in range(len(h)):
+            for j in range(len(h)):
+                if group[i] == group[j] and doc[i] != doc[j] and not (inside[i] and inside[j]) and passages.stretches(np.isin(h[i], h[j]), run):
+                    assert keep[i] and keep[j], (case, i, j)
+        hit = np.concatenate([np.isin(x, h[0]) for x in h])
+        want = [(i, s, e) for i, x in enumerate(h) for s, e in passages.stretches(np.isin(x, h[0]), run)]
+        assert passages.all_stretches(hit, np.concatenate(([0], np.cumsum(size))), run) == want
+        for g in range(4):
+            own = np.flatnonzero(group == g)
+            got = set(passages._compared([h[i] for i in own], doc[own], np.full(len(own), -1), inside[own], None, run))
+            pairs = [(x, y) for x in range(len(own)) for y in range(len(own)) if doc[own[x]] != doc[own[y]] and not (inside[own[x]] and inside[own[y]])]
+            assert got == {(x, y, s, e) for x, y in pairs for s, e in passages.stretches(np.isin(h[own[x]], h[own[y]]), run)}
+    common = [np.concatenate((np.arange(8), rng.integers(1, 2**31, 60))).astype(np.int32) for _ in range(500)]
+    assert not passages.partners(np.concatenate(common).view(np.uint32), np.full(500, 68), np.zeros(500, int), np.arange(500), np.zeros(500, bool), 46).any()
+
+
 def test_stretches():
     """Every position that brute force finds in some stretch of 80 % hits, two blocks on one diagonal included."""
     rng = random.Random(31)
