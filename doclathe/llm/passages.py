@@ -286,21 +286,25 @@ def overlapping(links: DataFrame, enough: int, run: int) -> DataFrame:
 
 
 def stretches(hit: np.ndarray, run: int) -> list[tuple[int, int]]:
-    """All positions (start, end) of stretches with at least 80 % hits, begun and ended by hits, at least `run` long; stretches that overlap are joined.
+    return list(zip(*(x.tolist() for x in bounds(hit, run)), strict=True))
+
+
+def bounds(hit: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """All positions (starts, ends) of stretches with at least 80 % hits, begun and ended by hits, at least `run` long; stretches that overlap are joined.
 
     A hit adds 1, a miss takes 4: a stretch qualifies if its total isn't negative. Each hit's farthest end comes from the largest total still ahead."""
     at = np.flatnonzero(hit)
     if not len(at):
-        return []
+        return at, at
     after = np.arange(1, len(at) + 1) * 5 - 4 * (at + 1)  # total up to and with each hit
     ahead = np.maximum.accumulate(after[::-1])  # rising, from the last hit on
     far = at[len(at) - 1 - np.searchsorted(ahead, after - 1)] + 1
     long = far - at >= run
     begin, end = at[long], np.maximum.accumulate(far[long])
     if not len(begin):
-        return []
+        return begin, end
     new = np.flatnonzero(np.concatenate(([True], begin[1:] >= end[:-1])))
-    return list(zip(begin[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
+    return begin[new], end[np.append(new[1:] - 1, len(end) - 1)]
 
 
 def _cut_out(b: pa.RecordBatch, fields: list[str], ends_of: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, list[np.ndarray], pa.ListArray]]:
@@ -335,18 +339,19 @@ def evidence(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text", "ivs").mapInArrow(go, "doc long, s long, e long, h array<int>")
 
 
-def all_stretches(hit: np.ndarray, ends: np.ndarray, run: int) -> list[tuple[int, int, int]]:
-    """stretches() of rows end to end, row i from ends[i] to ends[i + 1]: (i, start, end)."""
+def all_bounds(hit: np.ndarray, ends: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounds() of rows end to end, row i from ends[i] to ends[i + 1]: (i, start, end) as columns."""
     size = np.diff(ends)
     some = np.flatnonzero(5 * np.diff(np.concatenate(([0], np.cumsum(hit)))[ends]) >= 4 * run)
     if not len(some):
-        return []
+        return some, some, some
     # Misses between rows that take more than the hits of all rows on their two sides can add.
     wide = int(size[some].max()) * 3 // 2 + 1
     at = np.arange(int(size[some].sum())) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
     line = np.zeros(len(some) * wide, bool)
     line[at + np.repeat(np.arange(len(some)) * wide, size[some])] = hit[at + np.repeat(ends[some], size[some])]
-    return [(int(some[a // wide]), a % wide, a % wide + b - a) for a, b in stretches(line, run)]
+    begin, end = bounds(line, run)
+    return some[begin // wide], begin % wide, begin % wide + end - begin
 
 
 def _keyed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +380,7 @@ def verified(pairs: DataFrame, run: int) -> DataFrame:
                 da, db, sa, sb = (b.column(x).to_numpy().tolist() for x in range(4))
                 (ka, ea), (kb, eb) = _keyed(b.column(4)), _keyed(b.column(5))
                 for k, ends, other, doc, peer, at in ((ka, ea, kb, da, db, sa), (kb, eb, ka, db, da, sb)):
-                    out += [(doc[i], max(0, at[i]) + s, max(0, at[i]) + e, peer[i]) for i, s, e in all_stretches(_among(k, other), ends, run)]
+                    out += [(doc[i], max(0, at[i]) + s, max(0, at[i]) + e, peer[i]) for i, s, e in zip(*(x.tolist() for x in all_bounds(_among(k, other), ends, run)), strict=True)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(4)], names=["doc", "s", "e", "peer"])
 
@@ -481,8 +486,8 @@ def _spread(first: np.ndarray, n: int, rows: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], n], strict=True))
 
 
-def _compared(h: list[np.ndarray], doc: np.ndarray, at: np.ndarray, inside: np.ndarray, side: np.ndarray | None, run: int) -> Iterator[tuple[int, int, int, int]]:
-    """(x, y, u, v): stretches [u, v) of row x that row y has, of all pairs of rows (of different sides, if given) of which one is outside; a row whose place `at` comes into a stretch is inside from then on."""
+def _compared(h: list[np.ndarray], doc: np.ndarray, at: np.ndarray, inside: np.ndarray, side: np.ndarray | None, run: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, u, v) as columns: stretches [u, v) of row x that row y has, of all pairs of rows (of different sides, if given) of which one is outside; a row whose place `at` comes into a stretch is inside from then on."""
     need, n = -(-run * 4 // 5), len(h)
     if n < 2 or (doc == doc[0]).all():
         return
@@ -505,13 +510,13 @@ def _compared(h: list[np.ndarray], doc: np.ndarray, at: np.ndarray, inside: np.n
         if counts is not None:
             may &= (counts[part] @ seen.T >= need) | (seen[part] @ counts.T >= need)
         for i, ok in zip(part.tolist(), may, strict=True):
-            rest = np.flatnonzero(ok)
+            rest, most = np.flatnonzero(ok), 64
             own = ids[begin[i] : begin[i + 1]]
             different, turn = np.unique(own, return_inverse=True)
             while len(rest):
                 if inside[i]:
                     rest = rest[~inside[rest]]
-                js, rest = rest[:64], rest[64:]
+                js, rest, most = rest[:most], rest[most:], 256
                 if not len(js):
                     break
                 place[different] = np.arange(1, len(different) + 1)
@@ -520,12 +525,24 @@ def _compared(h: list[np.ndarray], doc: np.ndarray, at: np.ndarray, inside: np.n
                 place[different] = 0
                 has = np.zeros((len(js), len(different) + 1), bool)
                 has[np.repeat(np.arange(len(js)), size[js]), theirs] = True
-                for k, u, v in all_stretches(has[:, turn + 1].ravel(), np.arange(len(js) + 1) * len(own), run):
-                    yield i, int(js[k]), u, v
-                    inside[i] |= u <= at[i] < v
-                for k, u, v in all_stretches(theirs > 0, ends, run):
-                    yield int(js[k]), i, u, v
-                    inside[js[k]] |= u <= at[js[k]] < v
+                k, u, v = all_bounds(has[:, turn + 1].ravel(), np.arange(len(js) + 1) * len(own), run)
+                yield np.full(len(k), i), js[k], u, v
+                inside[i] |= bool(((u <= at[i]) & (at[i] < v)).any())
+                k, u, v = all_bounds(theirs > 0, ends, run)
+                yield js[k], np.full(len(k), i), u, v
+                inside[js[k][(u <= at[js[k]]) & (at[js[k]] < v)]] = True
+
+
+
+def _joined(doc: np.ndarray, s: np.ndarray, e: np.ndarray, peer: np.ndarray) -> pa.RecordBatch:
+    """Stretches of a document that overlap as one, with the smallest peer."""
+    order = np.lexsort((s, doc))
+    doc, s, e, peer = (x[order] for x in (doc, s, e, peer))
+    apart = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 40
+    reach = np.maximum.accumulate(e + apart)
+    first = np.flatnonzero(np.concatenate(([True], (s + apart)[1:] >= reach[:-1])))
+    cols = (doc[first], s[first], np.maximum.reduceat(e, first), np.minimum.reduceat(peer, first))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["doc", "s", "e", "peer"])
 
 
 def met(rows: DataFrame, run: int) -> DataFrame:
@@ -545,15 +562,13 @@ def met(rows: DataFrame, run: int) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
             flat = np.asarray(lists.flatten())
             rows = np.flatnonzero(partners(flat.view(np.uint32), np.diff(ends), group, doc, inside, run))
-            out: list[tuple[int, int, int, int]] = []
+            out = []
             for g in np.split(rows, np.flatnonzero(np.diff(group[rows])) + 1) if len(rows) else ():
                 side = np.where(b[g] == cols[2][g[0]], 0, 1) if cols[2][g[0]] != cols[3][g[0]] else None
                 h = [flat[ends[i] : ends[i + 1]] for i in g]
-                for x, y, u, v in _compared(h, doc[g], c[g] - s[g], inside[g], side, run):
-                    out.append((int(doc[g[x]]), int(s[g[x]]) + u, int(s[g[x]]) + v, int(doc[g[y]])))
+                out += [(doc[g[x]], s[g[x]] + u, s[g[x]] + v, doc[g[y]]) for x, y, u, v in _compared(h, doc[g], c[g] - s[g], inside[g], side, run) if len(x)]
             if out:
-                table = pa.table([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "s", "e", "peer"]).group_by(["doc", "s", "e"]).aggregate([("peer", "min")])
-                yield from table.rename_columns(["doc", "s", "e", "peer"]).combine_chunks().to_batches()
+                yield _joined(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, "doc long, s long, e long, peer long")
 

@@ -457,10 +457,10 @@ def test_partners_and_pairs():
                     assert keep[i] and keep[j], (case, i, j)
         hit = np.concatenate([np.isin(x, h[0]) for x in h])
         want = [(i, s, e) for i, x in enumerate(h) for s, e in passages.stretches(np.isin(x, h[0]), run)]
-        assert passages.all_stretches(hit, np.concatenate(([0], np.cumsum(size))), run) == want
+        assert list(zip(*passages.all_bounds(hit, np.concatenate(([0], np.cumsum(size))), run), strict=True)) == want
         for g in range(4):
             own = np.flatnonzero(group == g)
-            got = set(passages._compared([h[i] for i in own], doc[own], np.full(len(own), -1), inside[own], None, run))
+            got = {r for cols in passages._compared([h[i] for i in own], doc[own], np.full(len(own), -1), inside[own], None, run) for r in zip(*(x.tolist() for x in cols), strict=True)}
             pairs = [(x, y) for x in range(len(own)) for y in range(len(own)) if doc[own[x]] != doc[own[y]] and not (inside[own[x]] and inside[own[y]])]
             assert got == {(x, y, s, e) for x, y in pairs for s, e in passages.stretches(np.isin(h[own[x]], h[own[y]]), run)}
     common = [np.concatenate((np.arange(8), rng.integers(1, 2**31, 60))).astype(np.int32) for _ in range(500)]
