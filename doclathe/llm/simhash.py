@@ -17,7 +17,7 @@ the component of their fingerprint's other rows (null if there are none). Empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, with_least
-from .runtime import cut, groups, ship
+from .runtime import cut, discard, groups, ship, store, tidy
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -157,8 +157,9 @@ def forest(adj: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def tree(adj: np.ndarray, n: int) -> np.ndarray:
-    """Each node's parent in a spanning forest of a graph given as packed rows, -1 for roots; a parent is a neighbour."""
+def tree(adj: np.ndarray, n: int, keep: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Each node's parent in a spanning forest of a graph given as packed rows, -1 for roots; a parent is a neighbour. keep(node, neighbours): which of these it is linked to after all, asked
+    of neighbours that are in no tree yet only."""
     left = np.full(adj.shape[1], ALL)
     up, done = np.full(n, -1), np.zeros(n, bool)
     for root in range(n):
@@ -171,20 +172,126 @@ def tree(adj: np.ndarray, n: int) -> np.ndarray:
             at = front.pop()
             got = adj[at] & left
             if got.any():
-                left &= ~got
                 kids = np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little")[:n])
+                if keep:
+                    kids = kids[keep(at, kids)]
+                    got = np.zeros(len(got) * 64, np.uint8)
+                    got[kids] = 1
+                    got = np.packbits(got, bitorder="little").view("<u8")
+                left &= ~got
                 up[kids], done[kids] = at, True
                 front += kids.tolist()
     return up
 
 
-def _deal(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+def marks(values: np.ndarray) -> bytes:
+    """Which places the members of a set of hashes fall on, as bits: a power of two of places, twice as many as members or more, from 64 to 8192."""
+    places = 1 << min(13, max(6, (2 * len(values) - 1).bit_length()))
+    bits = np.zeros(places, np.uint8)
+    bits[values & np.uint32(places - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Marked:
+    """Sets of which only sizes and marks() are at hand. A member that falls on a place where the other set has none isn't shared, which bounds what two sets have in common."""
+
+    def __init__(self, size: pa.ChunkedArray, bits: pa.ChunkedArray, similarity: float, measure: str):
+        self.size, self.similarity, self.measure = size.to_numpy().astype(np.int64), similarity, measure
+        lengths = np.fromiter(map(len, each := bits.to_pylist()), np.int64, len(bits))
+        self.words, self.start, self.all = lengths // 8, (np.cumsum(lengths) - lengths) // 8, np.frombuffer(b"".join(each), "<u8")
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def at(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks on `words` * 64 places of the sets that have so many or more, each set's row there, bits set by row."""
+        if words not in self.folded:
+            rows, parts, place, n = [], [], np.full(len(self.size), -1), 0
+            for w in np.unique(self.words[self.words >= words]).tolist():
+                own = np.flatnonzero(self.words == w)
+                rows.append(own)
+                parts.append(np.bitwise_or.reduce(self.all[self.start[own][:, None] + np.arange(w)].reshape(len(own), w // words, words), axis=1))
+            for own in rows:
+                place[own] = np.arange(n, n := n + len(own))
+            whole = np.concatenate(parts)
+            self.folded[words] = whole, place, np.bitwise_count(whole).sum(axis=1, dtype=np.int64)
+        return self.folded[words]
+
+    def near_in_size(self, x, y):
+        return np.minimum(x, y) >= (self.similarity**2 if self.measure == "cosine" else self.similarity) * np.maximum(x, y)
+
+    def enough(self, common, x, y):
+        return common >= self.similarity * (np.sqrt(x * y) - 1e-9 if self.measure == "cosine" else x + y - common)
+
+    def may(self, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Whether sets r and s (row by row) can be alike; no two that are alike are refused."""
+        out = self.near_in_size(self.size[r], self.size[s])
+        ask = np.flatnonzero(out)
+        words = np.minimum(self.words[r[ask]], self.words[s[ask]])
+        for w in np.unique(words).tolist():
+            whole, place, count = self.at(w)
+            these, step = ask[words == w], max(1, (1 << 20) // w)
+            for lo in range(0, len(these), step):
+                at = these[lo : lo + step]
+                a, b = r[at], s[at]
+                shared = np.bitwise_count(whole[place[a]] & whole[place[b]]).sum(axis=1, dtype=np.int64)
+                x, y = self.size[a], self.size[b]
+                bound = np.minimum(x - count[place[a]], y - count[place[b]]) + shared
+                out[at] = self.enough(bound + 1e-6, x, y)
+        return out
+
+
+def _runs(t: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of each group of a sorted table."""
+    cols = [t.column(c).to_numpy() for c in keys]
+    cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(t)], strict=True))
+
+
+def _few(runs: list[tuple[int, int]], fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows r < s of one run each, their fingerprints within the radius: of many small runs at once."""
+    rows = np.concatenate([np.arange(lo, hi) for lo, hi in runs])
+    own = np.repeat(np.arange(len(runs)), [hi - lo for lo, hi in runs])
+    got = []
+    for d in range(1, max(hi - lo for lo, hi in runs)):
+        at = np.flatnonzero(own[d:] == own[:-d])
+        r, s = rows[at], rows[at + d]
+        near_ = np.bitwise_count(fp[r] ^ fp[s]) <= radius
+        got.append((r[near_], s[near_]))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 2
+
+
+def _grown(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, parent) of a spanning forest of few edges, -1 for roots."""
+    beside: dict[int, list[int]] = {}
+    for a, b in edges:
+        beside.setdefault(a, []).append(b)
+        beside.setdefault(b, []).append(a)
+    up: dict[int, int] = {}
+    for root in beside:
+        if root not in up:
+            up[root], front = -1, [root]
+            while front:
+                at = front.pop()
+                for x in beside[at]:
+                    if x not in up:
+                        up[x] = at
+                        front.append(x)
+    return list(up.items())
+
+
+def _deal(rows: DataFrame, keys: list[str], block: int, more: DataFrame | None = None, times: int | None = None, most: int = 4096) -> DataFrame:
     """rows (keys, node, ...) that share their keys with others, once for each pair of blocks (i, j) that their own block is in; a group of up to
-    `block` rows is one block."""
+    `block` rows is one block. more: columns by node that only these rows are joined with. times: blocks grow, up to `most` rows, before a group has more than so many of them, so that its
+    rows are sent so many times at most until it has times * most."""
     size = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(size, keys).withColumn("m", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    met = rows.join(size, keys)
     rest = [c for c in rows.columns if c not in keys]
+    if more is not None:
+        met, rest = met.join(more, "node"), rest + [c for c in more.columns if c != "node"]
+    blocks = F.ceil(F.col("n") / block)
+    if times:
+        blocks = F.greatest(F.least(blocks, F.lit(times)), F.ceil(F.col("n") / max(block, most)))
+    met = met.withColumn("m", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     return met.select(*keys, *rest, "own", F.explode(pair).alias("p")).select(*keys, "p.i", "p.j", "own", *rest)
 
 
@@ -242,7 +349,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     within it is verified on the sets (32 bits of each hash): first along a spanning tree of each bucket, so that a group of copies takes one verification and two sets a member,
     then between those of a bucket that the verified links leave unconnected. Documents of one shingle set (128 bits of its hash) are one node in all this, the smallest id's, and join its group at
     the end, so any number of them costs one row each. Texts without words have no near copies.
+    What meets in a bucket by a common passage only is left by sizes and marks() of the sets before any set is moved, which no alike pair is (an upper bound of what they share). Blocks of a bucket
+    grow with it, so that its rows are sent 8 times at most up to 32768 of them; sets are sent for rows that may be alike with one that they aren't linked with.
     small: the wanted documents are broadcast to the texts up to so many ids, and joined beyond. Null ids are left out."""
+    with tidy(df.sparkSession):
+        return _similar(df, id_col, text, shingle, similarity, measure, radius, keys, block, small)
+
+
+def _similar(df: DataFrame, id_col: str, text: str, shingle: int, similarity: float, measure: str, radius: int, keys: int, block: int, small: int, few: int = 16, part: int = 512) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     docs = df.select(df[id_col].cast("long").alias("node"), df[text].cast("string").alias("text")).where("node is not null")
@@ -250,7 +364,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, least, whole = [], [], []
+            fps, least, whole, size, bits = [], [], [], [], []
             for t in b.column(1):
                 got = [np.unique(h) for h in hashes(t.as_py(), shingle)]
                 h = np.unique(np.concatenate(got)) if len(got) > 1 else got[0] if got else np.zeros(0, np.uint64)  # a set, as in verification
@@ -263,26 +377,53 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
                 fps.append(int(sum(1 << k for k in range(64) if 2 * total[k] > count)))
                 least.append(low.view(np.int64) if count else None)
                 whole.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(whole, pa.binary())], names=["node", "fp", "least", "whole"])
-
-    base = cut(docs.mapInArrow(features, "node long, fp long, least array<long>, whole binary").where("least is not null"))
+                short = np.unique(h.astype(np.uint32))
+                size.append(len(short))
+                bits.append(marks(short))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(least, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())],
+                names=["node", "fp", "least", "whole", "size", "bits"],
+            )
+
+    base = store(docs.mapInArrow(features, "node long, fp long, least array<long>, whole binary, size int, bits binary").where("least is not null"), "similar-base")
     twins = cut(with_least(base.select("whole", "node"), "whole", "node").where("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct())
-    rows = base.join(twins.select(F.col("b").alias("node")), "node", "left_anti").select("node", "fp", F.posexplode("least").alias("t", "k"))
+    rows = base.join(twins.select(F.col("b").alias("node")), "node", "left_anti").select("node", F.posexplode("least").alias("t", "k"))
     group = ["t", "k", "i", "j"]
-    dealt = _deal(rows, ["t", "k"], block).repartition(*group).sortWithinPartitions(*group, "own")
+    dealt = _deal(rows, ["t", "k"], block, base.select("node", "fp", "size", "bits"), 8).repartition(*group).sortWithinPartitions(*group, "own")
+    columns = [*group, "own", "node", "fp", "size", "bits"]
+    schema = "t int, k long, i int, j int, own int, node long, fp long, size int, bits binary"
+
+    def prints(t: pa.Table) -> np.ndarray:
+        return t.column("fp").to_numpy().view(np.uint64)
+
+    def marked(t: pa.Table) -> Marked:
+        return Marked(t.column("size"), t.column("bits"), similarity, measure)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a group that have another within the radius, each but one of those connected with one of these."""
-        for g in groups(batches, group):
-            adj = _adjacent(g.column("fp").to_numpy().view(np.uint64), radius)
-            some = np.flatnonzero(np.bitwise_count(adj).sum(axis=1) > 1)
-            if len(some):
-                node, up = g.column("node").to_numpy(), tree(adj, len(g))[some]
-                out = g.take(pa.array(some)).append_column("up", pa.array(node[np.maximum(up, 0)], mask=up < 0))
+        """Rows of a group that may be alike with another within the radius, each but one of those connected with one of these."""
+        for t in groups(batches, group, 1024):
+            fp, known, runs = prints(t), marked(t), _runs(t, group)
+            up = np.full(len(t), -1)
+            some = np.zeros(len(t), bool)
+            if short := [x for x in runs if 1 < x[1] - x[0] <= few]:
+                r, s = _few(short, fp, radius)
+                ok = known.may(r, s)
+                if ok.any():
+                    node, over = np.array(_grown(list(zip(r[ok].tolist(), s[ok].tolist(), strict=True)))).T
+                    up[node], some[node] = over, True
+            for lo, hi in runs:
+                if hi - lo > few:
+                    over = tree(_adjacent(fp[lo:hi], radius), hi - lo, lambda at, kids, lo=lo, known=known: known.may(np.full(len(kids), at + lo), kids + lo))
+                    node = np.flatnonzero(over >= 0)
+                    up[node + lo] = over[node] + lo
+                    some[node + lo] = some[over[node] + lo] = True
+            if some.any():
+                at, node = np.flatnonzero(some), t.column("node").to_numpy()
+                out = t.take(pa.array(at)).append_column("up", pa.array(node[np.maximum(up[at], 0)], mask=up[at] < 0))
                 yield from out.combine_chunks().to_batches()
 
-    schema = "t int, k long, i int, j int, own int, node long, fp long"
-    found = cut(dealt.select("t", "k", "i", "j", "own", "node", "fp").mapInArrow(candidates, schema + ", up long"))
+    found = store(dealt.select(*columns).mapInArrow(candidates, schema + ", up long"), "similar-found")
+    discard(base)
     wanted = cut(found.select("node").distinct())
     chosen = docs.join(F.broadcast(wanted) if wanted.count() <= small else wanted, "node", "left_semi")
 
@@ -291,7 +432,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
             got = [np.unique(np.concatenate([np.unique(h.astype(np.uint32)) for h in hashes(t.as_py(), shingle)])).view(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["node", "set"])
 
-    full = cut(chosen.mapInArrow(sets, "node long, set array<int>"))
+    full = store(chosen.mapInArrow(sets, "node long, set array<int>"), "similar-sets")
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
         if min(len(x), len(y)) < (similarity**2 if measure == "cosine" else similarity) * max(len(x), len(y)):
@@ -312,25 +453,55 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     again = told.repartition(*group).sortWithinPartitions(*group, "own", "node")
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a group that have another within the radius that they aren't connected with."""
-        for g in groups(batches, group):
-            comp = g.column("component").to_numpy()
-            if (comp == comp[0]).all():
-                continue
-            adj = np.unpackbits(_adjacent(g.column("fp").to_numpy().view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, : len(g)]
-            some = np.flatnonzero((adj & (comp[:, None] != comp[None, :])).any(axis=1))
-            if len(some):
-                yield from g.take(pa.array(some)).combine_chunks().to_batches()
-
-    columns = [*group, "own", "node", "fp", "component"]
-    left = cut(again.select(*columns).mapInArrow(apart, schema + ", component long"))
+        """Rows of a group that may be alike with another within the radius that they aren't connected with: of more than two parts of a group once for each pair of parts (a, b) that have such rows."""
+        for t in groups(batches, group, 1024):
+            comp, fp, known, runs = t.column("component").to_numpy(), prints(t), marked(t), _runs(t, group)
+            some = np.zeros(len(t), bool)
+            if short := [x for x in runs if 1 < x[1] - x[0] <= few]:
+                r, s = _few(short, fp, radius)
+                other = comp[r] != comp[s]
+                r, s = r[other], s[other]
+                ok = known.may(r, s)
+                some[r[ok]] = some[s[ok]] = True
+            out = []
+            for lo, hi in runs:
+                if hi - lo <= few or (comp[lo:hi] == comp[lo]).all():
+                    continue
+                n, adj, own = hi - lo, _adjacent(fp[lo:hi], radius), np.zeros(hi - lo, bool)
+                width = part if n > 2 * part else n
+                hit = set()
+                for at in range(0, n, 64):
+                    bits = np.unpackbits(adj[at : at + 64].view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+                    r, s = np.nonzero(bits & (comp[lo + at : lo + at + len(bits), None] != comp[None, lo:hi]))
+                    r += at
+                    r, s = r[r < s], s[r < s]
+                    ok = known.may(r + lo, s + lo)
+                    own[r[ok]] = own[s[ok]] = True
+                    hit |= set(zip((r[ok] // width).tolist(), (s[ok] // width).tolist(), strict=True))
+                if width == n:
+                    some[lo:hi] = own
+                    continue
+                for a, b in sorted(hit):
+                    for half in sorted({a, b}):
+                        at = np.flatnonzero(own[half * width : (half + 1) * width]) + half * width + lo
+                        out.append((at, np.full(len(at), a), np.full(len(at), b), np.full(len(at), half)))
+            at = np.flatnonzero(some)
+            for rows_, a, b, half in [(at, *[np.zeros(len(at), np.int64)] * 3), *out]:
+                if len(rows_):
+                    got = t.take(pa.array(rows_))
+                    for name, x in (("a", a), ("b", b), ("half", half)):
+                        got = got.append_column(name, pa.array(x, pa.int32()))
+                    yield from got.combine_chunks().to_batches()
+
+    left = store(again.select(*columns, "component").mapInArrow(apart, schema + ", component long, a int, b int, half int"), "similar-left")
+    discard(found)
+    parts = [*group, "a", "b"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, group):
-            node, n, own = g.column("node").to_numpy(), len(g), g.column("own").to_numpy()
-            adj = np.unpackbits(_adjacent(g.column("fp").to_numpy().view(np.uint64), radius).view(np.uint8), axis=1, bitorder="little")[:, :n]
-            if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                adj = adj & (own[:, None] != own[None, :])
+        for g in groups(batches, parts):
+            node, n, own, half = g.column("node").to_numpy(), len(g), g.column("own").to_numpy(), g.column("half").to_numpy()
+            adj, known = _adjacent(prints(g), radius), marked(g)
+            blocks, halves = (g.column(x)[0].as_py() != g.column(y)[0].as_py() for x, y in (("i", "j"), ("a", "b")))
             each = [x for c in g.column("set").chunks for x in c]
             held: dict[int, np.ndarray] = {}
             comp, a, b = g.column("component").to_numpy().copy(), [], []
@@ -341,7 +512,13 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
                 return held[i]
 
             for r in range(n):
-                rest = np.flatnonzero(adj[r, r + 1 :]) + r + 1
+                rest = np.flatnonzero(np.unpackbits(adj[r].view(np.uint8), bitorder="little")[r + 1 : n]) + r + 1
+                rest = rest[comp[rest] != comp[r]]
+                if blocks:
+                    rest = rest[own[rest] != own[r]]
+                if halves:
+                    rest = rest[half[rest] != half[r]]
+                rest = rest[known.may(np.full(len(rest), r), rest)]
                 while len(rest := rest[comp[rest] != comp[r]]):
                     if alike(value(r), value(int(rest[0]))):
                         a.append(node[r])
@@ -351,8 +528,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a)), pa.array(np.array(b))], names=["a", "b"])
 
-    more = left.join(full, "node").repartition(*group).sortWithinPartitions(*group, "own", "node")
-    more = cut(more.select(*columns, "set").mapInArrow(verify, "a long, b long"))
+    more = left.join(full, "node").repartition(*parts).sortWithinPartitions(*parts, "own", "node")
+    more = cut(more.select(*parts, "own", "node", "fp", "size", "bits", "component", "half", "set").mapInArrow(verify, "a long, b long"))
+    discard(full, left)
     return named if more.isEmpty() else components(named.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 

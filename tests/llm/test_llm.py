@@ -290,6 +290,67 @@ def test_similar_counts_equal_sets_once(spark, monkeypatch):
     assert met == [9 * 3]
 
 
+def test_similar_sends_few_sets_for_a_shared_passage(spark, monkeypatch):
+    """Documents that meet by a passage only, and in large numbers: hardly a set of theirs is made, and no row is sent more than 8 times."""
+    rng = random.Random(25)
+    passage = words(30, rng)
+    data = {i: f"{words(rng.randint(60, 120), rng)} {passage}" for i in range(400)}
+    base = words(100, rng)
+    data |= {1000 + i: base.rsplit(" ", i + 1)[0] for i in range(2)}
+    rows, sent = {}, []
+    for name in ("cut", "store"):
+        if step := getattr(simhash, name, None):
+            monkeypatch.setattr(simhash, name, lambda df, *a, step=step: rows.setdefault(tuple(df.columns), step(df, *a)) if df.columns == ["node", "set"] else step(df, *a))
+    deal, drop = simhash._deal, getattr(simhash, "discard", None)
+    monkeypatch.setattr(simhash, "_deal", lambda *a: (sent.append(deal(*a).groupBy("t", "k", "node").count().agg({"count": "max"}).first()[0]), deal(*a))[1])
+    if drop:
+        monkeypatch.setattr(simhash, "discard", lambda *a: None)
+    got = {r["node"]: r["component"] for r in simhash.similar(table(spark, list(data.items())).repartition(3), block=8, measure="cosine").collect()}
+    assert got == {1000: 1000, 1001: 1000}
+    assert rows["node", "set"].count() <= 8 and sent[0] <= 8
+
+
+def test_marks_refuse_no_alike_sets():
+    """Sets of all sizes and any overlap: those that are alike may be, by either measure; strangers may not."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(26)
+    for measure in ("cosine", "jaccard"):
+        sets = []
+        for _ in range(300):
+            base = rng.integers(0, 2**32, rng.choice([1, 3, 31, 33, 100, 900, 5000]), dtype=np.uint32)
+            kept = base[rng.random(len(base)) < rng.choice([0.5, 0.7, 0.8, 0.9])]
+            sets += [np.unique(base), np.unique(np.append(kept, rng.integers(0, 2**32, len(base) // 9, dtype=np.uint32)))]
+        known = simhash.Marked(pa.chunked_array([pa.array([len(x) for x in sets])]), pa.chunked_array([pa.array([simhash.marks(x) for x in sets])]), 0.8, measure)
+
+        def linked(x, y, measure=measure):
+            both = len(np.intersect1d(x, y))
+            return len(x) > 0 < len(y) and both >= 0.8 * ((len(x) * len(y)) ** 0.5 - 1e-9 if measure == "cosine" else len(x) + len(y) - both)
+
+        r = np.arange(0, 600, 2)
+        true = np.array([linked(sets[i], sets[i + 1]) for i in r])
+        assert 50 < true.sum() < 250 and known.may(r, r + 1)[true].all() and known.may(r + 1, r)[true].all()
+        large = [i for i in r.tolist() if 30 < len(sets[i]) < 1000]
+        assert not known.may(np.array(large[:-1]), np.array(large[1:])).any()
+
+
+@pytest.mark.parametrize("few,part", [(2, 4), (16, 3)])
+def test_similar_in_parts(spark, few, part):
+    """Groups of copies near the limit, in blocks and parts of a few rows: what is linked is what the sets of all pairs say."""
+    rng = random.Random(27)
+    data, n = {}, 0
+    for _ in range(6):
+        base = words(rng.randint(60, 120), rng).split()
+        for _ in range(20):
+            data[n] = " ".join(f"q{rng.randint(0, 999)}" if rng.random() < 0.03 else x for x in base)
+            n += 1
+    sets = {i: shingle_set(t) for i, t in data.items()}
+    want = brute_components(list(data), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * ((len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9))
+    got = {r["node"]: r["component"] for r in simhash._similar(table(spark, list(data.items())), "doc_id", "text", 5, 0.8, "cosine", 25, 9, 8, 500_000, few, part).collect()}
+    assert {i: got.get(i, i) for i in data} == want and 6 < len(set(want.values())) < len(data)
+
+
 # 3 ----------------------------------------------------------------------------------------------------------------------
 
 
