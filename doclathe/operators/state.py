@@ -68,28 +68,67 @@ def variants(df: DataFrame) -> DataFrame | None:
     return df.select(F.inline(F.concat(*parts))) if parts else None
 
 
-def _typed(level: DataFrame) -> DataFrame:
-    raw = F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)
-    return level.select("path", "v", F.when(raw.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "number").when(raw == "VOID", "null").when(raw.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY"), F.lower(raw)).otherwise("other").alias("kind"))
+def _typed(level: DataFrame, *more: str) -> DataFrame:
+    raw = F.substring(F.schema_of_variant("v"), 1, 3)
+    return level.select("path", "v", *more, F.when(raw.isin("BIG", "DEC", "DOU", "FLO"), "number").when(raw == "VOI", "null").when(raw == "STR", "string").when(raw == "BOO", "boolean").when(raw == "OBJ", "object").when(raw == "ARR", "array").otherwise("other").alias("kind"))
 
 
-def _nesting(v: Column) -> Column:
-    """How deep arrays and objects are nested in a variant, at least; from the text of its schema."""
-    step = lambda a, x: F.struct((a["now"] + F.when(x == "<", 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(x == "<", 1).otherwise(-1)).alias("most"))
-    return F.aggregate(F.regexp_extract_all(F.schema_of_variant(v), F.lit("[<>]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+def _measures() -> list[Column]:
+    """num and str of a typed variant."""
+    number = F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double"))
+    size = F.when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))).when(F.col("kind") == "object", F.size(F.try_variant_get("v", "$", "map<string,variant>")))
+    text = F.when(F.col("kind").isin("string", "boolean", "other"), F.try_variant_get("v", "$", "string"))
+    return [F.coalesce(number, size.cast("double")).alias("num"), text.alias("str")]
+
+
+def _opened(depth: int) -> Column:
+    """Of (path, v) the levels of all that is in the variant, as arrays of (path, v, up, key): the keys of objects, with their paths. The last one is empty unless it is at the depth."""
+    record = "array<struct<path:string,v:variant,up:string,key:string>>"
+    none = F.array().cast(record)
+
+    def inside(x: Column) -> Column:
+        entry = lambda e: F.struct(F.concat_ws(".", x["path"], e["key"]).alias("path"), e["value"].alias("v"), x["path"].alias("up"), e["key"].alias("key"))
+        item = lambda y: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), y.alias("v"), F.lit(None).cast("string").alias("up"), F.lit(None).cast("string").alias("key"))
+        kind = F.substring(F.schema_of_variant(x["v"]), 1, 3)
+        return (
+            F.when(kind == "OBJ", F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), entry).cast(record))
+            .when(kind == "ARR", F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), item).cast(record)).otherwise(none)
+        )
+
+    top = F.array(F.array(F.struct(F.col("path"), F.col("v"), F.lit(None).cast("string").alias("up"), F.lit(None).cast("string").alias("key"))).cast(record))
+    last = lambda levels: F.element_at(levels, -1)
+    step = lambda levels, _: F.when(F.size(last(levels)) == 0, levels).otherwise(F.concat(levels, F.array(F.flatten(F.transform(last(levels), inside)))))
+    down = lambda levels, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), levels, step)
+    # Most documents end after few levels; steps of the others are not even looped over.
+    first = down(top, min(depth, 8))
+    all_ = F.transform(F.array(first), lambda levels: F.when(F.size(last(levels)) == 0, levels).otherwise(down(levels, depth - 8)))[0] if depth > 8 else first
+    return all_
+
+
+def _flat(level: DataFrame, depth: int = 64) -> DataFrame:
+    """path, kind, num, str of (path, v) and of all that is in the variants, keys told as they are: each variant is opened once, in its row, however deep it is."""
+    each = level.select(F.inline(F.flatten(_opened(depth))))
+    told = _typed(each, "up", "key").select("path", "kind", *_measures(), "up", "key")
+    value = F.struct("path", "kind", "num", "str")
+    key = F.struct(F.col("up").alias("path"), F.lit("key").alias("kind"), F.lit(None).cast("double").alias("num"), F.col("key").alias("str"))
+    return told.select(F.inline(F.when(F.col("key").isNull(), F.array(value)).otherwise(F.array(value, key))))
+
+
+#: An object of so many different keys or more (estimated) may have made-up ones.
+WIDE = 8
 
 
 def walk(level: DataFrame, config: P.KeyConfig | None = None, depth: int = 64) -> DataFrame:
-    """path, kind, num, str of (path, v) and of all that is in the variants, one level after the other; keys have kind `key`. One job finds the depth, one the objects of ten keys or more. Only if there are such, a
+    """path, kind, num, str of (path, v) and of all that is in the variants; keys have kind `key`. One job finds the objects of ten keys or more. Only if there are such, levels are walked one after the other, and a
     job a level tells from the top down which keys are made up: keys are grouped, and paths of objects come back. Beyond `depth` levels values count, but what is in them doesn't."""
-    config = config or P.KeyConfig()
-    deepest = min(depth, level.agg(F.max(_nesting(F.col("v")))).first()[0] or 0)
-    flat, keys = _levels(level, deepest, lambda *_: [])
-    if keys:
-        wide = reduce(DataFrame.unionByName, keys).groupBy("path").agg(F.approx_count_distinct("key", 0.05).alias("u"))
-        if not wide.where(F.col("u") >= 8).isEmpty() or config.force_dynamic:
-            return reduce(DataFrame.unionByName, _levels(level, deepest, lambda opened, inside: _made_up(opened, inside, config))[0])
-    return reduce(DataFrame.unionByName, flat)
+    config, flat = config or P.KeyConfig(), _flat(level, depth)
+    wide = flat.where("kind = 'key'").groupBy("path").agg(F.approx_count_distinct("str", 0.05).alias("u"))
+    return _walk_down(level, config, depth) if config.force_dynamic or not wide.where(F.col("u") >= WIDE).isEmpty() else flat
+
+
+def _walk_down(level: DataFrame, config: P.KeyConfig, depth: int = 64) -> DataFrame:
+    deepest = level.agg(F.max(F.size(F.filter(_opened(depth), lambda x: F.size(x) > 0)) - 1)).first()[0] or 0
+    return reduce(DataFrame.unionByName, _levels(level, deepest, lambda opened, inside: _made_up(opened, inside, config)))
 
 
 def _made_up(keys: DataFrame, inside: DataFrame, config: P.KeyConfig) -> list[str]:
@@ -102,26 +141,22 @@ def _made_up(keys: DataFrame, inside: DataFrame, config: P.KeyConfig) -> list[st
     return [r["path"] for r in found if config.forced(r["path"]) != "static" and (config.forced(r["path"]) == "dynamic" or P.promoted(r, config))]
 
 
-def _levels(level: DataFrame, deepest: int, made_up) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(rows of all levels, keys of all levels)."""
-    out, all_keys = [], []
+def _levels(level: DataFrame, deepest: int, made_up) -> list[DataFrame]:
+    """Rows of all levels."""
+    out = []
     for at in range(deepest + 1):
         typed = _typed(level)
-        number = F.when(F.col("kind") == "number", F.try_variant_get("v", "$", "double"))
-        size = F.when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>"))).when(F.col("kind") == "object", F.size(F.try_variant_get("v", "$", "map<string,variant>")))
-        text = F.when(F.col("kind").isin("string", "boolean", "other"), F.try_variant_get("v", "$", "string"))
-        out.append(typed.select("path", "kind", F.coalesce(number, size.cast("double")).alias("num"), text.alias("str")))
+        out.append(typed.select("path", "kind", *_measures()))
         if at == deepest:
             break
         inside = typed.where("kind in ('object', 'array')")
         opened = level.sparkSession.sql("SELECT path, x.key AS key, x.value AS v FROM {inside}, LATERAL variant_explode(v) AS x", inside=inside)
         keys = opened.where("key is not null").select("path", "key")
-        all_keys.append(keys)
         out.append(keys.select("path", F.lit("key").alias("kind"), F.lit(None).cast("double").alias("num"), F.col("key").alias("str")))
         found = made_up(keys, inside)
         name = F.when(F.col("path").isin(found), "*").otherwise(F.col("key")) if found else F.col("key")
         level = opened.select(F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat_ws(".", "path", name)).alias("path"), "v")
-    return out, all_keys
+    return out
 
 
 def values(df: DataFrame, config: P.KeyConfig | None = None) -> DataFrame:
@@ -136,11 +171,21 @@ def values(df: DataFrame, config: P.KeyConfig | None = None) -> DataFrame:
 
 def state_of(df: DataFrame, config: P.KeyConfig | None = None, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """The state of a table of documents (normalised): two passes, one that finds paths of many texts and sketches keys, one that counts."""
-    rows = values(df, config)
+    config = config or P.KeyConfig()
+    typed, loose = P.unnest(df, objects=True, walked=True), variants(df)
     path, kind, num, text = (F.col(c) for c in ("path", "kind", "num", "str"))
     # A row per path. Estimates of texts are within 5 %, so a path said to have twice TEXTS texts has more than TEXTS.
     sketch = F.theta_sketch_agg(F.when(kind == "key", text), 12)
-    seen = rows.where("kind in ('string', 'key')").groupBy("path", "kind").agg(F.approx_count_distinct("str", 0.05).alias("u"), F.count("*").alias("n"), sketch.alias("sketch"), F.theta_sketch_estimate(sketch).alias("keys")).collect()
+
+    def told(rows: DataFrame) -> list:
+        return rows.where("kind in ('string', 'key')").groupBy("path", "kind").agg(F.approx_count_distinct("str", 0.05).alias("u"), F.count("*").alias("n"), sketch.alias("sketch"), F.theta_sketch_estimate(sketch).alias("keys")).collect()
+
+    rows = typed if loose is None else typed.unionByName(_flat(loose))
+    inner = [] if loose is None else [p for p in P.variant_leaves(df.schema) if not p.startswith("__")]
+    seen = None if inner and config.force_dynamic else told(rows)
+    if inner and (seen is None or any(r["kind"] == "key" and r["u"] >= WIDE and any(r["path"] == p or r["path"].startswith((p + ".", p + "[")) for p in inner) for r in seen)):
+        rows = typed.unionByName(_walk_down(loose, config))
+        seen = told(rows)
     many = [r["path"] for r in seen if r["kind"] == "string" and r["u"] > 2 * TEXTS]
     is_many = path.isin(many) if many else F.lit(False)
     paths = [r["path"] for r in seen if r["kind"] == "string"]

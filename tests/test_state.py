@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,27 @@ def test_references(spark):
     assert [(x["path"], x["keyword"]) for x in typed.select(D.violations(schema, typed).alias("b")).first()["b"]] == [("/n", "maximum")]
     with pytest.raises(E.ConfigError):
         D.violations_of(F.col("v"), {"$ref": "#/nowhere"})
+
+
+def test_variants_are_opened_once(spark, tmp_path):
+    """Documents of any shape and depth: all of it as level by level, from one scan; what is beyond the depth doesn't count."""
+    rng = random.Random(5)
+
+    def some(depth):
+        kind = rng.random()
+        if depth and kind < 0.4:
+            return {k: some(depth - 1) for k in rng.sample("abcde", rng.randint(0, 3))}
+        if depth and kind < 0.7:
+            return [some(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([None, True, 1, -2.5, 1e300, "x", "", "2020-01-01"])
+
+    docs = [some(rng.randint(0, 11)) for _ in range(200)] + [{"a": {"b": [[[[[[[[[{"c": [1, {"d": None}]}]]]]]]]]]}}, [], {}]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(json.dumps(x),) for x in docs], "j string").write.parquet(path)
+    df = spark.read.parquet(path).select(F.parse_json("j").alias("doc"))
+    level = St.variants(df)
+    for depth in (64, 6, 3, 1):
+        told = [Counter(tuple(r) for r in x.collect()) for x in (St._flat(level, depth), St._walk_down(level, P.KeyConfig.disabled(), depth))]
+        assert told[0] == told[1] and sum(told[0].values()) > 200
+    plan = St.state_of(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") <= 3  # typed columns, variants, and the number of documents
