@@ -370,28 +370,41 @@ def promoted(r, config: KeyConfig) -> bool:
     return bool(r["is_dynamic"]) and (r["n_keys"] >= config.threshold or (r["n_keys"] >= min(config.threshold, 10) and (r["pattern"] is not None or r["confidence"] > 0.8)))
 
 
-def object_keys(df: DataFrame) -> DataFrame:
-    """doc, parent, key: the keys of every object in every document (structs: fields that aren't null; maps: entries), parents by path with the keys as they are."""
+def object_keys(df: DataFrame, config: KeyConfig | None = None) -> DataFrame | None:
+    """doc, parent, key: the keys of every object in every document (structs: fields that aren't null; maps: entries), parents by path with the keys as they are. config: without those that can't be made up by it:
+    structs of too few fields that no map or wider struct is above; None if there are no others."""
 
-    def below(col: Column, typ: T.DataType, path: Column) -> list[Column]:
+    def narrow(typ: T.DataType, path: str) -> list[str]:
+        """Paths of structs of too few fields to be dynamic, with nothing but such and arrays above."""
+        if isinstance(typ, T.ArrayType):
+            return narrow(typ.elementType, path + "[]")
+        if not isinstance(typ, T.StructType) or len(typ.fields) >= min(config.threshold, 10) or config.forced(path) == "dynamic":
+            return []
+        return [path, *[p for f in typ.fields for p in narrow(f.dataType, f"{path}.{f.name}")]]
+
+    few = {p for f in df.schema.fields for p in narrow(f.dataType, f.name)} if config else set()
+
+    def below(col: Column, typ: T.DataType, path: Column, at: str | None = None) -> list[Column]:
         row = lambda k: F.struct(path.alias("parent"), k.alias("key"))
         under = lambda k: F.concat(path, F.lit("."), k)
         if isinstance(typ, T.StructType):
-            out = [F.array_compact(F.array(*[F.when(col.getField(f.name).isNotNull(), row(F.lit(f.name))) for f in typ.fields]))] if typ.fields else []
+            out = [F.array_compact(F.array(*[F.when(col.getField(f.name).isNotNull(), row(F.lit(f.name))) for f in typ.fields]))] if typ.fields and at not in few else []
             for f in typ.fields:
-                out += below(col.getField(f.name), f.dataType, under(F.lit(f.name)))
+                out += below(col.getField(f.name), f.dataType, under(F.lit(f.name)), at and f"{at}.{f.name}")
             return out
         if isinstance(typ, T.MapType):
             out = [F.transform(F.map_keys(col), lambda k: row(k))]
             if below(F.lit(None), typ.valueType, path):
                 out.append(F.flatten(F.transform(F.map_entries(col), lambda e: F.concat(*below(e["value"], typ.valueType, under(e["key"]))))))
             return out
-        if isinstance(typ, T.ArrayType) and below(F.lit(None), typ.elementType, path):
-            return [F.flatten(F.transform(col, lambda x: F.concat(*below(x, typ.elementType, F.concat(path, F.lit("[]"))))))]
+        if isinstance(typ, T.ArrayType) and below(F.lit(None), typ.elementType, path, at and at + "[]"):
+            return [F.flatten(F.transform(col, lambda x: F.concat(*below(x, typ.elementType, F.concat(path, F.lit("[]")), at and at + "[]"))))]
         return []
 
     empty = F.array().cast("array<struct<parent:string,key:string>>")
-    parts = [F.coalesce(x, empty) for f in df.schema.fields for x in below(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name))]
+    parts = [F.coalesce(x, empty) for f in df.schema.fields for x in below(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), f.name)]
+    if config and not parts:
+        return None
     each = F.inline(F.concat(*parts)) if parts else F.inline(empty)
     return df.select(F.monotonically_increasing_id().alias("doc"), each)
 

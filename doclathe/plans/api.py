@@ -23,6 +23,8 @@ def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
     """What synthesis needs of each path, from the table's profile state; a row per path (and per distinct length or enum value) comes back."""
     state = St.state_of(df).persist()  # counts, not documents
     try:
+        if not St.documents(state):
+            raise InferenceError("no documents to infer from")
         return St.facts(state)
     finally:
         state.unpersist()
@@ -31,7 +33,10 @@ def facts(df: DataFrame) -> dict[str, dict[str, Any]]:
 def dynamic_objects(df: DataFrame, keys: P.KeyConfig | None = None) -> tuple[DataFrame, dict[str, dict[str, Any]]]:
     """(df with objects of made-up keys as maps and all others as structs, per such path its key metadata). What a path is, is decided from the top down."""
     config = keys or P.KeyConfig()
-    rows, found = P.collapse(P.object_keys(df), config)
+    told = P.object_keys(df, config)
+    if told is None:
+        return P.reshape(df, set(), {}), {}
+    rows, found = P.collapse(told, config)
     dynamic = {path: {"pattern": pattern or "CUSTOM"} for path, pattern in found}
     if dynamic:
         for r in P.dynamic_stats(rows.where(F.col("parent").isin(list(dynamic))), config).collect():
@@ -55,8 +60,6 @@ def infer(df: DataFrame, config: D.SynthesisConfig | None = None, keys: P.KeyCon
     """(generation schema, facts per path) of a table of documents. Objects of made-up keys, as maps or as structs wide with keys, become dynamic; statistics of what is
     below them are those of all their values together."""
     plain, hints = D.normalize(df)
-    if plain.isEmpty():
-        raise InferenceError("no documents to infer from")
     shaped, dynamic = dynamic_objects(plain, keys)
     f = facts(shaped)
     for path, (fmt, _) in hints.items():

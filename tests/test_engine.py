@@ -413,3 +413,15 @@ def test_id_cache_time():
     for i in range(100_000):
         big.tombstone(big.pick((i * 7919 % 100_000) / 100_000))
     assert len(big.dead) == 100_000 and big.pick(0.3) not in big.dead
+
+
+def test_narrow_structs_have_no_keys_to_look_at(spark):
+    """Structs of too few fields to be dynamic are not gone through, but where a map or a wide struct is above them, or they are forced."""
+    wide = ", ".join(f"k{i}: struct<x: int, y: int>" for i in range(12))
+    df = spark.createDataFrame([], f"id int, a struct<b: struct<c: int>, l: array<struct<d: int>>>, m map<string, struct<e: int>>, w struct<{wide}>, n array<struct<f: int, w: struct<{wide}>>>")
+    assert P.object_keys(df.select("id", "a"), P.KeyConfig()) is None
+    assert P.object_keys(df.select("a"), P.KeyConfig(force_dynamic=("a.l[]",))) is not None
+    full = df.sparkSession.createDataFrame([(1, ((2,), [(3,)]), {"u": (4,)}, tuple((i, i) for i in range(12)), [(5, tuple((i, i) for i in range(12)))])], df.schema)
+    seen = {(r["parent"], r["key"]) for r in P.object_keys(full).collect()}
+    kept = {(r["parent"], r["key"]) for r in P.object_keys(full, P.KeyConfig()).collect()}
+    assert seen - kept == {("a", "b"), ("a", "l"), ("a.b", "c"), ("a.l[]", "d"), ("n[]", "f"), ("n[]", "w")} and kept < seen
